@@ -1,16 +1 @@
-"""Training-data operators: sharding, deduplication, mixing, scoring, packing and filters.
-
-Worker functions travel with the query (pickled by value), so executors need only the
-libraries the functions import, not this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-
-def _travel(module_name: str) -> None:
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
-
-
-_travel(__name__)
+"""Training-data operators: sharding, deduplication, mixing, scoring, packing and filters."""

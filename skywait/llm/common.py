@@ -1,59 +1,23 @@
-"""What several operators share: settled tables, words, running offsets, batch slices."""
+"""What several operators share: words, running offsets, batch slices."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
+__all__ = ["settle"]
+
 #: ASCII white space, as a regular expression class; words are the runs between.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
-_settled: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. It comes from the session; only local sessions may do without."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again.
-
-    This cuts the lineage: an executor that is lost later costs a read, not the whole
-    history. The files go when the program ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _settled.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _settled:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; its folder goes with it
-            return
-
-
 def words(text: Column) -> Column:
     """Words of a text (runs without ASCII white space); null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
