@@ -91,10 +91,7 @@ def clip(ring: Sequence[Sequence[float]], window: Sequence[Sequence[float]]) ->
     return np.array(out).reshape(-1, 2)
 
 
-@F.pandas_udf("double")
-def overlap_fraction(entity: pd.Series, footprint: pd.Series) -> pd.Series:
-    """Share of a convex entity ring that a footprint ring covers; 0 without a footprint."""
-
+def _overlap(entity: pd.Series, footprint: pd.Series) -> pd.Series:
     def one(a, f) -> float:
         ring = np.array([list(p) for p in a])
         area = ring_area(ring)
@@ -108,6 +105,11 @@ def overlap_fraction(entity: pd.Series, footprint: pd.Series) -> pd.Series:
     return pd.Series([one(a, f) for a, f in zip(entity, footprint, strict=True)])
 
 
+def overlap_fraction(entity: str, footprint: str) -> Column:
+    """Share of a convex entity ring that a footprint ring covers; 0 without a footprint."""
+    return F.pandas_udf(_overlap, "double")(entity, footprint)
+
+
 def snapped(low: Column, high: Column, step: float = 20.0) -> tuple[Column, Column]:
     """Bounds snapped outward to the pixel grid."""
     return F.floor(low / step) * step, F.ceil(high / step) * step

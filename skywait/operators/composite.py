@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ClassGroups
@@ -55,6 +55,11 @@ def fractions(counts: DataFrame, groups: ClassGroups | None = None, total: str =
     return counts.withColumns({"covered_fraction": covered} | named)
 
 
+def count_of(classes: str, k: int) -> Column:
+    """How many entries of an array column are k."""
+    return F.size(F.filter(classes, lambda c: c == k))
+
+
 def scene_statistics(scenes: DataFrame, n_pixels: int | None = None) -> DataFrame:
     """One row a scene and entity from (.., classes, error): counts, n_covered, read_ok.
 
@@ -62,7 +67,7 @@ def scene_statistics(scenes: DataFrame, n_pixels: int | None = None) -> DataFram
     """
     size = F.lit(n_pixels) if n_pixels is not None else F.size("classes")
     ok = F.col("error").isNull()
-    counts = {f"count_class_{k}": F.when(ok, F.size(F.filter("classes", lambda c, k=k: c == k))).otherwise(size if k == 0 else F.lit(0)).cast("long") for k in CLASSES}
+    counts = {f"count_class_{k}": F.when(ok, count_of("classes", k)).otherwise(size if k == 0 else F.lit(0)).cast("long") for k in CLASSES}
     return (
         scenes.withColumn("n_aoi_pixels", size.cast("long")).withColumns(counts)
         .withColumn("n_covered", F.col("n_aoi_pixels") - F.col("count_class_0")).withColumn("read_ok", ok).drop("classes")

@@ -1,0 +1,219 @@
+import json
+from datetime import datetime
+
+import numpy as np
+import pytest
+from helpers import config
+from pyspark.sql import functions as F
+
+from skywait import quality
+from skywait.errors import ConfigError, DataError
+from skywait.functions import geometry
+from skywait.functions.columns import relative_orbit, utm_epsg
+from skywait.operators import catalogue_upkeep as up
+from skywait.operators import composite
+from skywait.plans import metric_tables, stages
+from skywait.sources import catalogue_items, tables
+from skywait.streaming import ingest
+
+
+def item(id_, tile, sequence, generated, take="GS2A_20250626T101041_052286_N05.11", cloud=12.5):
+    return {
+        "id": id_, "collection": "c", "type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]},
+        "properties": {
+            "datetime": "2025-06-26T10:26:30Z", "platform": "s2a", "grid:code": f"MGRS-{tile}", "proj:epsg": 32632, "eo:cloud_cover": cloud, "s2:sequence": str(sequence),
+            "s2:generation_time": generated, "s2:datatake_id": take, "s2:product_uri": "S2A_MSIL2A_20250626T101041_N0511_R065_T32UQD.SAFE", "s2:nodata_pixel_percentage": 5.0,
+        },
+        "assets": {"scl": {"href": f"s3://x/{id_}.tif"}},
+    }
+
+
+ITEMS = [
+    item("S2A_32UQD_20250626_0_L2A", "32UQD", 0, "2025-06-26T12:06:04Z"), item("S2A_33UUU_20250626_0_L2A", "33UUU", 0, "2025-06-26T12:06:04Z"),
+    item("S2A_32UQD_20250626_2_L2A", "32UQD", 2, "2025-07-01T12:06:04Z"),
+]
+
+
+def write_items(folder, items=ITEMS):
+    (folder / "items.json").write_text(json.dumps({"type": "FeatureCollection", "features": [*items, None]}, indent=1))
+    return str(folder / "items.json")
+
+
+def test_items_and_dedupe(spark, tmp_path):
+    rows = catalogue_items.scene_rows(catalogue_items.read_items(spark, write_items(tmp_path)), F.lit(datetime(2025, 1, 1)))
+    first = rows.where("scene_id = 'S2A_32UQD_20250626_0_L2A'").first()
+    assert (first.relative_orbit, first.mgrs_tile, first.epsg, first.sequence, first.scl_href) == (65, "32UQD", 32632, 0, "s3://x/S2A_32UQD_20250626_0_L2A.tif")
+    assert {r.scene_id for r in up.latest(rows).collect()} == {"S2A_33UUU_20250626_0_L2A", "S2A_32UQD_20250626_2_L2A"}
+    assert [tuple(r) for r in up.superseded(rows).collect()] == [("S2A_32UQD_20250626_0_L2A", "S2A_32UQD_20250626_2_L2A")]
+    alone = rows.withColumn("datatake_id", F.lit(None).cast("string"))
+    assert up.latest(alone).count() == 3
+    (tmp_path / "bad.json").write_text('{"type": "FeatureCollection"}')
+    with pytest.raises(DataError):
+        catalogue_items.read_items(spark, str(tmp_path / "bad.json"))
+
+
+def test_discover_is_idempotent(spark, tmp_path):
+    cfg, data = config(aois=("berlin",), data_dir=str(tmp_path / "data")), str(tmp_path / "data")
+    items = catalogue_items.read_items(spark, write_items(tmp_path)).withColumn("aoi_id", F.lit("berlin"))
+    one = stages.discover(spark, cfg, items, data, now=datetime(2025, 7, 2)).first()
+    assert (one.fetched, one.new, one.superseded) == (3, 2, 1)
+    two = stages.discover(spark, cfg, items, data, now=datetime(2025, 7, 3)).first()
+    assert two.superseded == 0
+    sizes = {t: tables.read_or_empty(spark, data, t).count() for t in ("scenes", "scene_aoi", "scenes_superseded", "ingest_state")}
+    assert sizes == {"scenes": 2, "scene_aoi": 2, "scenes_superseded": 1, "ingest_state": 1}
+    assert {r.ingested_at for r in tables.read_or_empty(spark, data, "scenes").collect()} == {datetime(2025, 7, 2)}
+
+
+def test_chains_and_cycles(spark):
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "scene_id string, superseded_by string")
+    assert {tuple(r) for r in up.resolve_chains(chain).collect()} == {("a", "d"), ("b", "d"), ("c", "d")}
+    cycle = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "a")], "scene_id string, superseded_by string")
+    assert up.resolve_chains(cycle).count() == 3
+
+
+def test_upsert_and_states(spark):
+    old = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "k int, v string, t int")
+    new = spark.createDataFrame([(2, "B", 99), (3, "c", 98)], "k int, v string, t int")
+    assert sorted(map(tuple, up.upsert(old, new, ["k"], keep_first=("t",)).collect())) == [(1, "a", 10), (2, "B", 20), (3, "c", 98)]
+    assert up.upsert(old.limit(0), new, ["k"]).count() == 2 and up.upsert(old, new.limit(0), ["k"]).count() == 2
+    twice = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "k int, v string, t int")
+    assert tuple(up.last_of_key(twice, ["k"], "t").first()) == (1, "y", 2)
+    d = datetime
+    assert up.search_start(d(2024, 1, 1), None, 7) == d(2024, 1, 1)
+    assert up.search_start(d(2024, 1, 1), d(2024, 2, 1), 7) == d(2024, 1, 25)
+    assert up.search_start(d(2024, 1, 1), d(2024, 1, 3), 7) == d(2024, 1, 1)
+    assert up.search_start(d(2022, 1, 1), d(2024, 12, 31), 7, d(2024, 1, 1), backfill=True) == d(2022, 1, 1)
+    assert up.search_start(d(2022, 1, 1), d(2024, 12, 31), 7, d(2022, 1, 1), backfill=True) == d(2024, 12, 24)
+    parts = up.intervals(d(2024, 1, 1), d(2024, 12, 31, 23, 59, 59))
+    assert len(parts) == 5 and all((b[0] - a[1]).total_seconds() == 1 for a, b in zip(parts, parts[1:], strict=False))
+    with pytest.raises(DataError):
+        up.intervals(d(2024, 1, 2), d(2024, 1, 1))
+
+
+def test_composites(spark):
+    low, high = [4, 4, 0, 0, 6, 0, 5, 0], [9, 5, 6, 0, 8, 4, 0, 11]
+    scenes = spark.createDataFrame([("a", "t", "s2", 20.0, high), ("a", "t", "s1", 5.0, low)], "aoi_id string, datatake_id string, scene_id string, nodata_pct double, classes array<int>")
+    assert composite.array_composite(scenes).first().classes == [4, 4, 6, 0, 6, 4, 5, 11]
+    pixels = scenes.select("aoi_id", "datatake_id", "scene_id", "nodata_pct", F.posexplode("classes").alias("pixel", "class"))
+    assert [r["class"] for r in composite.pixel_composite(pixels).orderBy("pixel").collect()] == [4, 4, 6, 0, 6, 4, 5, 11]
+    counts = composite.class_histogram(composite.pixel_composite(pixels), ("aoi_id",)).first()
+    assert [counts[f"count_class_{k}"] for k in (4, 5, 6, 11, 0, 9)] == [3, 1, 2, 1, 1, 0]
+    other = spark.createDataFrame([("a", p, c) for p, c in enumerate([4, 5, 6, 0, 8, 3, 7, 1])], "aoi_id string, pixel int, class int")
+    shares = composite.fractions(composite.class_histogram(other, ("aoi_id",))).first()
+    assert (shares.covered_fraction, shares.clear_fraction) == (7 / 8, 3 / 8)
+    with pytest.raises(Exception, match="outside"):
+        composite.class_histogram(other.withColumn("class", F.lit(12)), ("aoi_id",)).collect()
+
+
+def test_process_stage(spark, tmp_path):
+    data = str(tmp_path)
+    cfg = config(aois=("alpha",), min_clear=0.5, min_coverage=1.0)
+    rows = [("scene-a", "take-1", 10.0), ("scene-b", "take-1", 20.0), ("scene-failed", "take-2", 0.0)]
+    scenes = spark.createDataFrame([(s, t, n, datetime(2024, 1, 1), 10.0) for s, t, n in rows], "scene_id string, datatake_id string, nodata_pct double, datetime timestamp, eo_cloud_cover double")
+    tables.write_table(stages._declared(scenes, "scenes"), data, "scenes")
+    tables.write_table(stages._declared(scenes.select("scene_id").withColumn("aoi_id", F.lit("alpha")), "scene_aoi"), data, "scene_aoi")
+
+    def read(work):
+        half = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i < 5, 4).otherwise(0))
+        classes = F.when(F.col("scene_id") == "scene-a", half).otherwise(F.array_repeat(F.lit(9), 10))
+        return work.withColumn("classes", classes).withColumn("error", F.when(F.col("scene_id") == "scene-failed", "unreadable"))
+
+    assert stages.process(spark, cfg, data, read, now=datetime(2024, 5, 1)) == {"observations": 2, "observations_skipped": 0, "scenes": 3, "scenes_failed": 1}
+    obs = {r.datatake_id: r for r in tables.read_or_empty(spark, data, "observations").collect()}
+    one = obs["take-1"]
+    assert (one.n_scenes, one.covered_fraction, one.clear_fraction, one.usable, one.complete) == (2, 1.0, 0.5, True, True)
+    assert one.primary_scene_id == "scene-b" and not obs["take-2"].complete and obs["take-2"].covered_fraction == 0
+    again = stages.process(spark, cfg, data, read)
+    assert again["observations"] == 0 and again["observations_skipped"] == 2
+    forced = stages.process(spark, cfg, data, read, force=True, now=datetime(2024, 6, 1))
+    assert forced["observations"] == 2
+    assert {r.processed_at for r in tables.read_or_empty(spark, data, "scene_aoi_stats").collect()} == {datetime(2024, 5, 1)}
+    stricter = config(aois=("alpha",), min_clear=0.75, min_coverage=1.0)
+    stages.process(spark, stricter, data, read)
+    both = tables.read_or_empty(spark, data, "observations")
+    assert both.count() == 4 and tables.read_or_empty(spark, data, "scene_aoi_stats").count() == 6
+    assert [r.usable for r in both.where("datatake_id = 'take-1'").orderBy(F.desc("usable")).collect()] == [True, False]
+
+
+def test_geometry(spark):
+    rows = spark.createDataFrame([(52.52, 13.405), (69.6492, 18.9553), (-33.9, 18.4), (85.0, 0.0)], "lat double, lon double")
+    assert [r[0] for r in rows.select(utm_epsg(F.col("lat"), F.col("lon"))).collect()] == [32633, 32634, 32734, None]
+    ring, area = geometry.square(52.52, 13.405, 32633, 20)
+    assert area == pytest.approx(400, rel=0.005) and ring[0] == ring[-1]
+    x, y = geometry.to_utm(np.array([52.52]), np.array([13.405]), 32633)
+    assert (x[0], y[0]) == (pytest.approx(391_779, abs=2), pytest.approx(5_820_072, abs=2))
+    la, lo = geometry.from_utm(x, y, 32633)
+    assert abs(la[0] - 52.52) < 1e-7 and abs(lo[0] - 13.405) < 1e-7
+    box = [[500003, 5799997], [500197, 5799997], [500197, 5800203], [500003, 5800203], [500003, 5799997]]
+    bounds, mask = geometry.grid_mask(box)
+    assert bounds == (500000, 5799980, 500200, 5800220) and mask.shape == (12, 10) and mask.sum() == 100
+    unit = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]
+    half = [[0.5, -1.0], [3.0, -1.0], [3.0, 3.0], [0.5, 3.0], [0.5, -1.0]]
+    pairs = spark.createDataFrame([(unit, half), (unit, None)], "a array<array<double>>, f array<array<double>>")
+    assert [r[0] for r in pairs.select(geometry.overlap_fraction("a", "f")).collect()] == [0.5, 0.0]
+    orbit = spark.createDataFrame([("A_R065_T",), ("none",)], "s string").select(relative_orbit(F.col("s"))).collect()
+    assert [r[0] for r in orbit] == [65, None]
+
+
+def test_entities_from_csv(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("aoi_id,name,country,lat,lon\nberlin,Berlin,Germany,52.52,13.405\n")
+    built = stages.build_aois(spark, str(tmp_path / "c.csv"), str(tmp_path)).first()
+    assert built.utm_epsg == 32633 and built.area_km2 == pytest.approx(400, rel=0.005)
+    assert tables.load_places(spark, str(tmp_path)).count() == 1
+    text = catalogue_items.to_geojson(stages.build_aois(spark, str(tmp_path / "c.csv"), str(tmp_path))).first().feature
+    (tmp_path / "g.geojson").write_text(text)
+    back = catalogue_items.read_polygons(spark, str(tmp_path / "g.geojson")).first()
+    assert back.aoi_id == "berlin" and len(back.ring) == 5
+    for bad in ("aoi_id,name\nx,y\n", "aoi_id,name,country,lat,lon\n", "aoi_id,name,country,lat,lon\nBad Id,B,G,1,2\n", "aoi_id,name,country,lat,lon\na,B,G,1,2\na,B,G,1,2\n"):
+        (tmp_path / "b.csv").write_text(bad)
+        with pytest.raises(DataError):
+            catalogue_items.read_centroids(spark, str(tmp_path / "b.csv"))
+
+
+def test_tables_and_checks(spark, tmp_path):
+    from helpers import golden
+
+    cfg = config()
+    made = metric_tables.build_metric_tables(golden(spark, cfg), cfg)
+    for k, t in made.items():
+        tables.write_table(t, str(tmp_path), k)
+    assert set(tables.register_views(spark, str(tmp_path))) == set(made)
+    stored = {k: tables.read_or_empty(spark, str(tmp_path), k) for k in made}
+    assert quality.domains(stored, cfg).isEmpty() and quality.wait_rows(stored["aoi_wait_daily"], cfg).isEmpty()
+    mine = golden(spark, cfg).where(F.col("config_hash") == cfg.config_hash)
+    assert quality.complete_only(mine, stored).isEmpty()
+    assert quality.in_range(stored["aoi_survival"], "p_waiting", 0, 1).isEmpty() and quality.unique(stored["aoi_survival"], ["aoi_id", "n_days"]).isEmpty()
+    broken = stored | {"aoi_monthly": stored["aoi_monthly"].where("month < 12")}
+    assert [r.rule for r in quality.domains(broken, cfg).collect()] == ["aoi_monthly.month"]
+    with pytest.raises(DataError, match="months"):
+        quality.enforce({"fine": stored["aoi_gaps"].limit(0), "months": quality.domains(broken, cfg)})
+    frames = stages.summary_markdown(stored["aoi_summary"])
+    assert frames.splitlines()[0].startswith("| AOI | Observations") and "| Alpha | 6 | 3 | 50.0% |" in frames
+    cache = tables.TableCache(spark)
+    path = str(tmp_path / "aoi_gaps.parquet")
+    assert cache.read(path) is cache.read(path)
+
+
+def test_run_record(tmp_path):
+    log = stages.RunRecord(config(), tmp_path / "r.json")
+    assert log.stage("one", lambda: {"rows": 1}) == {"rows": 1}
+    with pytest.raises(ConfigError):
+        log.stage("two", lambda: (_ for _ in ()).throw(ConfigError("no")))
+    data = json.loads((tmp_path / "r.json").read_text())
+    assert data["status"] == "failed" and data["failure"]["stage"] == "two" and data["stages"]["one"]["counts"] == {"rows": 1}
+
+
+def test_streaming_winners_and_upserts(spark, tmp_path):
+    shape = "scene_id string, mgrs_tile string, datatake_id string, sequence long, generation_time timestamp"
+    src, g = tmp_path / "in", datetime(2024, 1, 1)
+    spark.createDataFrame([("a", "T", "d", 0, g), ("b", "T", "d", 2, g), ("n", None, "d", 1, g)], shape).write.parquet(str(src / "1"))
+    stream = spark.readStream.schema(shape).parquet(f"{src}/*")
+    q = ingest.winners(stream).writeStream.format("memory").queryName("won").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.mgrs_tile, r.scene_id) for r in spark.table("won").collect()} == {("T", "b"), ("", "n")}
+    rows = spark.createDataFrame([("a", "x"), ("b", "x")], "scene_id string, superseded_by string")
+    rows.write.parquet(str(tmp_path / "s" / "1"))
+    for _ in range(2):
+        feed = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/s/*")
+        ingest.upsert_stream(feed, str(tmp_path / "out"), "scenes_superseded", str(tmp_path / "cp2")).awaitTermination(120)
+    assert tables.read_or_empty(spark, str(tmp_path / "out"), "scenes_superseded").count() == 2
