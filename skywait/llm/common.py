@@ -7,17 +7,25 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import settle
-
-__all__ = ["settle"]
-
 #: ASCII white space, as a regular expression class; words are the runs between.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches to 8 MB, unless the session has a bound of its own.
+
+    A worker holds a few batches at a time, in and out, so this bounds its memory whatever
+    the texts' lengths.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":  # Spark's default
+        spark.conf.set(key, "8m")
+
+
 def words(text: Column) -> Column:
     """Words of a text (runs without ASCII white space); null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

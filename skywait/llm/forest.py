@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_parts, settle
+from ..sources.shared import settle
+from .common import list_parts, small_batches
 from .minhash import connected
 
 TREES = 8
@@ -159,6 +160,7 @@ def near_vectors(
     empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = settle(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label").withColumn("node", F.monotonically_increasing_id()))
     usable = rows.where("label is not null and embedding is not null and not exists(embedding, v -> v is null)")
     per_label = {r.label: (r.n, r.dim) for r in usable.groupBy("label").agg(F.count("*").alias("n"), F.mode(F.size("embedding")).alias("dim")).collect()}

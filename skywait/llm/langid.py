@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_training, mix64, settle, slices, text_bytes
+from ..sources.shared import settle
+from .common import is_training, mix64, slices, small_batches, text_bytes
 
 LONGEST_PIECE = 8
 RUN = 24  # longer words are scored in runs of so many characters
@@ -167,6 +168,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, rounds: int = ROUNDS
     sample by hash of about max_rows (whole texts) is used. Expected counts are summed in
     Spark; the driver holds one number a piece and language.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & is_training(F.col("doc_id"), folds, held_out)).select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, total = sorted(counts), sum(counts.values())
@@ -224,6 +226,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     without languages calls all texts 'und'. Columns of these names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     rest = docs.drop("lang_pred", "score")
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from ..sources.shared import settle
+from .common import small_batches
 from .tokens import encoded, piece_bounds
 
 LENGTH = 2048
@@ -21,6 +22,7 @@ CELL = 4096
 
 def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all documents' token pieces; ids stay behind."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
     def cut(batches):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .tokens import encoded, piece_bounds
 
 LENGTH = 2048
@@ -87,6 +88,7 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, pad
     """
     if length > 65_535:
         raise ValueError("segments over 65,535 tokens do not fit 16-bit positions")
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = (
         f"sequence_id long, n_tokens int, doc_ids array<{kind.simpleString()}>, pieces array<int>, "
