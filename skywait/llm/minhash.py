@@ -4,24 +4,27 @@ Each shingle with weight w owns a Poisson process on [0, w): points arrive at ex
 times, each for one random signature component; a component's value is its first point.
 The processes depend on the shingle alone, so two signatures agree in a component with
 the probability of the weighted Jaccard similarity. Weights (counts) are cut into the
-intervals [0,1), [1,2), [2,4), [4,8) ..., each with its own process; an interval that a
-weight covers in part is halved, again and again, as its points come.
+intervals [0,1), [1,2), [2,4), [4,8) ..., each with its own process. An interval's first
+point halves it, down to the unit interval that holds the point; the halves beside the
+path go on from its time, and what lies above the weight is left out. Every weight thus
+sees the same points below it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_parts, mix64, settle, slices, word_hashes
+from ..sources.shared import settle
+from .common import list_parts, mix64, slices, small_batches, word_hashes
 
 SHINGLE = 5
 COMPONENTS = 80
 ROWS = 4
 THRESHOLD = 0.8
-SLICE_WORDS = 600_000
+SLICE_WORDS = 250_000
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -73,40 +76,29 @@ def signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: int,
     while len(item):
         coin = _draw(key[item], low, high, nth, 1)
         time = time - np.log1p(-(coin >> np.uint64(11)).astype(np.float64) * 2.0**-53) / (high - low)
-        limit = sig.reshape(texts, components).max(1) if texts else sig
+        limit = sig.reshape(texts, components).max(1)
         live = time < limit[row[item]]
         item, low, high, time, nth = item[live], low[live], high[live], time[live], nth[live] + 1
-        partial = high > weight[item]
-        whole = ~partial
-        _emit(sig, components, row, key, item[whole], low[whole], high[whole], time[whole], nth[whole])
-        if partial.any():
-            # the point falls into one half; the other half's process goes on from its time
-            i, lo, hi, t = item[partial], low[partial], high[partial], time[partial]
-            mid = (lo + hi) // 2
-            left = (_draw(key[i], lo, hi, nth[partial], 3) & np.uint64(1)) == 0
-            more = [(item[whole], low[whole], high[whole], time[whole], nth[whole])]
-            now = [(i[left], lo[left], mid[left], t[left]), (i[~left], mid[~left], hi[~left], t[~left])]
-            wait = [(i[~left], lo[~left], mid[~left], t[~left]), (i[left], mid[left], hi[left], t[left])]
-            for a, b, c, d in wait:
-                use = b < weight[a]
-                more.append((a[use], b[use], c[use], d[use], np.zeros(int(use.sum()), dtype=np.int64)))
-            while now:  # a half that has its first point already
-                a, b, c, d = now.pop()
-                use = b < weight[a]
-                a, b, c, d = a[use], b[use], c[use], d[use]
-                full = c <= weight[a]
-                one = np.ones(int(full.sum()), dtype=np.int64)
-                _emit(sig, components, row, key, a[full], b[full], c[full], d[full], one)
-                more.append((a[full], b[full], c[full], d[full], one))
-                a, b, c, d = a[~full], b[~full], c[~full], d[~full]
-                if len(a):
-                    m = (b + c) // 2
-                    down = (_draw(key[a], b, c, np.ones_like(b), 3) & np.uint64(1)) == 0
-                    now += [(a[down], b[down], m[down], d[down]), (a[~down], m[~down], c[~down], d[~down])]
-                    for x in ((a[~down], b[~down], m[~down], d[~down]), (a[down], m[down], c[down], d[down])):
-                        use = x[1] < weight[x[0]]
-                        more.append((*(y[use] for y in x), np.zeros(int(use.sum()), dtype=np.int64)))
-            item, low, high, time, nth = (np.concatenate([m[k] for m in more]) for k in range(5))
+        unit = high - low == 1
+        _emit(sig, components, row, key, item[unit], low[unit], high[unit], time[unit], nth[unit])
+        more = [(item[unit], low[unit], high[unit], time[unit], nth[unit])]
+        wide = ~unit
+        i, lo, hi, t = item[wide], low[wide], high[wide], time[wide]
+        while len(i):  # the point falls into a half; the other half's process goes on from its time
+            middle = (lo + hi) // 2
+            right = (_draw(key[i], lo, hi, np.zeros_like(lo), 3) & np.uint64(1)) == 1
+            other = (i, np.where(right, lo, middle), np.where(right, middle, hi), t)
+            use = other[1] < weight[i]
+            more.append((*(x[use] for x in other), np.zeros(int(use.sum()), dtype=np.int64)))
+            lo, hi = np.where(right, middle, lo), np.where(right, hi, middle)
+            use = lo < weight[i]
+            i, lo, hi, t = i[use], lo[use], hi[use], t[use]
+            unit = hi - lo == 1
+            first = np.ones(int(unit.sum()), dtype=np.int64)
+            _emit(sig, components, row, key, i[unit], lo[unit], hi[unit], t[unit], first)
+            more.append((i[unit], lo[unit], hi[unit], t[unit], first))
+            i, lo, hi, t = i[~unit], lo[~unit], hi[~unit], t[~unit]
+        item, low, high, time, nth = (np.concatenate([m[k] for m in more]) for k in range(5))
     return sig.reshape(texts, components)
 
 
@@ -147,7 +139,8 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-BUCKET = 64  # members up to which a bucket's remaining pairs are compared one by one
+BUCKET = 64  # nodes outside of a bucket's largest component that are compared with all others
+PIVOTS = 12  # members of the largest component that the nodes outside meet first
 BROADCAST_ROWS = 500_000
 
 
@@ -176,27 +169,26 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, size: int) -> DataFrame:
+def _profiles_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, profile) of nodes (node, first_doc, k1, k2), from one copy of each text."""
+    wanted = settle(nodes.select("node", "first_doc", "k1", "k2"))
+    texts = docs.select("doc_id", "text").join(_small(wanted, wanted.count()), docs["doc_id"].eqNullSafe(wanted["first_doc"]))
+    hashed = texts.select("node", "k1", word_hashes(F.col("text")).alias("hashes"))
+    # an id may occur with other texts: the words decide (not as a join key, which would split every text)
+    same = F.xxhash64("hashes").bitwiseXOR(F.col("k1")) == 0
+    return settle(profiles(hashed.where(same).select(F.col("node").alias("id"), "hashes"), size).dropDuplicates(["id"]))
+
+
+def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs (a, b) whose shingle multisets overlap by threshold (weighted Jaccard)."""
     pairs = settle(pairs.distinct())
-    wanted = settle(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_doc", "k1", "k2"), "node")
-    )
-    many = wanted.count()
-    texts = docs.select("doc_id", "text").join(_small(wanted, many), docs["doc_id"].eqNullSafe(wanted["first_doc"]))
-    hashed = texts.select("node", "k1", "k2", word_hashes(F.col("text")).alias("hashes"))
-    # an id may occur with other texts: the words decide
-    hashed = hashed.where((F.xxhash64("hashes") == F.col("k1"))).select(F.col("node").alias("id"), "hashes")
-    held = settle(profiles(hashed, size).dropDuplicates(["id"]))
-    left = held.select(F.col("id").alias("a"), F.col("profile").alias("pa"))
-    right = held.select(F.col("id").alias("b"), F.col("profile").alias("pb"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("pa", "pb"))
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    mine = held.join(_small(wanted, wanted.count()), "id")
+    both = pairs.join(mine.select(F.col("id").alias("a"), F.col("profile").alias("pa")), "a").join(mine.select(F.col("id").alias("b"), F.col("profile").alias("pb")), "b")
     least = threshold * F.greatest(F.size("pa"), F.size("pb")) <= F.least(F.size("pa"), F.size("pb"))
-    return settle(
-        both.where(least).withColumn("shared", shared)
-        .where(F.col("shared") >= threshold * (F.size("pa") + F.size("pb") - F.col("shared"))).select("a", "b")
-    )
+    shared = F.size(F.array_intersect("pa", "pb"))
+    alike = F.when(least, shared >= threshold * (F.size("pa") + F.size("pb") - shared)).otherwise(False)
+    return settle(both.where(alike).select("a", "b"))
 
 
 def near_duplicates(
@@ -206,14 +198,16 @@ def near_duplicates(
 
     Texts with equal words are one node. Nodes that agree in a band of the signature meet
     in a bucket; each is compared with the bucket's first node, so a group of copies costs
-    its size. Buckets whose nodes are then still in several components compare all pairs
-    across components if they have up to `bucket` nodes; larger ones are dealt again by a
-    second, third ... common band first. Pairs link at a weighted Jaccard similarity of
+    its size. In a bucket that still holds several components, the nodes outside of the
+    largest are compared with some of its members and then, if up to `bucket` nodes are
+    still outside, with all nodes of other components that share a second band; a bucket
+    with more of them is dealt again by a second, third ... common band. Pairs link at a weighted Jaccard similarity of
     threshold of their shingle multisets; classes are the links' components.
     Null texts are alone; blank ones are copies of each other; texts under `size` words are
     one shingle; repeated rows get equal classes; null ids never lead a class that has
     another id; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     hashed = docs.select("doc_id", F.col("text").isNull().alias("no_text"), word_hashes(F.col("text")).alias("hashes"))
     keyed = hashed.select("doc_id", "no_text", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), "hashes")
 
@@ -252,31 +246,51 @@ def near_duplicates(
 def _links(nodes: DataFrame, docs: DataFrame, threshold: float, size: int, bucket: int) -> DataFrame:
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     members = bands.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
-    spark, links, level = nodes.sparkSession, None, 0
+    links = held = parts = None
+    level = 1
     while True:
-        level += 1
-        # buckets of one node are done; the others keep only what still matters
+        # buckets of one node are done
         sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
         shared = settle(members.join(sizes, "bucket"))
+        if held is None:
+            held = _profiles_of(nodes.join(shared.select("node").distinct(), "node"), docs, size)
         star = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        star = star if links is None else _across(star, parts)
-        found = _verified(star, nodes, docs, threshold, size)
-        links = found if links is None else links.unionByName(found)
+        found = _verified(star if links is None else _across(star, parts), held, threshold)
+        links = found if links is None else settle(links.unionByName(found))
         parts = connected(links)
-        named = shared.join(parts, shared["node"] == parts["id"], "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-        rest = settle(named.join(mixed, "bucket").select("bucket", "band", "node", "component", "n"))
-        few = rest.where(F.col("n") <= bucket)
-        one, two = few.alias("x"), few.alias("y")
-        pairs = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-        found = _verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes, docs, threshold, size)
-        links = links.unionByName(found)
-        many = rest.where(F.col("n") > bucket)
+        # nodes outside of their bucket's largest component meet some of its members ...
+        pivots = _outside(shared, parts)
+        rank = F.row_number().over(Window.partitionBy("bucket", "inside").orderBy(F.xxhash64("node")))
+        some = pivots.withColumn("rank", rank).where((F.col("rank") <= PIVOTS) & F.col("inside"))
+        pairs = pivots.where("not inside").alias("x").join(some.alias("y"), F.col("x.bucket") == F.col("y.bucket"))
+        found = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), held, threshold)
+        links = settle(links.unionByName(found))
+        parts = connected(links)
+        # ... and those that are still outside, if few, all nodes of other components: at most `bucket` pairs a node
+        rest = settle(_outside(shared, parts))
+        near = rest.where(F.col("few") <= bucket).join(nodes.select("node", "bands"), "node")
+        x, y = near.where("not inside").alias("x"), near.alias("y")
+        agree = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), lambda same: same)
+        first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
+        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.lit(level > 1) | first) & (F.size(agree) > 1))
+        found = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), held, threshold)
+        links = settle(links.unionByName(found))
+        many = rest.where(F.col("few") > bucket)
         if many.isEmpty():
             return links
         parts = connected(links)
         more = many.alias("m").join(bands.alias("b"), (F.col("m.node") == F.col("b.node")) & (F.col("b.band") > F.col("m.band")))
         members = settle(more.select(F.col("m.node").alias("node"), F.col("b.band").alias("band"), F.xxhash64("m.bucket", "b.band", "b.key").alias("bucket")))
+        level += 1
+
+
+def _outside(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Nodes of buckets that hold several components: component, inside (the largest one) and few (nodes outside of it)."""
+    named = shared.join(parts, shared["node"] == parts["id"], "left").withColumn("component", F.coalesce("component", "node"))
+    counts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    largest = F.max_by("component", F.struct("c", "component")).alias("top")
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("few"), largest).where("parts > 1")
+    return named.join(mixed, "bucket").select("bucket", "band", "node", "component", "few", (F.col("component") == F.col("top")).alias("inside"))
 
 
 def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -287,15 +301,10 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids in gone (settled, distinct); rows without an id stay."""
-    return docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-
-
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are not kept; of rows that repeat an id one stays."""
     verdicts = settle(near_duplicates(docs, **options))
     gone = settle(verdicts.where("not kept").select("doc_id").distinct())
-    out = without(docs, gone)
+    out = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     twice = verdicts.where("kept").groupBy("doc_id").count().where("count > 1")
     return out if twice.isEmpty() else out.dropDuplicates(["doc_id"])
