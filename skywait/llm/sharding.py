@@ -10,10 +10,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_count, running_offsets, settle
+from ..sources.shared import settle
+from .common import chunk_count, running_offsets
 
 
 def min_cost_flow(
@@ -174,22 +175,22 @@ def affected_shards(plan: DataFrame) -> list[int]:
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, target: str) -> DataFrame:
-    """Write the affected shards' documents below target (one folder a shard, in slot order).
+    """Write the affected shards' documents below target (a folder target_shard=k for each, in slot order).
 
     docs must hold each (doc_id, text) of the plan; rows that are equal in both are
     numbered alike on both sides. Returns (shard, path): folders that were not touched
     have a null path and keep their old files.
     """
-    from pyspark.sql import Window
-
     keys = ["doc_id", "text_crc32", "size"]
     text = F.coalesce(F.col("text"), F.lit(""))
     twin = Window.partitionBy(*keys).orderBy(F.lit(0))
-    full = docs.withColumn("text_crc32", F.crc32(text)).withColumn("size", (F.octet_length(text) + 16).cast("long"))
-    full = full.withColumn("_twin", F.row_number().over(twin))
-    dealt = plan.select(*keys, "shard", "slot", F.row_number().over(twin).alias("_twin"))
+    full = docs.select(
+        F.struct(*docs.columns).alias("_row"), "doc_id", F.crc32(text).alias("text_crc32"), (F.octet_length(text) + 16).cast("long").alias("size")
+    ).withColumn("_twin", F.row_number().over(twin))
+    dealt = plan.select(*keys, F.col("shard").alias("target_shard"), F.col("slot").alias("target_slot"), F.row_number().over(twin).alias("_twin"))
     touched = affected_shards(plan)
     same = [full[k].eqNullSafe(dealt[k]) for k in [*keys, "_twin"]]
-    out = full.join(dealt.where(F.col("shard").isin(touched)), same).select(*[full[c] for c in docs.columns], "shard", "slot")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
-    return plan.select("shard").distinct().withColumn("path", F.when(F.col("shard").isin(touched), F.concat(F.lit(f"{target}/shard="), F.col("shard").cast("string"))))
+    moved = dealt.where(F.col("target_shard").isin(touched))
+    out = full.join(moved, same).select("_row.*", "target_shard", "target_slot").repartitionByRange("target_shard", "target_slot")
+    out.sortWithinPartitions("target_shard", "target_slot").write.partitionBy("target_shard").parquet(target)
+    return plan.select("shard").distinct().withColumn("path", F.when(F.col("shard").isin(touched), F.concat(F.lit(f"{target}/target_shard="), F.col("shard").cast("string"))))
