@@ -14,10 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_count, mix64, n_words, running_offsets, settle, words
+from ..sources.shared import settle
+from .common import chunk_count, mix64, n_words, running_offsets, words
 
 BLOCK = 256
 SHARD_BLOCKS = 4096
+#: Beyond so many output shards, shards grow instead: the draws are one number a shard and source.
+MOST_SHARDS = 8192
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -98,7 +101,7 @@ def _slots(spark, table: list[dict], block: int, shard_blocks: int, seed: int) -
         quotas.append(whole * n + last)
         parts.append((n, whole * n + last, rest - (last - 1) * block if last else block))
         t["epochs"] = whole
-    shards = max(1, -(-sum(quotas) // shard_blocks))
+    shards = min(MOST_SHARDS, max(1, -(-sum(quotas) // shard_blocks)))
     draws = shard_draws(quotas, shards, seed)
     first = np.cumsum(draws, axis=0) - draws
     rows = [
