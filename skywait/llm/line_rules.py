@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, settle, words
+from ..sources.shared import settle
+from .common import SPACE_CHARS, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -15,6 +16,7 @@ LINE_DOCS = 20
 LINE_SHARE = 0.02
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.2
+BROADCAST_ROWS = 500_000
 
 
 def _has_word(line: Column) -> Column:
@@ -75,6 +77,23 @@ def judge(
     fail the base rule; very long texts and repeated rows are judged like others; an
     empty table gives an empty result.
     """
+    return _verdicts(docs, line_docs, line_share, left_share, min_words, max_repeat_percent).drop("text_key")
+
+
+def accepted(docs: DataFrame, **options) -> DataFrame:
+    """docs that judge() keeps; a row's id and text decide, so rows without an id are judged too."""
+    limits = {"line_docs": LINE_DOCS, "line_share": LINE_SHARE, "left_share": LEFT_SHARE, "min_words": MIN_WORDS, "max_repeat_percent": MAX_REPEAT_PERCENT} | options
+    gone = settle(_verdicts(docs, **limits).where("not kept").select("doc_id", "text_key").distinct())
+    marked = docs.withColumn("_text_key", _text_key())
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return marked.join(few, marked["doc_id"].eqNullSafe(few["doc_id"]) & (marked["_text_key"] == few["text_key"]), "left_anti").drop("_text_key")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _verdicts(docs: DataFrame, line_docs: int, line_share: float, left_share: float, min_words: int, max_repeat_percent: int) -> DataFrame:
     n = F.col("n_words")
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)
     lines = F.transform(
@@ -87,6 +106,7 @@ def judge(
         .withColumn("lines", lines)
         .withColumn("anchor", F.array_min(F.transform("lines", lambda s: s["key"])))
         .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("text_key", _text_key())
         .drop("text")
     )
     hosts = base.groupBy("source").agg(F.count("*").alias("host_docs"))
