@@ -77,4 +77,54 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+# SQL of the oracle's dialect: the same rules, written independently.
+_WORD = r"[^\x20\x09-\x0D]+"
+_OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '{_WORD}') AS ws FROM d),
+grams AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
+l AS (SELECT rid, source, line FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
+k AS (SELECT rid, source, len(regexp_extract_all(line, '{_WORD}')) AS n, substr(md5(regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 16) AS key FROM l),
+a AS (SELECT rid, min(key) AS anchor FROM k GROUP BY rid),
+h AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
+f AS (SELECT k.source, k.key FROM k JOIN a ON a.rid = k.rid JOIN h ON h.source IS NOT DISTINCT FROM k.source GROUP BY k.source, k.key, h.host_docs
+  HAVING count(DISTINCT anchor) > {line_rules.LINE_DOCS} AND count(DISTINCT anchor) > {line_rules.LINE_SHARE}::DOUBLE * host_docs),
+r AS (SELECT k.rid, sum(k.n)::BIGINT AS n_removed_words FROM k JOIN f ON f.key = k.key AND f.source IS NOT DISTINCT FROM k.source GROUP BY k.rid),
+b AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(text) - length(translate(text, '{line_rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
+  FROM d JOIN w ON w.rid = d.rid LEFT JOIN rep ON rep.rid = d.rid LEFT JOIN dup ON dup.rid = d.rid LEFT JOIN r ON r.rid = d.rid)
+SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words) AND NOT (n_removed_words > 0 AND n_words - n_removed_words < {line_rules.LEFT_SHARE}::DOUBLE * n_words) AS kept FROM b"""
+
+
+def _op8() -> str:
+    both = [(t, label, True) for t, label in license_scan.BASE_PHRASES] + [(t, label, False) for t, label in license_scan.TEMPLATES]
+    k = license_scan.K
+    rows = ", ".join(f"({i}, '{t}', '{label}', {str(base).lower()})" for i, (t, label, base) in enumerate(both))
+
+    def gram(words: str) -> str:
+        return " || ' ' || ".join(f"{words}[i + {j}]" for j in range(k))
+
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT rid, i - 1 AS word, {gram('ws')} AS gram FROM (SELECT rid, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM d)),
+t AS (SELECT id, label, base, len(tw) - {k - 1} AS grams, len(tw) AS size, tw FROM (SELECT id, label, base, string_split(txt, ' ') AS tw FROM (VALUES {rows}) v(id, txt, label, base))),
+p AS (SELECT id, label, base, grams, size, i - 1 AS spot, {gram('tw')} AS gram FROM (SELECT *, unnest(range(1, grams + 1)) AS i FROM t)),
+v AS (SELECT rid, id, label, base, grams, size, word - spot AS diagonal, spot, word FROM g JOIN p ON p.gram = g.gram),
+e AS (SELECT rid, label, true AS base, min(word) AS first_word, 1.0::DOUBLE AS score FROM v WHERE base GROUP BY rid, id, label, grams, diagonal HAVING count(DISTINCT spot) = grams),
+n AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal, word) > {license_scan.GAP})::INTEGER, 1) AS opens FROM v WHERE NOT base),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY rid, id ORDER BY diagonal, word ROWS UNBOUNDED PRECEDING) AS span FROM n),
+m AS (SELECT rid, label, false AS base, min(word) AS first_word, count(DISTINCT spot)::DOUBLE / grams AS score FROM s GROUP BY rid, id, label, grams, size, span
+  HAVING count(DISTINCT spot)::DOUBLE / grams >= {license_scan.COVERAGE}::DOUBLE AND max(word) + {k} - min(word) <= 2 * size),
+f AS (SELECT * FROM e UNION ALL SELECT * FROM m),
+b AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(first_word) FILTER (WHERE base) AS first_word, max(first_word) FILTER (WHERE base) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM f GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN b ON b.rid = d.rid"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_line_frequency": _OP7, "op8_license_diagonals": _op8()}
