@@ -13,6 +13,7 @@ sees the same points below it.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,8 +140,8 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-BUCKET = 64  # nodes outside of a bucket's largest component that are compared with all others
-PIVOTS = 12  # members of the largest component that the nodes outside meet first
+TILE = 256  # members of a component that a query is compared with at a time
+PIVOTS = 4  # members of the largest component that the nodes outside meet first
 BROADCAST_ROWS = 500_000
 
 
@@ -192,16 +193,16 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, components: int = COMPONENTS, per_band: int = ROWS, size: int = SHINGLE, bucket: int = BUCKET,
+    docs: DataFrame, threshold: float = THRESHOLD, components: int = COMPONENTS, per_band: int = ROWS, size: int = SHINGLE, tile: int = TILE,
 ) -> DataFrame:
     """One row a document: doc_id, class_id (the smallest doc_id of its class), kept.
 
     Texts with equal words are one node. Nodes that agree in a band of the signature meet
     in a bucket; each is compared with the bucket's first node, so a group of copies costs
     its size. In a bucket that still holds several components, the nodes outside of the
-    largest are compared with some of its members and then, if up to `bucket` nodes are
-    still outside, with all nodes of other components that share a second band; a bucket
-    with more of them is dealt again by a second, third ... common band. Pairs link at a weighted Jaccard similarity of
+    largest are compared with some of its members, and those still outside then with all
+    of them and with one another, in tiles that report links only (no pair is a row). So
+    every pair that meets in a bucket is in one class if it links. Pairs link at a weighted Jaccard similarity of
     threshold of their shingle multisets; classes are the links' components.
     Null texts are alone; blank ones are copies of each other; texts under `size` words are
     one shingle; repeated rows get equal classes; null ids never lead a class that has
@@ -232,7 +233,7 @@ def near_duplicates(
         sketched.where("not no_text").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    links = _links(nodes, docs, threshold, size, bucket)
+    links = _links(nodes, docs, threshold, size, tile)
     parts = connected(links)
     classed = nodes.select("k1", "k2", "node", "first_doc").join(parts, nodes["node"] == parts["id"], "left")
     classed = classed.withColumn("component", F.coalesce("component", "node"))
@@ -243,62 +244,75 @@ def near_duplicates(
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _links(nodes: DataFrame, docs: DataFrame, threshold: float, size: int, bucket: int) -> DataFrame:
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    members = bands.select("node", "band", F.xxhash64("band", "key").alias("bucket"))
-    links = held = parts = None
-    level = 1
-    while True:
-        # buckets of one node are done
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-        shared = settle(members.join(sizes, "bucket"))
-        if held is None:
-            held = _profiles_of(nodes.join(shared.select("node").distinct(), "node"), docs, size)
-        star = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        found = _verified(star if links is None else _across(star, parts), held, threshold)
-        links = found if links is None else settle(links.unionByName(found))
-        parts = connected(links)
-        # nodes outside of their bucket's largest component meet some of its members ...
-        pivots = _outside(shared, parts)
-        rank = F.row_number().over(Window.partitionBy("bucket", "inside").orderBy(F.xxhash64("node")))
-        some = pivots.withColumn("rank", rank).where((F.col("rank") <= PIVOTS) & F.col("inside"))
-        pairs = pivots.where("not inside").alias("x").join(some.alias("y"), F.col("x.bucket") == F.col("y.bucket"))
-        found = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), held, threshold)
-        links = settle(links.unionByName(found))
-        parts = connected(links)
-        # ... and those that are still outside, if few, all nodes of other components: at most `bucket` pairs a node
-        rest = settle(_outside(shared, parts))
-        near = rest.where(F.col("few") <= bucket).join(nodes.select("node", "bands"), "node")
-        x, y = near.where("not inside").alias("x"), near.alias("y")
-        agree = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), lambda same: same)
-        first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
-        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.lit(level > 1) | first) & (F.size(agree) > 1))
-        found = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), held, threshold)
-        links = settle(links.unionByName(found))
-        many = rest.where(F.col("few") > bucket)
-        if many.isEmpty():
-            return links
-        parts = connected(links)
-        more = many.alias("m").join(bands.alias("b"), (F.col("m.node") == F.col("b.node")) & (F.col("b.band") > F.col("m.band")))
-        members = settle(more.select(F.col("m.node").alias("node"), F.col("b.band").alias("band"), F.xxhash64("m.bucket", "b.band", "b.key").alias("bucket")))
-        level += 1
+def _links(nodes: DataFrame, docs: DataFrame, threshold: float, size: int, tile: int) -> DataFrame:
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    # buckets of one node are done
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    shared = settle(members.join(sizes, "bucket"))
+    held = _profiles_of(nodes.join(shared.select("node").distinct(), "node"), docs, size)
+    links = _verified(shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")), held, threshold)
+    parts = connected(links)
+    # nodes outside of their bucket's largest component meet some of its members ...
+    out = settle(_outside(shared, parts))
+    everyone = shared.select("node").distinct().join(parts, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("top"))
+    mine = settle(everyone.join(out.select("top").distinct(), "top"))
+    rank = F.row_number().over(Window.partitionBy("top").orderBy(F.xxhash64("node")))
+    pivots = mine.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("top", F.col("node").alias("pivot"))
+    pairs = out.join(pivots, "top").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    links = settle(links.unionByName(_verified(pairs, held, threshold)))
+    parts = connected(links)
+    # ... and those that are still outside all of them and each other, in tiles
+    out = settle(_outside(shared, parts))
+    if out.isEmpty():
+        return links
+    everyone = shared.select("node").distinct().join(parts, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("top"))
+    group = everyone.join(out.select("top").distinct(), "top").select("top", "node").unionByName(out.select("top", "node")).distinct()
+    component = everyone.select("node", F.col("top").alias("component"))
+    sizes = group.groupBy("top").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    sizes = sizes.join(out.groupBy("top").agg(F.ceil(F.count("*") / (4 * tile)).cast("int").alias("asks")), "top")
+    placed = group.join(sizes, "top").withColumn("query", F.lit(False)).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    asked = out.join(sizes, "top").withColumn("query", F.lit(True)).withColumn("ask", F.pmod(F.xxhash64("node"), F.col("asks")).cast("int"))
+    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    key = ["top", "tile", "ask"]
+    both = placed.select(*key, "node", "query").unionByName(asked.select(*key, "node", "query"))
+    rows = both.join(component, "node").join(held.withColumnRenamed("id", "node"), "node")
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        return _tile_links(batch, threshold)
+
+    more = rows.groupBy(*key).applyInPandas(compare, "a long, b long")
+    return settle(links.unionByName(more))
+
+
+def _tile_links(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of a tile's queries to its members: one for each other component that a query reaches."""
+    asked, here = batch[batch["query"]], batch[~batch["query"]]
+    sizes = np.array([len(p) for p in here["profile"]], dtype=np.int64)
+    node, part = here["node"].to_numpy(), here["component"].to_numpy()
+    keys = np.concatenate(list(here["profile"])) if len(here) else np.empty(0, dtype=np.int64)
+    owner = np.repeat(np.arange(len(here)), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    found = []
+    for x, c, profile in zip(asked["node"], asked["component"], asked["profile"], strict=True):
+        low, high = np.searchsorted(keys, profile, "left"), np.searchsorted(keys, profile, "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(here))
+        alike = np.flatnonzero((shared >= threshold * (len(profile) + sizes - shared)) & (part != c) & (node != x))
+        _, first = np.unique(part[alike], return_index=True)
+        found += [(x, y) for y in node[alike[first]]]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def _outside(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """Nodes of buckets that hold several components: component, inside (the largest one) and few (nodes outside of it)."""
+    """(node, top): nodes of buckets that hold several components, but for those of the largest, top."""
     named = shared.join(parts, shared["node"] == parts["id"], "left").withColumn("component", F.coalesce("component", "node"))
     counts = named.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     largest = F.max_by("component", F.struct("c", "component")).alias("top")
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("few"), largest).where("parts > 1")
-    return named.join(mixed, "bucket").select("bucket", "band", "node", "component", "few", (F.col("component") == F.col("top")).alias("inside"))
-
-
-def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    a = parts.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = parts.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    mixed = counts.groupBy("bucket").agg(F.count("*").alias("parts"), largest).where("parts > 1")
+    return named.join(mixed, "bucket").where("component != top").select("node", "top").distinct()
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:

@@ -156,7 +156,7 @@ def test_near_duplicates_against_all_pairs(spark):
     shared = cases.prose(rng, 40, stems)
     extra += [(7000 + k, shared + " " + cases.prose(rng, 60, stems)) for k in range(90)]
     everything = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
-    out = minhash.near_duplicates(everything, bucket=4).collect()
+    out = minhash.near_duplicates(everything, tile=16).collect()
     texts = {**{r.doc_id: r.text for r in rows if r.doc_id is not None}, **dict(extra)}
     bags = {d: cases.shingle_counts(t) for d, t in texts.items() if t is not None}
     at = defaultdict(set)
