@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 K = 3
 #: Share of a template's k-grams that a span must hold.
 COVERAGE = 0.75
@@ -88,6 +90,7 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: in
     key = ["doc_id", "text_key", "template"]
     about = [F.first(c).alias(c) for c in ("label", "base", "grams", "size")]
     diagonals = votes.groupBy(*key, "diagonal").agg(*about, F.collect_set("at").alias("held"), F.min("word").alias("low"), F.max("word").alias("high"))
+    diagonals = settle(diagonals)  # few rows, used twice: the texts are read once
     exact = diagonals.where(F.col("base") & (F.size("held") == F.col("grams"))).withColumn("score", F.lit(1.0)).withColumn("end_word", F.col("high") + k)
     beside = Window.partitionBy(*key).orderBy("diagonal")
     opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(beside) > gap, F.lit(True))
