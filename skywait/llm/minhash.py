@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
@@ -208,9 +208,25 @@ def near_duplicates(
     one shingle; repeated rows get equal classes; null ids never lead a class that has
     another id; an empty table gives an empty result.
     """
+    sketched, classed = _classes(docs, threshold, components, per_band, size, tile)
+    heads = classed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
+    by_text = classed.join(heads, "component").select("k1", "k2", "class_id")
+    out = sketched.where("not no_text").join(by_text, ["k1", "k2"]).select("doc_id", "class_id")
+    alone = sketched.where("no_text").select("doc_id", F.col("doc_id").alias("class_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _classes(
+    docs: DataFrame, threshold: float, components: int, per_band: int, size: int, tile: int, carried: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, no_text, k1, k2 ...) of each row, and (k1, k2, node, first_doc, component) of each text.
+
+    k1 and k2 hash a text's words; carried names further long columns of docs to keep.
+    """
     small_batches(docs.sparkSession)
-    hashed = docs.select("doc_id", F.col("text").isNull().alias("no_text"), word_hashes(F.col("text")).alias("hashes"))
-    keyed = hashed.select("doc_id", "no_text", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), "hashes")
+    hashed = docs.select("doc_id", F.col("text").isNull().alias("no_text"), word_hashes(F.col("text")).alias("hashes"), *carried)
+    keyed = hashed.select("doc_id", "no_text", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), "hashes", *carried)
+    names = ["doc_id", "no_text", "k1", "k2", *carried]
 
     def run(batches):
         for b in batches:
@@ -224,10 +240,10 @@ def near_duplicates(
                 n = np.where(many > 0, bands.shape[1], 0)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(bands[many > 0].reshape(-1)))
-                yield pa.record_batch([*(part.column(c) for c in ("doc_id", "no_text", "k1", "k2")), lists], ["doc_id", "no_text", "k1", "k2", "bands"])
+                yield pa.record_batch([*(part.column(c) for c in names), lists], [*names, "bands"])
 
     kind = docs.schema["doc_id"].dataType
-    schema = f"doc_id {kind.simpleString()}, no_text boolean, k1 long, k2 long, bands array<long>"
+    schema = f"doc_id {kind.simpleString()}, no_text boolean, k1 long, k2 long, {''.join(f'{c} long, ' for c in carried)}bands array<long>"
     sketched = settle(keyed.mapInArrow(run, schema))
     nodes = settle(
         sketched.where("not no_text").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"))
@@ -237,11 +253,7 @@ def near_duplicates(
     parts = connected(links)
     classed = nodes.select("k1", "k2", "node", "first_doc").join(parts, nodes["node"] == parts["id"], "left")
     classed = classed.withColumn("component", F.coalesce("component", "node"))
-    heads = classed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
-    by_text = classed.join(heads, "component").select("k1", "k2", "class_id")
-    out = sketched.where("not no_text").join(by_text, ["k1", "k2"]).select("doc_id", "class_id")
-    alone = sketched.where("no_text").select("doc_id", F.col("doc_id").alias("class_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return sketched, classed
 
 
 def _links(nodes: DataFrame, docs: DataFrame, threshold: float, size: int, tile: int) -> DataFrame:
@@ -315,10 +327,40 @@ def _outside(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket").where("component != top").select("node", "top").distinct()
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that are not kept; of rows that repeat an id one stays."""
-    verdicts = settle(near_duplicates(docs, **options))
-    gone = settle(verdicts.where("not kept").select("doc_id").distinct())
-    out = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    twice = verdicts.where("kept").groupBy("doc_id").count().where("count > 1")
-    return out if twice.isEmpty() else out.dropDuplicates(["doc_id"])
+def deduplicated(
+    docs: DataFrame, threshold: float = THRESHOLD, components: int = COMPONENTS, per_band: int = ROWS, size: int = SHINGLE, tile: int = TILE,
+) -> DataFrame:
+    """docs with one row of each class of near copies; rows of null text stay, once for each id.
+
+    A row's id and text decide, so rows without an id, or that share one, are judged by
+    their texts. The row that stays has the smallest id of its class (a null id only if there
+    is no other) and, if several texts of the class have it, the least text key.
+    """
+    keys = ("_t1", "_t2")
+    marked = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
+    sketched, classed = _classes(marked, threshold, components, per_band, size, tile, keys)
+    classed = settle(classed)
+    first = F.struct(F.col("first_doc").isNull(), "first_doc", "k1", "k2")
+    heads = classed.groupBy("component").agg(F.min_by(F.struct("k1", "k2", "first_doc"), first).alias("head")).select("head.*")
+    same = [sketched["k1"] == heads["k1"], sketched["k2"] == heads["k2"], sketched["doc_id"].eqNullSafe(heads["first_doc"])]
+    # one spelling of the head's words, and how many rows have it
+    rows = sketched.where("not no_text").join(heads, same).select("doc_id", sketched["k1"], sketched["k2"], *keys)
+    spelled = rows.groupBy("doc_id", "k1", "k2", *keys).agg(F.count("*").alias("_n")).groupBy("doc_id", "k1", "k2")
+    texts = spelled.agg(F.min_by(F.struct(*keys, "_n"), F.struct(*keys)).alias("t")).select("doc_id", "t.*")
+    blank = sketched.where("no_text").groupBy("doc_id", *keys).agg(F.count("*").alias("_n"))
+    stay = settle(texts.unionByName(blank))
+    gone = _absent(sketched.select("doc_id", *keys).distinct(), stay).withColumn("_n", F.lit(0).cast("long"))
+    other = settle(gone.unionByName(stay.where("_n > 1")))
+    few = _small(other, other.count())
+    once = _absent(marked, few)
+    again = marked.join(few.where("_n > 1"), _same_row(marked, few), "left_semi").dropDuplicates(["doc_id", *keys])
+    out = once if other.where("_n > 1").isEmpty() else once.unionByName(again)
+    return out.select(*docs.columns)
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_t1"] == b["_t1"]) & (a["_t2"] == b["_t2"])
+
+
+def _absent(rows: DataFrame, others: DataFrame) -> DataFrame:
+    return rows.join(others, _same_row(rows, others), "left_anti")

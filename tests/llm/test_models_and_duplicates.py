@@ -184,6 +184,18 @@ def test_deduplicated_keeps_one_row_a_class(spark):
     assert set(ids) - {None} == kept - {None}
 
 
+def test_deduplicated_judges_rows_by_id_and_text(spark):
+    rng = random.Random(3)
+    text = [cases.prose(rng, 80, ["ka", "lo", "mi", "tu", "re", "so"]) for _ in range(9)]
+    rows = [(None, text[k]) for k in range(4)]  # different texts without an id
+    rows += [(None, text[0]), (None, text[4]), (1, text[4])]  # copies without an id
+    rows += [(2, text[5]), (2, text[6]), (0, text[6])]  # one text of id 2 is a copy, the other is clean
+    rows += [(3, text[7]), (3, text[8]), (4, text[8] + " "), (5, None), (5, None), (6, None)]
+    want = [(None, text[k]) for k in range(4)] + [(1, text[4]), (2, text[5]), (0, text[6]), (3, text[7]), (3, text[8]), (5, None), (6, None)]
+    out = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+
+
 def test_connected(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 103), (200, 200)]
     got = {r.id: r.component for r in minhash.connected(spark.createDataFrame(links, "a long, b long")).collect()}
