@@ -69,9 +69,8 @@ def judge(
     """docs' verdicts, one row a document: doc_id, the statistics, base_failed, n_removed_words, kept.
 
     Lines are hashed and counted per host (source; null is a host of its own). Documents
-    that share most lines are one document to that count: it counts distinct anchors, and a
-    document's anchor is its least line hash. So copies and near copies of one text do not
-    make its lines boilerplate. A line that more than line_docs and more than
+    with the same set of lines are one document to that count, so copies of one text do not
+    make its lines boilerplate; all others count, near copies too. A line that more than line_docs and more than
     line_share of the host's documents have is removed; a document with less than left_share
     of its words left is depleted and not kept. Null and blank texts have no words and
     fail the base rule; very long texts and repeated rows are judged like others; an
@@ -104,15 +103,15 @@ def _verdicts(docs: DataFrame, line_docs: int, line_share: float, left_share: fl
         text_statistics(docs.select("doc_id", "source", "text"))
         .withColumn("base_failed", failed)
         .withColumn("lines", lines)
-        .withColumn("anchor", F.array_min(F.transform("lines", lambda s: s["key"])))
+        .withColumn("copy", F.xxhash64(F.array_sort(F.array_distinct(F.transform("lines", lambda s: s["key"])))))
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("text_key", _text_key())
         .drop("text")
     )
     hosts = base.groupBy("source").agg(F.count("*").alias("host_docs"))
-    each = base.select("row", "source", "anchor", F.explode("lines").alias("line")).select("row", "source", "anchor", "line.*")
+    each = base.select("row", "source", "copy", F.explode("lines").alias("line")).select("row", "source", "copy", "line.*")
     frequent = (
-        each.groupBy("source", "key").agg(F.countDistinct("anchor").alias("docs")).where(F.col("docs") > line_docs)
+        each.groupBy("source", "key").agg(F.countDistinct("copy").alias("docs")).where(F.col("docs") > line_docs)
         .alias("f").join(hosts.alias("h"), F.col("f.source").eqNullSafe(F.col("h.source")))
         .where(F.col("docs") > line_share * F.col("host_docs"))
         .select(F.col("f.source").alias("source"), "key")
@@ -123,7 +122,7 @@ def _verdicts(docs: DataFrame, line_docs: int, line_share: float, left_share: fl
     )
     left = n - F.col("n_removed_words")
     return (
-        base.drop("lines", "anchor").join(removed, "row", "left")
+        base.drop("lines", "copy").join(removed, "row", "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~((F.col("n_removed_words") > 0) & (left < left_share * n)))
         .drop("row", "source")

@@ -35,6 +35,20 @@ def test_verdicts_against_plain_rules(spark):
     assert all(got[200 + k].kept for k in range(50)), "copies are one document"
 
 
+def test_documents_of_shared_lines_count_each(spark):
+    shared = [f"shared notice {chr(97 + k)} stands on many pages of this host and says nothing new" for k in range(8)]
+    rows = [(k, "\n".join([*shared, f"page {'z' * (k + 1)} has this one line"]), "h") for k in range(60)]
+    picks = [[x for b, x in enumerate(shared) if k >> b & 1] for k in range(256)]
+    rows += [(1000 + k, "\n".join(p), "g") for k, p in enumerate(picks) if len(p) >= 5]  # nothing but shared lines
+    rows += [(2000 + k, rows[0][1] + "\n" + rows[0][1], "f") for k in range(50)]  # copies of one text
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.judge(docs, max_repeat_percent=100).collect()
+    assert all(not r.base_failed for r in got) and len(got) == len(rows)
+    assert all(r.n_removed_words == 8 * 14 and not r.kept for r in got if r.doc_id < 1000)
+    assert all(r.n_removed_words == r.n_words and not r.kept for r in got if 1000 <= r.doc_id < 2000)
+    assert all(r.n_removed_words == 0 and r.kept for r in got if r.doc_id >= 2000)
+
+
 def test_awkward_rows(spark):
     docs = cases.make(spark, extra=True)
     out = line_rules.judge(docs)
