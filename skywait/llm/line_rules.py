@@ -17,6 +17,7 @@ LINE_SHARE = 0.02
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.2
 BROADCAST_ROWS = 500_000
+BROADCAST_LISTS = 50_000  # rows with their removed lines' keys
 
 
 def _has_word(line: Column) -> Column:
@@ -76,23 +77,47 @@ def judge(
     fail the base rule; very long texts and repeated rows are judged like others; an
     empty table gives an empty result.
     """
-    return _verdicts(docs, line_docs, line_share, left_share, min_words, max_repeat_percent).drop("text_key")
+    return _verdicts(docs, line_docs, line_share, left_share, min_words, max_repeat_percent).drop("source", "text_key")
 
 
-def accepted(docs: DataFrame, **options) -> DataFrame:
-    """docs that judge() keeps; a row's id and text decide, so rows without an id are judged too."""
+def cleaned(docs: DataFrame, **options) -> DataFrame:
+    """docs that judge() keeps, their texts without the lines that are frequent on their host.
+
+    A row's id, host and text decide, so rows without an id are judged too. The other lines
+    stay as they are, in order; n_chars, if docs has it, follows the text.
+    """
     limits = {"line_docs": LINE_DOCS, "line_share": LINE_SHARE, "left_share": LEFT_SHARE, "min_words": MIN_WORDS, "max_repeat_percent": MAX_REPEAT_PERCENT} | options
-    gone = settle(_verdicts(docs, **limits).where("not kept").select("doc_id", "text_key").distinct())
-    marked = docs.withColumn("_text_key", _text_key())
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return marked.join(few, marked["doc_id"].eqNullSafe(few["doc_id"]) & (marked["_text_key"] == few["text_key"]), "left_anti").drop("_text_key")
+    names = ["doc_id", "source", "text_key"]
+    verdicts = settle(_verdicts(docs, **limits, keys=True).select(*names, "kept", "removed_keys").where("not kept or removed_keys is not null"))
+    gone = verdicts.where("not kept").select(*names).distinct()
+    shorter = verdicts.where("kept").select(*names, "removed_keys").dropDuplicates(names)
+    left = _same_row(docs.withColumn("_text_key", _text_key()), gone, BROADCAST_ROWS, "left_anti")
+    marked = _same_row(left, shorter, BROADCAST_LISTS, "left")
+    stays = F.filter(F.split("text", "\n"), lambda x: ~_has_word(x) | ~F.array_contains("removed_keys", _line_key(x)))
+    changed = F.col("removed_keys").isNotNull()
+    out = marked.withColumn("_cleaned", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text")))
+    columns = {"text": F.col("_cleaned")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(changed, F.length("_cleaned")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def _same_row(docs: DataFrame, rows: DataFrame, most: int, how: str) -> DataFrame:
+    """docs (with _text_key) joined to rows of their id, host and text; few rows are broadcast."""
+    renamed = rows.withColumnsRenamed({c: f"_{c}_" for c in ("doc_id", "source", "text_key")})
+    few = F.broadcast(renamed) if rows.count() <= most else renamed
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id_")) & F.col("source").eqNullSafe(F.col("_source_")) & (F.col("_text_key") == F.col("_text_key_"))
+    return docs.join(few, same, how)
 
 
 def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _verdicts(docs: DataFrame, line_docs: int, line_share: float, left_share: float, min_words: int, max_repeat_percent: int) -> DataFrame:
+def _verdicts(
+    docs: DataFrame, line_docs: int, line_share: float, left_share: float, min_words: int, max_repeat_percent: int, keys: bool = False,
+) -> DataFrame:
+    """judge()'s rows with source and text_key; with keys, also removed_keys (null if no line is removed)."""
     n = F.col("n_words")
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * n)
     lines = F.transform(
@@ -118,12 +143,12 @@ def _verdicts(docs: DataFrame, line_docs: int, line_share: float, left_share: fl
     )
     removed = (
         each.alias("e").join(frequent.alias("f"), (F.col("e.key") == F.col("f.key")) & F.col("e.source").eqNullSafe(F.col("f.source")))
-        .groupBy("row").agg(F.sum("n").alias("n_removed_words"))
+        .groupBy("row").agg(F.sum("n").alias("n_removed_words"), *[F.collect_set("e.key").alias("removed_keys")] * keys)
     )
     left = n - F.col("n_removed_words")
     return (
         base.drop("lines", "copy").join(removed, "row", "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & ~((F.col("n_removed_words") > 0) & (left < left_share * n)))
-        .drop("row", "source")
+        .drop("row")
     )

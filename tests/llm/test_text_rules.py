@@ -49,6 +49,19 @@ def test_documents_of_shared_lines_count_each(spark):
     assert all(r.n_removed_words == 0 and r.kept for r in got if r.doc_id >= 2000)
 
 
+def test_frequent_lines_leave_the_text(spark):
+    own = [f"own line {'q' * (k + 1)} " + " ".join(f"w{'v' * k}{chr(97 + j)}" for j in range(22)) for k in range(40)]
+    rows = [(None if k % 4 == 0 else k, f"Menu  {k}\n{own[k]}\n\nMENU 7\n last {'p' * (k + 1)} line\ncontact us", "h", -1, "x") for k in range(40)]
+    rows += [(1, rows[1][1], "other", -1, "x"), (100, "\n".join(["menu 1"] * 200), "h", -1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, note string")
+    got = line_rules.cleaned(docs, min_words=20, max_repeat_percent=100)
+    assert got.dtypes == docs.dtypes
+    text = [f"{own[k]}\n\n last {'p' * (k + 1)} line" for k in range(40)]
+    want = Counter((None if k % 4 == 0 else k, x, "h", len(x)) for k, x in enumerate(text)) + Counter([(1, rows[1][1], "other", -1)])
+    assert Counter((r.doc_id, r.text, r.source, r.n_chars) for r in got.collect()) == want
+    assert line_rules.cleaned(cases.empty(spark)).count() == 0
+
+
 def test_awkward_rows(spark):
     docs = cases.make(spark, extra=True)
     out = line_rules.judge(docs)
