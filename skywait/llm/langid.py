@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 from ..sources.shared import settle
 from .common import is_training, mix64, slices, small_batches, text_bytes
 
-LONGEST_PIECE = 8
-RUN = 24  # longer words are scored in runs of so many characters
+LONGEST_PIECE = 16  # of the public vocabulary; forward() rescales after so many characters
+GRID_NUMBERS = 10_000_000  # prefix probabilities held at a time; one longer word stands alone
 UNKNOWN = 1e-9  # probability of a character that no piece has
 ROUNDS = 3
 MAX_TRAINING_ROWS = 20_000
@@ -38,13 +39,15 @@ class Pieces:
     count: int
 
 
-def load_pieces(path: str | None = None, longest: int = LONGEST_PIECE) -> Pieces:
+def load_pieces(path: str | None = None) -> Pieces:
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     names = sorted({sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))})
-    names = [p for p in names if 1 <= len(p) <= longest]
+    longest = max(map(len, names))
+    if longest > LONGEST_PIECE:
+        raise ValueError(f"a piece of {longest} characters is longer than {LONGEST_PIECE}")
     by: list[list[tuple[int, int]]] = [[] for _ in range(longest + 1)]
     for k, p in enumerate(names):
         h = np.uint64(0)
@@ -70,27 +73,30 @@ def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, counts
 
 
-def runs(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word numbers, code points [words, length]) of equal-length runs, long words cut into several."""
+def grids(words: pa.Array, languages: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word numbers, code points [words, length], lengths) of words of about equal length.
+
+    Words stand whole, behind the word-start mark; zeros follow the shorter ones.
+    """
     points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype=np.uint32)
-    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    start = np.cumsum(lengths) - lengths
-    many = (lengths + 1 + RUN - 1) // RUN  # the word-start mark counts
-    word = np.repeat(np.arange(len(lengths)), many)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
-    low = start[word] + nth * RUN - 1
-    size = np.minimum(RUN, lengths[word] + 1 - nth * RUN)
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        grid = points[np.maximum(low[at][:, None] + np.arange(n), 0) % max(1, len(points))]
-        grid = grid.astype(np.uint64)
-        grid[nth[at] == 0, 0] = WORD_START
-        yield word[at], grid
-
-
-def lattice(grid: np.ndarray, vocabulary: Pieces) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(end, length, rows, piece numbers) of every piece that stands in a run."""
-    out, n = [], grid.shape[1]
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    start = np.cumsum(size - 1) - size + 1
+    step = 1 << np.maximum(np.log2(size).astype(np.int64) - 3, 0)
+    padded = np.where(size <= 2 * LONGEST_PIECE, size, -(-size // step) * step)
+    for n in np.unique(padded).tolist():
+        alike = np.flatnonzero(padded == n)
+        most = max(1, GRID_NUMBERS // ((n + 1) * max(1, languages)))
+        for a in range(0, len(alike), most):
+            at = alike[a : a + most]
+            grid = points[np.clip(start[at][:, None] + np.arange(-1, n - 1), 0, len(points) - 1)].astype(np.uint64)
+            grid[:, 0] = WORD_START
+            grid[np.arange(n) >= size[at][:, None]] = 0
+            yield at, grid, size[at]
+
+
+def lattice(grid: np.ndarray, vocabulary: Pieces) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(end, length, rows, piece numbers) of every piece that stands in a word, by end."""
+    n = grid.shape[1]
     with np.errstate(over="ignore"):
         for j in range(1, n + 1):
             h, power = np.zeros(len(grid), dtype=np.uint64), np.uint64(1)
@@ -103,54 +109,72 @@ def lattice(grid: np.ndarray, vocabulary: Pieces) -> list[tuple[int, int, np.nda
                 at = np.minimum(np.searchsorted(table, h), len(table) - 1)
                 rows = np.flatnonzero(table[at] == h)
                 if len(rows):
-                    out.append((j, size, rows, vocabulary.ids[size][at[rows]]))
-    return out
+                    yield j, size, rows, vocabulary.ids[size][at[rows]]
+
 
+def _block(end):
+    """The block of a prefix: 0 for the empty one, then one for each LONGEST_PIECE characters."""
+    return -(-end // LONGEST_PIECE)
 
-def forward(grid: np.ndarray, edges, chance: np.ndarray) -> np.ndarray:
-    """Prefix probabilities [length + 1, rows, languages], over all segmentations."""
-    alpha = np.zeros((grid.shape[1] + 1, len(grid), chance.shape[1]))
+
+def forward(grid: np.ndarray, edges, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix numbers [length + 1, rows, languages] over all segmentations, and scales by block.
+
+    A prefix's probability is its number times the scales of the blocks up to its own. A full
+    block is divided by its largest number, so words of any length keep their precision;
+    a piece reaches back no further than the block before.
+    """
+    n = grid.shape[1]
+    alpha = np.zeros((n + 1, len(grid), chance.shape[1]))
+    scales = np.ones((_block(n) + 1, len(grid), chance.shape[1]))
     alpha[0] = 1.0
     done = 0
-    for j, size, rows, ids in [*edges, (grid.shape[1] + 1, 0, None, None)]:
+    for j, size, rows, ids in chain(edges, [(n + 1, 0, None, None)]):
         while done < j - 1:  # the ends before j are complete but for unknown characters
             done += 1
             alpha[done] += UNKNOWN * alpha[done - 1]
+            if done % LONGEST_PIECE == 0:
+                full = alpha[done - LONGEST_PIECE + 1 : done + 1]
+                scales[_block(done)] = full.max(0)
+                full /= scales[_block(done)]
         if size:
             alpha[j, rows] += alpha[j - size, rows] * chance[ids]
-    return alpha
+    return alpha, scales
 
 
 def log_chances(words: pa.Array, vocabulary: Pieces, chance: np.ndarray) -> np.ndarray:
     """Natural log probability of each word under each language."""
     out = np.zeros((len(words), chance.shape[1]))
-    for word, grid in runs(words):
-        for a in range(0, len(grid), 100_000):
-            part = grid[a : a + 100_000]
-            alpha = forward(part, lattice(part, vocabulary), chance)
-            np.add.at(out, word[a : a + 100_000], np.log(alpha[-1]))
+    for word, grid, size in grids(words, chance.shape[1]):
+        alpha, scales = forward(grid, lattice(grid, vocabulary), chance)
+        row = np.arange(len(word))
+        out[word] = np.log(alpha[size, row]) + np.cumsum(np.log(scales), 0)[_block(size), row]
     return out
 
 
 def expected_counts(words: pa.Array, weight: np.ndarray, lang: np.ndarray, vocabulary: Pieces, chance: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in weighted words of known languages: [pieces, languages]."""
     out = np.zeros(chance.size)
-    for word, grid in runs(words):
-        edges, k = lattice(grid, vocabulary), lang[word]
-        alpha = np.take_along_axis(forward(grid, edges, chance), k[None, :, None], 2)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[-1] = 1.0
-        at, n = len(edges) - 1, grid.shape[1]
+    for word, grid, length in grids(words, chance.shape[1]):
+        edges, k, n = list(lattice(grid, vocabulary)), lang[word], grid.shape[1]
+        alpha, scales = (np.take_along_axis(x, k[None, :, None], 2)[:, :, 0] for x in forward(grid, edges, chance))
+        row = np.arange(len(word))
+        beta = np.zeros_like(alpha)  # of a suffix, so that alpha times beta is the chance of a cut there
+        beta[length, row] = 1.0 / alpha[length, row]
+        at, found, uses = len(edges) - 1, [], []
         for j in range(n, 0, -1):
             while at >= 0 and edges[at][0] == j:
                 _, size, rows, ids = edges[at]
-                beta[j - size, rows] += chance[ids, k[rows]] * beta[j, rows]
                 at -= 1
-            beta[j - 1] += UNKNOWN * beta[j]
-        share = weight[word] / alpha[-1]
-        for j, size, rows, ids in edges:
-            use = alpha[j - size, rows] * chance[ids, k[rows]] * beta[j, rows] * share[rows]
-            out += np.bincount(ids * chance.shape[1] + k[rows], weights=use, minlength=chance.size)
+                step = chance[ids, k[rows]]
+                if _block(j - size) != _block(j):
+                    step = step / scales[_block(j), rows]
+                found.append(ids * chance.shape[1] + k[rows])
+                uses.append(alpha[j - size, rows] * step * beta[j, rows] * weight[word[rows]])
+                beta[j - size, rows] += step * beta[j, rows]
+            beta[j - 1] += (UNKNOWN if _block(j - 1) == _block(j) else UNKNOWN / scales[_block(j)]) * beta[j]
+        if found:
+            out += np.bincount(np.concatenate(found), weights=np.concatenate(uses), minlength=chance.size)
     return out.reshape(chance.shape)
 
 

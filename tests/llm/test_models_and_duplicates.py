@@ -68,6 +68,46 @@ def test_long_words_are_scored_whole():
     assert b < 1.3 * a < -130
 
 
+def test_long_words_and_pieces_count_in_full():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    names = sorted({sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))})
+    pieces = langid.load_pieces()
+    assert pieces.count == len(names) and max(map(len, names)) == 16
+    number = {p: k for k, p in enumerate(names)}
+    rng = np.random.default_rng(2)
+    chance = rng.random((len(names), 2)) / len(names)
+    words = ["international", "responsibilities", "donaudampfschifffahrtsgesellschaftskapitän", "x" * 63, "日本語" * 20, "characteristics" * 40, "a" * 15, "é" * 16, "ab" * 700]
+    got = langid.log_chances(pa.array(words), pieces, chance)
+    uses = np.zeros_like(chance)
+    for i, word in enumerate(words):
+        text, lang = "▁" + word, i % 2
+        n = len(text)
+        edges = [(a, b, number[text[a:b]]) for b in range(1, n + 1) for a in range(max(0, b - 16), b) if text[a:b] in number]
+        for c in (0, 1):
+            into = [[] for _ in range(n + 1)]
+            for a, b, k in edges:
+                into[b].append((a, math.log(chance[k, c])))
+            alpha = [0.0] + [-math.inf] * n
+            for b in range(1, n + 1):
+                alpha[b] = np.logaddexp.reduce([alpha[b - 1] + math.log(langid.UNKNOWN), *(alpha[a] + x for a, x in into[b])])
+            assert got[i, c] == pytest.approx(alpha[n], rel=1e-9), word[:20]
+            if c == lang:
+                first = alpha
+        beta = [-math.inf] * n + [0.0]
+        out = [[] for _ in range(n + 1)]
+        for a, b, k in edges:
+            out[a].append((b, k))
+        for a in range(n - 1, -1, -1):
+            beta[a] = np.logaddexp.reduce([beta[a + 1] + math.log(langid.UNKNOWN), *(beta[b] + math.log(chance[k, lang]) for b, k in out[a])])
+        for a, b, k in edges:
+            uses[k, lang] += (i + 1) * math.exp(first[a] + math.log(chance[k, lang]) + beta[b] - first[n])
+    counts = langid.expected_counts(pa.array(words), np.arange(1.0, len(words) + 1), np.arange(len(words)) % 2, pieces, chance)
+    assert counts == pytest.approx(uses, rel=1e-7, abs=1e-12)
+
+
 def test_language_accuracy_and_awkward_rows(spark):
     docs = cases.make(spark, extra=True, n=200)
     model = langid.fit(docs)
