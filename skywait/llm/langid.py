@@ -24,7 +24,7 @@ LONGEST_PIECE = 16  # of the public vocabulary; forward() rescales after so many
 GRID_NUMBERS = 10_000_000  # prefix probabilities held at a time; one longer word stands alone
 UNKNOWN = 1e-9  # probability of a character that no piece has
 ROUNDS = 3
-MAX_TRAINING_ROWS = 20_000
+MAX_TRAINING_ROWS = 20_000  # of each language
 SLICE_BYTES = 8_000_000
 WORD_START = 0x2581
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -188,21 +188,21 @@ class Model:
 def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, rounds: int = ROUNDS, pieces_path: str | None = None, folds: int = 3, held_out: int = 1) -> Model:
     """Learn piece probabilities from labelled training rows by expectation maximisation.
 
-    The rows are those with a language whose id is not in the held-out fold; of them a
-    sample by hash of about max_rows (whole texts) is used. Expected counts are summed in
+    The rows are those with a language whose id is not in the held-out fold. Of each language
+    all rows are used, or a sample of about max_rows by hash of id and text. Expected counts are summed in
     Spark; the driver holds one number a piece and language.
     """
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & is_training(F.col("doc_id"), folds, held_out)).select("doc_id", "lang", "text")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages, total = sorted(counts), sum(counts.values())
+    languages = sorted(counts)
     vocabulary_size = load_pieces(pieces_path).count
     chance = np.full((vocabulary_size, len(languages)), 1.0 / vocabulary_size)
     if not languages:
         return Model([], chance, pieces_path)
-    keep = min(1.0, max_rows / total)
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < keep * (1 << 30))
     code = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
+    share = F.get(F.array(*[F.lit(min(1.0, max_rows / counts[x])) for x in languages]), code)
+    sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
 
     def count_words(batches):
         for b in batches:

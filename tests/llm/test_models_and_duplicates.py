@@ -124,6 +124,17 @@ def test_language_accuracy_and_awkward_rows(spark):
     assert {r.lang_pred for r in langid.predict(docs.select("doc_id", "text"), nothing).collect()} == {"und"}
 
 
+def test_each_language_has_its_own_sample(spark):
+    rows = [(None if k % 2 else k, f"hot the text {'e' * (k % 40)} {k}", "en") for k in range(3000)]
+    rows += [(5000 + k, "qua quo quid quis", "la") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_rows=40, rounds=1)
+    mass = 1 / model.chance.min(0) * 0.01 - 0.01 * len(model.chance)  # expected pieces: the least chance is 0.01 of them all
+    assert model.languages == ["en", "la"] and mass[1] >= 4 * 4  # all Latin rows that are not held out
+    assert mass[0] < 40 * 3 * 25  # about 40 English rows of some pieces, though half have no id
+    assert langid.predict(docs.where("lang = 'la'"), model).where("lang_pred != 'la'").count() == 0
+
+
 def test_kt_and_tree_probabilities_sum_to_one():
     assert math.exp(float(ctw._log_kt(np.array([2.0]), np.array([1.0]))[0])) == pytest.approx(0.5 * 0.75 * (0.5 / 3), rel=1e-6)
     words = pa.array(["the", "then", "them", "a", "an", "thé"])
