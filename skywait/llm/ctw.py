@@ -1,12 +1,16 @@
-"""Context-tree weighting over the bytes of words.
-
-A text is coded word by word: the bytes of a lower-cased word and a space; a line feed in
-place of a word ends it. The context of a byte is what its word has before it, back to the
-space that leads the word. A byte is eight binary decisions; each decision has
-Krichevsky-Trofimov counts at every context depth, and context-tree weighting mixes the
-depths. Training documents of each class (a label column, such as the language) fill a tree
-of their own, and a text's probability is the mixture of the trees' over the whole text, so
-scoring needs no label. Counts come from the training documents alone and stay fixed.
+"""Context-tree weighting over the running bytes of a text.
+
+A text is coded as its lower-cased words, a space after each, and a line feed. The context
+of a byte is the DEPTH bytes before it, across words; a space leads the text, and 0 stands
+before that. A byte is eight binary decisions; each decision has Krichevsky-Trofimov counts
+at every context depth, and context-tree weighting mixes the depths. Training documents of
+each class (a label column, such as the language) fill a tree of their own, and a text's
+probability is the mixture of the trees' over the whole text, so scoring needs no label.
+Counts come from the training documents alone and stay fixed.
+
+All contexts count. They are a Spark table of (context, byte) that grows with the corpus:
+its subtrees are weighted in groups by the last two bytes of the context, the two depths above
+in groups by decision, and blocks of texts meet the part of the table that they use.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from ..sources.shared import settle
 from .common import is_training, list_parts, slices, small_batches, text_bytes, words
 
 DEPTH = 6
-#: How many contexts all trees may have: the most visited ones. Their table is sent to executors.
-CONTEXTS = 32_768
+#: Bytes of texts that look up their (context, byte) pairs together, and that are cut into pairs at a time.
+BLOCK_BYTES, CUT_BYTES = 32_000_000, 3_000_000
+#: (context, byte) pairs in a group of subtrees.
+GROUP_PAIRS = 150_000
 #: How many of the most frequent words are sent to executors; the others meet the texts in a join.
 LISTED = 1 << 18
-#: How many classes have a tree of their own: those with the most documents. The last one takes the rest.
-CLASSES = 8
 SPACE, END = 0x20, 0x0A
 SLICE_BYTES = 8_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,12 +50,12 @@ def byte_steps(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = pc.binary_length(items).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     word = np.repeat(np.arange(len(items)), n)
     first = np.cumsum(n) - n + 1  # of each word's bytes in flat
-    at = np.arange(1, len(word) + 1)
-    age = at - first[word] if len(word) else at  # bytes of the word before this one
+    age = np.arange(1, len(word) + 1) - first[word]  # bytes of the word before this one
     context = np.zeros(len(word), dtype=np.int64)
-    for d in range(DEPTH):
-        seen = age >= d  # the leading space is the first of the context
-        context[seen] |= flat[at[seen] - 1 - d].astype(np.int64) << (8 * d)
+    for d in range(min(DEPTH, len(word))):
+        context[d:] |= flat[: len(word) - d].astype(np.int64) << (8 * d)
+    early = np.flatnonzero(age < DEPTH - 1)  # the leading space is the first of the context
+    context[early] &= (1 << (8 * (age[early] + 1))) - 1
     return word, context, flat[1:] if len(flat) else flat
 
 
@@ -170,13 +174,220 @@ def fit_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, count: np
     return Tree(contexts, numbers, out)
 
 
+def joined(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts with one space between words and none around."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    return pc.binary_join(pc.ascii_split_whitespace(bare), " ")
+
+
+def text_steps(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, packed context << 8 | byte) of every coded byte of texts, the line feeds last."""
+    items = joined(texts)
+    full = pc.greater(pc.binary_length(items), 0).to_numpy(zero_copy_only=False)
+    word, context, byte = byte_steps(items.filter(pa.array(full)))
+    rows = np.flatnonzero(full)
+    key = (context << 8) | byte
+    last = np.full(len(items), SPACE, dtype=np.int64)
+    if len(rows):
+        last[rows] = key[np.append(np.flatnonzero(np.diff(word)), len(word) - 1)] & ((1 << (8 * DEPTH)) - 1)
+    return np.concatenate([rows[word], np.arange(len(items))]), np.concatenate([key, (last << 8) | END])
+
+
+_TABLE = 1 << 16
+_HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])  # log of gamma(n + 0.5) / gamma(0.5)
+_WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 1.0))])  # log of n!
+
+
+def _log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """_log_kt of whole counts in double precision, by tables."""
+    total = zeros + ones
+    z, o, t = (np.minimum(x, _TABLE).astype(np.int64) for x in (zeros, ones, total))
+    out = _HALVES[z] + _HALVES[o] - _WHOLES[t]
+    big = total >= _TABLE
+    if big.any():
+        x, y = zeros[big], ones[big]
+        out[big] = _log_gamma(x + 0.5) + _log_gamma(y + 0.5) - math.log(math.pi) - _log_gamma(x + y + 1.0)
+    return out
+
+
 @dataclass
-class Model:
-    train_tokens: int
-    distinct: int
-    train_docs: int
-    trees: list[Tree]
-    prior: list[float]
+class Levels:
+    """A decision's nodes by depth, over pairs sorted by decision and context, the last byte first."""
+
+    order: np.ndarray
+    starts: list[np.ndarray]  # the first pair of each node
+    zeros: list[np.ndarray]  # [nodes, classes]
+    ones: list[np.ndarray]
+
+    def up(self, d: int) -> np.ndarray:
+        """The parent of each node of depth index d."""
+        return np.searchsorted(self.starts[d - 1], self.starts[d], "right") - 1
+
+    def weigh(self, leaves: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Log weighted probability of the first depth's nodes, and each depth's share of its own estimate.
+
+        leaves: weighted probabilities of the deepest nodes, if they have children elsewhere.
+        """
+        half, last = math.log(0.5), len(self.starts) - 1
+        mixed = _log_estimate(self.zeros[last], self.ones[last]) if leaves is None else leaves
+        shares = [np.ones((0, 0))] * (last + 1)
+        for d in range(last - 1, -1, -1):
+            own = half + _log_estimate(self.zeros[d], self.ones[d])
+            inner = half + np.add.reduceat(mixed, np.searchsorted(self.starts[d + 1], self.starts[d]), axis=0)
+            mixed = np.logaddexp(own, inner)
+            shares[d] = np.exp(own - mixed)
+        return mixed, shares
+
+    def descend(self, shares: list[np.ndarray], mix: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the first depth's (mix, left) to the last's; a path ends at its deepest visited node."""
+        for d in range(1, len(self.starts)):
+            up, seen = self.up(d), (self.zeros[d] + self.ones[d]) > 0
+            stop = np.where(seen, shares[d - 1][up], 1.0)
+            mix, left = mix[up] + left[up] * stop * self.chance(d - 1)[up], left[up] * (1 - stop)
+        return mix, left
+
+    def chance(self, d: int) -> np.ndarray:
+        return (self.ones[d] + 0.5) / (self.zeros[d] + self.ones[d] + 1.0)
+
+
+def levels(code: np.ndarray, shifts: list[int], zeros: np.ndarray, ones: np.ndarray) -> Levels:
+    """Nodes of codes that agree but for their lowest bits, one depth for each shift."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = [np.flatnonzero(np.append(True, np.diff(code >> k) != 0)) for k in shifts]
+    zeros, ones = zeros[order], ones[order]
+    return Levels(order, starts, [np.add.reduceat(zeros, x, axis=0) for x in starts], [np.add.reduceat(ones, x, axis=0) for x in starts])
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list column of the rows of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1), kind))
+
+
+def _matrix(table: pa.Table, name: str, classes: int) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
+
+
+def _decisions(table: pa.Table, classes: int):
+    """(keys, bit number, decisions' levels from depth 2 on, bits) for the eight decisions of pairs (key, class, n)."""
+    keys, at = np.unique(table.column("key").to_numpy(), return_inverse=True)
+    cell = at * classes + table.column("class").to_numpy()
+    n = np.bincount(cell, weights=table.column("n").to_numpy(), minlength=len(keys) * classes).reshape(-1, classes)
+    byte, back = keys & 255, np.zeros(len(keys), dtype=np.int64)
+    for d in range(DEPTH):
+        back |= ((keys >> (8 * (d + 1))) & 255) << (8 * (DEPTH - 1 - d))
+    for k in range(8):
+        bit = (byte >> (7 - k)) & 1
+        code = (((1 << k) | (byte >> (8 - k))) << (8 * DEPTH)) | back
+        yield keys, code, levels(code, [8 * (DEPTH - d) for d in range(2, DEPTH + 1)], n * (bit == 0)[:, None], n * (bit == 1)[:, None]), bit
+
+
+def spell(grams: DataFrame, classes: int) -> DataFrame:
+    """(key, codes) of grams (key, class, n): log10 P(byte | context) of each distinct key in each class's tree."""
+    groups = max(8, -(-grams.count() // GROUP_PAIRS))
+    group = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(groups)).cast("long").alias("group")
+    dealt = grams.withColumn("group", group(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))))
+    many = pa.float64()
+
+    def bottom_up(table: pa.Table) -> pa.Table:
+        out = []
+        for _, code, tree, _ in _decisions(table, classes):
+            weight, _ = tree.weigh()
+            top = code[tree.order][tree.starts[0]] >> (8 * (DEPTH - 2))
+            out.append(pa.table({"node": top, "decision": (top >> 16).astype(np.int32), "zeros": _lists(tree.zeros[0], many), "ones": _lists(tree.ones[0], many), "weight": _lists(weight, many)}))
+        return pa.concat_tables(out)
+
+    def above(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        tree = levels(node, [16, 8, 0], _matrix(table, "zeros", classes), _matrix(table, "ones", classes))
+        _, shares = tree.weigh(_matrix(table, "weight", classes)[tree.order])
+        mix, left = tree.descend(shares, np.zeros((1, classes)), np.ones((1, classes)))
+        return pa.table({"node": node[tree.order], "mix": _lists(mix, many), "left": _lists(left, many)})
+
+    def top_down(table: pa.Table, tops: pa.Table) -> pa.Table:
+        place = np.argsort(tops.column("node").to_numpy())
+        nodes = tops.column("node").to_numpy()[place]
+        mixes, lefts = _matrix(tops, "mix", classes)[place], _matrix(tops, "left", classes)[place]
+        codes = None
+        for keys, code, tree, bit in _decisions(table, classes):
+            codes = np.zeros((len(keys), classes)) if codes is None else codes
+            _, shares = tree.weigh()
+            at = np.searchsorted(nodes, code[tree.order][tree.starts[0]] >> (8 * (DEPTH - 2)))
+            mix, left = tree.descend(shares, mixes[at], lefts[at])
+            chance = mix + left * tree.chance(len(tree.starts) - 1)
+            each = np.repeat(chance, np.diff(np.append(tree.starts[-1], len(keys))), axis=0)
+            codes[tree.order] += np.log10(np.where(bit[tree.order][:, None] == 1, each, 1 - each))
+        return pa.table({"key": keys, "codes": _lists(codes, pa.float32())})
+
+    lower = settle(dealt.groupBy("group").applyInArrow(bottom_up, "node long, decision int, zeros array<double>, ones array<double>, weight array<double>"))
+    upper = lower.groupBy("decision").applyInArrow(above, "node long, mix array<double>, left array<double>")
+    # a node is its decision and the last byte before the one ahead of it
+    last_two = F.shiftright("node", 8).bitwiseAND(F.lit(255)).bitwiseOR(F.shiftleft(F.col("node").bitwiseAND(F.lit(255)), 8))
+    tops = settle(upper.withColumn("group", group(last_two)))
+    return settle(dealt.groupBy("group").cogroup(tops.groupBy("group")).applyInArrow(top_down, "key long, codes array<float>"))
+
+
+def pairs(rows: DataFrame) -> DataFrame:
+    """(block, key, class, n, first) of rows (block, class, training, text): the distinct keys of each
+    block and class with their training uses; first marks one row of each block's key."""
+
+    def flush(block, parts):
+        out = []
+        for c in sorted(parts):
+            key, at = np.unique(np.concatenate([k for k, _ in parts[c]]), return_inverse=True)
+            out.append((key, np.full(len(key), c, dtype=np.int32), np.bincount(at, weights=np.concatenate([n for _, n in parts[c]])).astype(np.int64)))
+        key, kind, n = (np.concatenate(x) for x in zip(*out, strict=True))
+        first = np.zeros(len(key), dtype=bool)
+        first[np.unique(key, return_index=True)[1]] = True
+        for a in range(0, len(key), 200_000):
+            b = slice(a, a + 200_000)
+            yield pa.record_batch([pa.array(np.full(len(key[b]), block)), pa.array(key[b]), pa.array(kind[b]), pa.array(n[b]), pa.array(first[b])], ["block", "key", "class", "n", "first"])
+
+    def cut(batches):
+        now, parts = None, {}
+        for b in batches:
+            blocks, kinds, training = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "class", "training"))
+            heavy = np.cumsum(text_bytes(b.column("text"))) // CUT_BYTES
+            group = np.cumsum(np.append(0, (np.diff(blocks) != 0) | (np.diff(heavy) != 0))) if b.num_rows else np.empty(0)
+            for g in np.unique(group):
+                lo, hi = np.searchsorted(group, [g, g + 1])
+                if blocks[lo] != now:
+                    if parts:
+                        yield from flush(now, parts)
+                    now, parts = blocks[lo], {}
+                row, key = text_steps(b.column("text").slice(lo, hi - lo))
+                kind, uses = kinds[lo:hi][row], training[lo:hi][row]
+                for c in np.unique(kinds[lo:hi]).tolist():
+                    for flag in (True, False):
+                        found, n = np.unique(key[(kind == c) & (uses == flag)], return_counts=True)
+                        if len(found):
+                            parts.setdefault(c, []).append((found, n if flag else np.zeros(len(n), dtype=np.int64)))
+        if parts:
+            yield from flush(now, parts)
+
+    return rows.select("block", "class", "training", "text").mapInArrow(cut, "block long, key long, class int, n long, first boolean")
+
+
+def text_codes(rows: DataFrame, classes: int) -> DataFrame:
+    """(row, codes) of rows (row, block, class, training, text): log10 P(text) in each class's tree."""
+    found = settle(pairs(rows))
+    spelled = spell(settle(found.groupBy("key", "class").agg(F.sum("n").alias("n"))), classes)
+    used = found.where("first").select("block", "key").join(spelled, "key")
+
+    def look_up(texts: pa.Table, table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy()
+        order = np.argsort(keys)
+        keys, codes = keys[order], _matrix(table, "codes", classes)[order]
+        out = np.zeros((texts.num_rows, classes))
+        column = texts.column("text").combine_chunks()
+        for lo, hi in slices(text_bytes(column), CUT_BYTES):
+            row, key = text_steps(column.slice(lo, hi - lo))
+            at = np.searchsorted(keys, key)
+            for k in range(classes):
+                out[lo:hi, k] = np.bincount(row, weights=codes[at, k], minlength=hi - lo)
+        return pa.table({"row": texts.column("row"), "codes": _lists(out, pa.float64())})
+
+    return rows.select("block", "row", "text").groupBy("block").cogroup(used.groupBy("block")).applyInArrow(look_up, "row long, codes array<double>")
 
 
 def class_numbers(docs: DataFrame, class_column: str | None, folds: int, held_out: int) -> tuple[Column, list[int]]:
@@ -184,7 +395,7 @@ def class_numbers(docs: DataFrame, class_column: str | None, folds: int, held_ou
     training = docs.where(is_training(F.col("doc_id"), folds, held_out))
     if class_column is None:
         return F.lit(0), [training.count()]
-    groups = training.groupBy(class_column).count().orderBy(F.desc("count"), class_column).limit(CLASSES - 1).collect()
+    groups = training.groupBy(class_column).count().orderBy(F.desc("count"), class_column).collect()
     named = [g for g in groups if g[0] is not None]
     number = F.array_position(F.array(*[F.lit(g[0]) for g in named]).cast("array<string>"), F.col(class_column).cast("string"))
     rest = training.count() - sum(g["count"] for g in named)
@@ -192,10 +403,8 @@ def class_numbers(docs: DataFrame, class_column: str | None, folds: int, held_ou
     return F.when(F.coalesce(number, F.lit(0)) > 0, number - 1).otherwise(len(counts) - 1).cast("int"), counts
 
 
-def vocabulary(docs: DataFrame, number: Column, classes: int, folds: int = 5, held_out: int = 1) -> DataFrame:
-    """(word, n, n0, n1 ...): all distinct lower-cased words of all texts, with their uses in
-    training texts, in all and by class."""
-    names = [f"n{k}" for k in range(classes)]
+def vocabulary(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
+    """(word, n): all distinct lower-cased words of all texts, with their uses in training texts."""
 
     def count(batches):
         for b in batches:
@@ -204,18 +413,14 @@ def vocabulary(docs: DataFrame, number: Column, classes: int, folds: int = 5, he
                 lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text").cast(pa.string()), "")))
                 many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
                 training = np.repeat(part.column("training").to_numpy(zero_copy_only=False), many)
-                number = np.repeat(part.column("number").to_numpy(), many)
                 coded = lists.flatten().dictionary_encode()
                 index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                size = len(coded.dictionary)
-                n = np.bincount(index * classes + number, weights=training, minlength=size * classes).astype(np.int64).reshape(size, classes)
-                out = pa.record_batch([coded.dictionary, *(pa.array(n[:, k]) for k in range(classes))], ["word", *names])
+                n = np.bincount(index, weights=training, minlength=len(coded.dictionary)).astype(np.int64)
+                out = pa.record_batch([coded.dictionary, pa.array(n)], ["word", "n"])
                 yield out.filter(pc.not_equal(out.column("word"), ""))
 
-    tagged = docs.select("text", number.alias("number"), is_training(F.col("doc_id"), folds, held_out).alias("training"))
-    counted = tagged.mapInArrow(count, "word string, " + ", ".join(f"{k} long" for k in names))
-    summed = counted.groupBy("word").agg(*[F.sum(k).alias(k) for k in names])
-    return summed.select("word", sum((F.col(k) for k in names[1:]), F.col(names[0])).alias("n"), *names)
+    tagged = docs.select("text", is_training(F.col("doc_id"), folds, held_out).alias("training"))
+    return tagged.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(rows: DataFrame, column: str, most: int) -> DataFrame:
@@ -234,92 +439,33 @@ def most_frequent(rows: DataFrame, column: str, most: int) -> DataFrame:
     return rows.where(step >= cut) if cut is not None else rows.limit(0)
 
 
-def fit(known: DataFrame, counts: list[int], contexts: int = CONTEXTS) -> Model:
-    """Learn the trees from vocabulary() of all training documents (every count, all texts).
-
-    counts: training documents by class. Of all trees' contexts the most visited are kept, up
-    to `contexts`; a context's visits include those of all longer ones, so its parent stays too.
-    """
-    ends, classes = sum(counts), len(counts)
-    seen = known.where("n > 0")
-    tokens, distinct = seen.agg(F.sum("n"), F.count("*")).first()
-
-    def steps(batches):
-        for b in batches:
-            word, context, byte = byte_steps(b.column("word"))
-            key = (context << 8) | byte
-            kinds, at = np.unique(key, return_inverse=True)
-            for k in range(classes):
-                n = np.bincount(at, weights=b.column(f"n{k}").to_numpy()[word], minlength=len(kinds)).astype(np.int64)
-                use = np.flatnonzero(n)
-                yield pa.record_batch([pa.array(kinds[use] | (k << 56)), pa.array(n[use])], ["key", "n"])
-
-    grams = settle(seen.mapInArrow(steps, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    depths = F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth")
-    masks = F.array(*[F.lit((1 << (8 * d)) - 1).cast("long") for d in range(DEPTH + 1)])
-    suffix = F.shiftright("key", 8).bitwiseAND(F.element_at(masks, F.col("depth") + 1))
-    each = grams.select("key", "n", depths).select(
-        F.shiftright("key", 56).cast("int").alias("class"), "depth", suffix.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n"
-    )
-    place = ["class", "depth", "context"]
-    kept = settle(most_frequent(settle(each.groupBy(*place).agg(F.sum("n").alias("visits"))), "visits", contexts))
-    # at most 256 rows for each kept context
-    table = each.join(F.broadcast(kept.select(*place)), place).groupBy(*place, "byte").agg(F.sum("n").alias("n")).toArrow()
-    c, d, x, b, n = (table.column(k).to_numpy().astype(np.int64) for k in (*place, "byte", "n"))
-    trees = []
-    for k in range(classes):
-        mine = c == k
-        have = np.union1d([0], np.unique(d[mine & (x == SPACE)]))  # the end of a text stands where a word could start
-        trees.append(
-            fit_tree(
-                np.append(d[mine], have), np.append(x[mine], np.where(have == 0, 0, SPACE)),
-                np.append(b[mine], np.full(len(have), END)), np.append(n[mine], np.full(len(have), counts[k])),
-            )
-        )
-    prior = [math.log10((m + 0.5) / (ends + 0.5 * classes)) for m in counts]
-    return Model((tokens or 0) + ends, distinct + (ends > 0), ends, trees, prior)
-
-
 def score(
-    docs: DataFrame, class_column: str | None = "lang", folds: int = 5, held_out: int = 1, contexts: int = CONTEXTS, listed: int = LISTED,
+    docs: DataFrame, class_column: str | None = "lang", folds: int = 5, held_out: int = 1, listed: int = LISTED,
 ) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score and score are log10 probabilities of the text under the smoothed word
-    counts and under the mixture of context trees. The words of all texts are spelled once
-    each; the most frequent travel to the texts in a table, the others meet them in a join
-    by hash. Null texts are empty (one end token); null and rare classes share a tree; an
+    counts and under the mixture of context trees. The most frequent words' counts travel to
+    the texts in a table, the others meet them in a join by hash. Null texts are empty (one
+    end token); rows without a class, or of one without training texts, share a tree; an
     empty training set gives even odds to every decision; repeated rows are scored alike;
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     number, counts = class_numbers(docs, class_column, folds, held_out)
-    classes = range(len(counts))
-    known = settle(vocabulary(docs, number, len(counts), folds, held_out))
-    model = fit(known, counts, contexts)
-    shared = spark.sparkContext.broadcast(model.trees)
-
-    def spell(batches):
-        trees = shared.value
-        for b in batches:
-            for lo, hi in slices(text_bytes(b.column("word")), 2_000_000):
-                part = b.slice(lo, hi - lo)
-                word, context, byte = byte_steps(part.column("word"))
-                codes = [pa.array(np.bincount(word, weights=t.log10[t.deepest(context), byte], minlength=part.num_rows)) for t in trees]
-                yield pa.record_batch([part.column("hash"), part.column("n"), *codes], ["hash", "n", *(f"s{k}" for k in classes)])
-
-    codes = ", ".join(f"s{k} double" for k in classes)
-    spelled = settle(known.select(F.xxhash64("word").alias("hash"), "n", "word").mapInArrow(spell, f"hash long, n long, {codes}"))
-    shared.destroy()
-    top = most_frequent(spelled, "n", listed).toArrow().sort_by("hash").combine_chunks()
+    ends = sum(counts)
+    known = settle(vocabulary(docs, folds, held_out).select(F.xxhash64("word").alias("hash"), "n"))
+    tokens, distinct = known.where("n > 0").agg(F.sum("n"), F.count("*")).first()
+    tokens, distinct = (tokens or 0) + ends, distinct + (ends > 0)
+    top = most_frequent(known, "n", listed).toArrow().sort_by("hash").combine_chunks()
     head = spark.sparkContext.broadcast([top.column(k).to_numpy() for k in top.column_names])
-    total = math.log10(model.train_tokens + 0.5 * (model.distinct + 1))
-    end_base = math.log10(model.train_docs + 0.5) - total
-    end_codes = [float(t.log10[t.deepest(np.array([SPACE]))[0], END]) for t in model.trees]
+    total = math.log10(tokens + 0.5 * (distinct + 1))
+    end_base = math.log10(ends + 0.5) - total
+    prior = [math.log10((m + 0.5) / (ends + 0.5 * len(counts))) for m in counts]
 
     def look_up(batches):
-        hashes, n, *code = head.value
+        hashes, n = head.value
         base_of = np.log10(n + 0.5) - total
         for b in batches:
             _, lengths = list_parts(b.column("hashes"))
@@ -333,30 +479,35 @@ def score(
                 rest = np.bincount(row[~hit], minlength=rows)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(rest)]), pa.int32())
                 columns = [
-                    part.column("doc_id"), part.column("held_out"), pa.array(many + 1), pa.array(np.bincount(r, weights=n[w] > 0, minlength=rows).astype(np.int64)),
+                    part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(many + 1), pa.array(np.bincount(r, weights=n[w] > 0, minlength=rows).astype(np.int64)),
                     pa.array(np.bincount(r, weights=base_of[w], minlength=rows) + end_base),
-                    *(pa.array(np.bincount(r, weights=c[w], minlength=rows) + end_codes[k]) for k, c in enumerate(code)),
                     pa.ListArray.from_arrays(offsets, pa.array(values[~hit])),
                 ]
-                yield pa.record_batch(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", *(f"s{k}" for k in classes), "rest"])
+                yield pa.record_batch(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "rest"])
 
     lower = F.translate(F.col("text"), UPPER, LOWER)
-    rows = docs.select("doc_id", (~is_training(F.col("doc_id"), folds, held_out)).alias("held_out"), F.transform(words(lower), lambda w: F.xxhash64(w)).alias("hashes"))
+    whole = docs.select("doc_id", is_training(F.col("doc_id"), folds, held_out).alias("training"), number.alias("class"), "text")
+    whole = settle(whole.withColumn("row", F.monotonically_increasing_id()))
+    size, count = whole.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    per_block = max(1, int(BLOCK_BYTES * count / max(1, size or 0))) if count else 1
+    # a block is a run of rows of one partition; row numbers count within it in their low 33 bits
+    low = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    block = F.shiftleft(F.shiftright("row", 33), 33) + F.floor(low / per_block)
+    codes = text_codes(whole.withColumn("block", block.cast("long")), len(counts))
+    rows = whole.select("row", "doc_id", (~F.col("training")).alias("held_out"), F.transform(words(lower), lambda w: F.xxhash64(w)).alias("hashes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, {codes}, rest array<long>"
-    partly = settle(rows.mapInArrow(look_up, schema).withColumn("row", F.monotonically_increasing_id()))
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, rest array<long>"
+    partly = settle(rows.mapInArrow(look_up, schema))
     head.destroy()
-    others = partly.select("row", F.explode("rest").alias("hash")).join(spelled, "hash")
-    sums = others.groupBy("row").agg(
-        F.sum(F.log10(F.col("n") + 0.5) - F.lit(total)).alias("b"), F.count_if(F.col("n") > 0).alias("k"), *[F.sum(f"s{k}").alias(f"t{k}") for k in classes]
-    )
-    whole = [F.col(f"s{k}") + F.coalesce(f"t{k}", F.lit(0.0)) + F.lit(model.prior[k]) for k in classes]
-    done = partly.drop("rest").join(sums, "row", "left").withColumn("_codes", F.array(*whole)).withColumn("_best", F.array_max("_codes"))
+    others = partly.select("row", F.explode("rest").alias("hash")).join(known, "hash")
+    sums = others.groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.5) - F.lit(total)).alias("b"), F.count_if(F.col("n") > 0).alias("k"))
+    done = partly.drop("rest").join(sums, "row", "left").join(codes, "row")
+    done = done.withColumn("_codes", F.zip_with("codes", F.array(*[F.lit(p) for p in prior]), lambda c, p: c + p)).withColumn("_best", F.array_max("_codes"))
     share = F.aggregate("_codes", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("_best")))
     return done.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0)) + int(model.train_docs > 0)).cast("long").alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("n_known") + F.coalesce("k", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
         (F.col("_best") + F.log10(share)).alias("score"),
     )

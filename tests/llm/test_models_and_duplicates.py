@@ -169,6 +169,77 @@ def test_scores(spark):
     assert ctw.score(cases.empty(spark)).count() == 0
 
 
+def plain_codes(texts, classes, training, wanted):
+    """log10 P of each wanted text in each class's tree, node by node."""
+    visits, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def steps(text):
+        data = b" " + "".join(w + " " for w in cases.words((text or "").translate(UPPER))).encode() + b"\n"
+        for i in range(1, len(data)):
+            yield tuple(data[j] if j >= 0 else 0 for j in range(i - 1, i - 1 - ctw.DEPTH, -1)), data[i]
+
+    def decisions(byte):
+        return [((1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1) for k in range(8)]
+
+    for text, c, use in zip(texts, classes, training, strict=True):
+        for context, byte in steps(text) if use else ():
+            for prefix, bit in decisions(byte):
+                for d in range(ctw.DEPTH + 1):
+                    visits[c, prefix, context[:d]][bit] += 1
+                    if d:
+                        below[c, prefix, context[: d - 1]].add(context[:d])
+
+    def own(c, prefix, context):
+        z, o = visits[c, prefix, context]
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+
+    held = {}
+
+    def mixed(c, prefix, context):
+        key = (c, prefix, context)
+        if key not in held:
+            inner = sum(mixed(c, prefix, x) for x in below[key])
+            held[key] = own(*key) if len(context) == ctw.DEPTH else math.log(0.5) + float(np.logaddexp(own(*key), inner))
+        return held[key]
+
+    def chance(c, prefix, context):
+        mix, left = 0.0, 1.0
+        for d in range(ctw.DEPTH + 1):
+            z, o = visits.get((c, prefix, context[:d]), (0, 0))
+            one = (o + 0.5) / (z + o + 1)
+            if d == ctw.DEPTH or (c, prefix, context[: d + 1]) not in visits:
+                return mix + left * one
+            stop = math.exp(math.log(0.5) + own(c, prefix, context[:d]) - mixed(c, prefix, context[:d]))
+            mix, left = mix + left * stop * one, left * (1 - stop)
+
+    out = []
+    for text in wanted:
+        sums = []
+        for c in sorted(set(classes)):
+            each = [(chance(c, p, x), bit) for x, byte in steps(text) for p, bit in decisions(byte)]
+            sums.append(sum(math.log10(q if bit else 1 - q) for q, bit in each))
+        out.append(sums)
+    return out
+
+
+def test_scores_are_those_of_whole_context_trees(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(ctw, "CUT_BYTES", 300)
+    rng = random.Random(6)
+    langs = [f"l{k}" for k in range(10)]  # more than the eight trees of before
+    rows = [(k, cases.prose(rng, rng.randint(3, 12), ["ka", "lo ", "mi", "tu", "é "]), rng.choice(langs)) for k in range(60)]
+    rows += [(100, "one two three four", "l0"), (101, "four three  TWO\none ", "l0"), (102, None, "l1"), (103, " ", "l2"), (104, "zzz zz", "l3")]
+    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    training = [cases.fold(r[0], 5) != 1 for r in rows]
+    many = Counter(r[2] for r, use in zip(rows, training, strict=True) if use)
+    order = sorted(many)
+    codes = plain_codes([r[1] for r in rows], [r[2] for r in rows], training, [r[1] for r in rows])
+    for r, each in zip(rows, codes, strict=True):
+        whole = [x + math.log10((many[c] + 0.5) / (sum(many.values()) + 0.5 * len(order))) for c, x in zip(order, each, strict=True)]
+        assert got[r[0]] == pytest.approx(np.logaddexp.reduce(np.array(whole) * math.log(10)) / math.log(10), rel=1e-5), r
+    assert abs(got[100] - got[101]) > 0.01, "the order of words counts"
+
+
 def weighted_jaccard(a, b):
     both = sum((a & b).values())
     return both / (sum(a.values()) + sum(b.values()) - both)
