@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _settled: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,20 +29,49 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     This cuts the lineage: an executor that is lost later costs a read, not the whole
-    history. The files go when the program ends.
+    history. The shuffle files behind it go with the write, its own files when forget() is
+    called for them or the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _settled.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it has run."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for table in tables:
+        folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        for entry in [e for e in _settled if any(f.endswith(e[1].split(":", 1)[-1]) for f in folders)]:
+            _delete(*entry)
+            _settled.remove(entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _settled:
+    for entry in _settled:
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*entry)
         except Exception:  # the session has ended; its folder goes with it
             return
