@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "8m")
 
 
+def lean(run: Callable) -> Callable:
+    """run (a function of batches), giving freed memory back when a task's batches are done.
+
+    Python workers stay for later stages; without this an idle one keeps the most it ever held.
+    """
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return tidy
+
+
 def words(text: Column) -> Column:
     """Words of a text (runs without ASCII white space); null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
@@ -41,6 +63,17 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, with underscores put before those that columns (whatever their case) have."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def is_training(doc_id: Column, folds: int, held_out: int) -> Column:
     """True where crc32(doc_id as text) mod folds is not held_out. A null id counts as text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds != held_out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import list_parts, small_batches
+from .common import lean, list_parts, small_batches
 from .minhash import connected
 
 TREES = 8
@@ -175,6 +175,7 @@ def near_vectors(
         model[label] = (dim, [grow(x, max(8, int(leaf * keep)), rng) for _ in range(trees)])
     shared = spark.sparkContext.broadcast(model)
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
         for b in batches:

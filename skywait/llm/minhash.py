@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import list_parts, mix64, slices, small_batches, word_hashes
+from .common import lean, list_parts, mix64, slices, small_batches, word_hashes
 
 SHINGLE = 5
 COMPONENTS = 80
@@ -148,6 +148,7 @@ BROADCAST_ROWS = 500_000
 def profiles(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, profile) of rows (id, hashes): the shingle multiset as a set of (shingle, occurrence) hashes."""
 
+    @lean
     def run(batches):
         for b in batches:
             _, lengths = list_parts(b.column("hashes"))
@@ -228,6 +229,7 @@ def _classes(
     keyed = hashed.select("doc_id", "no_text", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), "hashes").alias("k2"), "hashes", *carried)
     names = ["doc_id", "no_text", "k1", "k2", *carried]
 
+    @lean
     def run(batches):
         for b in batches:
             _, lengths = list_parts(b.column("hashes"))
