@@ -12,6 +12,8 @@ K = 3
 COVERAGE = 0.75
 #: Diagonals at most this far apart are one span (words put in or left out).
 GAP = 3
+#: A span ends where the next match starts more than this share of the template's words later.
+FAR = 0.5
 
 # Phrases of the base scan and their labels.
 BASE_PHRASES = [
@@ -40,6 +42,81 @@ TEMPLATES = [
     ("licensed under cc by sa 4 0", "cc-by-sa"),
 ]
 
+# Whole texts of public licenses, as words.
+LONG_TEMPLATES = [
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the "
+        "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages "
+        "or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+        "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+        "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "bsd",
+    ),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+        "basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gpl-3",
+    ),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gpl-2",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever "
+        "resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+        "isc",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+        "restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "zlib",
+    ),
+    (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source "
+        "code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "unlicense",
+    ),
+    (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at "
+        "http mozilla org mpl 2 0",
+        "mpl-2",
+    ),
+    (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the "
+        "software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        "bsl-1",
+    ),
+    (
+        "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0",
+        "cc-by-sa",
+    ),
+    (
+        "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work",
+        "cc0",
+    ),
+]
+TEMPLATES += LONG_TEMPLATES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -70,12 +147,14 @@ def template_positions(spark: SparkSession, templates: list[tuple[str, str, bool
     )
 
 
-def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = K, coverage: float = COVERAGE, gap: int = GAP) -> DataFrame:
+def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: int = K, coverage: float = COVERAGE, gap: int = GAP, far: float = FAR) -> DataFrame:
     """Verified spans: doc_id, text_key, template, label, base, first_word, end_word, score.
 
     All rolling k-gram hashes of all texts meet the templates' positions in one join (the
-    template side is a fixed table of a few hundred rows). A match votes for the diagonal
-    (word - template position); neighbouring diagonals of a template merge into a span; a
+    template side is a fixed table of a few thousand rows). A match votes for the diagonal
+    (word - template position). A template's votes in a text are cut where none follows within
+    a share `far` of its words; in each part neighbouring diagonals merge, and what merged is cut by
+    the same distance again, so a stray match elsewhere on a diagonal stretches no span. A
     span stands if it holds at least coverage of the template's k-grams in at most
     twice its words. Base phrases must stand exactly: one diagonal, all k-grams.
     """
@@ -86,24 +165,33 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, k: in
         docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), license_words(F.col("text")).alias("words"))
         .select("doc_id", "text_key", F.posexplode(rolling("words", k)).alias("word", "gram"))
     )
-    votes = grams.join(F.broadcast(positions), "gram").withColumn("diagonal", F.col("word") - F.col("at"))
     key = ["doc_id", "text_key", "template"]
     about = [F.first(c).alias(c) for c in ("label", "base", "grams", "size")]
-    diagonals = votes.groupBy(*key, "diagonal").agg(*about, F.collect_set("at").alias("held"), F.min("word").alias("low"), F.max("word").alias("high"))
-    diagonals = settle(diagonals)  # few rows, used twice: the texts are read once
-    exact = diagonals.where(F.col("base") & (F.size("held") == F.col("grams"))).withColumn("score", F.lit(1.0)).withColumn("end_word", F.col("high") + k)
-    beside = Window.partitionBy(*key).orderBy("diagonal")
-    opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(beside) > gap, F.lit(True))
+    votes = grams.join(F.broadcast(positions), "gram").groupBy(*key, "word", "at").agg(*about)  # equal rows vote once
+    votes = settle(votes.withColumn("diagonal", F.col("word") - F.col("at")))  # few rows, used twice: the texts are read once
+    exact = (
+        votes.where("base").groupBy(*key, "diagonal").agg(*about, F.count("*").alias("votes"), F.min("word").alias("first_word"), F.max("word").alias("high"))
+        .where("votes = grams").withColumn("score", F.lit(1.0)).withColumn("end_word", F.col("high") + k)
+    )
+
+    def cut(rows: DataFrame, name: str, within: list[str], order: list[str], value: str, most: Column) -> DataFrame:
+        """Number the parts of rows, in order, between which value grows by over most."""
+        line = Window.partitionBy(*within).orderBy(*order)
+        opens = F.coalesce(F.col(value) - F.lag(value).over(line) > most, F.lit(True))
+        return rows.withColumn("_opens", opens.cast("int")).withColumn(name, F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+    away = F.lit(far) * F.col("size")
+    parts = cut(votes.where("not base"), "place", key, ["word", "at"], "word", away)
+    parts = cut(parts, "band", [*key, "place"], ["diagonal", "word"], "diagonal", F.lit(gap))
+    parts = cut(parts, "span", [*key, "place", "band"], ["word", "at"], "word", away)
     merged = (
-        diagonals.where(~F.col("base"))
-        .withColumn("span", F.sum(opens.cast("int")).over(beside.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*key, "span")
-        .agg(*about, F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
+        parts.groupBy(*key, "place", "band", "span")
+        .agg(*about, F.count_distinct("at").alias("votes"), F.min("word").alias("first_word"), F.max("word").alias("high"))
         .withColumn("score", F.col("votes") / F.col("grams"))
         .withColumn("end_word", F.col("high") + k)
-        .where((F.col("score") >= coverage) & (F.col("end_word") - F.col("low") <= 2 * F.col("size")))
+        .where((F.col("score") >= coverage) & (F.col("end_word") - F.col("first_word") <= 2 * F.col("size") + k))
     )
-    out = [*key, "label", "base", F.col("low").alias("first_word"), "end_word", "score"]
+    out = [*key, "label", "base", "first_word", "end_word", "score"]
     return exact.select(*out).unionByName(merged.select(*out))
 
 
@@ -114,7 +202,8 @@ def scan(docs: DataFrame, **options) -> DataFrame:
     and largest start (null without one). labels adds those of verified spans. Label
     columns are distinct, sorted and comma-joined ('' without one). score is the best
     span's share of template k-grams (0 without one). Null and empty texts have no words and
-    no labels; repeated rows get equal results each; an empty table gives an empty result.
+    no labels; texts of any length are read whole; repeated rows get equal results each;
+    null ids are matched by text; other columns stay out; an empty table gives an empty result.
     """
     found = spans(docs, **options)
     base = F.col("base")

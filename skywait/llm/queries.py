@@ -89,10 +89,10 @@ rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest
 l AS (SELECT rid, source, line FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
 k AS (SELECT rid, source, len(regexp_extract_all(line, '{_WORD}')) AS n, substr(md5(regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 16) AS key FROM l),
-a AS (SELECT rid, min(key) AS anchor FROM k GROUP BY rid),
+a AS (SELECT rid, list_sort(list(DISTINCT key)) AS lines FROM k GROUP BY rid),
 h AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
 f AS (SELECT k.source, k.key FROM k JOIN a ON a.rid = k.rid JOIN h ON h.source IS NOT DISTINCT FROM k.source GROUP BY k.source, k.key, h.host_docs
-  HAVING count(DISTINCT anchor) > {line_rules.LINE_DOCS} AND count(DISTINCT anchor) > {line_rules.LINE_SHARE}::DOUBLE * host_docs),
+  HAVING count(DISTINCT lines) > {line_rules.LINE_DOCS} AND count(DISTINCT lines) > {line_rules.LINE_SHARE}::DOUBLE * host_docs),
 r AS (SELECT k.rid, sum(k.n)::BIGINT AS n_removed_words FROM k JOIN f ON f.key = k.key AND f.source IS NOT DISTINCT FROM k.source GROUP BY k.rid),
 b AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(text) - length(translate(text, '{line_rules.SYMBOLS}', '')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
@@ -116,10 +116,14 @@ t AS (SELECT id, label, base, len(tw) - {k - 1} AS grams, len(tw) AS size, tw FR
 p AS (SELECT id, label, base, grams, size, i - 1 AS spot, {gram('tw')} AS gram FROM (SELECT *, unnest(range(1, grams + 1)) AS i FROM t)),
 v AS (SELECT rid, id, label, base, grams, size, word - spot AS diagonal, spot, word FROM g JOIN p ON p.gram = g.gram),
 e AS (SELECT rid, label, true AS base, min(word) AS first_word, 1.0::DOUBLE AS score FROM v WHERE base GROUP BY rid, id, label, grams, diagonal HAVING count(DISTINCT spot) = grams),
-n AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY rid, id ORDER BY diagonal, word) > {license_scan.GAP})::INTEGER, 1) AS opens FROM v WHERE NOT base),
-s AS (SELECT *, sum(opens) OVER (PARTITION BY rid, id ORDER BY diagonal, word ROWS UNBOUNDED PRECEDING) AS span FROM n),
-m AS (SELECT rid, label, false AS base, min(word) AS first_word, count(DISTINCT spot)::DOUBLE / grams AS score FROM s GROUP BY rid, id, label, grams, size, span
-  HAVING count(DISTINCT spot)::DOUBLE / grams >= {license_scan.COVERAGE}::DOUBLE AND max(word) + {k} - min(word) <= 2 * size),
+r1 AS (SELECT *, coalesce((word - lag(word) OVER (PARTITION BY rid, id ORDER BY word, spot) > {license_scan.FAR}::DOUBLE * size)::INTEGER, 1) AS opens FROM v WHERE NOT base),
+r2 AS (SELECT * EXCLUDE opens, sum(opens) OVER (PARTITION BY rid, id ORDER BY word, spot ROWS UNBOUNDED PRECEDING) AS place FROM r1),
+r3 AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY rid, id, place ORDER BY diagonal, word) > {license_scan.GAP})::INTEGER, 1) AS opens FROM r2),
+r4 AS (SELECT * EXCLUDE opens, sum(opens) OVER (PARTITION BY rid, id, place ORDER BY diagonal, word ROWS UNBOUNDED PRECEDING) AS band FROM r3),
+r5 AS (SELECT *, coalesce((word - lag(word) OVER (PARTITION BY rid, id, place, band ORDER BY word, spot) > {license_scan.FAR}::DOUBLE * size)::INTEGER, 1) AS opens FROM r4),
+s AS (SELECT * EXCLUDE opens, sum(opens) OVER (PARTITION BY rid, id, place, band ORDER BY word, spot ROWS UNBOUNDED PRECEDING) AS span FROM r5),
+m AS (SELECT rid, label, false AS base, min(word) AS first_word, count(DISTINCT spot)::DOUBLE / grams AS score FROM s GROUP BY rid, id, label, grams, size, place, band, span
+  HAVING count(DISTINCT spot)::DOUBLE / grams >= {license_scan.COVERAGE}::DOUBLE AND max(word) + {k} - min(word) <= 2 * size + {k}),
 f AS (SELECT * FROM e UNION ALL SELECT * FROM m),
 b AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(first_word) FILTER (WHERE base) AS first_word, max(first_word) FILTER (WHERE base) AS last_word,
     coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM f GROUP BY rid)

@@ -108,3 +108,29 @@ def test_spans_merge_neighbouring_diagonals(spark):
     cut = " ".join(["x"] * 7 + t[:12] + ["inserted"] + t[12:])
     found = license_scan.spans(spark.createDataFrame([(1, cut)], "doc_id long, text string")).where("not base").collect()
     assert len(found) == 1 and found[0].first_word == 7 and found[0].end_word == 8 + len(t) and found[0].score > 0.9
+
+
+def test_a_stray_match_on_the_diagonal_loses_no_notice(spark):
+    t = license_scan.TEMPLATES[1][0].split()
+    stray = [f"w{k}" for k in range(300)]
+    far = stray[:150] + t + stray[150 + len(t) :]
+    far[30:33] = t[3:6]  # three words of the notice elsewhere, but on a neighbouring diagonal of another one's
+    far[120:123] = t[:3]
+    far[270:273] = t[5:8]
+    near = ["x"] * 20 + t[2:5] + ["y"] * 9 + t + ["z"] * 9 + t[1:4] + ["x"] * 20
+    twice = t + ["and"] + t
+    texts = {1: far, 2: near, 3: twice}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    found = license_scan.spans(frame, templates=[license_scan.TEMPLATES[1]]).where("not base").collect()
+    by = {k: [r for r in found if r.doc_id == k] for k in texts}
+    assert all(r.score == 1 for r in found)
+    assert [(r.first_word, r.end_word) for r in by[1]] == [(150, 150 + len(t))]
+    assert len(by[2]) == 1 and by[2][0].first_word <= 32 and len(by[3]) == 2
+
+
+def test_whole_license_texts(spark):
+    docs = [(k, f"some words before {t} and after") for k, (t, _) in enumerate(license_scan.LONG_TEMPLATES)]
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(license_scan.LONG_TEMPLATES) == 12
+    for r in got:
+        assert license_scan.LONG_TEMPLATES[r.doc_id][1] in r.labels.split(",") and r.score == 1
