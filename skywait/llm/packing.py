@@ -1,4 +1,9 @@
-"""Vector best-fit packing: tokens, documents and attention cost bound every sequence."""
+"""Vector best-fit packing: tokens, documents and attention cost bound every sequence.
+
+Attention within documents is computed in square tiles, so a piece of n tokens costs
+ceil(n / TILE) squared of them. A sequence of one full piece sets the default bound. The sum
+of squared lengths could never pass that; the tiles of many short pieces do.
+"""
 
 from __future__ import annotations
 
@@ -12,19 +17,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import settle
-from .common import small_batches
+from .common import lean, small_batches
 from .tokens import encoded, piece_bounds
 
 LENGTH = 2048
 MAX_DOCUMENTS = 256
+TILE = 128
 CELL = 4096
 
 
+def attention_tiles(length, tile: int = TILE):
+    """Tiles that attention within a piece of so many tokens takes."""
+    return (-(-length // tile)) ** 2
+
+
 def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all documents' token pieces; ids stay behind."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
+    @lean
     def cut(batches):
         for rows, ids, counts in encoded(batches, ranks_path):
             row, piece, start, size = piece_bounds(counts, length)
@@ -42,12 +54,12 @@ def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None)
 
 def best_fit(
     length: np.ndarray, capacity: int, max_documents: int, max_cost: float,
-    weights: tuple[float, float, float] = (1.0, 0.02, 0.05), rule: str = "norm",
+    weights: tuple[float, float, float] = (1.0, 0.02, 0.05), rule: str = "norm", tile: int = TILE,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset for each length, taken from the longest to the shortest.
 
-    A piece of n tokens asks for (n, 1, n * n) of a bin's (capacity, max_documents,
-    max_cost). Among the bins with room in all three, "norm" takes the one whose residual
+    A piece of n tokens asks for (n, 1, its attention tiles) of a bin's (capacity,
+    max_documents, max_cost). A piece that costs more than max_cost by itself stands alone. Among the bins with room in all three, "norm" takes the one whose residual
     after the piece has the least weighted norm, "dot" the one with the largest weighted dot
     product of demand and residual; ties go to the oldest. Without one, a bin is opened.
     """
@@ -61,7 +73,7 @@ def best_fit(
     least = length.min() / capacity if len(length) else 0
     for k in order:
         n = int(length[k])
-        ask = np.array([n / capacity, 1 / max_documents, n * n / max_cost])
+        ask = np.array([n / capacity, 1 / max_documents, min(1.0, attention_tiles(n, tile) / max_cost)])
         live, pick = room[:, :n_open], -1
         fits = np.flatnonzero((live[0] >= ask[0] - slack) & (live[1] >= ask[1] - slack) & (live[2] >= ask[2] - slack))
         if len(fits):
@@ -80,7 +92,7 @@ def best_fit(
         bins[k], offset[k] = b, used[b]
         used[b] += n
         room[:, pick] -= ask
-        if room[0, pick] < least - slack or room[1, pick] < 1 / max_documents - slack:
+        if room[0, pick] < least - slack or room[1, pick] < 1 / max_documents - slack or room[2, pick] < 1 / max_cost - slack:
             n_open -= 1
             room[:, pick : n_open] = room[:, pick + 1 : n_open + 1]
             name[pick:n_open] = name[pick + 1 : n_open + 1]
@@ -89,25 +101,27 @@ def best_fit(
 
 def pack(
     docs: DataFrame, length: int = LENGTH, max_documents: int = MAX_DOCUMENTS, max_cost: float | None = None,
-    cell: int = CELL, rule: str = "norm", ranks_path: str | None = None,
+    cell: int = CELL, rule: str = "norm", ranks_path: str | None = None, tile: int | None = None,
 ) -> DataFrame:
     """Pack all documents' pieces: pieces() with sequence_id and offset.
 
     Pieces are dealt by hash into cells of about `cell` pieces and each cell is packed
     alone, so the last open bins of a cell are all that a global packing could save.
-    max_cost (default length squared) bounds the sum of squared piece lengths, which is
-    what attention within documents costs. Null and empty texts are one end token; very
-    long texts become whole pieces; repeated rows are packed as often as they come; an
-    empty table gives an empty result.
+    max_cost bounds a sequence's attention tiles (of a sixteenth of its length, if tile is
+    not given); by default it is what one full piece costs. Null and empty texts are one end token; very
+    long texts become whole pieces; repeated rows are packed as often as they come; pieces
+    of equal length are taken by id, piece and content; other columns stay out; an empty
+    table gives an empty result.
     """
     cut = settle(pieces(docs, length, ranks_path))
     n_cells = max(1, round(cut.count() / cell))
     dealt = cut.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_cells)))
-    cost = float(max_cost or length * length)
+    tile = tile or max(1, length // 16)
+    cost = float(max_cost or attention_tiles(length, tile))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offset = best_fit(group["length"].to_numpy(), length, max_documents, cost, rule=rule)
+        bins, offset = best_fit(group["length"].to_numpy(), length, max_documents, cost, rule=rule, tile=tile)
         out = group.drop(columns="_cell")
         out["sequence_id"], out["offset"] = (group["_cell"].to_numpy() << 32) + bins, offset
         return out

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import lean, small_batches
 from .tokens import encoded, piece_bounds
 
 LENGTH = 2048
@@ -84,7 +84,9 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, pad
     run on over the padding). Longer documents are cut, first piece shortest, and lose
     nothing. Packing takes windows of about `window` tokens of a partition's documents as
     they are read: token ids are never shuffled and a lost task redoes only its own.
-    Null and empty texts are one end token; repeated rows are packed as often as they come.
+    Ids over 65,535 are an error. Null and empty texts are one end token; repeated rows are
+    packed as often as they come; pieces of equal length are taken as they come; other
+    columns stay out; an empty table gives an empty result.
     """
     if length > 65_535:
         raise ValueError("segments over 65,535 tokens do not fit 16-bit positions")
@@ -95,6 +97,7 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, pad
         "cu_seqlens array<int>, ids binary, position_ids binary"
     )
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -103,6 +106,8 @@ def packed_rows(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, pad
         held: list[tuple] = []
         tokens = 0
         for rows, ids, counts in encoded(batches, ranks_path):
+            if len(ids) and ids.max() > 65_535:
+                raise ValueError("this vocabulary has ids that do not fit 16 bits")
             held.append((rows.column("doc_id"), ids.astype("<u2"), counts))
             tokens += len(ids)
             if tokens >= window:

@@ -1,4 +1,8 @@
-"""Token ids of whole texts under a fixed public byte-level BPE."""
+"""Token ids of whole texts under a fixed public byte-level BPE.
+
+As in its JSON file, the string of the special token stands for that token wherever it
+occurs in a text.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from .common import slices, text_bytes
 
 SLICE_BYTES = 12_000_000
 BARE_SPACE = r" ([\s\x0b\x{85}\pZ]|$)"
+SPECIAL = {"<|endoftext|>": 50256}  # fixed values of the vocabulary
 _loaded: dict = {}
 
 
@@ -25,7 +30,7 @@ def encoder(ranks_path: str | None = None):
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[ranks_path] = tiktoken.Encoding(
-            "fixed", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "fixed", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL
         )
     return _loaded[ranks_path]
 
@@ -35,8 +40,8 @@ def encode(texts: pa.Array, enc, end: int | None = 0) -> tuple[np.ndarray, np.nd
 
     The pre-tokenizer always starts a piece at a space that leads a word, so a text in which
     every space does is the sum of its space-led words: each distinct word of a slice is
-    encoded once. Texts with a space before white space or at the end are encoded whole.
-    end, if given, follows every text.
+    encoded once. Texts with a space before white space or at the end, or with a special
+    token, are encoded whole. end, if given, follows every text.
     """
     texts = pc.fill_null(texts.cast(pa.string()), "")
     parts = pc.split_pattern(texts, " ")
@@ -58,13 +63,15 @@ def encode(texts: pa.Array, enc, end: int | None = 0) -> tuple[np.ndarray, np.nd
     ids = table[np.repeat(at[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     totals = np.add.reduceat(n, starts) if len(starts) else n
     double = pc.match_substring_regex(texts, BARE_SPACE).to_numpy(zero_copy_only=False)
+    for name in SPECIAL:
+        double = double | pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
     if end is None and not double.any():
         return ids, totals
     out, sums, begin = [], totals.copy(), np.cumsum(totals) - totals
     if double.any():
         for d in range(len(texts)):
             if double[d]:
-                out.append(np.array(enc.encode_ordinary(texts[d].as_py()), dtype=np.uint32))
+                out.append(np.array(enc.encode(texts[d].as_py(), allowed_special="all"), dtype=np.uint32))
                 sums[d] = len(out[-1])
             else:
                 out.append(ids[begin[d] : begin[d] + totals[d]])

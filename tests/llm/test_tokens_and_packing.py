@@ -16,7 +16,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda texts: [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -25,7 +24,7 @@ def split(ids, counts):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é'S s\n\t  .1<|", max_size=25)), min_size=1, max_size=6))
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é'S s\n\t  .1<|", max_size=25), st.lists(st.sampled_from(["<|endoftext|>", " ", "a", " b", "\n", "<|"]), max_size=8).map("".join)), min_size=1, max_size=6))
 def test_ids_equal_the_tokenizer(reference, texts):
     assert split(*tokens.encode(pa.array(texts, pa.string()), tokens.encoder())) == reference(texts)
 
@@ -36,19 +35,29 @@ def test_piece_bounds():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 100), max_size=80), st.sampled_from(["norm", "dot"]))
-def test_best_fit_keeps_every_limit(lengths, rule):
+@given(st.lists(st.integers(1, 100), max_size=80), st.sampled_from(["norm", "dot"]), st.sampled_from([20, 60, 100]))
+def test_best_fit_keeps_every_limit(lengths, rule, cost):
     n = np.array(lengths, dtype=np.int64)
-    bins, offset = packing.best_fit(n, 100, 5, 6000.0 if max(lengths, default=0) < 70 else 10_000.0, rule=rule)
-    limit = 6000.0 if max(lengths, default=0) < 70 else 10_000.0
+    bins, offset = packing.best_fit(n, 100, 5, cost, rule=rule, tile=10)
     for b in set(bins.tolist()):
         mine = n[bins == b]
-        assert mine.sum() <= 100 and len(mine) <= 5 and (mine**2).sum() <= limit + 1e-6
+        tiles = (np.ceil(mine / 10) ** 2).sum()
+        assert mine.sum() <= 100 and len(mine) <= 5 and (tiles <= cost or len(mine) == 1)
         at = offset[bins == b]
         order = np.argsort(at)
         assert at[order].tolist() == (np.cumsum(mine[order]) - mine[order]).tolist()
 
 
+def test_every_capacity_opens_bins():
+    tokens, documents, cost = np.array([1500, 600]), np.full(300, 1), np.array([1900] + [3] * 40)
+    limits = (2048, packing.MAX_DOCUMENTS, packing.attention_tiles(2048))
+    bins = [len(set(packing.best_fit(n, *limits)[0].tolist())) for n in (tokens, documents, cost)]
+    assert bins == [2, 2, 2]
+    assert [tokens.sum() > 2048, len(documents) > 256, packing.attention_tiles(cost).sum() > 256] == [True] * 3
+    assert cost.sum() <= 2048 and len(cost) <= 256, "only its attention cost binds"
+    assert set(packing.best_fit(cost, 2048, 256, 1e9)[0].tolist()) == {0}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=120))
 def test_decreasing_fit_equals_a_plain_search(lengths):
