@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import settle
-from .common import is_training, mix64, slices, small_batches, text_bytes
+from .common import is_training, lean, mix64, slices, small_batches, text_bytes
 
 LONGEST_PIECE = 16  # of the public vocabulary; forward() rescales after so many characters
 GRID_NUMBERS = 10_000_000  # prefix probabilities held at a time; one longer word stands alone
@@ -73,6 +73,11 @@ def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, counts
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    """Marks alone are words, but no letters."""
+    return pc.match_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), r"\pL").to_numpy(zero_copy_only=False)
+
+
 def grids(words: pa.Array, languages: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word numbers, code points [words, length], lengths) of words of about equal length.
 
@@ -204,6 +209,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, rounds: int = ROUNDS
     share = F.get(F.array(*[F.lit(min(1.0, max_rows / counts[x])) for x in languages]), code)
     sample = labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
 
+    @lean
     def count_words(batches):
         for b in batches:
             for lo, hi in slices(text_bytes(b.column("text")), SLICE_BYTES):
@@ -222,6 +228,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, rounds: int = ROUNDS
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(chance)
 
+        @lean
         def expect(batches, shared=shared):
             vocabulary, now, out = load_pieces(pieces_path), shared.value, None
             for b in batches:
@@ -241,44 +248,47 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, rounds: int = ROUNDS
     return Model(languages, chance, pieces_path)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with lang_pred and score: the most probable language and its posterior.
 
     Languages weigh alike beforehand. Null texts and texts without a letter are 'und' with
     score 0; ties go to the first language by code point; every character of a text counts.
     Repeated rows are scored alike, an empty table gives an empty result, and a model
-    without languages calls all texts 'und'. Columns of these names are replaced.
+    without languages calls all texts 'und'. Columns of these names (`names`) are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    rest = docs.drop("lang_pred", "score")
+    # plain lists and arrays: a broadcast is read where this package may be missing
+    shared = spark.sparkContext.broadcast((model.languages, model.chance, model.pieces_path))
+    rest = docs.drop(*names)
 
+    @lean
     def run(batches):
-        now = shared.value
-        vocabulary = load_pieces(now.pieces_path)
+        languages, chance, path = shared.value
+        vocabulary = load_pieces(path)
         for b in batches:
             for lo, hi in slices(text_bytes(b.column("text")), SLICE_BYTES):
                 part = b.slice(lo, hi - lo)
                 words, n = letter_words(part.column("text"))
-                scores = np.zeros((part.num_rows, len(now.languages)))
-                if len(words) and now.languages:
+                scores = np.zeros((part.num_rows, len(languages)))
+                if len(words) and languages:
                     coded = words.dictionary_encode()
-                    each = log_chances(coded.dictionary, vocabulary, now.chance)
+                    each = log_chances(coded.dictionary, vocabulary, chance)
                     index = coded.indices.to_numpy(zero_copy_only=False)
                     row = np.repeat(np.arange(part.num_rows), n)
-                    for k in range(len(now.languages)):
+                    for k in range(len(languages)):
                         scores[:, k] = np.bincount(row, weights=each[index, k], minlength=part.num_rows)
-                if now.languages:
+                if languages:
                     best = scores.argmax(1)
                     score = 1.0 / np.exp(scores - scores.max(1, keepdims=True)).sum(1)
-                    names = np.array(now.languages, dtype=object)[best]
+                    named = np.array(languages, dtype=object)[best]
                 else:
-                    score, names = np.zeros(part.num_rows), np.full(part.num_rows, "und", dtype=object)
-                names[n == 0], score[n == 0] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                    score, named = np.zeros(part.num_rows), np.full(part.num_rows, "und", dtype=object)
+                none = ~has_letter(part.column("text"))
+                named[none], score[none] = "und", 0.0
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(score)], [*part.schema.names, *names])
 
-    schema = T.StructType([*rest.schema.fields]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*rest.schema.fields]).add(names[0], "string").add(names[1], "double")
     return rest.mapInArrow(run, schema)
 
 
