@@ -3,194 +3,214 @@
 A text is coded as its lower-cased words, a space after each, and a line feed. The context
 of a byte is the DEPTH bytes before it, across words; a space leads the text, and 0 stands
 before that. A byte is eight binary decisions; each decision has Krichevsky-Trofimov counts
-at every context depth, and context-tree weighting mixes the depths. Training documents of
-each class (a label column, such as the language) fill a tree of their own, and a text's
-probability is the mixture of the trees' over the whole text, so scoring needs no label.
-Counts come from the training documents alone and stay fixed.
-
-All contexts count. They are a Spark table of (context, byte) that grows with the corpus:
-its subtrees are weighted in groups by the last two bytes of the context, the two depths above
-in groups by decision, and blocks of texts meet the part of the table that they use.
+at every context depth, and context-tree weighting mixes all depths. Counts come from the
+training documents alone and stay fixed.
+
+Texts are dealt into blocks by hash. A block's distinct (context, byte) pairs and distinct
+words go to groups, where the blocks' counts add up to tables that grow with the corpus.
+Subtrees are weighted in groups by the last two bytes of the context, the two depths above
+for each of the eight decisions. Then every block gets back what the tables have for its
+own pairs and words, and its texts are scored beside that.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import settle
-from .common import is_training, list_parts, slices, small_batches, text_bytes, words
+from ..sources.shared import forget, settle
+from .common import is_training, lean, mix64, slices, small_batches, text_bytes
 
 DEPTH = 6
-#: Bytes of texts that look up their (context, byte) pairs together, and that are cut into pairs at a time.
-BLOCK_BYTES, CUT_BYTES = 32_000_000, 3_000_000
-#: (context, byte) pairs in a group of subtrees.
-GROUP_PAIRS = 150_000
-#: How many of the most frequent words are sent to executors; the others meet the texts in a join.
-LISTED = 1 << 18
-SPACE, END = 0x20, 0x0A
-SLICE_BYTES = 8_000_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def byte_steps(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each byte of each word and its closing space: (word numbers, packed contexts, bytes).
-
-    A packed context has the last DEPTH bytes, the last in the lowest bits; before the leading
-    space it is 0.
-    """
-    raw = pc.binary_join(pa.array([items.cast(pa.binary()).to_pylist()]), b" ")[0].as_py() if len(items) else b""
-    flat = np.frombuffer(b" " + raw + b" ", dtype=np.uint8) if len(items) else np.empty(0, dtype=np.uint8)
-    n = pc.binary_length(items).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    word = np.repeat(np.arange(len(items)), n)
-    first = np.cumsum(n) - n + 1  # of each word's bytes in flat
-    age = np.arange(1, len(word) + 1) - first[word]  # bytes of the word before this one
-    context = np.zeros(len(word), dtype=np.int64)
-    for d in range(min(DEPTH, len(word))):
-        context[d:] |= flat[: len(word) - d].astype(np.int64) << (8 * d)
-    early = np.flatnonzero(age < DEPTH - 1)  # the leading space is the first of the context
-    context[early] &= (1 << (8 * (age[early] + 1))) - 1
-    return word, context, flat[1:] if len(flat) else flat
+#: Bytes of texts in a block, and in a slice of one that is worked on at a time.
+BLOCK_BYTES, SLICE_BYTES = 24_000_000, 3_000_000
+#: Bytes of texts for each group of the tables, and the most groups (each then holds more).
+GROUP_BYTES, MOST_GROUPS = 16_000_000, 4096
+#: Tables that a task adds up before another round, and blocks that one task looks up for.
+FAN_IN, LOOK_UPS = 512, 1024
+#: Code lengths travel as whole numbers of this fraction of a decimal digit.
+SCALE = 1 << 16
+LEAD, END = b"\0" * (DEPTH - 1) + b" ", b"\n"
+WORDS, BYTES = 0, 1  # kinds of tables
 
 
-@dataclass
-class Tree:
-    """Contexts of each depth (sorted packed bytes), their numbers, and log10 P(byte | context)."""
-
-    contexts: list[np.ndarray]
-    numbers: list[np.ndarray]
-    log10: np.ndarray
-
-    def deepest(self, context: np.ndarray) -> np.ndarray:
-        """The number of the longest kept suffix of each context."""
-        out = np.zeros(len(context), dtype=np.int64)
-        left = np.arange(len(context))
-        for d in range(len(self.contexts) - 1, 0, -1):
-            known = self.contexts[d]
-            if not len(known):
-                continue
-            part = context[left] & ((1 << (8 * d)) - 1)
-            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-            hit = known[at] == part
-            out[left[hit]] = self.numbers[d][at[hit]]
-            left = left[~hit]
-        return out
-
-
-def _bit_counts(counts: np.ndarray) -> np.ndarray:
-    """[contexts, 256] byte counts -> [contexts, 256] counts below each binary node (1 is the root)."""
-    tree = np.zeros((len(counts), 512))
-    tree[:, 256:] = counts
-    for node in range(255, 0, -1):
-        tree[:, node] = tree[:, 2 * node] + tree[:, 2 * node + 1]
-    return tree
+def joined(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts with one space between words and none around."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    return pc.binary_join(pc.ascii_split_whitespace(bare), " ")
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, shifted so that it holds from 0.5 on."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(6):
-        small = y < 7
-        shift -= np.where(small, np.log(y), 0.0)
-        y = np.where(small, y + 1, y)
-    return shift + (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+def byte_steps(plain: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every coded byte of joined() texts; a key is the context's DEPTH bytes, then the byte."""
+    tail = pc.if_else(pc.greater(pc.binary_length(plain), 0), b" " + END, END)
+    whole = pc.binary_join_element_wise(LEAD, plain.cast(pa.binary()), tail, b"")
+    coded = pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64) - DEPTH
+    flat = b"\0" * 8 + b"".join(whole.to_pylist())
+    ending = np.ndarray((len(flat) - 8,), dtype=">u8", buffer=flat, offset=1, strides=(1,))  # the eight bytes up to each
+    row = np.repeat(np.arange(len(plain), dtype=np.int32), coded)
+    at = np.arange(len(row)) + DEPTH * (row.astype(np.int64) + 1)  # a text's lead is not coded
+    return row, (ending[at] & np.uint64((1 << (8 * (DEPTH + 1))) - 1)).astype(np.int64)
 
 
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Natural log of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    out = np.zeros(zeros.shape, dtype=np.float32)
-    seen = (zeros + ones) > 0  # most decisions of a context never came up
-    z, o = zeros[seen].astype(np.float64), ones[seen].astype(np.float64)
-    out[seen] = _log_gamma(z + 0.5) + _log_gamma(o + 0.5) - math.log(math.pi) - _log_gamma(z + o + 1.0)
-    return out
+def word_steps(plain: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, hashes): every word of joined() texts by its number, and the distinct words' hashes."""
+    full = pc.greater(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(plain.filter(pa.array(full)), " ")
+    row = np.repeat(np.flatnonzero(full), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.binary())
+    size = pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.frombuffer(b"".join(names.to_pylist()), dtype=np.uint8).astype(np.uint64)
+    start = np.cumsum(size) - size
+    with np.errstate(over="ignore"):  # a polynomial in the bytes
+        power = np.cumprod(np.full(int(size.max(initial=0)), 0x9E3779B97F4A7C15, dtype=np.uint64))
+        terms = (flat + np.uint64(1)) * power[np.arange(len(flat)) - np.repeat(start, size)]
+        sums = np.add.reduceat(terms, start) if len(start) else terms
+    return row, coded.indices.to_numpy(zero_copy_only=False), mix64(sums).view(np.int64)
 
 
-def fit_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, count: np.ndarray) -> Tree:
-    """Mix all depths from the kept contexts' byte counts (each context's parent is kept too).
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, byte planes side by side."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
 
-    Bottom up, a node's weighted probability is half its own estimate and half the product
-    of its children's; visits that no kept child covers form one more child of their own.
-    Top down, the share of each depth on a path becomes the mix of its estimates.
-    """
-    levels = int(depth.max(initial=0)) + 1
-    contexts, numbers, own, base = [], [], [], 0
-    for d in range(levels):
-        mine = depth == d
-        known = np.unique(context[mine]) if d else np.zeros(1, dtype=np.int64)
-        grid = np.zeros((len(known), 256))
-        np.add.at(grid, (np.searchsorted(known, context[mine]), byte[mine]), count[mine])
-        contexts.append(known)
-        numbers.append(np.arange(base, base + len(known)))
-        own.append(_bit_counts(grid).astype(np.float32))
-        base += len(known)
-    parents = [None] + [np.searchsorted(contexts[d - 1], contexts[d] & ((1 << (8 * (d - 1))) - 1)) for d in range(1, levels)]
-    half = math.log(0.5)
-    stop: list[np.ndarray] = [None] * levels  # weight of a node's own estimate
-    below = None  # (log weighted probability, counts) of the next depth, by node
-    for d in range(levels - 1, -1, -1):
-        tree = own[d]
-        estimate = _log_kt(tree[:, 0:512:2][:, 1:256], tree[:, 1:512:2][:, 1:256])
-        if below is None:
-            stop[d], mixed = np.ones(estimate.shape, dtype=np.float32), estimate
-        else:
-            inner, up = np.zeros_like(estimate), parents[d + 1]
-            rest = tree.copy()
-            np.add.at(inner, up, below)
-            np.add.at(rest, up, -own[d + 1])
-            rest = np.maximum(rest, 0)
-            inner += _log_kt(rest[:, 0:512:2][:, 1:256], rest[:, 1:512:2][:, 1:256])
-            with_children = np.zeros(len(tree), dtype=bool)
-            with_children[up] = True
-            both = np.logaddexp(half + estimate, half + inner)
-            share = np.exp(half + estimate - both)
-            stop[d] = np.where(with_children[:, None], share, 1.0).astype(np.float32)
-            mixed = np.where(with_children[:, None], both, estimate)
-        below = mixed
-    out = np.empty((base, 256), dtype=np.float32)
-    mix = left = None
-    path = np.array([[(1 << k) | (b >> (8 - k)) for k in range(8)] for b in range(256)]) - 1  # nodes of a byte's decisions
-    bits = np.array([[(b >> (7 - k)) & 1 for k in range(8)] for b in range(256)])
-    for d in range(levels):
-        tree = own[d]
-        zeros, ones = tree[:, 0:512:2][:, 1:256], tree[:, 1:512:2][:, 1:256]
-        one = ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32)
-        if d == 0:
-            mix, left = np.zeros_like(one), np.ones_like(one)
-        else:
-            mix, left = mix[parents[d]], left[parents[d]]
-        chance = mix + left * one  # if this is the deepest kept context
-        for a in range(0, len(chance), 2048):
-            c = chance[a : a + 2048]
-            each = np.where(bits[None], c[:, path], 1 - c[:, path])
-            out[numbers[d][0] + a : numbers[d][0] + a + len(c)] = np.log10(each).sum(2)
-        mix, left = mix + left * stop[d] * one, left * (1 - stop[d])
-    return Tree(contexts, numbers, out)
 
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
 
-def joined(texts: pa.Array) -> pa.Array:
-    """Lower-cased texts with one space between words and none around."""
-    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-    return pc.binary_join(pc.ascii_split_whitespace(bare), " ")
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return pack(np.diff(keys, prepend=0))
+
+
+def unpack_keys(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(packed, n))
+
+
+def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of (keys, counts) tables, and their counts' sums."""
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, np.diff(keys) != 0)) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+class Held:
+    """Tables that add up as they come, in bounded memory."""
+
+    def __init__(self) -> None:
+        self.parts, self.loose = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.loose += len(keys)
+        if self.loose > max(2_000_000, 2 * len(self.parts[0][0])) and len(self.parts) > 1:
+            self.parts, self.loose = [add_up(self.parts)], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return add_up(self.parts)
+
+
+def count_slice(texts: pa.Array, training: np.ndarray, words: Held, pairs: Held) -> None:
+    """Add a slice's distinct words and (context, byte) pairs with their uses in training texts."""
+    plain = joined(texts)
+    row, number, hashes = word_steps(plain)
+    words.add(hashes, np.bincount(number, weights=training[row], minlength=len(hashes)).astype(np.int64))
+    row, key = byte_steps(plain)
+    uses = training[row]
+    for flag in (True, False):
+        found, n = np.unique(key[uses == flag], return_counts=True)
+        pairs.add(found, n if flag else np.zeros(len(n), dtype=np.int64))
+
+
+def group_of(kind: int, keys: np.ndarray, groups: int) -> np.ndarray:
+    """Words by their hash, pairs by the last two bytes of the context."""
+    spread = keys.view(np.uint64) if kind == WORDS else mix64((keys >> 8) & 0xFFFF)
+    return (spread % np.uint64(groups)).astype(np.int64)
+
+
+TABLE = "block long, kind int, group long, size long, total long, seen long, keys binary, counts binary"
+
+
+def _table_rows(block: int, kind: int, group: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(group, kind="stable")  # keys stay sorted in each group
+    starts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        at = order[a:b]
+        k, n = keys[at], counts[at]
+        row = {"block": block, "kind": kind, "group": group[at[0]], "size": len(k), "total": n.sum(), "seen": (n > 0).sum(), "keys": pack_keys(k), "counts": pack(n)}
+        yield pa.RecordBatch.from_pylist([{c: v if isinstance(v, bytes) else int(v) for c, v in row.items()}], _arrow(TABLE))
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
-def text_steps(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, packed context << 8 | byte) of every coded byte of texts, the line feeds last."""
-    items = joined(texts)
-    full = pc.greater(pc.binary_length(items), 0).to_numpy(zero_copy_only=False)
-    word, context, byte = byte_steps(items.filter(pa.array(full)))
-    rows = np.flatnonzero(full)
-    key = (context << 8) | byte
-    last = np.full(len(items), SPACE, dtype=np.int64)
-    if len(rows):
-        last[rows] = key[np.append(np.flatnonzero(np.diff(word)), len(word) - 1)] & ((1 << (8 * DEPTH)) - 1)
-    return np.concatenate([rows[word], np.arange(len(items))]), np.concatenate([key, (last << 8) | END])
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of equal neighbours."""
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    if len(values):
+        yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)
+
+
+def block_tables(rows: DataFrame, groups: int) -> DataFrame:
+    """TABLE rows of rows (block, training, text) sorted by block: what each block holds, by group."""
+
+    @lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, (Held(), Held())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, table in zip((WORDS, BYTES), held, strict=True):
+                if table.parts:
+                    keys, counts = table.total()
+                    yield from _table_rows(now, kind, group_of(kind, keys, groups), keys, counts)
+
+        for b in batches:
+            blocks = b.column("block").to_numpy()
+            for lo, hi in runs(blocks):
+                if blocks[lo] != now:
+                    yield from flush()
+                    now, held = blocks[lo], (Held(), Held())
+                part = b.slice(lo, hi - lo)
+                for a, z in slices(text_bytes(part.column("text")), SLICE_BYTES):
+                    piece = part.slice(a, z - a)
+                    count_slice(piece.column("text"), piece.column("training").to_numpy(zero_copy_only=False), *held)
+        yield from flush()
+
+    return rows.mapInArrow(count, TABLE)
+
+
+def gathered(tables: DataFrame, blocks: int) -> DataFrame:
+    """One row for each kind and group: all blocks' counts added up, FAN_IN tables a task at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kind, group, part = Held(), None, None, None
+        for b in batches:
+            for r in b.to_pylist():
+                kind, group, part = r["kind"], r["group"], r["block"]
+                held.add(unpack_keys(r["keys"], r["size"]), unpack(r["counts"], r["size"]))
+        keys, counts = held.total()
+        yield from _table_rows(part, kind, np.full(len(keys), group), keys, counts)
+
+    while True:
+        blocks = -(-blocks // FAN_IN)
+        tables = tables.withColumn("block", F.floor(F.col("block") / FAN_IN).cast("long"))
+        tables = settle(tables.groupBy("kind", "group", "block").applyInArrow(add, TABLE))
+        if blocks <= 1:
+            return tables
 
 
 _TABLE = 1 << 16
@@ -198,15 +218,21 @@ _HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 0.5))])  #
 _WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_TABLE) + 1.0))])  # log of n!
 
 
-def _log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """_log_kt of whole counts in double precision, by tables."""
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, for large numbers."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Natural log of the Krichevsky-Trofimov probability of so many zeros and ones."""
     total = zeros + ones
-    z, o, t = (np.minimum(x, _TABLE).astype(np.int64) for x in (zeros, ones, total))
+    z, o, t = (np.minimum(x, _TABLE) for x in (zeros, ones, total))
     out = _HALVES[z] + _HALVES[o] - _WHOLES[t]
-    big = total >= _TABLE
-    if big.any():
+    big = np.flatnonzero(total >= _TABLE)
+    if len(big):
         x, y = zeros[big], ones[big]
-        out[big] = _log_gamma(x + 0.5) + _log_gamma(y + 0.5) - math.log(math.pi) - _log_gamma(x + y + 1.0)
+        half = [np.where(v < _TABLE, _HALVES[np.minimum(v, _TABLE)], _log_gamma(np.maximum(v, 1) + 0.5) - 0.5 * math.log(math.pi)) for v in (x, y)]
+        out[big] = half[0] + half[1] - _log_gamma(x + y + 1.0)
     return out
 
 
@@ -216,7 +242,7 @@ class Levels:
 
     order: np.ndarray
     starts: list[np.ndarray]  # the first pair of each node
-    zeros: list[np.ndarray]  # [nodes, classes]
+    zeros: list[np.ndarray]
     ones: list[np.ndarray]
 
     def up(self, d: int) -> np.ndarray:
@@ -229,11 +255,11 @@ class Levels:
         leaves: weighted probabilities of the deepest nodes, if they have children elsewhere.
         """
         half, last = math.log(0.5), len(self.starts) - 1
-        mixed = _log_estimate(self.zeros[last], self.ones[last]) if leaves is None else leaves
-        shares = [np.ones((0, 0))] * (last + 1)
+        mixed = log_estimate(self.zeros[last], self.ones[last]) if leaves is None else leaves
+        shares = [np.ones(0)] * (last + 1)
         for d in range(last - 1, -1, -1):
-            own = half + _log_estimate(self.zeros[d], self.ones[d])
-            inner = half + np.add.reduceat(mixed, np.searchsorted(self.starts[d + 1], self.starts[d]), axis=0)
+            own = half + log_estimate(self.zeros[d], self.ones[d])
+            inner = half + np.add.reduceat(mixed, np.searchsorted(self.starts[d + 1], self.starts[d]))
             mixed = np.logaddexp(own, inner)
             shares[d] = np.exp(own - mixed)
         return mixed, shares
@@ -256,258 +282,164 @@ def levels(code: np.ndarray, shifts: list[int], zeros: np.ndarray, ones: np.ndar
     code = code[order]
     starts = [np.flatnonzero(np.append(True, np.diff(code >> k) != 0)) for k in shifts]
     zeros, ones = zeros[order], ones[order]
-    return Levels(order, starts, [np.add.reduceat(zeros, x, axis=0) for x in starts], [np.add.reduceat(ones, x, axis=0) for x in starts])
-
-
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list column of the rows of a matrix."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1), kind))
-
-
-def _matrix(table: pa.Table, name: str, classes: int) -> np.ndarray:
-    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
+    return Levels(order, starts, [np.add.reduceat(zeros, x) for x in starts], [np.add.reduceat(ones, x) for x in starts])
 
 
-def _decisions(table: pa.Table, classes: int):
-    """(keys, bit number, decisions' levels from depth 2 on, bits) for the eight decisions of pairs (key, class, n)."""
-    keys, at = np.unique(table.column("key").to_numpy(), return_inverse=True)
-    cell = at * classes + table.column("class").to_numpy()
-    n = np.bincount(cell, weights=table.column("n").to_numpy(), minlength=len(keys) * classes).reshape(-1, classes)
+def decisions(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, Levels, np.ndarray]]:
+    """(decision, pairs' codes, levels from depth 2 on, bits) for the eight decisions of pairs with counts n."""
     byte, back = keys & 255, np.zeros(len(keys), dtype=np.int64)
     for d in range(DEPTH):
         back |= ((keys >> (8 * (d + 1))) & 255) << (8 * (DEPTH - 1 - d))
     for k in range(8):
         bit = (byte >> (7 - k)) & 1
         code = (((1 << k) | (byte >> (8 - k))) << (8 * DEPTH)) | back
-        yield keys, code, levels(code, [8 * (DEPTH - d) for d in range(2, DEPTH + 1)], n * (bit == 0)[:, None], n * (bit == 1)[:, None]), bit
+        yield k, code, levels(code, [8 * (DEPTH - d) for d in range(2, DEPTH + 1)], n * (bit == 0), n * bit), bit
 
 
-def spell(grams: DataFrame, classes: int) -> DataFrame:
-    """(key, codes) of grams (key, class, n): log10 P(byte | context) of each distinct key in each class's tree."""
-    groups = max(8, -(-grams.count() // GROUP_PAIRS))
-    group = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(groups)).cast("long").alias("group")
-    dealt = grams.withColumn("group", group(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))))
-    many = pa.float64()
+def code_lengths(pairs: DataFrame, groups: int) -> DataFrame:
+    """(kind, group, size, keys, counts) of gathered pairs, with log10 P(byte | context) / SCALE in place of counts."""
+    upper = 8 * (DEPTH - 2)  # a node of depth 2: its decision, the last byte, the one before
 
-    def bottom_up(table: pa.Table) -> pa.Table:
-        out = []
-        for _, code, tree, _ in _decisions(table, classes):
-            weight, _ = tree.weigh()
-            top = code[tree.order][tree.starts[0]] >> (8 * (DEPTH - 2))
-            out.append(pa.table({"node": top, "decision": (top >> 16).astype(np.int32), "zeros": _lists(tree.zeros[0], many), "ones": _lists(tree.ones[0], many), "weight": _lists(weight, many)}))
-        return pa.concat_tables(out)
+    @lean
+    def bottom_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                for k, code, tree, _ in decisions(unpack_keys(r["keys"], r["size"]), unpack(r["counts"], r["size"])):
+                    weight, _ = tree.weigh()
+                    node = code[tree.order][tree.starts[0]] >> upper
+                    yield pa.record_batch([pa.array([k], pa.int32()), [node], [tree.zeros[0]], [tree.ones[0]], [weight]], ["bit", "node", "zeros", "ones", "weight"])
 
     def above(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        tree = levels(node, [16, 8, 0], _matrix(table, "zeros", classes), _matrix(table, "ones", classes))
-        _, shares = tree.weigh(_matrix(table, "weight", classes)[tree.order])
-        mix, left = tree.descend(shares, np.zeros((1, classes)), np.ones((1, classes)))
-        return pa.table({"node": node[tree.order], "mix": _lists(mix, many), "left": _lists(left, many)})
+        node, zeros, ones, weight = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("node", "zeros", "ones", "weight"))
+        tree = levels(node, [16, 8, 0], zeros, ones)
+        _, shares = tree.weigh(weight[tree.order])
+        mix, left = tree.descend(shares, np.zeros(len(tree.starts[0])), np.ones(len(tree.starts[0])))
+        node = node[tree.order]
+        group = group_of(BYTES, ((node & 255) << 16) | (((node >> 8) & 255) << 8), groups)
+        order = np.argsort(group, kind="stable")
+        parts = [(group[order[a]], node[order[a:b]], mix[order[a:b]], left[order[a:b]]) for a, b in runs(group[order])]
+        bit = table.column("bit")[0].as_py()
+        return pa.table({"group": [int(p[0]) for p in parts], "bit": pa.array([bit] * len(parts), pa.int32()), "node": [p[1] for p in parts], "mix": [p[2] for p in parts], "left": [p[3] for p in parts]})
 
     def top_down(table: pa.Table, tops: pa.Table) -> pa.Table:
-        place = np.argsort(tops.column("node").to_numpy())
-        nodes = tops.column("node").to_numpy()[place]
-        mixes, lefts = _matrix(tops, "mix", classes)[place], _matrix(tops, "left", classes)[place]
-        codes = None
-        for keys, code, tree, bit in _decisions(table, classes):
-            codes = np.zeros((len(keys), classes)) if codes is None else codes
-            _, shares = tree.weigh()
-            at = np.searchsorted(nodes, code[tree.order][tree.starts[0]] >> (8 * (DEPTH - 2)))
-            mix, left = tree.descend(shares, mixes[at], lefts[at])
-            chance = mix + left * tree.chance(len(tree.starts) - 1)
-            each = np.repeat(chance, np.diff(np.append(tree.starts[-1], len(keys))), axis=0)
-            codes[tree.order] += np.log10(np.where(bit[tree.order][:, None] == 1, each, 1 - each))
-        return pa.table({"key": keys, "codes": _lists(codes, pa.float32())})
-
-    lower = settle(dealt.groupBy("group").applyInArrow(bottom_up, "node long, decision int, zeros array<double>, ones array<double>, weight array<double>"))
-    upper = lower.groupBy("decision").applyInArrow(above, "node long, mix array<double>, left array<double>")
-    # a node is its decision and the last byte before the one ahead of it
-    last_two = F.shiftright("node", 8).bitwiseAND(F.lit(255)).bitwiseOR(F.shiftleft(F.col("node").bitwiseAND(F.lit(255)), 8))
-    tops = settle(upper.withColumn("group", group(last_two)))
-    return settle(dealt.groupBy("group").cogroup(tops.groupBy("group")).applyInArrow(top_down, "key long, codes array<float>"))
-
-
-def pairs(rows: DataFrame) -> DataFrame:
-    """(block, key, class, n, first) of rows (block, class, training, text): the distinct keys of each
-    block and class with their training uses; first marks one row of each block's key."""
-
-    def flush(block, parts):
+        top = {tops.column("bit")[i].as_py(): [tops.column(c)[i].values.to_numpy() for c in ("node", "mix", "left")] for i in range(tops.num_rows)}
         out = []
-        for c in sorted(parts):
-            key, at = np.unique(np.concatenate([k for k, _ in parts[c]]), return_inverse=True)
-            out.append((key, np.full(len(key), c, dtype=np.int32), np.bincount(at, weights=np.concatenate([n for _, n in parts[c]])).astype(np.int64)))
-        key, kind, n = (np.concatenate(x) for x in zip(*out, strict=True))
-        first = np.zeros(len(key), dtype=bool)
-        first[np.unique(key, return_index=True)[1]] = True
-        for a in range(0, len(key), 200_000):
-            b = slice(a, a + 200_000)
-            yield pa.record_batch([pa.array(np.full(len(key[b]), block)), pa.array(key[b]), pa.array(kind[b]), pa.array(n[b]), pa.array(first[b])], ["block", "key", "class", "n", "first"])
-
-    def cut(batches):
-        now, parts = None, {}
-        for b in batches:
-            blocks, kinds, training = (b.column(c).to_numpy(zero_copy_only=False) for c in ("block", "class", "training"))
-            heavy = np.cumsum(text_bytes(b.column("text"))) // CUT_BYTES
-            group = np.cumsum(np.append(0, (np.diff(blocks) != 0) | (np.diff(heavy) != 0))) if b.num_rows else np.empty(0)
-            for g in np.unique(group):
-                lo, hi = np.searchsorted(group, [g, g + 1])
-                if blocks[lo] != now:
-                    if parts:
-                        yield from flush(now, parts)
-                    now, parts = blocks[lo], {}
-                row, key = text_steps(b.column("text").slice(lo, hi - lo))
-                kind, uses = kinds[lo:hi][row], training[lo:hi][row]
-                for c in np.unique(kinds[lo:hi]).tolist():
-                    for flag in (True, False):
-                        found, n = np.unique(key[(kind == c) & (uses == flag)], return_counts=True)
-                        if len(found):
-                            parts.setdefault(c, []).append((found, n if flag else np.zeros(len(n), dtype=np.int64)))
-        if parts:
-            yield from flush(now, parts)
-
-    return rows.select("block", "class", "training", "text").mapInArrow(cut, "block long, key long, class int, n long, first boolean")
-
-
-def text_codes(rows: DataFrame, classes: int) -> DataFrame:
-    """(row, codes) of rows (row, block, class, training, text): log10 P(text) in each class's tree."""
-    found = settle(pairs(rows))
-    spelled = spell(settle(found.groupBy("key", "class").agg(F.sum("n").alias("n"))), classes)
-    used = found.where("first").select("block", "key").join(spelled, "key")
-
-    def look_up(texts: pa.Table, table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        order = np.argsort(keys)
-        keys, codes = keys[order], _matrix(table, "codes", classes)[order]
-        out = np.zeros((texts.num_rows, classes))
-        column = texts.column("text").combine_chunks()
-        for lo, hi in slices(text_bytes(column), CUT_BYTES):
-            row, key = text_steps(column.slice(lo, hi - lo))
-            at = np.searchsorted(keys, key)
-            for k in range(classes):
-                out[lo:hi, k] = np.bincount(row, weights=codes[at, k], minlength=hi - lo)
-        return pa.table({"row": texts.column("row"), "codes": _lists(out, pa.float64())})
-
-    return rows.select("block", "row", "text").groupBy("block").cogroup(used.groupBy("block")).applyInArrow(look_up, "row long, codes array<double>")
-
-
-def class_numbers(docs: DataFrame, class_column: str | None, folds: int, held_out: int) -> tuple[Column, list[int]]:
-    """Each document's class number, and how many training documents each class has."""
-    training = docs.where(is_training(F.col("doc_id"), folds, held_out))
-    if class_column is None:
-        return F.lit(0), [training.count()]
-    groups = training.groupBy(class_column).count().orderBy(F.desc("count"), class_column).collect()
-    named = [g for g in groups if g[0] is not None]
-    number = F.array_position(F.array(*[F.lit(g[0]) for g in named]).cast("array<string>"), F.col(class_column).cast("string"))
-    rest = training.count() - sum(g["count"] for g in named)
-    counts = [g["count"] for g in named] + ([rest] if rest or not named else [])
-    return F.when(F.coalesce(number, F.lit(0)) > 0, number - 1).otherwise(len(counts) - 1).cast("int"), counts
-
-
-def vocabulary(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
-    """(word, n): all distinct lower-cased words of all texts, with their uses in training texts."""
-
-    def count(batches):
+        for r in table.to_pylist():
+            keys = unpack_keys(r["keys"], r["size"])
+            total = np.zeros(len(keys))
+            for k, code, tree, bit in decisions(keys, unpack(r["counts"], r["size"])):
+                _, shares = tree.weigh()
+                nodes, mix, left = top[k]
+                at = np.searchsorted(nodes, code[tree.order][tree.starts[0]] >> upper)
+                mix, left = tree.descend(shares, mix[at], left[at])
+                chance = mix + left * tree.chance(len(tree.starts) - 1)
+                each = np.repeat(chance, np.diff(np.append(tree.starts[-1], len(keys))))
+                total[tree.order] += np.log10(np.where(bit[tree.order] == 1, each, 1 - each))
+            out.append({"kind": BYTES, "group": r["group"], "size": r["size"], "keys": r["keys"], "counts": pack(np.round(total * SCALE).astype(np.int64))})
+        return pa.Table.from_pylist(out, _arrow("kind int, group long, size long, keys binary, counts binary"))
+
+    lower = settle(pairs.select("size", "keys", "counts").mapInArrow(bottom_up, "bit int, node array<long>, zeros array<long>, ones array<long>, weight array<double>"))
+    tops = settle(lower.groupBy("bit").applyInArrow(above, "group long, bit int, node array<long>, mix array<double>, left array<double>"))
+    return pairs.groupBy("group").cogroup(tops.groupBy("group")).applyInArrow(top_down, "kind int, group long, size long, keys binary, counts binary")
+
+
+def looked_up(tables: DataFrame, model: DataFrame, blocks: int) -> DataFrame:
+    """(block, kind, size, keys, counts): each block's own keys with the model's values for them.
+
+    The rows of a group pass by its table, which comes first; beyond LOOK_UPS blocks a group
+    is looked up in several places, each with a copy of its table.
+    """
+    part = F.floor(F.col("block") / LOOK_UPS).cast("long")
+    places = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // LOOK_UPS)).cast("array<bigint>"))
+    first = model.select("kind", "group", places.alias("part"), F.lit(-1).cast("long").alias("block"), "size", "keys", "counts")
+    asked = tables.select("kind", "group", part.alias("part"), "block", "size", "keys", F.lit(None).cast("binary").alias("counts"))
+    place = ["kind", "group", "part"]
+
+    @lean
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = values = None
         for b in batches:
-            for lo, hi in slices(text_bytes(b.column("text")), SLICE_BYTES):
-                part = b.slice(lo, hi - lo)
-                lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text").cast(pa.string()), "")))
-                many = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                training = np.repeat(part.column("training").to_numpy(zero_copy_only=False), many)
-                coded = lists.flatten().dictionary_encode()
-                index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                n = np.bincount(index, weights=training, minlength=len(coded.dictionary)).astype(np.int64)
-                out = pa.record_batch([coded.dictionary, pa.array(n)], ["word", "n"])
-                yield out.filter(pc.not_equal(out.column("word"), ""))
-
-    tagged = docs.select("text", is_training(F.col("doc_id"), folds, held_out).alias("training"))
-    return tagged.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+            for r in b.to_pylist():
+                mine = unpack_keys(r["keys"], r["size"])
+                if r["block"] < 0:
+                    keys, values = mine, unpack(r["counts"], r["size"])
+                    continue
+                row = {"block": r["block"], "kind": r["kind"], "size": r["size"], "keys": r["keys"], "counts": pack(values[np.searchsorted(keys, mine)])}
+                yield pa.RecordBatch.from_pylist([row], _arrow("block long, kind int, size long, keys binary, counts binary"))
 
-def most_frequent(rows: DataFrame, column: str, most: int) -> DataFrame:
-    """The rows with the largest counts, at most `most` of them.
-
-    A histogram of the counts' logarithms (some thousand bins) gives the threshold, so no
-    task sorts or gathers the candidates. A bin that does not fit whole is left out.
-    """
-    step = F.floor(F.log2(F.col(column) + 1) * 64)
-    cut, total = None, 0
-    for r in sorted(rows.groupBy(step.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
-        total += r["count"]
-        if total > most:
-            break
-        cut = r["bin"]
-    return rows.where(step >= cut) if cut is not None else rows.limit(0)
+    dealt = first.unionByName(asked).repartition(*place).sortWithinPartitions(*place, "block")
+    return dealt.mapInArrow(find, "block long, kind int, size long, keys binary, counts binary")
 
 
-def score(
-    docs: DataFrame, class_column: str | None = "lang", folds: int = 5, held_out: int = 1, listed: int = LISTED,
-) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     base_score and score are log10 probabilities of the text under the smoothed word
-    counts and under the mixture of context trees. The most frequent words' counts travel to
-    the texts in a table, the others meet them in a join by hash. Null texts are empty (one
-    end token); rows without a class, or of one without training texts, share a tree; an
-    empty training set gives even odds to every decision; repeated rows are scored alike;
-    an empty table gives an empty result.
+    counts and under the context tree; bits_per_byte is the tree's code length for each
+    coded byte. Null texts are empty (one end token). Texts of any length are scored whole,
+    in slices; rows that are equal in id and text are scored alike, in one block; null ids
+    are in the fold of the empty text; an empty training set gives even odds to every decision; other
+    columns, whatever their names, stay out; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    number, counts = class_numbers(docs, class_column, folds, held_out)
-    ends = sum(counts)
-    known = settle(vocabulary(docs, folds, held_out).select(F.xxhash64("word").alias("hash"), "n"))
-    tokens, distinct = known.where("n > 0").agg(F.sum("n"), F.count("*")).first()
-    tokens, distinct = (tokens or 0) + ends, distinct + (ends > 0)
-    top = most_frequent(known, "n", listed).toArrow().sort_by("hash").combine_chunks()
-    head = spark.sparkContext.broadcast([top.column(k).to_numpy() for k in top.column_names])
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", is_training(F.col("doc_id"), folds, held_out).alias("training"), "text")
+    size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("training")).first()
+    blocks, groups = max(1, -(-size // BLOCK_BYTES)), min(MOST_GROUPS, max(8, -(-size // GROUP_BYTES)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
+    tables = settle(block_tables(dealt.select("block", "training", "text").repartition(blocks, "block").sortWithinPartitions("block"), groups))
+    sums = gathered(tables, blocks)
+    words = sums.where(F.col("kind") == WORDS)
+    known = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    tokens, distinct = known[0] + ends, known[1] + (ends > 0)
+    parts = code_lengths(sums.where(F.col("kind") == BYTES), groups)
+    model = settle(parts.unionByName(words.select(*parts.columns)))
+    forget(sums)
     total = math.log10(tokens + 0.5 * (distinct + 1))
     end_base = math.log10(ends + 0.5) - total
-    prior = [math.log10((m + 0.5) / (ends + 0.5 * len(counts))) for m in counts]
 
-    def look_up(batches):
-        hashes, n = head.value
-        base_of = np.log10(n + 0.5) - total
+    def scored(part: pa.RecordBatch, index: dict) -> pa.RecordBatch:
+        plain, n = joined(part.column("text")), part.num_rows
+
+        def values_of(kind: int, keys: np.ndarray) -> np.ndarray:
+            at = index[kind][0].get_indexer(keys)
+            if (at < 0).any():
+                raise ValueError("a text was another when its block was counted")
+            return index[kind][1][at]
+
+        def by_row(row: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+            return np.bincount(row, weights=weights, minlength=n)
+
+        row, number, hashes = word_steps(plain)
+        uses = values_of(WORDS, hashes)
+        many, seen = by_row(row) + 1, by_row(row, (uses > 0)[number]) + (ends > 0)
+        base = by_row(row, (np.log10(uses + 0.5) - total)[number]) + end_base
+        row, key = byte_steps(plain)
+        code = by_row(row, values_of(BYTES, key)) / SCALE
+        columns = [part.column("doc_id"), pc.invert(part.column("training")), pa.array(many), pa.array(seen.astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(code), pa.array(-code * math.log2(10) / by_row(row))]
+        return pa.record_batch(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    @lean
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, {}, None
         for b in batches:
-            _, lengths = list_parts(b.column("hashes"))
-            for lo, hi in slices(lengths, 500_000):
+            blocks, turn = b.column("block").to_numpy(), b.column("turn").to_numpy()
+            for lo, hi in runs(2 * blocks + turn):
+                if blocks[lo] != now:
+                    now, held, index = blocks[lo], {WORDS: [], BYTES: []}, None
                 part = b.slice(lo, hi - lo)
-                values, many = list_parts(part.column("hashes"))
-                row, rows = np.repeat(np.arange(part.num_rows), many), part.num_rows
-                at = np.minimum(np.searchsorted(hashes, values), max(0, len(hashes) - 1))
-                hit = hashes[at] == values if len(hashes) else np.zeros(len(values), dtype=bool)
-                r, w = row[hit], at[hit]
-                rest = np.bincount(row[~hit], minlength=rows)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(rest)]), pa.int32())
-                columns = [
-                    part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(many + 1), pa.array(np.bincount(r, weights=n[w] > 0, minlength=rows).astype(np.int64)),
-                    pa.array(np.bincount(r, weights=base_of[w], minlength=rows) + end_base),
-                    pa.ListArray.from_arrays(offsets, pa.array(values[~hit])),
-                ]
-                yield pa.record_batch(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "rest"])
-
-    lower = F.translate(F.col("text"), UPPER, LOWER)
-    whole = docs.select("doc_id", is_training(F.col("doc_id"), folds, held_out).alias("training"), number.alias("class"), "text")
-    whole = settle(whole.withColumn("row", F.monotonically_increasing_id()))
-    size, count = whole.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    per_block = max(1, int(BLOCK_BYTES * count / max(1, size or 0))) if count else 1
-    # a block is a run of rows of one partition; row numbers count within it in their low 33 bits
-    low = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    block = F.shiftleft(F.shiftright("row", 33), 33) + F.floor(low / per_block)
-    codes = text_codes(whole.withColumn("block", block.cast("long")), len(counts))
-    rows = whole.select("row", "doc_id", (~F.col("training")).alias("held_out"), F.transform(words(lower), lambda w: F.xxhash64(w)).alias("hashes"))
+                if turn[lo] == 0:
+                    for r in part.select(["kind", "size", "keys", "counts"]).to_pylist():
+                        held[r["kind"]].append((unpack_keys(r["keys"], r["size"]), unpack(r["counts"], r["size"]).astype(np.int32 if r["kind"] == BYTES else np.int64)))
+                    continue
+                if index is None:
+                    none = np.empty(0, dtype=np.int64)
+                    index = {k: (pd.Index(np.concatenate([none, *(x for x, _ in t)])), np.concatenate([none, *(v for _, v in t)])) for k, t in held.items()}
+                    held = {}
+                for a, z in slices(text_bytes(part.column("text")), SLICE_BYTES):
+                    yield scored(part.slice(a, z - a), index)
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, rest array<long>"
-    partly = settle(rows.mapInArrow(look_up, schema))
-    head.destroy()
-    others = partly.select("row", F.explode("rest").alias("hash")).join(known, "hash")
-    sums = others.groupBy("row").agg(F.sum(F.log10(F.col("n") + 0.5) - F.lit(total)).alias("b"), F.count_if(F.col("n") > 0).alias("k"))
-    done = partly.drop("rest").join(sums, "row", "left").join(codes, "row")
-    done = done.withColumn("_codes", F.zip_with("codes", F.array(*[F.lit(p) for p in prior]), lambda c, p: c + p)).withColumn("_best", F.array_max("_codes"))
-    share = F.aggregate("_codes", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("_best")))
-    return done.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("_best") + F.log10(share)).alias("score"),
-    )
+    served = looked_up(tables, model, blocks).withColumn("turn", F.lit(0))
+    both = served.unionByName(dealt.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition(blocks, "block").sortWithinPartitions("block", "turn")
+    return both.mapInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
