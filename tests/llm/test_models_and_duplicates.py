@@ -344,41 +344,82 @@ def test_connected(spark):
     assert all(got[k] == 0 for k in range(41)) and got[103] == 100 and 200 not in got
 
 
-def vectors(seed=2):
+def vectors(seed=2, many=120, width=16):
     rng = np.random.default_rng(seed)
     rows, k = [], 0
     for label in (0, 1, None):
-        for _ in range(120):
-            v = rng.standard_normal(16)
+        for _ in range(many):
+            v = rng.standard_normal(width)
             rows.append((k, v.tolist(), label))
             k += 1
             for _ in range(int(rng.integers(0, 3))):
-                rows.append((k, (v * rng.uniform(0.1, 9) + rng.standard_normal(16) * rng.choice([0.05, 0.2, 0.4])).tolist(), label))
+                rows.append((k, (v * rng.uniform(0.1, 9) + rng.standard_normal(width) * rng.choice([0.05, 0.2, 0.4])).tolist(), label))
                 k += 1
-    hot = rng.standard_normal(16)
+    hot = rng.standard_normal(width)
     for _ in range(150):
-        rows.append((k, (hot + rng.standard_normal(16) * 0.02).tolist(), 1))
+        rows.append((k, (hot + rng.standard_normal(width) * 0.02).tolist(), 1))
         k += 1
-    rows += [(k, None, 0), (k + 1, [0.0] * 16, 0), (k + 2, [float("nan")] * 16, 0), (k + 3, [1.0, None] + [0.0] * 14, 0), (k + 4, [1.0, 2.0], 0), (k + 5, [], 1)]
+    rows += [(k + j, rows[3][1], rows[3][2]) for j in range(20)]  # equal vectors
+    k += 20
+    rows += [(7, rows[3][1], rows[3][2]), (None, rows[9][1], rows[9][2]), (None, rows[30][1], rows[30][2])]  # an id twice, and none
+    rows += [(k, None, 0), (k + 1, [0.0] * width, 0), (k + 2, [float("nan")] * width, 0), (k + 3, [1.0, None] + [0.0] * (width - 2), 0), (k + 4, [1.0, 2.0], 0), (k + 5, [], 1), (k + 6, [float("inf")] * width, 0)]
     return rows
 
 
-def test_forest_against_all_pairs(spark):
-    rows = vectors()
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    good = [(i, np.array(v) / np.linalg.norm(v), label) for i, v, label in rows if label is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.stack([v for _, v, _ in good])
-    lab = np.array([c for _, _, c in good])
+def all_links(rows):
+    """(positions of usable vectors, link matrix) by all pairs."""
+    width = max(len(v or []) for _, v, _ in rows)
+    good = [p for p, (_, v, label) in enumerate(rows) if label is not None and v and len(v) == width and None not in v and np.isfinite(v).all() and any(v)]
+    x = np.stack([np.array(rows[p][1]) for p in good])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lab = np.array([rows[p][2] for p in good])
     hit = (x @ x.T >= 0.93) & (lab[:, None] == lab[None])
     np.fill_diagonal(hit, False)
-    want = {i: int(n) for (i, _, _), n in zip(good, hit.sum(1), strict=True)}
-    for tile in (1024, 32):
-        got = {r.vec_id: r for r in forest.near_vectors(frame, leaf=24, tile=tile).collect()}
-        assert len(got) == len(rows)
-        assert all(got[i].n_links <= n for i, n in want.items()) and all(got[i].n_links == 0 for i in got if i not in want)
-        assert sum(r.n_links for r in got.values()) >= 0.97 * sum(want.values())
-        ids = [i for i, _, _ in good]
-        parts = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(hit), strict=True)])
-        assert sum(parts[i] == got[i].component_id for i in ids) >= 0.97 * len(ids)
-        assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    return good, hit
+
+
+def test_forest_against_all_pairs(spark):
+    rows = vectors()
+    shape = "vec_id long, embedding array<double>, label int, node string, places string, n string"
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], shape)
+    good, hit = all_links(rows)
+    want = Counter({rows[p][0]: 0 for p in range(len(rows))})
+    for p, n in zip(good, hit.sum(1), strict=True):
+        want[rows[p][0]] += int(n)
+    parts = components(range(len(good)), list(zip(*np.nonzero(hit), strict=True)))
+    least = defaultdict(set)
+    for a, head in parts.items():
+        least[head].add(rows[good[a]][0])
+    names = {h: min((i for i in ids if i is not None), default=None) for h, ids in least.items()}
+    whole = Counter((rows[good[a]][0], names[h]) for a, h in parts.items())
+    for options in ({"leaf": 24}, {"leaf": 24, "tile": 32}, {"leaf": 24, "sample": 100}):
+        out = forest.near_vectors(frame, **options).collect()
+        got = Counter()
+        for r in out:
+            got[r.vec_id] += r.n_links
+        assert len(out) == len(rows) and all(got[i] <= want[i] for i in want)
+        assert sum(got.values()) >= 0.97 * sum(want.values())
+        assert sum((Counter((r.vec_id, r.component_id) for r in out) & whole).values()) >= 0.97 * len(good)
+        assert all(r.kept == (r.vec_id == r.component_id) for r in out)
     assert forest.near_vectors(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("many", [300, 1500])
+def test_recall_at_two_sizes(spark, many):
+    rows = [(k, v, 0) for k, (_, v, label) in enumerate(vectors(5, many, 32)) if label is not None]
+    good, hit = all_links(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = forest.near_vectors(frame, leaf=32, sample=500).agg({"n_links": "sum"}).first()[0]
+    assert 0.95 * hit.sum() <= got <= hit.sum() + 4, "single precision may move a pair over the limit"
+
+
+def test_alike_vectors_stay_in_one_leaf():
+    rng = np.random.default_rng(1)
+    alike = rng.standard_normal(16) + 1e-3 * rng.standard_normal((500, 16))
+    alike /= np.linalg.norm(alike, axis=1)[:, None]
+    direction, threshold, child = forest.grow(alike, 12, 0.06, rng)
+    assert child.tolist() == [[-1, -1]]
+    mixed = rng.standard_normal((500, 16))
+    mixed /= np.linalg.norm(mixed, axis=1)[:, None]
+    row, leaf = forest.leaves(*forest.grow(mixed, 40, 0.06, rng), mixed, 0.06)
+    assert set(row) == set(range(500)) and np.bincount(leaf).max() < 200
