@@ -371,6 +371,11 @@ def looked_up(tables: DataFrame, model: DataFrame, blocks: int) -> DataFrame:
     return dealt.mapInArrow(find, "block long, kind int, size long, keys binary, counts binary")
 
 
+def _by_block(rows: DataFrame, blocks: int, *then: str) -> DataFrame:
+    """Rows sorted by block, one block a partition (a hash of the number would pile some up)."""
+    return rows.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", *then)
+
+
 def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -386,7 +391,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("training")).first()
     blocks, groups = max(1, -(-size // BLOCK_BYTES)), min(MOST_GROUPS, max(8, -(-size // GROUP_BYTES)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    tables = settle(block_tables(dealt.select("block", "training", "text").repartition(blocks, "block").sortWithinPartitions("block"), groups))
+    tables = settle(block_tables(_by_block(dealt.select("block", "training", "text"), blocks), groups))
     sums = gathered(tables, blocks)
     words = sums.where(F.col("kind") == WORDS)
     known = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
@@ -441,5 +446,4 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     served = looked_up(tables, model, blocks).withColumn("turn", F.lit(0))
     both = served.unionByName(dealt.withColumn("turn", F.lit(1)), allowMissingColumns=True)
-    both = both.repartition(blocks, "block").sortWithinPartitions("block", "turn")
-    return both.mapInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return _by_block(both, blocks, "turn").mapInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
