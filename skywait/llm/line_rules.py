@@ -90,11 +90,11 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     names = ["doc_id", "source", "text_key"]
     verdicts = settle(_verdicts(docs, **limits, keys=True).select(*names, "kept", "removed_keys").where("not kept or removed_keys is not null"))
     gone = verdicts.where("not kept").select(*names).distinct()
-    shorter = verdicts.where("kept").select(*names, "removed_keys").dropDuplicates(names)
+    shorter = verdicts.where("kept").select(*names, F.col("removed_keys").alias("_removed_keys")).dropDuplicates(names)
     left = _same_row(docs.withColumn("_text_key", _text_key()), gone, BROADCAST_ROWS, "left_anti")
     marked = _same_row(left, shorter, BROADCAST_LISTS, "left")
-    stays = F.filter(F.split("text", "\n"), lambda x: ~_has_word(x) | ~F.array_contains("removed_keys", _line_key(x)))
-    changed = F.col("removed_keys").isNotNull()
+    stays = F.filter(F.split("text", "\n"), lambda x: ~_has_word(x) | ~F.array_contains("_removed_keys", _line_key(x)))
+    changed = F.col("_removed_keys").isNotNull()
     out = marked.withColumn("_cleaned", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text")))
     columns = {"text": F.col("_cleaned")}
     if "n_chars" in docs.columns:
