@@ -11,16 +11,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import chunk_count, mix64, n_words, running_offsets, words
+from .common import chunk_count, lean, mix64, n_words, running_offsets, words
 
 BLOCK = 256
 SHARD_BLOCKS = 4096
-#: Beyond so many output shards, shards grow instead: the draws are one number a shard and source.
-MOST_SHARDS = 8192
+TASK_SHARDS = 8
+BROADCAST_SOURCES = 10_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -44,19 +45,45 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
     return out
 
 
-def shard_draws(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks that each shard takes from each source: [shards, sources].
+MOST_DRAWN = 1_000_000_000  # what the generator draws exactly; more is split in proportion first
+
+
+def _head(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of counts fall into the first `size` of all places, dealt without replacement.
+
+    A node of over MOST_DRAWN places, where chance is below a thousandth of a thousandth, is
+    split in proportion, and only what rounding leaves is drawn.
+    """
+    total = int(counts.sum())
+    if total < MOST_DRAWN:
+        return rng.multivariate_hypergeometric(counts, size, method="marginals") if total else counts * 0
+    share = counts * (size / total)
+    sure = np.floor(share).astype(np.int64)
+    rest = np.argsort(-(share - sure) - rng.random(len(counts)) * 1e-9)[: size - int(sure.sum())]
+    sure[rest] += 1
+    return np.minimum(sure, counts)
+
+
+def shard_draws(quotas: np.ndarray, shards: int, shard: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(draws of each source in earlier shards, draws of each source in this one).
 
     Multinomial draws for shards of equal size, conditioned on the sources' quotas (so a
-    shard's counts are random and the totals are exact).
+    shard's counts are random and the totals are exact). Ranges of shards are halved down to
+    the shard, each range with a generator of its own, so every task finds a shard's draws alone.
+    known keeps ranges that a task meets again.
     """
-    rng, left, out = np.random.default_rng(seed), np.array(quotas, dtype=np.int64), []
-    for s in range(shards):
-        size = int(left.sum()) // (shards - s)
-        draw = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() else left * 0
-        out.append(draw)
-        left = left - draw
-    return np.array(out, dtype=np.int64).reshape(shards, len(quotas))
+    left, before, lo, hi = np.array(quotas, dtype=np.int64), np.zeros(len(quotas), dtype=np.int64), 0, shards
+    total, known = int(left.sum()), {} if known is None else known
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if (lo, hi) not in known:
+            known[lo, hi] = _head(left, total * mid // shards - total * lo // shards, np.random.default_rng([seed, lo, hi]))
+        head = known[lo, hi]
+        if shard < mid:
+            left, hi = head, mid
+        else:
+            before, left, lo = before + head, left - head, mid
+    return before, left
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -78,11 +105,9 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _source_table(docs: DataFrame, weights: Sequence[float]) -> list[dict]:
-    """One entry a source (a curated list: bounded), by code point, null last."""
+    """One entry a source (a curated list), by code point, null last."""
     rows = docs.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
-    if len(rows) > 100_000:
-        raise ValueError("mix() takes a bounded list of sources; group them first")
     shares = targets([r.n for r in rows], [weights[k % len(weights)] for k in range(len(rows))])
     return [
         {"source": r.source, "source_id": k, "source_size": int(r.n), "target": shares[k], "rows": r.rows}
@@ -90,7 +115,7 @@ def _source_table(docs: DataFrame, weights: Sequence[float]) -> list[dict]:
     ]
 
 
-def _slots(spark, table: list[dict], block: int, shard_blocks: int, seed: int) -> DataFrame:
+def _slots(spark: SparkSession, table: list[dict], block: int, shard_blocks: int, seed: int) -> DataFrame:
     """(shard, slot, source_id, epoch, block, words): every block that the mix takes."""
     quotas, parts = [], []
     for t in table:
@@ -99,39 +124,29 @@ def _slots(spark, table: list[dict], block: int, shard_blocks: int, seed: int) -
         rest = round(t["target"] - whole * t["source_size"]) if n else 0
         last = min(n, -(-rest // block))
         quotas.append(whole * n + last)
-        parts.append((n, whole * n + last, rest - (last - 1) * block if last else block))
+        parts.append((n, whole * n + last - 1, rest - (last - 1) * block if last else block))
         t["epochs"] = whole
-    shards = min(MOST_SHARDS, max(1, -(-sum(quotas) // shard_blocks)))
-    draws = shard_draws(quotas, shards, seed)
-    first = np.cumsum(draws, axis=0) - draws
-    rows = [
-        (s, k, int(first[s, k]), int(draws[s, k]), parts[k][0], parts[k][1] - 1, parts[k][2])
-        for s in range(shards)
-        for k in range(len(table))
-        if draws[s, k]
-    ]
-    schema = "shard int, source_id int, first long, draws long, blocks long, final long, final_words long"
-    drawn = spark.createDataFrame(rows, schema)
-
-    def place(batches):
-        import pyarrow as pa
+    quotas, parts = np.array(quotas, dtype=np.int64), np.array(parts, dtype=np.int64).reshape(-1, 3)
+    shards = max(1, -(-int(quotas.sum()) // shard_blocks))
 
+    @lean
+    def draw(batches):
+        known: dict = {}
         for b in batches:
-            index, n, source = (b.column(c).to_numpy() for c in ("draw", "blocks", "source_id"))
-            epoch = index // n
-            key = (np.uint64(seed) << np.uint64(40)) + source.astype(np.uint64) * np.uint64(1 << 20) + epoch.astype(np.uint64)
-            at = permuted(index % n, n, key)
-            cut = np.where(index == b.column("final").to_numpy(), b.column("final_words").to_numpy(), block)
-            yield pa.record_batch(
-                [b.column("shard"), b.column("slot"), b.column("source_id"), pa.array(epoch), pa.array(at), pa.array(cut)],
-                ["shard", "slot", "source_id", "epoch", "block", "words"],
-            )
-
-    each = drawn.repartition(max(1, min(4096, len(rows) // 8)), "shard", "source_id").select(
-        "*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("draws") - 1)).alias("draw")
-    )
-    numbered = each.select("shard", (F.col("draw") - F.col("first")).alias("slot"), "source_id", "draw", "blocks", "final", "final_words")
-    return numbered.mapInArrow(place, "shard int, slot long, source_id int, epoch long, block long, words long")
+            for shard in b.column("id").to_pylist():
+                before, draws = shard_draws(quotas, shards, shard, seed, known)
+                source = np.repeat(np.arange(len(draws)), draws)
+                slot = np.arange(len(source)) - np.repeat(np.cumsum(draws) - draws, draws)
+                index, n, final, cut = before[source] + slot, *(parts[source, c] for c in range(3))
+                epoch = index // np.maximum(n, 1)
+                with np.errstate(over="ignore"):
+                    key = mix64(source.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + epoch.astype(np.uint64)) ^ np.uint64(seed)
+                at = permuted(index % np.maximum(n, 1), np.maximum(n, 1), key)
+                columns = [np.full(len(source), shard, dtype=np.int32), slot, source.astype(np.int32), epoch, at, np.where(index == final, cut, block)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["shard", "slot", "source_id", "epoch", "block", "words"])
+
+    tasks = spark.range(0, shards, 1, -(-shards // TASK_SHARDS))
+    return tasks.mapInArrow(draw, "shard int, slot long, source_id int, epoch long, block long, words long")
 
 
 def mix(
@@ -159,12 +174,13 @@ def mix(
         [(t["source"], t["source_id"], t["source_size"], t["target"], t["epochs"]) for t in table],
         "source_name string, source_id int, source_size long, target double, epochs long",
     )
-    tagged = sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["source_name"])).drop("source_name")
+    known = F.broadcast(known) if len(table) <= BROADCAST_SOURCES else known
+    tagged = sized.join(known, sized["source"].eqNullSafe(known["source_name"])).drop("source_name")
     chunks = chunk_count(sum(t["rows"] for t in table))
     order = ["doc_id", "text_key", "size"]
     documents = settle(
         running_offsets(tagged, "source_id", order, F.col("size"), chunks)
-        .withColumn("_row", F.shiftleft(F.col("source_id").cast("long"), 44) + F.col("place"))
+        .withColumn("_row", F.shiftleft(F.col("source_id").cast("long"), 40) + F.col("place"))
         .drop("place")
     )
     spans = (
@@ -175,7 +191,7 @@ def mix(
     )
     inside = F.least("high", F.col("block") * block + F.col("words"))
     pieces = (
-        spans.join(slots, ["source_id", "block"])
+        spans.join(slots.hint("merge"), ["source_id", "block"])  # both sides grow with the data
         .withColumn("high", inside)
         .where("high > low")
         .select("shard", "slot", "source_id", "epoch", "block", "_row", "doc_id", (F.col("low") - F.col("start")).alias("from_word"), (F.col("high") - F.col("start")).alias("to_word"))
@@ -195,31 +211,47 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     An epoch that takes every block of a source gives whole texts; the last, partial one
     gives the words that its blocks hold of a document, joined by single spaces, in order.
     n_chars, if there, follows the text. Documents that the mix does not take are left out.
+    Rows that are equal in id, source and text are taken one by one.
     """
+    keys = ["doc_id", "source", "_text_key"]
     documents, pieces = mix(docs, **options)
     last = pieces.join(documents.select("_row", "epochs"), "_row").where("epoch = epochs")
     spans = last.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("_rest"))
-    plan = documents.join(spans, "_row", "left").where("size > 0 and (epochs > 0 or _rest is not null)")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_n", n_words(F.col("text")))
-    twins = _number(keyed, ["doc_id", "source", "_text_key", "_n"])
-    ours = _number(
-        plan.select("doc_id", "source", F.col("text_key").alias("_text_key"), F.col("size").alias("_n"), F.col("epochs").alias("_whole"), F.coalesce("_rest", F.array().cast("array<struct<from_word:bigint,to_word:bigint>>")).alias("_rest")),
-        ["doc_id", "source", "_text_key", "_n"],
-    )
-    same = [twins[k].eqNullSafe(ours[k]) for k in ("doc_id", "source", "_text_key", "_n", "_twin")]
-    joined = twins.join(ours.select("doc_id", "source", "_text_key", "_n", "_twin", "_whole", "_rest"), same)
-    joined = joined.select(*[twins[c] for c in docs.columns], "_whole", "_rest")
-    split = words(F.col("text"))
-    part = F.concat_ws(" ", F.flatten(F.transform("_rest", lambda s: F.slice(split, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))))
-    texts = F.concat(
-        F.array_repeat(F.col("text"), F.col("_whole").cast("int")),
-        F.when(F.size("_rest") > 0, F.array(part)).otherwise(F.array().cast("array<string>")),
-    )
-    out = joined.withColumn("_texts", texts).withColumn("_out", F.explode("_texts"))
+    none = F.array().cast("array<struct<from_word:bigint,to_word:bigint>>")
+    plan = documents.join(spans, "_row", "left").select("doc_id", "source", F.col("text_key").alias("_text_key"), F.col("epochs").alias("_whole"), F.coalesce("_rest", none).alias("_rest"), F.col("size").alias("_words"))
+    plan = settle(plan)
+    repeated = settle(plan.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    if repeated.isEmpty():
+        joined = _match(keyed, plan, keys)
+    else:  # equal rows are numbered alike on both sides; all others need no number
+        again, ours = (_numbered(t.join(repeated, _equal(t, repeated, keys), "left_semi"), keys) for t in (keyed, plan))
+        once = _match(keyed.join(repeated, _equal(keyed, repeated, keys), "left_anti"), plan.join(repeated, _equal(plan, repeated, keys), "left_anti"), keys)
+        joined = once.unionByName(_match(again, ours, [*keys, "_twin"]).drop("_twin"))
+    taken = joined.where("_words > 0 and (_whole > 0 or size(_rest) > 0)")
+
+    def part(split: Column) -> Column:
+        return F.concat_ws(" ", F.flatten(F.transform("_rest", lambda s: F.slice(split, (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")))))
+
+    # the words stand in an array of one, so that a text is split once and not for each of its spans
+    rest = F.when(F.size("_rest") > 0, F.transform(F.array(words(F.col("text"))), part)).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col("text"), F.col("_whole").cast("int")), rest)
+    out = taken.withColumn("_out", F.explode(texts))
     kept = [F.col("_out").alias(c) if c == "text" else F.length("_out").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return out.select(*kept)
 
 
-def _number(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _equal(a: DataFrame, b: DataFrame, keys: list[str]) -> list[Column]:
+    return [a[k].eqNullSafe(b[k]) for k in keys]
+
+
+def _match(docs: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """docs' rows with their plan."""
+    mine = plan.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [docs[k].eqNullSafe(mine[f"_of_{k}"]) for k in keys]
+    return docs.join(mine, same).drop(*[f"_of_{k}" for k in keys])
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Number rows that are equal in keys, so that each joins with one."""
     return rows.withColumn("_twin", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))

@@ -90,9 +90,49 @@ def test_permutation_is_a_bijection():
     assert mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 9, dtype=np.uint64)).tolist() != list(range(1000))
 
 
-def test_draws_keep_the_quotas():
-    d = mixing.shard_draws([1000, 30, 0, 7], 9, seed=1)
-    assert d.sum(0).tolist() == [1000, 30, 0, 7] and set(d.sum(1)) <= {115, 116}
+@pytest.mark.parametrize("limit", [1_000_000_000, 200])
+def test_draws_keep_the_quotas(monkeypatch, limit):
+    monkeypatch.setattr(mixing, "MOST_DRAWN", limit)
+    quotas = [1000, 30, 0, 7]
+    each = [mixing.shard_draws(quotas, 9, s, seed=1) for s in range(9)]
+    draws = np.array([d for _, d in each])
+    assert draws.sum(0).tolist() == quotas and set(draws.sum(1)) <= {115, 116} and (draws >= 0).all()
+    assert all((b == draws[:s].sum(0)).all() for s, (b, _) in enumerate(each))
+
+
+def test_draws_are_those_of_a_random_deal():
+    got = np.array([mixing.shard_draws([400, 100], 5, 2, seed=s)[1] for s in range(300)])
+    assert got[:, 1].mean() == pytest.approx(20, abs=1) and 2.5 < got[:, 1].std() < 5
+
+
+def test_pieces_are_the_blocks_of_the_slots(spark):
+    """Every drawn slot against a plain cut of each source's running words."""
+    docs = cases.make(spark, extra=True, n=300)
+    documents, pieces = mixing.mix(docs, block=16, shard_blocks=20)
+    held, at = {}, {}
+    for r in sorted(documents.collect(), key=lambda r: r._row):
+        first = at.get(r.source_id, 0)
+        held.setdefault(r.source_id, []).append((first, first + r["size"], r._row))
+        at[r.source_id] = first + r["size"]
+    got, slots = {}, {}
+    for p in pieces.collect():
+        got.setdefault((p.source_id, p.epoch, p.block), set()).add((p._row, p.from_word, p.to_word))
+        slots.setdefault((p.shard, p.source_id), {}).setdefault(p.slot, set()).add((p.epoch, p.block))
+    assert all(sorted(s) == list(range(len(s))) and all(len(b) == 1 for b in s.values()) for s in slots.values())
+    per_shard = {}
+    for (shard, _), s in slots.items():
+        per_shard[shard] = per_shard.get(shard, 0) + len(s)
+    assert set(per_shard.values()) <= {19, 20} and sorted(per_shard) == list(range(len(per_shard)))
+    last = {k: max(e for s, e, _ in got if s == k) for k in at if at[k]}
+    for (source, epoch, block), rows in got.items():
+        want = {(row, max(a, 16 * block) - a, min(b, 16 * block + 16) - a) for a, b, row in held[source] if a < b and max(a, 16 * block) < min(b, 16 * block + 16)}
+        if epoch < last[source]:
+            assert rows == want
+    for source, n in at.items():
+        for epoch in range(last.get(source, 0)):
+            assert {b for s, e, b in got if (s, e) == (source, epoch)} == set(range(-(-n // 16)))
+    cut = {k for k, rows in got.items() if k[1] == last[k[0]] and sum(b - a for _, a, b in rows) < 16}
+    assert len(cut) <= 2 * len(at), "but for a source's last block and the last one drawn, blocks are whole"
 
 
 def test_mix(spark):
@@ -112,16 +152,19 @@ def test_mix(spark):
     assert mixing.taken_words(*mixing.mix(cases.empty(spark))).count() == 0
 
 
-def test_mixed_documents_hold_what_was_taken(spark):
-    docs = cases.make(spark, n=200)
+@pytest.mark.parametrize("again", [False, True])
+def test_mixed_documents_hold_what_was_taken(spark, again):
+    docs = cases.make(spark, n=200, extra=again)
+    docs = docs if again else docs.dropDuplicates(["doc_id"])
     documents, pieces = mixing.mix(docs, block=16)
     taken = {}
     for r in mixing.taken_words(documents, pieces).collect():
         taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
     out = mixing.mixed_documents(docs, block=16)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
-    held = {}
+    held, words = {}, {r.doc_id: set(cases.words(r.text)) for r in docs.collect()}
     for r in out.collect():
         held[r.doc_id] = held.get(r.doc_id, 0) + len(cases.words(r.text))
-        assert r.n_chars == len(r.text)
+        assert r.n_chars == len(r.text) and set(cases.words(r.text)) <= words[r.doc_id]
     assert held == {d: n for d, n in taken.items() if n}
+    assert mixing.mixed_documents(cases.empty(spark)).count() == 0
