@@ -188,7 +188,7 @@ def survival_curve(spark, sf):
 
 @_query("within_n", f"WITH {OBS}, {WAITS}, {CURVE} SELECT aoi_id, {', '.join(f'max(1.0::DOUBLE - p_waiting) FILTER (WHERE n_days = {n}) AS p_within_{n}d' for n in WITHIN)} FROM curve GROUP BY aoi_id")
 def within_n(spark, sf):
-    return reliability.within(survival_curve(spark, sf), WITHIN)
+    return reliability.within(survival_curve(spark, sf), CONFIG.horizon_days, WITHIN)
 
 
 @_query("sla_success", f"WITH {OBS}, {WAITS} SELECT aoi_id, avg((wait_days < 7)::INTEGER) AS sla_success FROM waits GROUP BY aoi_id")
@@ -345,7 +345,19 @@ def extreme_examples(spark, sf):
     return classifier.extreme_examples(observations(spark, sf).withColumn("cloud_fraction", F.lit(1.0) - F.col("clear_fraction")))
 
 
-@_query("survival_picks")
+def _picks(inner: int = 4) -> str:
+    """Best, worst and, in order, the free entity nearest to each quantile: one table a pick."""
+    taken = "SELECT aoi_id FROM p0 UNION ALL SELECT aoi_id FROM p9"
+    parts = ["p0 AS (SELECT aoi_id FROM m ORDER BY v, aoi_id LIMIT 1)", "p9 AS (SELECT aoi_id FROM m ORDER BY v DESC, aoi_id DESC LIMIT 1)"]
+    for k in range(1, inner + 1):
+        near = f"abs(v - (SELECT quantile_cont(v, {k}.0::DOUBLE / {inner + 1}) FROM m))"
+        parts.append(f"p{k} AS (SELECT aoi_id FROM m WHERE aoi_id NOT IN ({taken}) ORDER BY {near}, v, aoi_id LIMIT 1)")
+        taken += f" UNION ALL SELECT aoi_id FROM p{k}"
+    rows = " UNION ALL ".join(f"SELECT {k} AS pick, aoi_id FROM p{9 if k > inner else k}" for k in range(inner + 2))
+    return f"m AS (SELECT aoi_id, effective_median_gap_days AS v FROM stats), {', '.join(parts)}, picks AS ({rows})"
+
+
+@_query("survival_picks", f"WITH {OBS}, {GAPS}, {WAITS}, {CURVE}, {STATS}, {_picks()} SELECT pick::INTEGER AS pick, curve.* FROM picks JOIN curve USING (aoi_id)")
 def survival_picks(spark, sf):
     picks = views.survival_picks(gap_stats(spark, sf))
     chosen = spark.createDataFrame([(k, a) for k, a in enumerate(picks)], "pick int, aoi_id string")
@@ -380,7 +392,9 @@ def resolve_chains(spark, sf):
 @_query("relink", f"WITH {SCENES} SELECT aoi_id, winner AS scene_id, max(footprint_overlap_fraction) AS footprint_overlap_fraction FROM ranked GROUP BY aoi_id, winner")
 def relink(spark, sf):
     s = scenes(spark, sf)
-    return catalogue_upkeep.relink(s.select("aoi_id", "scene_id", "footprint_overlap_fraction"), catalogue_upkeep.superseded(s), catalogue_upkeep.latest(s))
+    won = catalogue_upkeep.winner_table(s)
+    losers = won.where("scene_id != winner").select("scene_id", F.col("winner").alias("superseded_by"))
+    return catalogue_upkeep.relink(s.select("aoi_id", "scene_id", "footprint_overlap_fraction"), losers, won.where("scene_id = winner"))
 
 
 @_query("upsert", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
@@ -390,6 +404,14 @@ def upsert(spark, sf):
     return catalogue_upkeep.upsert(orders.where("o_orderkey % 2 = 0"), incoming, ["o_orderkey"])
 
 
+@_query("upsert_repeated", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders WHERE o_custkey % 3 = 0) WHERE r = 1 UNION ALL SELECT o_custkey, min(o_orderkey), '-' FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 2 = 0 GROUP BY o_custkey")
+def upsert_repeated(spark, sf):
+    """Customers' rows overwritten by all their orders: of many with one key the last stays."""
+    orders = _table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    old = orders.where("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"), F.lit("-").alias("o_orderstatus"))
+    return catalogue_upkeep.upsert(old, orders.where("o_custkey % 3 = 0"), ["o_custkey"], order="o_orderkey")
+
+
 @_query("watermark_overlap", f"WITH {OBS} SELECT aoi_id, watermark, greatest(TIMESTAMP '2024-01-10', watermark - INTERVAL 7 DAY) AS search_start FROM (SELECT aoi_id, max(observed_at) AS watermark FROM obs GROUP BY aoi_id)")
 def watermark_overlap(spark, sf):
     state = observations(spark, sf).groupBy("aoi_id").agg(F.max("observed_at").alias("watermark"))
@@ -512,8 +534,7 @@ def dq_domain(spark, sf):
     tables = {
         "aoi_monthly": monthly_reliability(spark, sf).where("month != 5"), "aoi_survival": survival_curve(spark, sf), "catalog_filter_eval": catalog_filter_eval(spark, sf),
     }
-    names = tuple(r.aoi_id for r in entities(spark, sf).collect())
-    return quality.domains(tables, Config(start=CONFIG.start, end=CONFIG.end, aois=names, horizon_days=CONFIG.horizon_days))
+    return quality.domains(tables, CONFIG, entities(spark, sf).count())
 
 
 @_query("config_scope", f"WITH {OBS} SELECT obs.aoi_id, datatake_id, observed_at FROM obs JOIN (VALUES ('u1'), ('u2'), ('u3')) v(aoi_id) ON v.aoi_id = obs.aoi_id")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
-from ..sources.shared import settle
+from ..sources.shared import forget, settle
 
 
 def precedence() -> Column:
@@ -22,12 +22,9 @@ def precedence() -> Column:
 def with_winner(scenes: DataFrame) -> DataFrame:
     """scenes with winner: the id that stands for its (tile, datatake). Rows without either stand alone."""
     whole = F.col("mgrs_tile").isNotNull() & F.col("datatake_id").isNotNull()
-    group = F.when(whole, F.struct(F.lit(1).alias("k"), F.col("mgrs_tile").alias("a"), F.col("datatake_id").alias("b"))).otherwise(
-        F.struct(F.lit(0).alias("k"), F.col("scene_id").alias("a"), F.lit("").alias("b"))
-    )
-    tagged = scenes.withColumn("_group", group)
-    best = tagged.groupBy("_group").agg(F.max_by("scene_id", precedence()).alias("winner"))
-    return tagged.join(best, "_group").drop("_group")
+    group = [F.when(whole, F.col("mgrs_tile")), F.when(whole, F.col("datatake_id")).otherwise(F.col("scene_id"))]
+    best_first = Window.partitionBy(*group).orderBy(precedence().desc())
+    return scenes.withColumn("winner", F.first("scene_id").over(best_first))
 
 
 def latest(scenes: DataFrame) -> DataFrame:
@@ -44,19 +41,31 @@ def resolve_chains(links: DataFrame) -> DataFrame:
     """Follow scene_id -> superseded_by to the final winner.
 
     Every round doubles how far a row looks, so a chain of n links takes log2(n) rounds. In
-    a cycle there is no last winner: its ids end at one another after as many rounds.
+    a cycle there is no last winner: its ids end at one another. Rows that have a last winner
+    are done; when a round finishes no more of them, the rest lead into cycles.
     """
-    now = links.select("scene_id", "superseded_by").dropDuplicates(["scene_id"])
-    for _ in range(40):
+    first = now = settle(links.select("scene_id", "superseded_by").dropDuplicates(["scene_id"]))
+    open_before = None
+    while True:
         hop = now.select(F.col("scene_id").alias("superseded_by"), F.col("superseded_by").alias("_next"))
-        step = now.join(hop, "superseded_by", "left").select(
-            "scene_id", "superseded_by", F.when(F.col("_next") != F.col("scene_id"), F.col("_next")).alias("_next")
-        )
-        step = settle(step)
-        if step.where("_next is not null").isEmpty():
+        step = settle(now.join(hop, "superseded_by", "left").select("scene_id", "superseded_by", "_next"))
+        if now is not first:
+            forget(now)
+        still_open = step.where("_next is not null")
+        left = still_open.count()
+        if left == 0:
             return step.select("scene_id", "superseded_by")
-        now = step.select("scene_id", F.coalesce("_next", "superseded_by").alias("superseded_by"))
-    return now
+        if left == open_before:
+            own = still_open.select("scene_id").join(first, "scene_id")  # as they came
+            return step.where("_next is null").select("scene_id", "superseded_by").unionByName(own)
+        open_before = left
+        now = settle(step.select("scene_id", F.coalesce("_next", "superseded_by").alias("superseded_by")))
+        forget(step)
+
+
+def winner_table(scenes: DataFrame) -> DataFrame:
+    """(scene_id, winner) of all scenes, settled: losers and winners are both read from it."""
+    return settle(with_winner(scenes).select("scene_id", "winner"))
 
 
 def relink(links: DataFrame, winners: DataFrame, active: DataFrame) -> DataFrame:
@@ -66,8 +75,15 @@ def relink(links: DataFrame, winners: DataFrame, active: DataFrame) -> DataFrame
     return best.join(active.select("scene_id").distinct(), "scene_id", "left_semi").select("aoi_id", "scene_id", "footprint_overlap_fraction")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_first: Sequence[str] = ()) -> DataFrame:
-    """existing overwritten by incoming on keys; the columns of keep_first keep their old value if they have one."""
+def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_first: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """existing overwritten by incoming on keys; the columns of keep_first keep their old value if they have one.
+
+    Of incoming rows with one key the last stays, by the column `order` or else as they come.
+    """
+    if order is None:
+        incoming = last_of_key(incoming.withColumn("_arrival", F.monotonically_increasing_id()), keys, "_arrival").drop("_arrival")
+    else:
+        incoming = last_of_key(incoming, keys, order)
     new = incoming
     if keep_first:
         old = existing.select(*keys, *[F.col(c).alias(f"_{c}") for c in keep_first])
@@ -79,8 +95,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_f
 def last_of_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row a key: the last by order (for merged pages and repeated keys in one batch)."""
     others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("_r"))
-    return best.select(*keys, "_r.*").select(*rows.columns)
+    last_first = Window.partitionBy(*keys).orderBy(F.desc(order), F.xxhash64(*others))
+    return rows.withColumn("_place", F.row_number().over(last_first)).where("_place = 1").select(*rows.columns)
 
 
 def search_start(configured: datetime, watermark: datetime | None, overlap_days: int, coverage_start: datetime | None = None, backfill: bool = False) -> datetime:

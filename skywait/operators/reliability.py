@@ -34,11 +34,10 @@ def survival(waits: DataFrame, entities: DataFrame, horizon: int, by: Sequence[s
     )
 
 
-def within(curve: DataFrame, days: Sequence[int] = WITHIN, by: Sequence[str] = ("aoi_id",)) -> DataFrame:
-    """p_within_Nd = 1 - S(N) for each N; an N beyond the curve is an error."""
-    top = curve.agg(F.max("n_days")).first()[0]
-    if top is not None and max(days) > top:
-        raise ConfigError(f"P(within {max(days)} days) needs a horizon of as many days; the curve ends at {top}")
+def within(curve: DataFrame, horizon: int, days: Sequence[int] = WITHIN, by: Sequence[str] = ("aoi_id",)) -> DataFrame:
+    """p_within_Nd = 1 - S(N) for each N; an N beyond the curve's horizon is an error."""
+    if max(days) > horizon:
+        raise ConfigError(f"P(within {max(days)} days) needs a horizon of as many days; the curve ends at {horizon}")
     return curve.groupBy(*by).agg(*[F.max(F.when(F.col("n_days") == n, 1.0 - F.col("p_waiting"))).alias(f"p_within_{n}d") for n in days])
 
 

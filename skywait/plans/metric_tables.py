@@ -12,6 +12,7 @@ from ..errors import DataError
 from ..functions.columns import safe_ratio
 from ..operators import classifier, reliability, timelines
 from ..schemas import require_columns, require_unique
+from ..sources.shared import settle
 
 OBSERVED = ("aoi_id", "datatake_id", "config_hash", "observed_at", "catalog_cloud_cover", "usable", "complete")
 
@@ -31,13 +32,15 @@ def entity_table(spark, cfg: Config) -> DataFrame:
     return spark.createDataFrame([(a,) for a in cfg.aois], "aoi_id string")
 
 
-def summary(obs: DataFrame, entities: DataFrame, gap_rows: DataFrame, curve: DataFrame, months: DataFrame, table: DataFrame, days: Sequence[int] = reliability.WITHIN) -> DataFrame:
+def summary(
+    obs: DataFrame, entities: DataFrame, gap_rows: DataFrame, curve: DataFrame, months: DataFrame, table: DataFrame, horizon: int, days: Sequence[int] = reliability.WITHIN,
+) -> DataFrame:
     """Headline figures, one row an entity; whatever has no rows is 0."""
     counts = obs.where("complete").groupBy("aoi_id").agg(F.count("*").alias("n_observations"), F.count_if("usable").alias("n_usable"))
     t20 = table.where("threshold = 20").select("aoi_id", F.col("precision").alias("catalog_filter_precision_t20"), F.col("recall").alias("catalog_filter_recall_t20"))
     stats = timelines.gap_statistics(gap_rows)
     out = entities.select("aoi_id")
-    for block in (counts, stats, reliability.within(curve, days), reliability.best_and_worst(months), t20):
+    for block in (counts, stats, reliability.within(curve, horizon, days), reliability.best_and_worst(months), t20):
         out = out.join(block, "aoi_id", "left")
     out = out.withColumn("n_observations", F.coalesce("n_observations", F.lit(0))).withColumn("n_usable", F.coalesce("n_usable", F.lit(0)))
     doubles = [c for c, t in out.dtypes if t == "double"]
@@ -49,21 +52,21 @@ def summary(obs: DataFrame, entities: DataFrame, gap_rows: DataFrame, curve: Dat
 
 def compute(obs: DataFrame, entities: DataFrame, cfg: Config, days: Sequence[int] = reliability.WITHIN) -> dict[str, DataFrame]:
     """The six tables without config_hash, from any observations and entities."""
-    wait_rows = timelines.waits(obs, entities, cfg)
+    wait_rows = settle(timelines.waits(obs, entities, cfg))  # three tables read them
     gap_rows = timelines.gaps(obs)
     curve = reliability.survival(wait_rows, entities, cfg.horizon_days)
     months = reliability.monthly(wait_rows, entities)
     table = classifier.confusion(obs.where("complete"), entities)
     return {
         "aoi_wait_daily": wait_rows, "aoi_survival": curve, "aoi_monthly": months, "aoi_gaps": gap_rows,
-        "aoi_summary": summary(obs, entities, gap_rows, curve, months, table, days), "catalog_filter_eval": table,
+        "aoi_summary": summary(obs, entities, gap_rows, curve, months, table, cfg.horizon_days, days), "catalog_filter_eval": table,
     }
 
 
 def build_metric_tables(observations: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     """Scope, check and compute; every table carries the settings' hash."""
     cfg.require_horizon()
-    mine = scope(observations, cfg).persist()
+    mine = settle(scope(observations, cfg).select(*OBSERVED))
     tables = compute(mine, entity_table(observations.sparkSession, cfg), cfg)
     return {k: t.select("aoi_id", F.lit(cfg.config_hash).alias("config_hash"), *[c for c in t.columns if c != "aoi_id"]) for k, t in tables.items()}
 

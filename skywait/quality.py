@@ -35,8 +35,12 @@ def accepted(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.where(~F.col(column).isin(*values))
 
 
-def domains(tables: dict[str, DataFrame], cfg: Config) -> DataFrame:
-    """(rule, aoi_id): months 1..12, horizon + 1 survival rows, 21 thresholds and an 'ALL' scope."""
+def domains(tables: dict[str, DataFrame], cfg: Config, entities: int | None = None) -> DataFrame:
+    """(rule, aoi_id): months 1..12, horizon + 1 survival rows, 21 thresholds and an 'ALL' scope.
+
+    entities is how many there should be (by default those of the settings).
+    """
+    scopes_due = (len(cfg.aois) if entities is None else entities) + 1
 
     def shape(name: str, column: str, count: int, low: int, high: int) -> DataFrame:
         c = F.col(column)
@@ -44,7 +48,7 @@ def domains(tables: dict[str, DataFrame], cfg: Config) -> DataFrame:
         return got.where((F.col("n") != count) | (F.col("d") != count) | (F.col("lo") != low) | (F.col("hi") != high)).select(F.lit(f"{name}.{column}").alias("rule"), "aoi_id")
 
     scopes = tables["catalog_filter_eval"].select("aoi_id").distinct()
-    wrong = scopes.agg(F.count("*").alias("n"), F.count_if(F.col("aoi_id") == POOL).alias("a")).where((F.col("n") != len(cfg.aois) + 1) | (F.col("a") != 1))
+    wrong = scopes.agg(F.count("*").alias("n"), F.count_if(F.col("aoi_id") == POOL).alias("a")).where((F.col("n") != scopes_due) | (F.col("a") != 1))
     return (
         shape("aoi_monthly", "month", 12, 1, 12).unionByName(shape("aoi_survival", "n_days", cfg.horizon_days + 1, 0, cfg.horizon_days))
         .unionByName(shape("catalog_filter_eval", "threshold", 21, 0, 100)).unionByName(wrong.select(F.lit("scopes").alias("rule"), F.lit(POOL).alias("aoi_id")))

@@ -18,18 +18,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_or_empty(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
-    """The table, or an empty one with its declared columns where there is none yet."""
+    """The table, or an empty one with its declared columns where there is none yet.
+
+    If a write broke off between its two moves, the table that it was to replace is read.
+    """
     path = f"{data_dir}/{table}.parquet"
-    if _exists(spark, path):
-        return spark.read.parquet(path)
+    for found in (path, f"{path}.old"):
+        if _exists(spark, found):
+            return spark.read.parquet(found)
     return empty(spark, table)
 
 
 def write_table(df: DataFrame, data_dir: str, table: str, partition_by: str | None = None, files: int | None = None) -> None:
     """Replace a table: rows range-partitioned and sorted by key, zstd.
 
-    Equal input gives equal content. The rows are written beside the table and then moved,
-    so that a table may be computed from itself.
+    Equal input gives equal content. The rows are written beside the table, the old files
+    move aside and go last: a table may be computed from itself, and a crash loses none.
     """
     spark, keys = df.sparkSession, [k for k in KEYS[table] if k in df.columns]
     path = f"{data_dir}/{table}.parquet"
@@ -38,8 +42,11 @@ def write_table(df: DataFrame, data_dir: str, table: str, partition_by: str | No
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}.new")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
+    if fs.exists(hadoop(path)):
+        fs.delete(hadoop(f"{path}.old"), True)
+        fs.rename(hadoop(path), hadoop(f"{path}.old"))
     fs.rename(hadoop(f"{path}.new"), hadoop(path))
+    fs.delete(hadoop(f"{path}.old"), True)
 
 
 def upsert_table(incoming: DataFrame, data_dir: str, table: str, keep_first: tuple[str, ...] = ()) -> None:

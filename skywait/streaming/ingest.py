@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..schemas import KEYS
 from ..sources.tables import upsert_table
 
 STATE = "sequence long, generated long, scene_id string"
@@ -22,10 +21,9 @@ def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     best = state.get if state.exists else None
     before = best
     for rows in batches:
-        for r in rows.itertuples(index=False):
-            rank = (int(r.sequence), int(r.generated), str(r.scene_id))
-            if best is None or rank > tuple(best):
-                best = rank
+        top = rows.sort_values(["sequence", "generated", "scene_id"]).iloc[-1]
+        rank = (int(top["sequence"]), int(top["generated"]), str(top["scene_id"]))
+        best = rank if best is None else max(tuple(best), rank)
     if best is not None:
         state.update(tuple(best))
         if before is None or tuple(best) != tuple(before):
@@ -52,7 +50,7 @@ def upsert_stream(rows: DataFrame, data_dir: str, table: str, checkpoint: str) -
     """Upsert each micro-batch into a table; a batch that is replayed changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.dropDuplicates(KEYS[table]), data_dir, table)
+        upsert_table(batch, data_dir, table)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -27,10 +27,10 @@ def test_documented_example(spark):
     curve = {r.n_days: r.p_waiting for r in reliability.survival(frame, one(spark), 20).collect()}
     assert curve[7] == 27 / 41 and len(curve) == 21 and curve[20] == 0.0
     assert reliability.service_level(frame, 7).first().sla_success == 13 / 41
-    assert reliability.within(reliability.survival(frame, one(spark), 20), (7,)).first()[1] == 1 - 27 / 41
+    assert reliability.within(reliability.survival(frame, one(spark), 20), 20, (7,)).first()[1] == 1 - 27 / 41
     assert sorted(r.gap_days for r in timelines.gaps(obs).where("kind = 'effective'").collect()) == [5, 35]
     with pytest.raises(ConfigError):
-        reliability.within(reliability.survival(frame, one(spark), 20), (30,))
+        reliability.within(reliability.survival(frame, one(spark), 20), 20, (30,))
 
 
 def test_fractions_and_horizon(spark):
