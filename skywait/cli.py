@@ -1,14 +1,18 @@
-"""Command line: python -m skywait.cli aois|discover|metrics|report|sla ..."""
+"""Command line: python -m skywait.cli aois|discover|process|metrics|report|run|sla ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from dataclasses import replace
+from datetime import date
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .config import load_config
+from .config import Config, load_config
 from .errors import ConfigError, DataError
 from .plans import metric_tables, stages, views
 from .sources import catalogue_items, tables
@@ -30,8 +34,18 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("data_dir")
     a.add_argument("--size-km", type=float, default=20.0)
     d = sub.add_parser("discover", help="merge catalogue items of one entity")
-    d.add_argument("items")
-    d.add_argument("--aoi", required=True)
+    d.add_argument("items", help="the items' file, or a folder with a file for each entity")
+    d.add_argument("--start", type=date.fromisoformat)
+    d.add_argument("--end", type=date.fromisoformat)
+    p = sub.add_parser("process", help="read, composite and roll up what is not done yet")
+    p.add_argument("--force", action="store_true")
+    r = sub.add_parser("run", help="discover, process, metrics and report frames with a run record")
+    r.add_argument("items", help="a folder with a file of items for each entity")
+    r.add_argument("--record", required=True)
+    for x in (p, r):
+        x.add_argument("--rasters", required=True, help="a Parquet table of aoi_id, scene_id, classes, error")
+    for x in (d, p):
+        x.add_argument("--aoi")
     for name in ("metrics", "report"):
         sub.add_parser(name)
     s = sub.add_parser("sla", help="P(wait < N days) of one entity from the stored waits")
@@ -39,11 +53,27 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--every", type=int, required=True)
     s.add_argument("--min-clear", type=float)
     s.add_argument("--month", type=int)
-    for name in ("discover", "metrics", "report", "sla"):
+    for name in ("discover", "process", "metrics", "report", "run", "sla"):
         sub.choices[name].add_argument("--config", required=True)
     return top
 
 
+def chosen(cfg: Config, args: argparse.Namespace) -> Config:
+    """The settings with what the command line says of entities and period."""
+    said = {"aois": (args.aoi,) if getattr(args, "aoi", None) else None, "start": getattr(args, "start", None), "end": getattr(args, "end", None)}
+    return replace(cfg, **{k: v for k, v in said.items() if v is not None})
+
+
+def read_items(spark: SparkSession, path: str, cfg: Config) -> DataFrame:
+    """The items of all entities: from a folder's files aoi_id.json, or one file of one entity."""
+    if path.endswith((".json", ".geojson")):
+        if len(cfg.aois) != 1:
+            raise ConfigError("a file of items is of one entity: name it with --aoi")
+        return catalogue_items.read_items(spark, path).withColumn("aoi_id", F.lit(cfg.aois[0]))
+    each = [catalogue_items.read_items(spark, f"{path}/{a}.json").withColumn("aoi_id", F.lit(a)) for a in cfg.aois]
+    return reduce(DataFrame.unionByName, each)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
@@ -52,12 +82,19 @@ def main(argv: list[str] | None = None) -> int:
             log("entities", rows=stages.build_aois(spark, args.csv, args.data_dir, args.size_km).count())
             return 0
         cfg = load_config(args.config)
+        if args.command in ("discover", "run") and tables.read_or_empty(spark, cfg.data_dir, "aois").isEmpty():
+            raise DataError("build the entities first")
         if args.command == "discover":
-            from pyspark.sql import functions as F
-
-            items = catalogue_items.read_items(spark, args.items).withColumn("aoi_id", F.lit(args.aoi))
-            for row in stages.discover(spark, cfg, items, cfg.data_dir).collect():
+            cfg = chosen(cfg, args)
+            for row in stages.discover(spark, cfg, read_items(spark, args.items, cfg), cfg.data_dir, stages.overlap_with(cfg.data_dir)).collect():
                 log("discovered", **row.asDict())
+        elif args.command == "process":
+            cfg = chosen(cfg, args)
+            log("processed", **stages.process(spark, cfg, cfg.data_dir, stages.stored_rasters(spark.read.parquet(args.rasters)), args.force))
+        elif args.command == "run":
+            reader = stages.stored_rasters(spark.read.parquet(args.rasters))
+            done = stages.run(spark, cfg, cfg.data_dir, read_items(spark, args.items, cfg), reader, args.record, stages.overlap_with(cfg.data_dir))
+            log("run", record=str(done.path), status=done.data["status"])
         elif args.command == "metrics":
             log("metrics", **stages.metrics(spark, cfg, cfg.data_dir))
         elif args.command == "report":

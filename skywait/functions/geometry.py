@@ -6,6 +6,7 @@ Column functions where arithmetic is enough; pandas functions (Arrow batches) fo
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -105,6 +106,27 @@ def _overlap(entity: pd.Series, footprint: pd.Series) -> pd.Series:
     return pd.Series([one(a, f) for a, f in zip(entity, footprint, strict=True)])
 
 
+def to_wkb(ring: Sequence[Sequence[float]]) -> bytes:
+    """A polygon of one ring as well-known binary, little endian."""
+    return struct.pack("<BIII", 1, 3, 1, len(ring)) + np.array([list(p) for p in ring], dtype="<f8").tobytes()
+
+
+def from_wkb(data: bytes) -> list[list[float]]:
+    """The outer ring of a little-endian polygon."""
+    order, kind, _, points = struct.unpack_from("<BIII", data)
+    if order != 1 or kind != 3:
+        raise ValueError("no little-endian polygon")
+    return np.frombuffer(data, dtype="<f8", count=2 * points, offset=13).reshape(-1, 2).tolist()
+
+
+def wkb(ring: str) -> Column:
+    return F.pandas_udf(lambda rings: rings.map(to_wkb), "binary")(ring)
+
+
+def ring_of(data: str) -> Column:
+    return F.pandas_udf(lambda rows: rows.map(from_wkb), "array<array<double>>")(data)
+
+
 def overlap_fraction(entity: str, footprint: str) -> Column:
     """Share of a convex entity ring that a footprint ring covers; 0 without a footprint."""
     return F.pandas_udf(_overlap, "double")(entity, footprint)

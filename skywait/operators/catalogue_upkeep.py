@@ -116,6 +116,25 @@ def search_starts(state: DataFrame, configured: date, overlap_days: int) -> Data
     return state.withColumn("search_start", F.greatest(first, F.col("watermark") - F.expr(f"interval {overlap_days} days")))
 
 
+def coverage_starts(scenes: DataFrame, links: DataFrame) -> DataFrame:
+    """(aoi_id, coverage_start): the earliest stored instant of each entity."""
+    dated = links.select("aoi_id", "scene_id").join(scenes.select("scene_id", "datetime"), "scene_id")
+    return dated.groupBy("aoi_id").agg(F.min("datetime").alias("coverage_start"))
+
+
+def search_windows(entities: DataFrame, state: DataFrame, coverage: DataFrame, configured: date, last: date, overlap_days: int) -> DataFrame:
+    """(aoi_id, start, end): what each entity's search must cover.
+
+    An entity whose stored coverage is unknown or begins after the configured start asks for
+    everything; others ask from their watermark less the overlap on.
+    """
+    known = entities.join(state.select("aoi_id", "watermark"), "aoi_id", "left").join(coverage, "aoi_id", "left")
+    first = F.lit(configured).cast("timestamp")
+    lacking = F.col("coverage_start").isNull() | (first < F.col("coverage_start"))
+    start = F.when(lacking, first).otherwise(F.greatest(first, F.col("watermark") - F.expr(f"interval {overlap_days} days")))
+    return known.select("aoi_id", start.alias("start"), (F.date_add(F.lit(last), 1).cast("timestamp") - F.expr("interval 1 microsecond")).alias("end"))
+
+
 def advance(state: DataFrame, fetched: DataFrame) -> DataFrame:
     """Watermarks moved to the newest fetched instant of each entity, never back."""
     top = fetched.groupBy("aoi_id").agg(F.max("datetime").alias("_top"))

@@ -43,27 +43,58 @@ def build_aois(spark: SparkSession, csv: str, data_dir: str, size_km: float = 20
         return pd.DataFrame({"ring": [r for r, _ in made], "area_km2": [a for _, a in made]})
 
     out = placed.withColumn("s", shape("lat", "lon", "utm_epsg")).select("*", "s.ring", "s.area_km2").drop("s")
-    text = F.to_json(F.struct(F.array("ring").alias("coordinates"), F.lit("Polygon").alias("type")))
-    tables.write_table(_declared(out.withColumn("geometry", F.encode(text, "UTF-8")), "aois"), data_dir, "aois")
+    tables.write_table(_declared(out.withColumn("geometry", geometry.wkb("ring")), "aois"), data_dir, "aois")
     return out
 
 
-def discover(spark: SparkSession, cfg: Config, items: DataFrame, data_dir: str, overlap: Callable[[DataFrame], DataFrame] | None = None, now: datetime | None = None) -> DataFrame:
-    """Merge fetched items, tagged with aoi_id, into scenes, links, supersession and watermarks.
+def search_windows(spark: SparkSession, cfg: Config, data_dir: str) -> DataFrame:
+    """(aoi_id, start, end): what the next discovery must search for each entity of the settings."""
+    state = tables.read_or_empty(spark, data_dir, "ingest_state").where(F.col("collection") == cfg.collection)
+    coverage = catalogue_upkeep.coverage_starts(tables.read_or_empty(spark, data_dir, "scenes"), tables.read_or_empty(spark, data_dir, "scene_aoi"))
+    entities = metric_tables.entity_table(spark, cfg)
+    return catalogue_upkeep.search_windows(entities, state, coverage, cfg.start, cfg.end, cfg.late_overlap_days)
+
+
+def overlap_with(data_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds the share of each item's entity that the item's footprint covers."""
+
+    def add(items: DataFrame) -> DataFrame:
+        places = tables.read_or_empty(items.sparkSession, data_dir, "aois").select("aoi_id", F.col("geometry").alias("_wkb"))
+        shape = F.from_json("geometry_json", "coordinates array<array<array<double>>>")
+        rings = items.join(places, "aoi_id").withColumn("_ring", geometry.ring_of("_wkb")).withColumn("_foot", F.get(shape["coordinates"], F.lit(0)))
+        return rings.withColumn("footprint_overlap_fraction", geometry.overlap_fraction("_ring", "_foot")).drop("_wkb", "_ring", "_foot")
+
+    return add
+
 
-    items: aoi_id and the columns of read_items. overlap adds footprint_overlap_fraction
-    (1.0 without it). Returns counts per entity; a second call with the same items adds none.
+def discover(
+    spark: SparkSession, cfg: Config, items: DataFrame | Callable[[DataFrame], DataFrame], data_dir: str,
+    overlap: Callable[[DataFrame], DataFrame] | None = None, now: datetime | None = None,
+) -> DataFrame:
+    """Merge items, tagged with aoi_id, into scenes, links, supersession and watermarks.
+
+    items: aoi_id and the columns of read_items, or a function that fetches them for a table
+    of (aoi_id, start, end, chunk_start, chunk_end): the entities' search windows (from the
+    watermark less the overlap on, or all where the stored coverage falls short) in chunks of
+    at most 90 days. Items of other entities or outside of the windows are left out. overlap adds
+    footprint_overlap_fraction (1.0 without it). Returns counts per entity; a second call
+    with the same items adds none.
     """
     at = F.lit((now or datetime.now(timezone.utc)).replace(tzinfo=None)).cast("timestamp")
-    tagged = settle(items)
+    windows = settle(search_windows(spark, cfg, data_dir))
+    found = items(catalogue_upkeep.interval_rows(windows)) if callable(items) else items
+    taken = F.col("properties.datetime").try_cast("timestamp")
+    due = found.join(F.broadcast(windows), "aoi_id")  # one row an entity of the settings
+    tagged = settle(due.where(taken.isNull() | taken.between(F.col("start"), F.col("end"))).select(*found.columns))
     links = overlap(tagged) if overlap else tagged.withColumn("footprint_overlap_fraction", F.lit(1.0))
     fetched = catalogue_items.scene_rows(catalogue_items.merge_pages(tagged.drop("aoi_id", *[c for c in ("footprint_overlap_fraction",) if c in tagged.columns])), at)
     known = settle(tables.read_or_empty(spark, data_dir, "scenes"))
     everything = settle(catalogue_upkeep.upsert(known, _declared(fetched, "scenes"), KEYS["scenes"], keep_first=("ingested_at",)))
-    lost_now = settle(catalogue_upkeep.superseded(everything))
+    won = catalogue_upkeep.winner_table(everything)
+    lost_now = won.where("scene_id != winner").select("scene_id", F.col("winner").alias("superseded_by"))
     lost_before = tables.read_or_empty(spark, data_dir, "scenes_superseded")
     chains = settle(catalogue_upkeep.resolve_chains(catalogue_upkeep.upsert(lost_before, lost_now, ["scene_id"])))
-    active = settle(catalogue_upkeep.latest(everything))
+    active = settle(everything.join(won.where("scene_id = winner").select("scene_id"), "scene_id", "left_semi"))
     all_links = tables.read_or_empty(spark, data_dir, "scene_aoi").unionByName(_declared(links.withColumnRenamed("id", "scene_id"), "scene_aoi"))
     relinked = settle(catalogue_upkeep.relink(all_links, chains, active))
     seen = tagged.select("aoi_id", F.col("id").alias("scene_id"))
@@ -186,7 +217,21 @@ class RunRecord:
         self.write()
 
 
-def run(spark: SparkSession, cfg: Config, data_dir: str, items: DataFrame, read_rasters: Callable[[DataFrame], DataFrame], record: str) -> RunRecord:
+def stored_rasters(rasters: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A reader for process(): classes and errors of (aoi_id, scene_id) from a table; what it lacks is an error."""
+
+    def read(work: DataFrame) -> DataFrame:
+        both = work.join(rasters.select("aoi_id", "scene_id", "classes", "error", F.lit(True).alias("_there")), ["aoi_id", "scene_id"], "left")
+        lacking = F.when(F.col("_there").isNull(), F.lit("no raster"))
+        return both.withColumn("classes", F.coalesce("classes", F.array().cast("array<int>"))).withColumn("error", F.coalesce("error", lacking)).drop("_there")
+
+    return read
+
+
+def run(
+    spark: SparkSession, cfg: Config, data_dir: str, items: DataFrame | Callable[[DataFrame], DataFrame], read_rasters: Callable[[DataFrame], DataFrame], record: str,
+    overlap: Callable[[DataFrame], DataFrame] | None = None,
+) -> RunRecord:
     """Discovery, processing, metrics and report frames in one go, with a run record."""
     log = RunRecord(cfg, record)
 
@@ -196,7 +241,7 @@ def run(spark: SparkSession, cfg: Config, data_dir: str, items: DataFrame, read_
         return {}
 
     log.stage("entities", places)
-    log.stage("discover", lambda: {r.aoi_id: {"fetched": r.fetched, "new": r.new, "superseded": r.superseded} for r in discover(spark, cfg, items, data_dir).collect()})
+    log.stage("discover", lambda: {r.aoi_id: {"fetched": r.fetched, "new": r.new, "superseded": r.superseded} for r in discover(spark, cfg, items, data_dir, overlap).collect()})
     log.stage("process", lambda: process(spark, cfg, data_dir, read_rasters))
     log.stage("metrics", lambda: metrics(spark, cfg, data_dir))
     log.stage("report", lambda: {k: f.count() for k, f in report_frames(spark, cfg, data_dir).items()})

@@ -10,6 +10,7 @@ from .errors import DataError
 
 _COUNTS = ", ".join(f"count_class_{k} long" for k in range(12))
 
+# Table and column names, types and keys that other tools read.
 SCHEMAS = {
     "aois": "aoi_id string, name string, country string, lat double, lon double, utm_epsg long, area_km2 double, geometry binary",
     "scenes": (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
@@ -21,12 +21,16 @@ ITEM = (
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """The features of FeatureCollection files, one row each; entries that are no objects are skipped."""
+    """The features of FeatureCollection files, one row each; entries that are no objects are skipped.
+
+    page and place tell the order in which they came.
+    """
     raw = spark.read.schema("type string, features array<string>").json(path, multiLine=True)
     if not raw.where("features is null").isEmpty():
         raise DataError("a file has no list of features")
-    items = raw.select(F.explode("features").alias("text")).where(F.col("text").startswith("{"))
-    return items.select(F.from_json("text", ITEM).alias("item"), "text").select("item.*", F.get_json_object("text", "$.geometry").alias("geometry_json"))
+    items = raw.select(F.input_file_name().alias("page"), F.posexplode("features").alias("place", "text")).where(F.col("text").startswith("{"))
+    parsed = items.select(F.from_json("text", ITEM).alias("item"), "text", "page", "place")
+    return parsed.select("item.*", F.get_json_object("text", "$.geometry").alias("geometry_json"), "page", "place")
 
 
 def scene_rows(items: DataFrame, ingested_at: Column) -> DataFrame:
@@ -50,10 +54,11 @@ def scene_rows(items: DataFrame, ingested_at: Column) -> DataFrame:
 
 
 def merge_pages(items: DataFrame) -> DataFrame:
-    """One item an id; of equal ids the last generated."""
+    """One item an id; of equal ids the one that came last (or, if the order is not known, was generated last)."""
     others = [c for c in items.columns if c != "id"]
-    best = F.max_by(F.struct(*others), F.struct(F.col("properties.`s2:generation_time`"), F.xxhash64(F.to_json(F.struct(*others)))))
-    return items.groupBy("id").agg(best.alias("r")).select("id", "r.*")
+    come = [F.col(c) for c in ("page", "place") if c in others] or [F.col("properties.`s2:generation_time`")]
+    last_first = Window.partitionBy("id").orderBy(*[c.desc() for c in come], F.xxhash64(F.to_json(F.struct(*others))))
+    return items.withColumn("_place", F.row_number().over(last_first)).where("_place = 1").drop("_place")
 
 
 def read_centroids(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +95,15 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("properties.*", F.col("geometry.coordinates")[0].alias("ring"))
 
 
+def read_basemap(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, geometry) texts of a map's FeatureCollection; anything else is an error."""
+    raw = spark.read.schema("type string, features array<string>").json(path, multiLine=True)
+    if not raw.where("coalesce(type, '') != 'FeatureCollection' or features is null").isEmpty():
+        raise DataError(f"{path} is no FeatureCollection")
+    each = raw.select(F.explode("features").alias("f"))
+    return each.select(F.get_json_object("f", "$.properties").alias("properties"), F.get_json_object("f", "$.geometry").alias("geometry"))
+
+
 def to_geojson(places: DataFrame) -> DataFrame:
     """(aoi_id, feature): a GeoJSON Feature text for each entity with a ring; keys in order."""
     geometry = F.struct(F.array("ring").alias("coordinates"), F.lit("Polygon").alias("type"))

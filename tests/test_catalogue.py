@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -53,7 +53,7 @@ def test_items_and_dedupe(spark, tmp_path):
 
 
 def test_discover_is_idempotent(spark, tmp_path):
-    cfg, data = config(aois=("berlin",), data_dir=str(tmp_path / "data")), str(tmp_path / "data")
+    cfg, data = config(aois=("berlin",), data_dir=str(tmp_path / "data"), start=date(2025, 1, 1), end=date(2025, 12, 31)), str(tmp_path / "data")
     items = catalogue_items.read_items(spark, write_items(tmp_path)).withColumn("aoi_id", F.lit("berlin"))
     one = stages.discover(spark, cfg, items, data, now=datetime(2025, 7, 2)).first()
     assert (one.fetched, one.new, one.superseded) == (3, 2, 1)
@@ -69,6 +69,9 @@ def test_chains_and_cycles(spark):
     assert {tuple(r) for r in up.resolve_chains(chain).collect()} == {("a", "d"), ("b", "d"), ("c", "d")}
     cycle = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "a")], "scene_id string, superseded_by string")
     assert up.resolve_chains(cycle).count() == 3
+    long = [(str(k), str((k + 1) % 7)) for k in range(7)] + [(f"t{k}", f"t{k + 1}") for k in range(40)] + [("in", "0")]
+    got = dict(map(tuple, up.resolve_chains(spark.createDataFrame(long, "scene_id string, superseded_by string")).collect()))
+    assert len(got) == 48 and all(got[f"t{k}"] == "t40" for k in range(40)) and got["in"] in set("0123456")
 
 
 def test_upsert_and_states(spark):
@@ -76,6 +79,9 @@ def test_upsert_and_states(spark):
     new = spark.createDataFrame([(2, "B", 99), (3, "c", 98)], "k int, v string, t int")
     assert sorted(map(tuple, up.upsert(old, new, ["k"], keep_first=("t",)).collect())) == [(1, "a", 10), (2, "B", 20), (3, "c", 98)]
     assert up.upsert(old.limit(0), new, ["k"]).count() == 2 and up.upsert(old, new.limit(0), ["k"]).count() == 2
+    many = spark.createDataFrame([(2, "x", 1), (2, "y", 3), (1, "z", 2), (2, "w", 2)], "k int, v string, t int").coalesce(1)
+    assert sorted(map(tuple, up.upsert(old, many, ["k"]).collect())) == [(1, "z", 2), (2, "w", 2)], "the last row of a key stays"
+    assert sorted(map(tuple, up.upsert(old, many, ["k"], order="t").collect())) == [(1, "z", 2), (2, "y", 3)]
     twice = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "k int, v string, t int")
     assert tuple(up.last_of_key(twice, ["k"], "t").first()) == (1, "y", 2)
     d = datetime
@@ -135,6 +141,115 @@ def test_process_stage(spark, tmp_path):
     assert [r.usable for r in both.where("datatake_id = 'take-1'").orderBy(F.desc("usable")).collect()] == [True, False]
 
 
+def test_windows_bound_what_is_discovered(spark, tmp_path):
+    cfg, data = config(aois=("a", "b"), start=date(2025, 1, 1), end=date(2025, 12, 31), late_overlap_days=7), str(tmp_path / "data")
+    dated = []
+    for k, day in enumerate(["2024-12-31T23:59:59Z", "2025-01-01T00:00:00Z", "2025-05-01T00:00:00Z", "2025-12-31T23:59:59Z", "2026-01-01T00:00:00Z"]):
+        x = item(f"S{k}", f"T{k}", 0, "2025-06-26T12:06:04Z", take=f"take{k}")
+        x["properties"]["datetime"] = day
+        dated.append(x)
+    items = catalogue_items.read_items(spark, write_items(tmp_path, dated))
+    asked = []
+
+    def fetch(chunks):
+        asked.append([tuple(r) for r in chunks.where("aoi_id = 'a'").select("chunk_start", "chunk_end").orderBy("chunk_start").collect()])
+        return items.withColumn("aoi_id", F.lit("a")).unionByName(items.where("id = 'S2'").withColumn("aoi_id", F.lit("nowhere")))
+
+    first = stages.discover(spark, cfg, fetch, data, now=datetime(2026, 1, 2)).collect()
+    assert [(r.aoi_id, r.fetched) for r in first] == [("a", 3)]
+    assert asked[0][0][0] == datetime(2025, 1, 1) and len(asked[0]) == 5 and asked[0][-1][1].date() == date(2025, 12, 31)
+    assert all(b[0] - a[1] == timedelta(seconds=1) for a, b in zip(asked[0], asked[0][1:], strict=False))
+    windows = {r.aoi_id: r.start for r in stages.search_windows(spark, cfg, data).collect()}
+    assert windows == {"a": datetime(2025, 12, 24, 23, 59, 59), "b": datetime(2025, 1, 1)}
+    assert stages.discover(spark, cfg, fetch, data).first().fetched == 1, "only what lies behind the watermark less the overlap"
+    earlier = config(aois=("a",), start=date(2024, 12, 1), end=date(2025, 12, 31))
+    assert stages.search_windows(spark, earlier, data).first().start == datetime(2024, 12, 1), "coverage falls short"
+
+
+def test_pages_merge_as_they_come(spark, tmp_path):
+    a, b = item("X", "T", 0, "2025-07-01T00:00:00Z", cloud=1.0), item("X", "T", 0, "2025-06-01T00:00:00Z", cloud=2.0)
+    items = catalogue_items.read_items(spark, write_items(tmp_path, [a, b]))
+    assert [r.properties["eo:cloud_cover"] for r in catalogue_items.merge_pages(items).collect()] == [2.0]
+    assert [r.properties["eo:cloud_cover"] for r in catalogue_items.merge_pages(items.drop("page", "place")).collect()] == [1.0]
+
+
+def test_a_broken_write_loses_no_table(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b")], "scene_id string, superseded_by string")
+    tables.write_table(rows, str(tmp_path), "scenes_superseded")
+    (tmp_path / "scenes_superseded.parquet").rename(tmp_path / "scenes_superseded.parquet.old")
+    assert tables.read_or_empty(spark, str(tmp_path), "scenes_superseded").count() == 1
+    tables.write_table(rows.union(rows.selectExpr("'c'", "'d'")), str(tmp_path), "scenes_superseded")
+    assert tables.read_or_empty(spark, str(tmp_path), "scenes_superseded").count() == 2
+
+
+def test_command_line_from_files_to_report(spark, tmp_path, capsys, monkeypatch):
+    from skywait import cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    data, folder = tmp_path / "data", tmp_path / "items"
+    folder.mkdir()
+    (tmp_path / "c.csv").write_text("aoi_id,name,country,lat,lon\nberlin,Berlin,Germany,52.52,13.405\n")
+    (tmp_path / "c.yaml").write_text(f"start: 2025-01-01\nend: 2025-06-30\naois: [berlin]\ndata_dir: {data}\nhorizon_days: 60\nmin_clear: 0.5\nmin_coverage: 0.5\n")
+    found = []
+    for k in range(6):
+        x = item(f"S{k}", "33UUU", 0, "2025-07-01T00:00:00Z", take=f"take{k}")
+        x["properties"]["datetime"] = f"2025-0{k + 1}-10T10:00:00Z"
+        x["geometry"]["coordinates"] = [[[13, 52], [14, 52], [14, 53], [13, 53], [13, 52]]] if k else [[[13.405, 52], [14, 52], [14, 53], [13.405, 53], [13.405, 52]]]
+        found.append(x)
+    write_items(folder, found)
+    (folder / "items.json").rename(folder / "berlin.json")
+    rasters = [("berlin", f"S{k}", [4] * (9 - k) + [9] * (1 + k), None) for k in range(5)]
+    spark.createDataFrame(rasters, "aoi_id string, scene_id string, classes array<int>, error string").write.parquet(str(tmp_path / "rasters"))
+    common = ["--config", str(tmp_path / "c.yaml")]
+    assert cli.main(["discover", str(folder), *common]) == 2, "entities come first"
+    assert cli.main(["aois", str(tmp_path / "c.csv"), str(data)]) == 0
+    assert cli.main(["discover", str(folder / "berlin.json"), "--aoi", "berlin", "--start", "2025-02-01", "--end", "2025-03-31", *common]) == 0
+    assert tables.read_or_empty(spark, str(data), "scenes").count() == 2
+    assert cli.main(["process", "--rasters", str(tmp_path / "rasters"), "--aoi", "berlin", *common]) == 0
+    assert tables.read_or_empty(spark, str(data), "observations").count() == 2
+    assert cli.main(["run", str(folder), "--rasters", str(tmp_path / "rasters"), "--record", str(tmp_path / "run.json"), *common]) == 0
+    record = json.loads((tmp_path / "run.json").read_text())
+    assert record["status"] == "complete" and record["stages"]["discover"]["counts"]["berlin"]["fetched"] == 6
+    assert record["stages"]["process"]["counts"] == {"observations": 4, "observations_skipped": 2, "scenes": 4, "scenes_failed": 1}
+    obs = tables.load_observations(spark, str(data))
+    assert obs.count() == 6 and [r.complete for r in obs.collect()] == [True] * 5 + [False]
+    assert quality.invariants(obs).isEmpty()
+    overlap = {r.scene_id: r.footprint_overlap_fraction for r in tables.read_or_empty(spark, str(data), "scene_aoi").collect()}
+    assert overlap["S1"] == 1 and overlap["S0"] == pytest.approx(0.5, abs=0.02)
+    frames = stages.report_frames(spark, config(aois=("berlin",), start=date(2025, 1, 1), end=date(2025, 6, 30), data_dir=str(data), min_clear=0.5, min_coverage=0.5), str(data))
+    assert {"dumbbell", "heatmap", "survival", "catalogue", "service_levels", "examples", "pooled", "summary", "map"} == set(frames)
+    assert frames["summary"].first().n_observations == 5 and frames["map"].first().country == "Germany"
+    capsys.readouterr()
+    assert cli.main(["report", *common]) == 0 and "| Berlin |" in capsys.readouterr().out
+    assert cli.main(["sla", "--aoi", "berlin", "--every", "7", *common]) == 0 and 0 <= float(capsys.readouterr().out) <= 1
+
+
+def test_usable_counts_per_window(spark, tmp_path):
+    at = datetime(2024, 1, 10)
+    rows = [("a", at, True, True), ("a", at + timedelta(days=1), True, False), ("a", at + timedelta(days=40), True, True), ("b", at, False, True)]
+    shape = "aoi_id string, observed_at timestamp, complete boolean, usable boolean"
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "in" / "1"))
+    feed = spark.readStream.schema(shape).parquet(f"{tmp_path}/in/*")
+    q = ingest.usable_counts(feed).writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.aoi_id, r.n_observations, r.n_usable) for r in spark.table("counted").collect())
+    assert got == [("a", 1, 1), ("a", 2, 1), ("b", 0, 0)]
+
+
+def test_basemap_and_invariants(spark, tmp_path):
+    feature = {"type": "Feature", "properties": {"name": "X"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}
+    (tmp_path / "m.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+    row = catalogue_items.read_basemap(spark, str(tmp_path / "m.geojson")).first()
+    assert json.loads(row.properties) == {"name": "X"} and json.loads(row.geometry)["type"] == "Polygon"
+    (tmp_path / "n.geojson").write_text(json.dumps(feature))
+    with pytest.raises(DataError):
+        catalogue_items.read_basemap(spark, str(tmp_path / "n.geojson"))
+    odd = spark.createDataFrame([(1.0, 0.5, 1), (1.2, 0.5, 1), (0.5, 0.6, 1), (0.5, 0.5, 0)], "covered_fraction double, clear_fraction double, n_scenes int")
+    assert quality.invariants(odd).count() == 3
+    ring = [[13.0, 52.0], [14.5, 52.0], [14.0, 53.0], [13.0, 52.0]]
+    assert geometry.from_wkb(geometry.to_wkb(ring)) == ring and len(geometry.to_wkb(ring)) == 13 + 16 * 4
+
+
 def test_geometry(spark):
     rows = spark.createDataFrame([(52.52, 13.405), (69.6492, 18.9553), (-33.9, 18.4), (85.0, 0.0)], "lat double, lon double")
     assert [r[0] for r in rows.select(utm_epsg(F.col("lat"), F.col("lon"))).collect()] == [32633, 32634, 32734, None]
