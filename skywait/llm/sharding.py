@@ -24,17 +24,17 @@ def min_cost_flow(
 
     cost[i][j] is the price of a byte from i to j; by default a byte that stays (i == j) is
     free and any other costs 1. Capacities must hold the supplies. Successive shortest
-    paths with potentials, on len(supplies) + len(capacities) + 2 nodes.
+    paths with potentials. At default prices all moves pass a hub, so arcs grow with the number
+    of shards and not with its square, and the flow has at most as many parts.
     """
     n, m = len(supplies), len(capacities)
     if sum(supplies) > sum(capacities):
         raise ValueError("the new shards cannot hold all bytes")
-    price = cost or [[int(i != j) for j in range(m)] for i in range(n)]
-    if any(c < 0 for row in price for c in row):
+    if any(c < 0 for row in cost or () for c in row):
         raise ValueError("costs must not be negative")
-    source, sink = n + m, n + m + 1
+    source, sink, hub = n + m, n + m + 1, n + m + 2
     arcs: list[list[int]] = []  # to, left, cost; arc k ^ 1 is its reverse
-    out: list[list[int]] = [[] for _ in range(n + m + 2)]
+    out: list[list[int]] = [[] for _ in range(n + m + 3)]
 
     def arc(a: int, b: int, room: int, c: int) -> None:
         out[a].append(len(arcs))
@@ -47,11 +47,44 @@ def min_cost_flow(
     for j, c in enumerate(capacities):
         arc(n + j, sink, c, 0)
     for i in range(n):
-        for j in range(m):
-            arc(i, n + j, supplies[i], price[i][j])
-    height = [0] * (n + m + 2)
+        if cost is None:
+            arc(i, hub, supplies[i], 1)
+            if i < m:
+                arc(i, n + i, supplies[i], 0)
+        for j in range(m if cost is not None else 0):
+            arc(i, n + j, supplies[i], cost[i][j])
+    for j in range(m if cost is None else 0):
+        arc(hub, n + j, capacities[j], 0)
+    _augment(arcs, out, source, sink)
+    flow: dict[tuple[int, int], int] = {}
+    sent, due = [], []  # what the hub gets and gives
+    for i in range(n):
+        for k in out[i]:
+            if k % 2 == 0 and arcs[k ^ 1][1]:
+                b = arcs[k][0]
+                if b == hub:
+                    sent.append([i, arcs[k ^ 1][1]])
+                else:
+                    flow[i, b - n] = arcs[k ^ 1][1]
+    for k in out[hub]:
+        if k % 2 == 0 and arcs[k ^ 1][1]:
+            due.append([arcs[k][0] - n, arcs[k ^ 1][1]])
+    while sent:
+        amount = min(sent[-1][1], due[-1][1])
+        pair = sent[-1][0], due[-1][0]
+        flow[pair] = flow.get(pair, 0) + amount
+        for side in (sent, due):
+            side[-1][1] -= amount
+            if not side[-1][1]:
+                side.pop()
+    return flow
+
+
+def _augment(arcs: list[list[int]], out: list[list[int]], source: int, sink: int) -> None:
+    """Send all that fits from source to sink along cheapest paths."""
+    height = [0] * len(out)
     while True:
-        far, via = [None] * (n + m + 2), [-1] * (n + m + 2)
+        far, via = [None] * len(out), [-1] * len(out)
         far[source] = 0
         queue = [(0, source)]
         while queue:
@@ -65,7 +98,7 @@ def min_cost_flow(
                     far[b], via[b] = step, k
                     heapq.heappush(queue, (step, b))
         if far[sink] is None:
-            break
+            return
         for v, d in enumerate(far):
             if d is not None:
                 height[v] += d
@@ -77,13 +110,6 @@ def min_cost_flow(
         for k in path:
             arcs[k][1] -= push
             arcs[k ^ 1][1] += push
-    flow = {}
-    for i in range(n):
-        for k in out[i]:
-            b = arcs[k][0]
-            if k % 2 == 0 and b != source and arcs[k ^ 1][1]:
-                flow[i, b - n] = arcs[k ^ 1][1]
-    return flow
 
 
 def _even(total: int, parts: int) -> list[int]:
@@ -136,7 +162,8 @@ def reshard(rows: DataFrame, n_shards: int) -> DataFrame:
     another than the old one). Documents above the mean size are dealt first; the smaller
     ones then fill what is left of every arc, so that a shard misses its capacity by a few
     small documents at most. Null texts count 16 bytes, null ids are rows like others,
-    repeated rows are dealt one by one, and an empty table gives an empty result.
+    repeated rows are dealt one by one (ties in their order go either way), very long texts
+    are one row each, other columns stay out, and an empty table gives an empty result.
     """
     rows = settle(rows)
     stats = rows.groupBy("old_shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()

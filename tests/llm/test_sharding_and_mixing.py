@@ -40,6 +40,19 @@ def test_only_the_excess_moves():
     assert sum(v for (i, j), v in flow.items() if i != j) == 5
 
 
+def test_many_shards_by_the_hub():
+    rng = random.Random(5)
+    supply = [rng.randint(0, 10_000) for _ in range(400)]
+    room = sharding._even(sum(supply), 700)
+    flow = sharding.min_cost_flow(supply, room)
+    assert all(sum(v for (a, _), v in flow.items() if a == i) == supply[i] for i in range(0, 400, 37)) and sum(flow.values()) == sum(supply)
+    held = np.zeros(700, dtype=np.int64)
+    for (_, j), v in flow.items():
+        held[j] += v
+    assert held.tolist() == room and len(flow) <= 2 * 1100
+    assert sum(v for (i, j), v in flow.items() if i == j) == sum(min(s, r) for s, r in zip(supply, room, strict=False))
+
+
 def test_running_offsets(spark):
     rows = spark.createDataFrame([("g" if k % 3 else "h", k % 50, k % 7) for k in range(300)], "grp string, k long, v long")
     out = running_offsets(rows, "grp", ["k", "v"], F.col("v"), 16).collect()
