@@ -74,6 +74,17 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
+def broadcast_if_small(df: DataFrame, most: int = 32_000_000) -> DataFrame:
+    """df, marked for a broadcast if its measured bytes are few; larger ones are left to a shuffle."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        own = F.octet_length(c) if kind in ("string", "binary") else 32 * F.size(c) if kind.startswith("array") else F.lit(0)
+        size = size + F.lit(16) + F.coalesce(own, F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def is_training(doc_id: Column, folds: int, held_out: int) -> Column:
     """True where crc32(doc_id as text) mod folds is not held_out. A null id counts as text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds != held_out

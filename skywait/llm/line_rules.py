@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import SPACE_CHARS, words
+from .common import SPACE_CHARS, broadcast_if_small, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -16,8 +16,6 @@ LINE_DOCS = 20
 LINE_SHARE = 0.02
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.2
-BROADCAST_ROWS = 500_000
-BROADCAST_LISTS = 50_000  # rows with their removed lines' keys
 
 
 def _has_word(line: Column) -> Column:
@@ -91,8 +89,8 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     verdicts = settle(_verdicts(docs, **limits, keys=True).select(*names, "kept", "removed_keys").where("not kept or removed_keys is not null"))
     gone = verdicts.where("not kept").select(*names).distinct()
     shorter = verdicts.where("kept").select(*names, F.col("removed_keys").alias("_removed_keys")).dropDuplicates(names)
-    left = _same_row(docs.withColumn("_text_key", _text_key()), gone, BROADCAST_ROWS, "left_anti")
-    marked = _same_row(left, shorter, BROADCAST_LISTS, "left")
+    left = _same_row(docs.withColumn("_text_key", _text_key()), gone, "left_anti")
+    marked = _same_row(left, shorter, "left")
     stays = F.filter(F.split("text", "\n"), lambda x: ~_has_word(x) | ~F.array_contains("_removed_keys", _line_key(x)))
     changed = F.col("_removed_keys").isNotNull()
     out = marked.withColumn("_cleaned", F.when(changed, F.array_join(stays, "\n")).otherwise(F.col("text")))
@@ -102,10 +100,10 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
     return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
-def _same_row(docs: DataFrame, rows: DataFrame, most: int, how: str) -> DataFrame:
+def _same_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """docs (with _text_key) joined to rows of their id, host and text; few rows are broadcast."""
     renamed = rows.withColumnsRenamed({c: f"_{c}_" for c in ("doc_id", "source", "text_key")})
-    few = F.broadcast(renamed) if rows.count() <= most else renamed
+    few = broadcast_if_small(renamed)
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id_")) & F.col("source").eqNullSafe(F.col("_source_")) & (F.col("_text_key") == F.col("_text_key_"))
     return docs.join(few, same, how)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import lean, list_parts, mix64, slices, small_batches, word_hashes
+from .common import broadcast_if_small, lean, list_parts, mix64, slices, small_batches, word_hashes
 
 SHINGLE = 5
 COMPONENTS = 80
@@ -142,7 +142,6 @@ def connected(links: DataFrame) -> DataFrame:
 
 TILE = 256  # members of a component that a query is compared with at a time
 PIVOTS = 4  # members of the largest component that the nodes outside meet first
-BROADCAST_ROWS = 500_000
 
 
 def profiles(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -166,15 +165,10 @@ def profiles(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.select("id", "hashes").mapInArrow(run, "id long, profile array<long>")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for a broadcast if its counted rows (two numbers each) are few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _profiles_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(id, profile) of nodes (node, first_doc, k1, k2), from one copy of each text."""
     wanted = settle(nodes.select("node", "first_doc", "k1", "k2"))
-    texts = docs.select("doc_id", "text").join(_small(wanted, wanted.count()), docs["doc_id"].eqNullSafe(wanted["first_doc"]))
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(wanted), docs["doc_id"].eqNullSafe(wanted["first_doc"]))
     hashed = texts.select("node", "k1", word_hashes(F.col("text")).alias("hashes"))
     # an id may occur with other texts: the words decide (not as a join key, which would split every text)
     same = F.xxhash64("hashes").bitwiseXOR(F.col("k1")) == 0
@@ -185,7 +179,7 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs (a, b) whose shingle multisets overlap by threshold (weighted Jaccard)."""
     pairs = settle(pairs.distinct())
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    mine = held.join(_small(wanted, wanted.count()), "id")
+    mine = held.join(broadcast_if_small(wanted), "id")
     both = pairs.join(mine.select(F.col("id").alias("a"), F.col("profile").alias("pa")), "a").join(mine.select(F.col("id").alias("b"), F.col("profile").alias("pb")), "b")
     least = threshold * F.greatest(F.size("pa"), F.size("pb")) <= F.least(F.size("pa"), F.size("pb"))
     shared = F.size(F.array_intersect("pa", "pb"))
@@ -207,7 +201,7 @@ def near_duplicates(
     threshold of their shingle multisets; classes are the links' components.
     Null texts are alone; blank ones are copies of each other; texts under `size` words are
     one shingle; repeated rows get equal classes; null ids never lead a class that has
-    another id; an empty table gives an empty result.
+    another id; texts of any length are sketched whole; other columns stay out; an empty table gives an empty result.
     """
     sketched, classed = _classes(docs, threshold, components, per_band, size, tile)
     heads = classed.groupBy("component").agg(F.min("first_doc").alias("class_id"))
@@ -283,24 +277,39 @@ def _links(nodes: DataFrame, docs: DataFrame, threshold: float, size: int, tile:
     group = everyone.join(out.select("top").distinct(), "top").select("top", "node").unionByName(out.select("top", "node")).distinct()
     component = everyone.select("node", F.col("top").alias("component"))
     sizes = group.groupBy("top").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    sizes = sizes.join(out.groupBy("top").agg(F.ceil(F.count("*") / (4 * tile)).cast("int").alias("asks")), "top")
+    sizes = sizes.join(out.groupBy("top").agg(F.ceil(F.count("*") / (2 * tile)).cast("int").alias("asks")), "top")
     placed = group.join(sizes, "top").withColumn("query", F.lit(False)).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
     asked = out.join(sizes, "top").withColumn("query", F.lit(True)).withColumn("ask", F.pmod(F.xxhash64("node"), F.col("asks")).cast("int"))
     asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     key = ["top", "tile", "ask"]
-    both = placed.select(*key, "node", "query").unionByName(asked.select(*key, "node", "query"))
+    # the tiles of a component go to partitions one after another: a hash would pile some up
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spot = F.pmod(F.xxhash64("top") + F.col("tile") * F.col("asks") + F.col("ask"), F.lit(tasks)).cast("int").alias("spot")
+    both = placed.select(*key, spot, "node", "query").unionByName(asked.select(*key, spot, "node", "query"))
     rows = both.join(component, "node").join(held.withColumnRenamed("id", "node"), "node")
 
-    def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        return _tile_links(batch, threshold)
+    @lean
+    def compare(batches):
+        now, parts = None, []
+        for b in batches:
+            frame = b.to_pandas()
+            for at, part in frame.groupby(key, sort=False):
+                if at != now:
+                    if parts:
+                        yield _tile_links(parts, threshold)
+                    now, parts = at, []
+                parts.append(part)
+        if parts:
+            yield _tile_links(parts, threshold)
 
-    more = rows.groupBy(*key).applyInPandas(compare, "a long, b long")
-    return settle(links.unionByName(more))
+    dealt = rows.select(*key, "spot", "node", "query", "component", "profile").repartitionById(tasks, F.col("spot")).sortWithinPartitions(*key)
+    return settle(links.unionByName(dealt.mapInArrow(compare, "a long, b long")))
 
 
-def _tile_links(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _tile_links(parts: list[pd.DataFrame], threshold: float) -> pa.RecordBatch:
     """Links of a tile's queries to its members: one for each other component that a query reaches."""
+    batch = pd.concat(parts)
     asked, here = batch[batch["query"]], batch[~batch["query"]]
     sizes = np.array([len(p) for p in here["profile"]], dtype=np.int64)
     node, part = here["node"].to_numpy(), here["component"].to_numpy()
@@ -317,7 +326,8 @@ def _tile_links(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
         alike = np.flatnonzero((shared >= threshold * (len(profile) + sizes - shared)) & (part != c) & (node != x))
         _, first = np.unique(part[alike], return_index=True)
         found += [(x, y) for y in node[alike[first]]]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
 def _outside(shared: DataFrame, parts: DataFrame) -> DataFrame:
@@ -353,7 +363,7 @@ def deduplicated(
     stay = settle(texts.unionByName(blank))
     gone = _absent(sketched.select("doc_id", *keys).distinct(), stay).withColumn("_n", F.lit(0).cast("long"))
     other = settle(gone.unionByName(stay.where("_n > 1")))
-    few = _small(other, other.count())
+    few = broadcast_if_small(other)
     once = _absent(marked, few)
     again = marked.join(few.where("_n > 1"), _same_row(marked, few), "left_semi").dropDuplicates(["doc_id", *keys])
     out = once if other.where("_n > 1").isEmpty() else once.unionByName(again)
