@@ -21,7 +21,7 @@ from ..sources.shared import settle
 from .common import is_training, lean, mix64, slices, small_batches, text_bytes
 
 LONGEST_PIECE = 16  # of the public vocabulary; forward() rescales after so many characters
-GRID_NUMBERS = 10_000_000  # prefix probabilities held at a time; one longer word stands alone
+GRID_NUMBERS = 5_000_000  # prefix probabilities held at a time; one longer word stands alone
 UNKNOWN = 1e-9  # probability of a character that no piece has
 ROUNDS = 3
 MAX_TRAINING_ROWS = 20_000  # of each language

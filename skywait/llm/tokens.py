@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from .common import slices, text_bytes
 
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 5_000_000
 BARE_SPACE = r" ([\s\x0b\x{85}\pZ]|$)"
 SPECIAL = {"<|endoftext|>": 50256}  # fixed values of the vocabulary
 _loaded: dict = {}
@@ -60,8 +60,10 @@ def encode(texts: pa.Array, enc, end: int | None = 0) -> tuple[np.ndarray, np.nd
     table = np.fromiter((i for p in pieces for i in p), dtype=np.uint32, count=int(sizes.sum()))
     at = np.cumsum(sizes) - sizes
     n = sizes[unit]
-    ids = table[np.repeat(at[unit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    shift = (at[unit] - (np.cumsum(n) - n)).astype(np.int32)  # a slice's tokens are few enough
+    ids = table[np.repeat(shift, n) + np.arange(n.sum(), dtype=np.int32)]
     totals = np.add.reduceat(n, starts) if len(starts) else n
+    del pieces, names, shift, unit, n
     double = pc.match_substring_regex(texts, BARE_SPACE).to_numpy(zero_copy_only=False)
     for name in SPECIAL:
         double = double | pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
