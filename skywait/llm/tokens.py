@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from .common import slices, text_bytes
 
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 3_000_000
 BARE_SPACE = r" ([\s\x0b\x{85}\pZ]|$)"
 SPECIAL = {"<|endoftext|>": 50256}  # fixed values of the vocabulary
 _loaded: dict = {}
