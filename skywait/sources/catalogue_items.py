@@ -110,3 +110,9 @@ def to_geojson(places: DataFrame) -> DataFrame:
     names = sorted(c for c in places.columns if c != "ring")
     feature = F.struct(geometry.alias("geometry"), F.struct(*names).alias("properties"), F.lit("Feature").alias("type"))
     return places.select("aoi_id", F.to_json(feature).alias("feature"))
+
+
+def write_geojson(places: DataFrame, target: str) -> None:
+    """A folder target/aoi_id=... with one Feature file for each entity."""
+    rows = to_geojson(places).withColumnRenamed("feature", "value").repartition("aoi_id")
+    rows.write.mode("overwrite").partitionBy("aoi_id").text(target)

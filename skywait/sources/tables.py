@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +84,15 @@ class TableCache:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.held = spark, {}
 
-    @staticmethod
-    def signature(path: str) -> tuple:
-        root = Path(path)
-        files = sorted(root.rglob("*.parquet")) if root.is_dir() else [root]
-        return tuple((str(f), f.stat().st_size, f.stat().st_mtime_ns) for f in files)
+    def signature(self, path: str) -> tuple:
+        """(name, size, time) of the files, wherever Spark reads them."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        listed, found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+        while listed.hasNext():
+            f = listed.next()
+            if f.getPath().getName().endswith(".parquet"):
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(found))
 
     def read(self, path: str) -> DataFrame:
         key = self.signature(path)

@@ -279,6 +279,8 @@ def test_entities_from_csv(spark, tmp_path):
     (tmp_path / "g.geojson").write_text(text)
     back = catalogue_items.read_polygons(spark, str(tmp_path / "g.geojson")).first()
     assert back.aoi_id == "berlin" and len(back.ring) == 5
+    catalogue_items.write_geojson(stages.build_aois(spark, str(tmp_path / "c.csv"), str(tmp_path)), str(tmp_path / "features"))
+    assert catalogue_items.read_polygons(spark, str(tmp_path / "features")).first().name == "Berlin"
     for bad in ("aoi_id,name\nx,y\n", "aoi_id,name,country,lat,lon\n", "aoi_id,name,country,lat,lon\nBad Id,B,G,1,2\n", "aoi_id,name,country,lat,lon\na,B,G,1,2\na,B,G,1,2\n"):
         (tmp_path / "b.csv").write_text(bad)
         with pytest.raises(DataError):
@@ -306,7 +308,10 @@ def test_tables_and_checks(spark, tmp_path):
     assert frames.splitlines()[0].startswith("| AOI | Observations") and "| Alpha | 6 | 3 | 50.0% |" in frames
     cache = tables.TableCache(spark)
     path = str(tmp_path / "aoi_gaps.parquet")
-    assert cache.read(path) is cache.read(path)
+    first = cache.read(path)
+    assert cache.read(path) is first and first.count() == stored["aoi_gaps"].count()
+    tables.write_table(made["aoi_gaps"].limit(1), str(tmp_path), "aoi_gaps")
+    assert cache.read(path) is not first and cache.read(path).count() == 1
 
 
 def test_run_record(tmp_path):
