@@ -21,7 +21,8 @@ from .minhash import connected
 
 TREES = 8
 LEAF = 192
-SPILL = 0.06
+FULL = 4  # leaves of over so many times LEAF vectors are split again
+SPILL = 0.03  # each split copies the vectors about its threshold, so copies grow with the depth; eight trees make up for a small margin
 COSINE = 0.93
 SAMPLE = 8192  # vectors of a leaf on which its subtree is fitted, at most about so many
 SAMPLE_LEAF = 12  # of those, in a leaf of the subtree at least
@@ -29,7 +30,7 @@ TILE = 1024
 MOST_BOTH = 0.5  # a split must send no more than this share to both sides
 TRIES = 4  # directions tried for a split
 CHUNK = 20_000  # vectors that a task deals to a subtree
-PAIRS = 20_000
+COLUMNS = 4096
 
 
 def grow(sample: np.ndarray, leaf: int, spill: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,12 +85,25 @@ def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def padded(column: pa.ChunkedArray, fill: int) -> np.ndarray:
-    """A list column as a matrix, shorter rows filled up."""
-    values, lengths = list_parts(column)
-    out = np.full((len(lengths), int(lengths.max(initial=1))), fill, dtype=np.int64)
-    out[np.arange(out.shape[1]) < lengths[:, None]] = values
-    return out
+def met_before(places: pa.ChunkedArray, i: np.ndarray, j: np.ndarray, place: int) -> np.ndarray:
+    """Which pairs of rows share a place below this one."""
+    values, lengths = list_parts(places)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    used = np.zeros(len(lengths), dtype=bool)
+    used[i] = used[j] = True
+    some = used[row] & (values < place)
+    names, column = np.unique(values[some], return_inverse=True)
+    often = np.bincount(column, minlength=len(names)) > 1  # a place of one row is no pair's
+    keep = often[column]
+    row, column = (np.cumsum(used) - 1)[row[some][keep]], (np.cumsum(often) - 1)[column[keep]]
+    i, j = (np.cumsum(used) - 1)[i], (np.cumsum(used) - 1)[j]
+    met = np.zeros(len(i), dtype=bool)
+    for a in range(0, int(often.sum()), COLUMNS):
+        held = np.zeros((int(used.sum()), COLUMNS), dtype=np.float32)
+        mine = (column >= a) & (column < a + COLUMNS)
+        held[row[mine], column[mine] - a] = 1
+        met |= (held @ held.T)[i, j] > 0
+    return met
 
 
 def met_links(x: pa.Table, y: pa.Table | None, place: int, cosine: float) -> pa.Table:
@@ -104,13 +118,9 @@ def met_links(x: pa.Table, y: pa.Table | None, place: int, cosine: float) -> pa.
     hit = unit @ unit.T >= cosine if y is None else unit[: x.num_rows] @ unit[x.num_rows :].T >= cosine
     i, j = np.nonzero(np.triu(hit, 1) if y is None else hit)
     j = j if y is None else j + x.num_rows
-    places = padded(both.column("places"), np.iinfo(np.int64).max)
-    first = np.ones(len(i), dtype=bool)
-    for a in range(0, len(i), PAIRS):
-        p, q = places[i[a : a + PAIRS]], places[j[a : a + PAIRS]]
-        shared = (p[:, :, None] == q[:, None, :]).any(2)
-        first[a : a + PAIRS] = np.where(shared, p, np.iinfo(np.int64).max).min(1) == place
-    i, j = i[first], j[first]
+    if len(i):
+        first = ~met_before(both.column("places"), i, j, place)
+        i, j = i[first], j[first]
     n = np.bincount(i, weights=weight[j], minlength=len(node)) + np.bincount(j, weights=weight[i], minlength=len(node))
     linked = np.flatnonzero(n)
     return pa.table({"node": node[linked], "n": n[linked].astype(np.int64), "link": node[_roots(len(node), i, j)[linked]]})
@@ -175,7 +185,7 @@ def forest(reps: DataFrame, trees: int, leaf: int, spill: float, sample: int, se
     assigned = settle(reps.withColumn("places", F.array(*roots)))
     while True:
         counts = settle(assigned.select("label", F.explode("places").alias("place")).groupBy("label", "place").agg(F.count("*").alias("n")))
-        full = counts.where((F.col("n") > 2 * leaf) & (F.col("place").bitwiseAND(F.lit(1)) == 0))
+        full = counts.where((F.col("n") > FULL * leaf) & (F.col("place").bitwiseAND(F.lit(1)) == 0))
         if full.isEmpty():
             return assigned, counts
         before, assigned = assigned, _split(assigned, full, leaf, spill, sample, seed)
@@ -192,7 +202,7 @@ def near_vectors(
     link with nothing; vectors of different lengths do not link. n_links counts the other vectors linked directly;
     component_id is the smallest vec_id in reach; kept rows are their own component.
     Each subtree is fitted on about `sample` rows at most (by hash); every row is indexed, and
-    leaves are split again until they hold at most about 2 * `leaf` rows, so their size does not grow with the table. A leaf
+    leaves are split again until they hold at most FULL times `leaf` rows, so their size does not grow with the table. A leaf
     with more than `tile` rows (vectors too alike to part) is compared in pairs of tiles, each a task's work of its
     own. Rows with one vec_id, or none, are vectors of their own; other columns stay out; an
     empty table gives an empty result.
