@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 import cases
 import corpus_pipeline
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from skywait.llm import line_rules, mixing
@@ -69,12 +68,11 @@ def plain_pieces(rows, tokenizer, longest=2048):
     return out
 
 
-@pytest.mark.parametrize("extra", [False, True])
-def test_stages_against_plain_versions(spark, tmp_path, extra):
+def test_stages_against_plain_versions(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    docs = cases.make(spark, n=150, extra=extra)
+    docs = cases.make(spark, n=150, extra=True)  # with columns whose names operators use
     menu = F.when(F.col("source") == "a", F.concat("text", F.lit("\nMenu 12 home\n"), F.lit("\nmenu 7   HOME"))).otherwise(F.col("text"))
     docs = docs.withColumn("text", menu).withColumn("n_chars", F.length("text").cast("long"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
