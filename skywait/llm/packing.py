@@ -1,8 +1,9 @@
 """Vector best-fit packing: tokens, documents and attention cost bound every sequence.
 
 Attention within documents is computed in square tiles, so a piece of n tokens costs
-ceil(n / TILE) squared of them. A sequence of one full piece sets the default bound. The sum
-of squared lengths could never pass that; the tiles of many short pieces do.
+ceil(n / tile) squared of them. By default both other capacities are the most that pieces of
+a sequence's tokens can ask for: they guide the choice of a bin and cost no sequence.
+Tighter ones are the caller's.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,6 @@ from .common import lean, small_batches
 from .tokens import encoded, piece_bounds
 
 LENGTH = 2048
-MAX_DOCUMENTS = 256
 TILE = 128
 CELL = 4096
 
@@ -31,6 +31,15 @@ def attention_tiles(length, tile: int = TILE):
     return (-(-length // tile)) ** 2
 
 
+def most_tiles(length: int, max_documents: int, tile: int) -> int:
+    """The most tiles that pieces of so many tokens together can take: a long one, then single tokens.
+
+    Two long pieces never take more than a longer and a shorter one, as squares are convex.
+    """
+    sizes = range(1, length + 1, tile)  # the shortest piece of each number of tiles
+    return max(attention_tiles(n, tile) + min(length - n, max_documents - 1) for n in sizes)
+
+
 def pieces(docs: DataFrame, length: int = LENGTH, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all documents' token pieces; ids stay behind."""
     small_batches(docs.sparkSession)
@@ -100,31 +109,33 @@ def best_fit(
 
 
 def pack(
-    docs: DataFrame, length: int = LENGTH, max_documents: int = MAX_DOCUMENTS, max_cost: float | None = None,
+    docs: DataFrame, length: int = LENGTH, max_documents: int | None = None, max_cost: float | None = None,
     cell: int = CELL, rule: str = "norm", ranks_path: str | None = None, tile: int | None = None,
 ) -> DataFrame:
     """Pack all documents' pieces: pieces() with sequence_id and offset.
 
     Pieces are dealt by hash into cells of about `cell` pieces and each cell is packed
     alone, so the last open bins of a cell are all that a global packing could save.
-    max_cost bounds a sequence's attention tiles (of a sixteenth of its length, if tile is
-    not given); by default it is what one full piece costs. Null and empty texts are one end token; very
-    long texts become whole pieces; repeated rows are packed as often as they come; pieces
-    of equal length are taken by id, piece and content; other columns stay out; an empty
-    table gives an empty result.
+    max_documents bounds a sequence's documents and max_cost its attention tiles (of a
+    sixteenth of its length, if tile is not given); a piece over max_cost stands alone. By
+    default neither can bind. Null and empty texts are one end token; very long texts become
+    whole pieces; repeated rows are packed as often as they come; pieces of equal length are
+    taken by id (null last), piece and content; ids of any kind and size, nulls beside them
+    too, come back as they are; other columns stay out; an empty table gives an empty result.
     """
     cut = settle(pieces(docs, length, ranks_path))
     n_cells = max(1, round(cut.count() / cell))
     dealt = cut.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_cells)))
     tile = tile or max(1, length // 16)
-    cost = float(max_cost or attention_tiles(length, tile))
+    most = max_documents or length
+    cost = float(max_cost or most_tiles(length, most, tile))
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offset = best_fit(group["length"].to_numpy(), length, max_documents, cost, rule=rule, tile=tile)
-        out = group.drop(columns="_cell")
-        out["sequence_id"], out["offset"] = (group["_cell"].to_numpy() << 32) + bins, offset
-        return out
+    def fill(group: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        group = group.take(pc.sort_indices(group, sort_keys=order))
+        bins, offset = best_fit(group["length"].to_numpy(), length, most, cost, rule=rule, tile=tile)
+        number = (group["_cell"][0].as_py() << 32) + bins
+        return group.drop_columns("_cell").append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
     schema = T.StructType([*cut.schema.fields]).add("sequence_id", "long").add("offset", "long")
-    return dealt.groupBy("_cell").applyInPandas(fill, schema)
+    return dealt.groupBy("_cell").applyInArrow(fill, schema)

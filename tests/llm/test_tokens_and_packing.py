@@ -48,9 +48,37 @@ def test_best_fit_keeps_every_limit(lengths, rule, cost):
         assert at[order].tolist() == (np.cumsum(mine[order]) - mine[order]).tolist()
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from(["uniform", "long", "short", "mixed"]))
+def test_default_capacities_cost_no_sequence(seed, kind):
+    rng = np.random.default_rng(seed)
+    low, high = {"uniform": (1, 2049), "long": (1900, 2049), "short": (1, 9), "mixed": (1, 300)}[kind]
+    n = rng.integers(low, high, 600)
+    if kind in ("long", "mixed"):
+        n = np.concatenate([n, rng.integers(1, 120, 300), np.ones(50, dtype=np.int64), rng.integers(1921, 2048, 100)])
+    cost = packing.most_tiles(2048, 2048, 128)
+    count = lambda *limits: len(set(packing.best_fit(n, 2048, *limits)[0].tolist()))
+    assert count(2048, cost) <= count(1e12, 1e12)
+
+
+def test_no_length_is_refused_company_by_the_default_cost():
+    cost = packing.most_tiles(2048, 2048, 128)
+    for n in range(1, 2048):
+        bins, _ = packing.best_fit(np.array([n, *[1] * (2048 - n)]), 2048, 2048, cost)
+        assert set(bins.tolist()) == {0}
+    piece = [1930] * 1000 + [100] * 1000
+    assert len(set(packing.best_fit(np.array(piece), 2048, 2048, cost)[0].tolist())) == 1000
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = [2**60 + k for k in range(1, 6)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in [*big, None, None]], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in packing.pack(docs).collect()) == [0, 0, *big]
+
+
 def test_every_capacity_opens_bins():
     tokens, documents, cost = np.array([1500, 600]), np.full(300, 1), np.array([1900] + [3] * 40)
-    limits = (2048, packing.MAX_DOCUMENTS, packing.attention_tiles(2048))
+    limits = (2048, 256, packing.attention_tiles(2048))
     bins = [len(set(packing.best_fit(n, *limits)[0].tolist())) for n in (tokens, documents, cost)]
     assert bins == [2, 2, 2]
     assert [tokens.sum() > 2048, len(documents) > 256, packing.attention_tiles(cost).sum() > 256] == [True] * 3
