@@ -9,9 +9,10 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skywait.llm import langid, line_rules, minhash, mixing, packing
-from skywait.llm.common import unused
+from skywait.llm.common import others_aside
 from skywait.sources.shared import forget, settle
 
 
@@ -20,9 +21,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Languages that score alike go by code point, which changes no decision here.
     """
-    names = unused(docs.columns, "lang_pred", "score")
-    found = langid.predict(docs, langid.fit(docs), tuple(names))
-    return found.where(found[names[0]] != "und").select(*docs.columns)
+    return _in_a_language(docs)
+
+
+@others_aside("doc_id", "text", "lang")
+def _in_a_language(docs: DataFrame) -> DataFrame:
+    names = ("_language", "_score")
+    return langid.predict(docs, langid.fit(docs), names).where(F.col(names[0]) != "und").drop(*names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

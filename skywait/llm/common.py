@@ -63,15 +63,21 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def unused(columns: Sequence[str], *names: str) -> list[str]:
-    """The names, with underscores put before those that columns (whatever their case) have."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def others_aside(*used: str) -> Callable:
+    """For a function from docs to rows of docs: columns other than `used` go through under numbers.
+
+    So none of them, whatever its name, meets a column that the function makes for itself.
+    """
+
+    def wrap(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def named(docs: DataFrame, *args, **options) -> DataFrame:
+            inside = [c.lower() if c.lower() in used else f"_aside_{k}" for k, c in enumerate(docs.columns)]
+            return run(docs.toDF(*inside), *args, **options).toDF(*docs.columns)
+
+        return named
+
+    return wrap
 
 
 def broadcast_if_small(df: DataFrame, most: int = 32_000_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import SPACE_CHARS, broadcast_if_small, words
+from .common import SPACE_CHARS, broadcast_if_small, others_aside, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -78,11 +78,13 @@ def judge(
     return _verdicts(docs, line_docs, line_share, left_share, min_words, max_repeat_percent).drop("source", "text_key")
 
 
+@others_aside("doc_id", "source", "text", "n_chars")
 def cleaned(docs: DataFrame, **options) -> DataFrame:
     """docs that judge() keeps, their texts without the lines that are frequent on their host.
 
     A row's id, host and text decide, so rows without an id are judged too. The other lines
-    stay as they are, in order; n_chars, if docs has it, follows the text.
+    stay as they are, in order; n_chars, if docs has it, follows the text; other columns,
+    whatever their names, go along.
     """
     limits = {"line_docs": LINE_DOCS, "line_share": LINE_SHARE, "left_share": LEFT_SHARE, "min_words": MIN_WORDS, "max_repeat_percent": MAX_REPEAT_PERCENT} | options
     names = ["doc_id", "source", "text_key"]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import broadcast_if_small, lean, list_parts, mix64, slices, small_batches, word_hashes
+from .common import broadcast_if_small, lean, list_parts, mix64, others_aside, slices, small_batches, word_hashes
 
 SHINGLE = 5
 COMPONENTS = 80
@@ -339,6 +339,7 @@ def _outside(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket").where("component != top").select("node", "top").distinct()
 
 
+@others_aside("doc_id", "text")
 def deduplicated(
     docs: DataFrame, threshold: float = THRESHOLD, components: int = COMPONENTS, per_band: int = ROWS, size: int = SHINGLE, tile: int = TILE,
 ) -> DataFrame:
@@ -346,7 +347,8 @@ def deduplicated(
 
     A row's id and text decide, so rows without an id, or that share one, are judged by
     their texts. The row that stays has the smallest id of its class (a null id only if there
-    is no other) and, if several texts of the class have it, the least text key.
+    is no other) and, if several texts of the class have it, the least text key. Other
+    columns, whatever their names, go along.
     """
     keys = ("_t1", "_t2")
     marked = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle
-from .common import chunk_count, lean, mix64, n_words, running_offsets, words
+from .common import chunk_count, lean, mix64, n_words, others_aside, running_offsets, words
 
 BLOCK = 256
 SHARD_BLOCKS = 4096
@@ -45,23 +45,40 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
     return out
 
 
-MOST_DRAWN = 1_000_000_000  # what the generator draws exactly; more is split in proportion first
+LIBRARY_MOST = 1_000_000_000  # numpy draws from populations below this
 
 
-def _head(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of counts fall into the first `size` of all places, dealt without replacement.
+def hypergeometric(good: int, bad: int, sample: int, rng: np.random.Generator) -> int:
+    """How many of `sample` places, drawn without replacement, are among the `good` ones.
 
-    A node of over MOST_DRAWN places, where chance is below a thousandth of a thousandth, is
-    split in proportion, and only what rounding leaves is drawn.
+    Exact at any size: above what the library draws, the distribution is inverted. Its
+    weights relative to the mode's follow from their ratios; ten standard deviations to
+    either side hold all that a double can tell from 1.
     """
+    if good + bad < LIBRARY_MOST:
+        return int(rng.hypergeometric(good, bad, sample))
+    total, low, high = good + bad, max(0, sample - bad), min(good, sample)
+    mode = min(high, max(low, (sample + 1) * (good + 1) // (total + 2)))
+    share = good / total
+    reach = 20 + int(10 * (sample * share * (1 - share) * max(0.0, 1 - sample / total)) ** 0.5)
+    at = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
+    step = np.log(good - at[:-1]) + np.log(sample - at[:-1]) - np.log(at[:-1] + 1) - np.log(bad - sample + at[:-1] + 1)
+    weight = np.concatenate([[0.0], np.cumsum(step)])
+    upto = np.cumsum(np.exp(weight - weight.max()))
+    return int(at[np.searchsorted(upto, rng.random() * upto[-1], side="right").clip(0, len(at) - 1)])
+
+
+def _head(counts: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of counts fall into the first `size` of all places, dealt without replacement."""
     total = int(counts.sum())
-    if total < MOST_DRAWN:
+    if total < LIBRARY_MOST:
         return rng.multivariate_hypergeometric(counts, size, method="marginals") if total else counts * 0
-    share = counts * (size / total)
-    sure = np.floor(share).astype(np.int64)
-    rest = np.argsort(-(share - sure) - rng.random(len(counts)) * 1e-9)[: size - int(sure.sum())]
-    sure[rest] += 1
-    return np.minimum(sure, counts)
+    out, rest, left = np.zeros_like(counts), total, size
+    for k, n in enumerate(counts.tolist()):  # each source's share of what the ones before it leave
+        rest -= n
+        out[k] = hypergeometric(n, rest, left, rng) if n and rest else min(n, left)
+        left -= int(out[k])
+    return out
 
 
 def shard_draws(quotas: np.ndarray, shards: int, shard: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +222,15 @@ def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
     return documents.join(sums, "_row", "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_taken")
 
 
+@others_aside("doc_id", "source", "text", "n_chars")
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs: a document appears once for each time that it is taken.
 
     An epoch that takes every block of a source gives whole texts; the last, partial one
     gives the words that its blocks hold of a document, joined by single spaces, in order.
     n_chars, if there, follows the text. Documents that the mix does not take are left out.
-    Rows that are equal in id, source and text are taken one by one.
+    Rows that are equal in id, source and text are taken one by one. Other columns, whatever
+    their names, go along.
     """
     keys = ["doc_id", "source", "_text_key"]
     documents, pieces = mix(docs, **options)

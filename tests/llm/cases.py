@@ -8,6 +8,10 @@ from collections import Counter
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for their own columns.
 CLASHING = "size long, start long, shard string, score string, kept string, n_words string, words string, row string, piece string, label string, number string"
+CLASHING += "".join(f", {c} string" for c in (
+    "_text_key _t1 _t2 _out _cleaned _words _rest _whole _removed_keys _twin _row _n _doc_id_ _source_ _text_key_ _size _chunk _start _place _taken _cell _of_doc_id _language "
+    "_score _w _lines _windows _sorted text_key copy removed_keys k1 k2 no_text node component bucket head first_doc source_id source_name epoch block low high _aside_1 TEXT2 lang_pred"
+).split())
 
 
 def prose(rng, n, stems):

@@ -105,7 +105,7 @@ def test_permutation_is_a_bijection():
 
 @pytest.mark.parametrize("limit", [1_000_000_000, 200])
 def test_draws_keep_the_quotas(monkeypatch, limit):
-    monkeypatch.setattr(mixing, "MOST_DRAWN", limit)
+    monkeypatch.setattr(mixing, "LIBRARY_MOST", limit)
     quotas = [1000, 30, 0, 7]
     each = [mixing.shard_draws(quotas, 9, s, seed=1) for s in range(9)]
     draws = np.array([d for _, d in each])
@@ -118,6 +118,21 @@ def test_draws_are_those_of_a_random_deal():
     assert got[:, 1].mean() == pytest.approx(20, abs=1) and 2.5 < got[:, 1].std() < 5
 
 
+def test_hypergeometric_at_any_size(monkeypatch):
+    from math import comb
+
+    big = 40 * 10**9
+    got = np.array([mixing.hypergeometric(big // 4, big - big // 4, big // 2, np.random.default_rng(s)) for s in range(200)])
+    sd = (big // 2 * 0.25 * 0.75 * 0.5) ** 0.5
+    assert abs(got.mean() - big / 8) < 4 * sd / 200**0.5 and 0.8 < got.std() / sd < 1.25
+    monkeypatch.setattr(mixing, "LIBRARY_MOST", 0)
+    for good, bad, sample in ((3, 4, 5), (1, 9, 2), (6, 2, 7), (5, 5, 0), (4, 3, 7)):
+        n, rng = 4000, np.random.default_rng(good)
+        seen = np.bincount([mixing.hypergeometric(good, bad, sample, rng) for _ in range(n)], minlength=good + 1) / n
+        want = [comb(good, k) * comb(bad, sample - k) / comb(good + bad, sample) if 0 <= sample - k <= bad else 0 for k in range(good + 1)]
+        assert np.abs(seen - want).max() < 0.04 and all(w or not s for s, w in zip(seen, want, strict=True))
+
+
 def test_pieces_are_the_blocks_of_the_slots(spark):
     """Every drawn slot against a plain cut of each source's running words."""
     docs = cases.make(spark, extra=True, n=300)
