@@ -16,6 +16,7 @@ from . import quality
 from .config import Config
 from .functions.columns import relative_orbit, utm_epsg
 from .operators import catalogue_upkeep, classifier, composite, reliability, timelines
+from .operators.slices import heavy_groups
 from .plans import metric_tables, sql_tables, views
 
 CONFIG = Config(start=date(2024, 1, 1), end=date(2024, 1, 30), aois=("u0",), horizon_days=14)
@@ -241,7 +242,37 @@ def catalog_pooled(spark, sf):
 
 @_query("gap_stats", f"WITH {OBS}, {GAPS}, {STATS} SELECT * FROM stats")
 def gap_stats(spark, sf):
-    return timelines.gap_statistics(gap_table(spark, sf))
+    return timelines.gap_statistics(gap_table(spark, sf), heavy=heavy_groups(observations(spark, sf), ("aoi_id",)))
+
+
+# One entity with half of all rows, and slices so small that it is cut on any table.
+HOT_LINES = LINES.replace("'s' || l_suppkey AS aoi_id", "CASE WHEN l_orderkey % 2 = 0 THEN 's0' ELSE 's' || l_suppkey END AS aoi_id").replace("true AS complete", "true AS complete, l_orderkey, l_linenumber, l_partkey")
+HOT_SLICE = 4_000
+
+
+def hot_deliveries(spark, sf):
+    hot = F.col("datatake_id.l_orderkey") % 2 == 0
+    return deliveries(spark, sf).withColumn("aoi_id", F.when(hot, "s0").otherwise(F.col("aoi_id")))
+
+
+@_query("wait_daily_hot", f"WITH {HOT_LINES}, {_waits('1995-01-01', '2001-09-05', 60, 'lines', 'sups')} SELECT * FROM waits")
+def wait_daily_hot(spark, sf):
+    rows = hot_deliveries(spark, sf)
+    return timelines.waits(rows, rows.select("aoi_id").distinct(), LONG, slice_rows=HOT_SLICE)
+
+
+HOT_GAPS = f"{HOT_LINES}, obs AS (SELECT *, (l_orderkey, l_linenumber, l_partkey) AS datatake_id FROM lines), {GAPS}"
+
+
+@_query("gap_table_hot", f"WITH {HOT_GAPS} SELECT * FROM gaps")
+def gap_table_hot(spark, sf):
+    return timelines.gaps(hot_deliveries(spark, sf), slice_rows=HOT_SLICE)
+
+
+@_query("gap_stats_hot", f"WITH {HOT_GAPS}, {STATS} SELECT * FROM stats")
+def gap_stats_hot(spark, sf):
+    heavy = heavy_groups(hot_deliveries(spark, sf), ("aoi_id",), HOT_SLICE)
+    return timelines.gap_statistics(gap_table_hot(spark, sf), heavy=heavy)
 
 
 @_query("best_worst_month", f"WITH {OBS}, {WAITS}, {MONTHS}, {BEST} SELECT * FROM best")

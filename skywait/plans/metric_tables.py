@@ -11,6 +11,7 @@ from ..config import Config
 from ..errors import DataError
 from ..functions.columns import safe_ratio
 from ..operators import classifier, reliability, timelines
+from ..operators.slices import heavy_groups
 from ..schemas import require_columns, require_unique
 from ..sources.shared import settle
 
@@ -34,11 +35,12 @@ def entity_table(spark, cfg: Config) -> DataFrame:
 
 def summary(
     obs: DataFrame, entities: DataFrame, gap_rows: DataFrame, curve: DataFrame, months: DataFrame, table: DataFrame, horizon: int, days: Sequence[int] = reliability.WITHIN,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Headline figures, one row an entity; whatever has no rows is 0."""
     counts = obs.where("complete").groupBy("aoi_id").agg(F.count("*").alias("n_observations"), F.count_if("usable").alias("n_usable"))
     t20 = table.where("threshold = 20").select("aoi_id", F.col("precision").alias("catalog_filter_precision_t20"), F.col("recall").alias("catalog_filter_recall_t20"))
-    stats = timelines.gap_statistics(gap_rows)
+    stats = timelines.gap_statistics(gap_rows, heavy=heavy)
     out = entities.select("aoi_id")
     for block in (counts, stats, reliability.within(curve, horizon, days), reliability.best_and_worst(months), t20):
         out = out.join(block, "aoi_id", "left")
@@ -59,7 +61,7 @@ def compute(obs: DataFrame, entities: DataFrame, cfg: Config, days: Sequence[int
     table = classifier.confusion(obs.where("complete"), entities)
     return {
         "aoi_wait_daily": wait_rows, "aoi_survival": curve, "aoi_monthly": months, "aoi_gaps": gap_rows,
-        "aoi_summary": summary(obs, entities, gap_rows, curve, months, table, cfg.horizon_days, days), "catalog_filter_eval": table,
+        "aoi_summary": summary(obs, entities, gap_rows, curve, months, table, cfg.horizon_days, days, heavy_groups(obs, ("aoi_id",))), "catalog_filter_eval": table,
     }
 
 
