@@ -6,6 +6,7 @@ line items for catalogue scenes, embeddings for rasters, suppliers for places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -18,6 +19,8 @@ from .functions.columns import relative_orbit, utm_epsg
 from .operators import catalogue_upkeep, classifier, composite, reliability, timelines
 from .operators.slices import heavy_groups
 from .plans import metric_tables, sql_tables, views
+from .sources.bucketed import BucketedTable
+from .sources.shared import shared_folder
 
 CONFIG = Config(start=date(2024, 1, 1), end=date(2024, 1, 30), aois=("u0",), horizon_days=14)
 WITHIN = (3, 5, 7, 14)
@@ -443,6 +446,17 @@ def upsert_repeated(spark, sf):
     return catalogue_upkeep.upsert(old, orders.where("o_custkey % 3 = 0"), ["o_custkey"], order="o_orderkey")
 
 
+@_query("upsert_buckets", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN 'V' WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def upsert_buckets(spark, sf):
+    """upsert in a stored table of buckets, by two batches."""
+    orders = _table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    table = BucketedTable(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", ["o_orderkey"], 16)
+    table.replace(orders.where("o_orderkey % 2 = 0"))
+    for divisor, status in ((3, "U"), (5, "V")):
+        table.upsert(orders.where(f"o_orderkey % {divisor} = 0").withColumn("o_orderstatus", F.lit(status)))
+    return table.read()
+
+
 @_query("watermark_overlap", f"WITH {OBS} SELECT aoi_id, watermark, greatest(TIMESTAMP '2024-01-10', watermark - INTERVAL 7 DAY) AS search_start FROM (SELECT aoi_id, max(observed_at) AS watermark FROM obs GROUP BY aoi_id)")
 def watermark_overlap(spark, sf):
     state = observations(spark, sf).groupBy("aoi_id").agg(F.max("observed_at").alias("watermark"))

@@ -8,7 +8,6 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import DataError
 from ..sources.shared import forget, settle
 
 
@@ -75,15 +74,17 @@ def relink(links: DataFrame, winners: DataFrame, active: DataFrame) -> DataFrame
     return best.join(active.select("scene_id").distinct(), "scene_id", "left_semi").select("aoi_id", "scene_id", "footprint_overlap_fraction")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_first: Sequence[str] = (), order: str | None = None) -> DataFrame:
+def upsert(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_first: Sequence[str] = (), order: str | None = None, ready: bool = False,
+) -> DataFrame:
     """existing overwritten by incoming on keys; the columns of keep_first keep their old value if they have one.
 
-    Of incoming rows with one key the last stays, by the column `order` or else as they come.
+    Of incoming rows with one key the last by `order` stays; without an order, the one that a
+    hash of its content puts last, however the rows come. The incoming side
+    is settled, as it is read for the rows that go and for those that come; ready tells that it
+    is already and that no key repeats.
     """
-    if order is None:
-        incoming = last_of_key(incoming.withColumn("_arrival", F.monotonically_increasing_id()), keys, "_arrival").drop("_arrival")
-    else:
-        incoming = last_of_key(incoming, keys, order)
+    incoming = incoming if ready else settle(last_of_key(incoming, keys, order))
     new = incoming
     if keep_first:
         old = existing.select(*keys, *[F.col(c).alias(f"_{c}") for c in keep_first])
@@ -92,10 +93,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep_f
     return existing.join(incoming, list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def last_of_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row a key: the last by order (for merged pages and repeated keys in one batch)."""
+def last_of_key(rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row a key: the last by order (for merged pages and repeated keys in one batch), then by a hash of the content."""
     others = [c for c in rows.columns if c not in keys]
-    last_first = Window.partitionBy(*keys).orderBy(F.desc(order), F.xxhash64(*others))
+    last_first = Window.partitionBy(*keys).orderBy(*([F.desc(order)] if order else []), F.xxhash64(*others) if others else F.lit(0))
     return rows.withColumn("_place", F.row_number().over(last_first)).where("_place = 1").select(*rows.columns)
 
 
@@ -141,20 +142,9 @@ def advance(state: DataFrame, fetched: DataFrame) -> DataFrame:
     return state.join(top, "aoi_id", "full").withColumn("watermark", F.greatest("watermark", "_top")).drop("_top")
 
 
-def intervals(start: datetime, end: datetime, days: int = 90) -> list[tuple[datetime, datetime]]:
-    """[start, end] in closed chunks of at most `days`, one second apart."""
-    if end < start:
-        raise DataError("the search ends before it starts")
-    out, at = [], start
-    while at <= end:
-        last = min(at + timedelta(days=days) - timedelta(seconds=1), end)
-        out.append((at, last))
-        at = last + timedelta(seconds=1)
-    return out
-
-
 def interval_rows(ranges: DataFrame, days: int = 90) -> DataFrame:
-    """intervals() for a table of (.., start, end) timestamps."""
+    """Each row's [start, end] in closed chunks of at most `days`, one second apart; a row whose end lies before its start has none."""
+    ranges = ranges.where("start <= end")
     begin = F.explode(F.sequence("start", "end", F.expr(f"interval {days} days")))
     return ranges.withColumn("chunk_start", begin).withColumn("chunk_end", F.least(F.col("chunk_start") + F.expr(f"interval {days} days - interval 1 second"), F.col("end")))
 

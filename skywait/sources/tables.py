@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataError
-from ..operators.catalogue_upkeep import upsert
 from ..schemas import KEYS, empty, require_unique
+from .bucketed import BucketedTable
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -15,29 +15,46 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_or_empty(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
-    """The table, or an empty one with its declared columns where there is none yet.
+def bucketed(spark: SparkSession, data_dir: str, table: str) -> BucketedTable:
+    return BucketedTable(spark, f"{data_dir}/{table}", KEYS[table])
+
+
+def stored(spark: SparkSession, data_dir: str, table: str) -> DataFrame | None:
+    """The table, in buckets or plain, or None where there is none yet.
 
     If a write broke off between its two moves, the table that it was to replace is read.
     """
-    path = f"{data_dir}/{table}.parquet"
-    for found in (path, f"{path}.old"):
-        if _exists(spark, found):
-            return spark.read.parquet(found)
-    return empty(spark, table)
+    buckets = bucketed(spark, data_dir, table)
+    if buckets.exists():
+        return buckets.read()
+    found = _whole(spark, f"{data_dir}/{table}.parquet")
+    return spark.read.parquet(found) if found else None
+
 
+def _whole(spark: SparkSession, path: str) -> str | None:
+    """path, or what a broken write has moved aside."""
+    return next((p for p in (path, f"{path}.old") if _exists(spark, p)), None)
 
-def write_table(df: DataFrame, data_dir: str, table: str, partition_by: str | None = None, files: int | None = None) -> None:
-    """Replace a table: rows range-partitioned and sorted by key, zstd.
+
+def read_or_empty(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
+    """The table, or an empty one with its declared columns where there is none yet."""
+    found = stored(spark, data_dir, table)
+    return empty(spark, table) if found is None else found
+
+
+def write_table(df: DataFrame, data_dir: str, table: str, files: int | None = None) -> None:
+    """Replace a table: rows range-partitioned and sorted by key, zstd; a table in buckets stays one.
 
     Equal input gives equal content. The rows are written beside the table, the old files
     move aside and go last: a table may be computed from itself, and a crash loses none.
     """
     spark, keys = df.sparkSession, [k for k in KEYS[table] if k in df.columns]
+    if (buckets := bucketed(spark, data_dir, table)).exists():
+        buckets.replace(df)
+        return
     path = f"{data_dir}/{table}.parquet"
     dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
-    writer = dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}.new")
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.new")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(hadoop(path)):
@@ -47,17 +64,31 @@ def write_table(df: DataFrame, data_dir: str, table: str, partition_by: str | No
     fs.delete(hadoop(f"{path}.old"), True)
 
 
-def upsert_table(incoming: DataFrame, data_dir: str, table: str, keep_first: tuple[str, ...] = ()) -> None:
-    existing = read_or_empty(incoming.sparkSession, data_dir, table)
-    write_table(upsert(existing, incoming, KEYS[table], keep_first), data_dir, table)
+def upsert_table(
+    incoming: DataFrame, data_dir: str, table: str, keep_first: tuple[str, ...] = (), order: str | None = None, batch: tuple[str, int] | None = None,
+) -> list[int]:
+    """Merge rows into a table by key, rewriting only the buckets they fall into (see BucketedTable.upsert).
+
+    The first upsert of a plain table deals it into buckets.
+    """
+    spark = incoming.sparkSession
+    buckets = bucketed(spark, data_dir, table)
+    plain = _whole(spark, f"{data_dir}/{table}.parquet")
+    if plain and not buckets.exists():
+        buckets.replace(spark.read.parquet(plain))
+    if plain:  # what a crash before this left is older than the buckets
+        for left in (f"{data_dir}/{table}.parquet", f"{data_dir}/{table}.parquet.old"):
+            p = spark._jvm.org.apache.hadoop.fs.Path(left)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return buckets.upsert(incoming, keep_first, order, batch)
 
 
 def register_views(spark: SparkSession, data_dir: str) -> list[str]:
     """A view of each table that exists, named like it."""
-    found = [t for t in KEYS if _exists(spark, f"{data_dir}/{t}.parquet")]
-    for t in found:
-        spark.read.parquet(f"{data_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return found
+    found = {t: df for t in KEYS if (df := stored(spark, data_dir, t)) is not None}
+    for t, df in found.items():
+        df.createOrReplaceTempView(t)
+    return list(found)
 
 
 def load_observations(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -95,6 +126,8 @@ class TableCache:
         return tuple(sorted(found))
 
     def read(self, path: str) -> DataFrame:
+        """The files under path, or those that a broken write has moved aside."""
+        path = _whole(self.spark, path) or path
         key = self.signature(path)
         old = self.held.get(path)
         if old is None or old[0] != key:

@@ -46,11 +46,15 @@ def winners(scenes: DataFrame) -> DataFrame:
     return keyed.groupBy("mgrs_tile", "datatake_id").applyInPandasWithState(_newest, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(rows: DataFrame, data_dir: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Upsert each micro-batch into a table; a batch that is replayed changes nothing."""
+def upsert_stream(rows: DataFrame, data_dir: str, table: str, checkpoint: str, order: str | None = None, keep_first: tuple[str, ...] = ()) -> StreamingQuery:
+    """Upsert each micro-batch into a table: it rewrites the buckets that its keys fall into.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        upsert_table(batch, data_dir, table)
+    The table's manifest holds the number of the last batch of this checkpoint, so a batch that
+    is replayed after its commit changes nothing.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        upsert_table(batch, data_dir, table, keep_first, order, (checkpoint, number))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
