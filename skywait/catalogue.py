@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .config import Config
 from .functions.columns import relative_orbit, utm_epsg
-from .operators import catalogue_upkeep, classifier, composite, reliability, timelines
+from .operators import catalogue_upkeep, classifier, composite, reliability, spatial, timelines
 from .operators.slices import heavy_groups
 from .plans import metric_tables, sql_tables, views
 from .sources.bucketed import BucketedTable
@@ -369,6 +369,29 @@ def utm_zone(spark, sf):
     return places(spark, sf).select("aoi_id", "lat", "lon", utm_epsg(F.col("lat"), F.col("lon")).alias("utm_epsg"))
 
 
+# Customers as footprints: rectangles of 4 to 10 by 2 to 6 degrees, either way round; suppliers as squares of 2 degrees.
+FOOT = "(c_custkey * 13 % 3500) / 10.0::DOUBLE - 175 AS x, (c_custkey * 7 % 1500) / 10.0::DOUBLE - 75 AS y, (2 + c_custkey % 4)::DOUBLE AS dx, (1 + c_custkey % 3)::DOUBLE AS dy"
+
+
+@_query(
+    "footprint_overlap",
+    f"""SELECT c_custkey, aoi_id, round((least(x + dx, lon + 1) - greatest(x - dx, lon - 1)) * (least(y + dy, lat + 1) - greatest(y - dy, lat - 1)) / 4, 6) AS overlap
+  FROM (SELECT c_custkey, {FOOT} FROM customer) c JOIN (SELECT 's' || s_suppkey AS aoi_id, {PLACE} FROM supplier) s ON x - dx < lon + 1 AND x + dx > lon - 1 AND y - dy < lat + 1 AND y + dy > lat - 1""",
+)
+def footprint_overlap(spark, sf):
+    """Which footprints cover which entities, without any tag, and how much of them."""
+    key = F.col("c_custkey")
+
+    def box(x, y, dx, dy):
+        corners = [F.array(x + i * dx, y + j * dy) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+        return F.array(*corners)
+
+    foot = box(key * 13 % 3500 / F.lit(10.0) - 175, key * 7 % 1500 / F.lit(10.0) - 75, (2 + key % 4).cast("double"), (1 + key % 3).cast("double"))
+    feet = _table(spark, sf, "customer").select("c_custkey", F.when(key % 2 == 0, foot).otherwise(F.reverse(foot)).alias("foot"))
+    squares = places(spark, sf).select("aoi_id", box(F.col("lon"), F.col("lat"), F.lit(1.0), F.lit(1.0)).alias("ring"))
+    return spatial.overlapping(feet, squares, "foot", "ring", cell=5.0).select("c_custkey", "aoi_id", F.round("overlap", 6).alias("overlap"))
+
+
 @_query(
     "extreme_examples",
     f"""WITH {OBS}, c AS (SELECT *, 1.0::DOUBLE - clear_fraction AS cloud_fraction FROM obs WHERE complete)

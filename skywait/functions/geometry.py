@@ -64,48 +64,6 @@ def ring_area(ring: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-def clip(ring: Sequence[Sequence[float]], window: Sequence[Sequence[float]]) -> np.ndarray:
-    """The part of a ring inside a convex window, edge by edge."""
-    out = [tuple(p[:2]) for p in ring]
-    if out and out[0] == out[-1]:
-        out.pop()
-    w = [tuple(p[:2]) for p in window]
-    if w[0] == w[-1]:
-        w.pop()
-    turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(w, w[1:] + w[:1], strict=True))
-    w = w if turn > 0 else w[::-1]
-    for a, b in zip(w, w[1:] + w[:1], strict=True):
-        def side(p, a=a, b=b):
-            return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-
-        kept = []
-        for p, q in zip(out, out[1:] + out[:1], strict=True):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                kept.append(p)
-            if (sp >= 0) != (sq >= 0):
-                t = sp / (sp - sq)
-                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        out = kept
-        if not out:
-            break
-    return np.array(out).reshape(-1, 2)
-
-
-def _overlap(entity: pd.Series, footprint: pd.Series) -> pd.Series:
-    def one(a, f) -> float:
-        ring = np.array([list(p) for p in a])
-        area = ring_area(ring)
-        if area == 0:
-            raise ValueError("an entity has no area")
-        if f is None or len(f) < 3:
-            return 0.0
-        part = clip([list(p) for p in f], ring)
-        return min(1.0, max(0.0, ring_area(part) / area)) if len(part) else 0.0
-
-    return pd.Series([one(a, f) for a, f in zip(entity, footprint, strict=True)])
-
-
 def to_wkb(ring: Sequence[Sequence[float]]) -> bytes:
     """A polygon of one ring as well-known binary, little endian."""
     return struct.pack("<BIII", 1, 3, 1, len(ring)) + np.array([list(p) for p in ring], dtype="<f8").tobytes()
@@ -127,11 +85,6 @@ def ring_of(data: str) -> Column:
     return F.pandas_udf(lambda rows: rows.map(from_wkb), "array<array<double>>")(data)
 
 
-def overlap_fraction(entity: str, footprint: str) -> Column:
-    """Share of a convex entity ring that a footprint ring covers; 0 without a footprint."""
-    return F.pandas_udf(_overlap, "double")(entity, footprint)
-
-
 def snapped(low: Column, high: Column, step: float = 20.0) -> tuple[Column, Column]:
     """Bounds snapped outward to the pixel grid."""
     return F.floor(low / step) * step, F.ceil(high / step) * step

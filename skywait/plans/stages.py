@@ -10,14 +10,14 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..errors import DataError
 from ..functions import geometry
 from ..functions.columns import is_usable, title_label
-from ..operators import catalogue_upkeep, classifier, composite
+from ..operators import catalogue_upkeep, classifier, composite, spatial
 from ..operators.joins import many_to_one
 from ..schemas import KEYS, SCHEMAS
 from ..sources import catalogue_items, tables
@@ -59,23 +59,38 @@ def overlap_with(data_dir: str) -> Callable[[DataFrame], DataFrame]:
     """Adds the share of each item's entity that the item's footprint covers."""
 
     def add(items: DataFrame) -> DataFrame:
-        places = tables.read_or_empty(items.sparkSession, data_dir, "aois").select("aoi_id", F.col("geometry").alias("_wkb"))
-        shape = F.from_json("geometry_json", "coordinates array<array<array<double>>>")
-        rings = items.join(places, "aoi_id").withColumn("_ring", geometry.ring_of("_wkb")).withColumn("_foot", F.get(shape["coordinates"], F.lit(0)))
-        return rings.withColumn("footprint_overlap_fraction", geometry.overlap_fraction("_ring", "_foot")).drop("_wkb", "_ring", "_foot")
+        places = _rings(items.sparkSession, data_dir).withColumnRenamed("_place", "aoi_id")
+        rings = items.join(places, "aoi_id").withColumn("_foot", _footprint())
+        return rings.withColumn("footprint_overlap_fraction", spatial.overlap_fraction(F.col("_ring"), F.col("_foot"))).drop("_ring", "_foot")
 
     return add
 
 
+def _rings(spark: SparkSession, data_dir: str) -> DataFrame:
+    places = tables.read_or_empty(spark, data_dir, "aois")
+    return places.select(F.col("aoi_id").alias("_place"), geometry.ring_of("geometry").alias("_ring"))
+
+
+def _footprint() -> Column:
+    shape = F.from_json("geometry_json", "coordinates array<array<array<double>>>")
+    return F.get(shape["coordinates"], F.lit(0))
+
+
+def tagged_by_overlap(items: DataFrame, data_dir: str, cell: float = spatial.CELL_DEGREES) -> DataFrame:
+    """Items once for each stored entity that their footprint overlaps, with aoi_id and footprint_overlap_fraction."""
+    pairs = spatial.overlapping(items.withColumn("_foot", _footprint()), _rings(items.sparkSession, data_dir), "_foot", "_ring", cell)
+    return pairs.withColumnsRenamed({"_place": "aoi_id", "overlap": "footprint_overlap_fraction"}).drop("_foot", "_ring")
+
+
 def discover(
     spark: SparkSession, cfg: Config, items: DataFrame | Callable[[DataFrame], DataFrame], data_dir: str,
     overlap: Callable[[DataFrame], DataFrame] | None = None, now: datetime | None = None,
 ) -> DataFrame:
-    """Merge items, tagged with aoi_id, into scenes, links, supersession and watermarks.
+    """Merge items into scenes, links, supersession and watermarks.
 
-    items: aoi_id and the columns of read_items, or a function that fetches them for a table
-    of (aoi_id, start, end, chunk_start, chunk_end): the entities' search windows (from the
-    watermark less the overlap on, or all where the stored coverage falls short) in chunks of
+    items: the columns of read_items and aoi_id (without it, items go to the stored entities
+    that their footprints overlap), or a function that fetches them for a table of (aoi_id,
+    start, end, chunk_start, chunk_end): the entities' search windows (from the watermark less the overlap on, or all where the stored coverage falls short) in chunks of
     at most 90 days. Items of other entities or outside of the windows are left out. overlap adds
     footprint_overlap_fraction (1.0 without it). Returns counts per entity; a second call
     with the same items adds none.
@@ -83,10 +98,15 @@ def discover(
     at = F.lit((now or datetime.now(timezone.utc)).replace(tzinfo=None)).cast("timestamp")
     windows = settle(search_windows(spark, cfg, data_dir))
     found = items(catalogue_upkeep.interval_rows(windows)) if callable(items) else items
+    if "aoi_id" not in found.columns:
+        found = tagged_by_overlap(found, data_dir)
     taken = F.col("properties.datetime").try_cast("timestamp")
     due = found.join(F.broadcast(windows), "aoi_id")  # one row an entity of the settings
     tagged = settle(due.where(taken.isNull() | taken.between(F.col("start"), F.col("end"))).select(*found.columns))
-    links = overlap(tagged) if overlap else tagged.withColumn("footprint_overlap_fraction", F.lit(1.0))
+    if "footprint_overlap_fraction" in tagged.columns:
+        links = tagged
+    else:
+        links = overlap(tagged) if overlap else tagged.withColumn("footprint_overlap_fraction", F.lit(1.0))
     fetched = catalogue_items.scene_rows(catalogue_items.merge_pages(tagged.drop("aoi_id", *[c for c in ("footprint_overlap_fraction",) if c in tagged.columns])), at)
     known = settle(tables.read_or_empty(spark, data_dir, "scenes"))
     everything = settle(catalogue_upkeep.upsert(known, _declared(fetched, "scenes"), KEYS["scenes"], keep_first=("ingested_at",)))

@@ -11,7 +11,7 @@ from skywait.errors import ConfigError, DataError
 from skywait.functions import geometry
 from skywait.functions.columns import relative_orbit, utm_epsg
 from skywait.operators import catalogue_upkeep as up
-from skywait.operators import composite
+from skywait.operators import composite, spatial
 from skywait.plans import metric_tables, stages
 from skywait.sources import catalogue_items, tables
 from skywait.streaming import ingest
@@ -266,7 +266,7 @@ def test_geometry(spark):
     unit = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]
     half = [[0.5, -1.0], [3.0, -1.0], [3.0, 3.0], [0.5, 3.0], [0.5, -1.0]]
     pairs = spark.createDataFrame([(unit, half), (unit, None)], "a array<array<double>>, f array<array<double>>")
-    assert [r[0] for r in pairs.select(geometry.overlap_fraction("a", "f")).collect()] == [0.5, 0.0]
+    assert [r[0] for r in pairs.select(spatial.overlap_fraction(F.col("a"), F.col("f"))).collect()] == [0.5, 0.0]
     orbit = spark.createDataFrame([("A_R065_T",), ("none",)], "s string").select(relative_orbit(F.col("s"))).collect()
     assert [r[0] for r in orbit] == [65, None]
 
