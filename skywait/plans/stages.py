@@ -12,6 +12,7 @@ from pathlib import Path
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
 from ..errors import DataError
@@ -20,7 +21,7 @@ from ..functions.columns import is_usable, title_label
 from ..operators import catalogue_upkeep, classifier, composite, spatial
 from ..operators.joins import many_to_one
 from ..schemas import KEYS, SCHEMAS
-from ..sources import catalogue_items, tables
+from ..sources import catalogue_items, search, tables
 from ..sources.shared import settle
 from . import metric_tables, views
 
@@ -128,6 +129,33 @@ def discover(
     return counts
 
 
+def searched(name: str = "scene_search") -> Callable[[DataFrame], DataFrame]:
+    """Items for discover() from the registered search source."""
+
+    def fetch(windows: DataFrame) -> DataFrame:
+        return catalogue_items.parsed(search.search(windows.select("aoi_id", "start", "end"), name).drop("datetime"), "item")
+
+    return fetch
+
+
+def discover_stream(
+    spark: SparkSession, cfg: Config, data_dir: str, checkpoint: str, name: str = "scene_search", overlap: Callable[[DataFrame], DataFrame] | None = None,
+    now: datetime | None = None, **options: str,
+) -> StreamingQuery:
+    """Discovery as a stream of the registered search source, all that is there now.
+
+    A batch holds what came since the entities' offsets, less the settings' overlap; merging it
+    again changes nothing, so the query may stop anywhere and start again.
+    """
+    period = {"entities": json.dumps(list(cfg.aois)), "start": str(cfg.start), "end": f"{cfg.end}T23:59:59.999999", "overlapDays": str(cfg.late_overlap_days)}
+    rows = spark.readStream.format(name).options(**(period | options)).load()
+
+    def merge(batch: DataFrame, _: int) -> None:
+        discover(spark, cfg, settle(catalogue_items.parsed(batch.drop("datetime"), "item")), data_dir, overlap, now)
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def process(spark: SparkSession, cfg: Config, data_dir: str, read_rasters: Callable[[DataFrame], DataFrame], force: bool = False, now: datetime | None = None) -> dict[str, int]:
     """Scenes to observations: read, count, composite and roll up what is not done yet.
 

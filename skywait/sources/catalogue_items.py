@@ -29,8 +29,14 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     if not raw.where("features is null").isEmpty():
         raise DataError("a file has no list of features")
     items = raw.select(F.input_file_name().alias("page"), F.posexplode("features").alias("place", "text")).where(F.col("text").startswith("{"))
-    parsed = items.select(F.from_json("text", ITEM).alias("item"), "text", "page", "place")
-    return parsed.select("item.*", F.get_json_object("text", "$.geometry").alias("geometry_json"), "page", "place")
+    return parsed(items, "text")
+
+
+def parsed(rows: DataFrame, text: str) -> DataFrame:
+    """rows of item texts with the items' fields and geometry_json in the text's place."""
+    others = [c for c in rows.columns if c not in (text, "id")]
+    read = rows.select(*others, F.from_json(text, ITEM).alias("_item"), F.get_json_object(text, "$.geometry").alias("geometry_json"))
+    return read.select("_item.*", "geometry_json", *others)
 
 
 def scene_rows(items: DataFrame, ingested_at: Column) -> DataFrame:
