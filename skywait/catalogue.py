@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .config import Config
 from .functions.columns import relative_orbit, utm_epsg
-from .operators import catalogue_upkeep, classifier, composite, reliability, spatial, timelines
+from .operators import catalogue_upkeep, classifier, composite, rasters, reliability, spatial, timelines
 from .operators.slices import heavy_groups
 from .plans import metric_tables, sql_tables, views
 from .sources.bucketed import BucketedTable
@@ -544,6 +544,36 @@ def array_composite(spark, sf):
     return composite.array_composite(rows).withColumn("classes", F.array_join(F.col("classes").cast("array<string>"), ","))
 
 
+# A vector as a raster of 8 x 8 pixels of 10 m in tiles of 4 x 4, read on a grid of 5 x 6 pixels of 17 m that reaches beyond it.
+_C = "floor((-13.0::DOUBLE + (k % 5 + 0.5::DOUBLE) * 17) / 10)::INTEGER"
+_R = "floor((-4.5::DOUBLE + (k // 5 + 0.5::DOUBLE) * 17) / 10)::INTEGER"
+
+
+@_query(
+    "raster_windows",
+    f"""WITH {PIXELS}, spots AS (SELECT k, {_C} AS c, {_R} AS r FROM (SELECT unnest(range(0, 30)) AS k))
+  SELECT v.vec_id AS scene_id, string_agg(coalesce(p.class, 0)::VARCHAR, ',' ORDER BY k) AS classes FROM embeddings v, spots
+  LEFT JOIN pix p ON p.scene_id = v.vec_id AND c BETWEEN 0 AND 7 AND r BETWEEN 0 AND 7 AND p.pixel = r * 8 + c GROUP BY v.vec_id""",
+)
+def raster_windows(spark, sf):
+    vectors = _table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("scene_id"), F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 40).cast("int") % 12).alias("c"))
+    sources = vectors.select("scene_id", F.lit(32633).cast("long").alias("epsg"), F.lit(500000.0).alias("left"), F.lit(80.0).alias("top"), *[F.lit(n).alias(c) for c, n in (("width", 8), ("height", 8))], F.lit(10.0).alias("step"), F.lit(4).alias("tile"))
+    numbered = vectors.withColumn("tile_number", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    corner = F.floor(F.col("tile_number") / 2) * 32 + (F.col("tile_number") % 2) * 4
+    tiles = numbered.select("scene_id", "tile_number", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.get("c", (corner + F.floor(k / 4) * 8 + k % 4).cast("int"))).alias("classes"))
+    grid = spark.createDataFrame([("a", 32633, 500000.0 - 13.0, 80.0 + 4.5, 5, 6, 17.0)], "aoi_id string, epsg long, left double, top double, width int, height int, step double")
+    read = rasters.on_grids(sources.select(F.lit("a").alias("aoi_id"), "scene_id"), grid, sources, tiles, strip_pixels=10)
+    return read.select(F.col("scene_id").cast("long").alias("scene_id"), F.array_join(F.col("classes").cast("array<string>"), ",").alias("classes"))
+
+
+@_query("run_histogram", f"WITH {PIXELS} SELECT scene_id, {COUNTS} FROM pix GROUP BY scene_id")
+def run_histogram(spark, sf):
+    """class_histogram on run-length codes, never unfolded."""
+    classes = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 40).cast("int") % 12)
+    runs = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("scene_id"), rasters.to_runs(classes).alias("runs"))
+    return runs.select("scene_id", *[rasters.count_in_runs("runs", k).cast("long").alias(f"count_class_{k}") for k in composite.CLASSES])
+
+
 @_query("class_histogram", f"WITH {PIXELS} SELECT aoi_id, scene_id, {COUNTS}, count(*) AS n_pixels FROM pix GROUP BY aoi_id, scene_id")
 def class_histogram(spark, sf):
     return composite.class_histogram(pixels(spark, sf), ("aoi_id", "scene_id"))

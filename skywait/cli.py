@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--record", required=True)
     for x in (p, r):
         x.add_argument("--rasters", required=True, help="a Parquet table of aoi_id, scene_id, classes, error")
+        x.add_argument("--keep-rasters", action="store_true", help="store the composites as runs")
     for x in (d, p):
         x.add_argument("--aoi")
     for name in ("metrics", "report"):
@@ -90,10 +91,10 @@ def main(argv: list[str] | None = None) -> int:
                 log("discovered", **row.asDict())
         elif args.command == "process":
             cfg = chosen(cfg, args)
-            log("processed", **stages.process(spark, cfg, cfg.data_dir, stages.stored_rasters(spark.read.parquet(args.rasters)), args.force))
+            log("processed", **stages.process(spark, cfg, cfg.data_dir, stages.stored_rasters(spark.read.parquet(args.rasters)), args.force, keep_rasters=args.keep_rasters))
         elif args.command == "run":
             reader = stages.stored_rasters(spark.read.parquet(args.rasters))
-            done = stages.run(spark, cfg, cfg.data_dir, read_items(spark, args.items, cfg), reader, args.record, stages.overlap_with(cfg.data_dir))
+            done = stages.run(spark, cfg, cfg.data_dir, read_items(spark, args.items, cfg), reader, args.record, stages.overlap_with(cfg.data_dir), args.keep_rasters)
             log("run", record=str(done.path), status=done.data["status"])
         elif args.command == "metrics":
             log("metrics", **stages.metrics(spark, cfg, cfg.data_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ DAY_MICROS = 86_400_000_000.0
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: as a lambda's variable it is not planned into every place that reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def days_between(a: Column, b: Column) -> Column:
     """Days from a to b, with their fraction, exact to the microsecond."""
     return F.timestamp_diff("MICROSECOND", a, b) / F.lit(DAY_MICROS)

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import computed_once
+
 # WGS84 ellipsoid and UTM scale.
 SEMI_MAJOR, FLATTENING, SCALE = 6_378_137.0, 1 / 298.257223563, 0.9996
 
@@ -50,6 +52,53 @@ def from_utm(x: np.ndarray, y: np.ndarray, epsg: int) -> tuple[np.ndarray, np.nd
     return np.degrees(phi), np.degrees(centre + np.arctan2(np.sinh(c), np.cos(a)))
 
 
+def _zone_columns(epsg: Column) -> tuple[Column, Column]:
+    return F.radians((epsg % 100) * 6 - 183), F.when(epsg < 32700, 0.0).otherwise(10_000_000.0)
+
+
+def utm_of(lat: Column, lon: Column, epsg: Column) -> Column:
+    """to_utm as a column: array(x, y)."""
+    centre, north = _zone_columns(epsg)
+    e = 2 * math.sqrt(_N) / (1 + _N)
+
+    def series(z: Column) -> Column:
+        xi, eta = z[0], z[1]
+        x = eta + sum((a * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+        y = xi + sum((a * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
+        return F.array(500_000 + SCALE * _RADIUS * x, north + SCALE * _RADIUS * y)
+
+    def angles(p: Column) -> Column:
+        t, lam = p[0], p[1]
+        return computed_once(F.array(F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))), series)
+
+    sine = F.sin(F.radians(lat))
+    t = computed_once(sine, lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s)))
+    return computed_once(F.array(t, F.radians(lon) - centre), angles)
+
+
+def lat_lon_of(x: Column, y: Column, epsg: Column) -> Column:
+    """from_utm as a column: array(lat, lon)."""
+    centre, north = _zone_columns(epsg)
+
+    def series(z: Column) -> Column:
+        a = z[0] - sum((b * F.sin(2 * k * z[0]) * F.cosh(2 * k * z[1]) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
+        c = z[1] - sum((b * F.cos(2 * k * z[0]) * F.sinh(2 * k * z[1]) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
+        return computed_once(F.array(a, c), angles)
+
+    def angles(z: Column) -> Column:
+        chi = F.asin(F.sin(z[0]) / F.cosh(z[1]))
+        phi = computed_once(chi, lambda h: h + sum((d * F.sin(2 * k * h) for k, d in enumerate(_LATITUDE, 1)), F.lit(0.0)))
+        return F.array(F.degrees(phi), F.degrees(centre + F.atan2(F.sinh(z[1]), F.cos(z[0]))))
+
+    return computed_once(F.array((y - north) / (SCALE * _RADIUS), (x - 500_000) / (SCALE * _RADIUS)), series)
+
+
+def between_zones(x: Column, y: Column, epsg: Column, to: Column) -> Column:
+    """array(x, y) in another UTM zone; the same numbers in the same one."""
+    there = computed_once(lat_lon_of(x, y, epsg), lambda p: utm_of(p[0], p[1], to))
+    return F.when(epsg == to, F.array(x, y)).otherwise(there)
+
+
 def square(lat: float, lon: float, epsg: int, size_km: float) -> tuple[list[list[float]], float]:
     """A square of size_km about a point: its closed ring of (lon, lat) and its area in square km."""
     x, y = (float(v) for v in to_utm(np.array(lat), np.array(lon), epsg))

@@ -149,13 +149,20 @@ def interval_rows(ranges: DataFrame, days: int = 90) -> DataFrame:
     return ranges.withColumn("chunk_start", begin).withColumn("chunk_end", F.least(F.col("chunk_start") + F.expr(f"interval {days} days - interval 1 second"), F.col("end")))
 
 
-def pending_groups(members: DataFrame, observations: DataFrame, stats: DataFrame, force: bool = False) -> DataFrame:
-    """(aoi_id, datatake_id) that still need work: a new group, a changed scene count, or a scene without statistics."""
+def group_sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("aoi_id", "datatake_id").agg(F.count("*").alias("n_scenes"))
+
+
+def pending_groups(members: DataFrame, observations: DataFrame, stats: DataFrame, force: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """(aoi_id, datatake_id) that still need work: a new group, a changed scene count, or a scene without statistics.
+
+    sizes: group_sizes(members), if at hand.
+    """
     key = ["aoi_id", "datatake_id"]
+    counted = group_sizes(members) if sizes is None else sizes
     if force:
-        return members.select(*key).distinct()
+        return counted.select(*key)
     lacking = members.join(stats.select("aoi_id", "scene_id").distinct(), ["aoi_id", "scene_id"], "left_anti").select(*key)
-    counted = members.groupBy(*key).agg(F.count("*").alias("n_scenes"))
     changed = counted.join(observations.select(*key, "n_scenes"), [*key, "n_scenes"], "left_anti").select(*key)
     return lacking.unionByName(changed).distinct()
 

@@ -7,17 +7,12 @@ the one with the lower left corner of what their bounds share, so nothing repeat
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL_DEGREES = 1.0
-
+from ..functions.columns import computed_once
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once: as a lambda's variable it is not planned into every place that reads it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+CELL_DEGREES = 1.0
 
 
 def _open(ring: Column) -> Column:
@@ -34,13 +29,13 @@ def _doubled(points: Column) -> Column:
     """Twice the signed area of an open ring (a lambda's variable): positive if it turns left."""
 
     def term(p: Column, i: Column) -> Column:
-        return _with(_next(points, i), lambda q: p[0] * q[1] - q[0] * p[1])
+        return computed_once(_next(points, i), lambda q: p[0] * q[1] - q[0] * p[1])
 
     return F.aggregate(F.transform(points, term), F.lit(0.0), lambda a, b: a + b)
 
 
 def ring_area(ring: Column) -> Column:
-    return _with(_open(ring), lambda points: F.abs(_doubled(points)) / 2)
+    return computed_once(_open(ring), lambda points: F.abs(_doubled(points)) / 2)
 
 
 def clipped(ring: Column, window: Column) -> Column:
@@ -61,16 +56,16 @@ def clipped(ring: Column, window: Column) -> Column:
                 crossing = F.transform(F.array(s / (s - t)), lambda r: F.array(p[0] + r * (q[0] - p[0]), p[1] + r * (q[1] - p[1])))
                 return F.concat(F.when(s >= 0, F.array(p)).otherwise(none), F.when((s >= 0) != (t >= 0), crossing).otherwise(none))
 
-            return _with(_next(all_, i), both)
+            return computed_once(_next(all_, i), both)
 
-        return _with(sided, lambda all_: F.flatten(F.transform(all_, lambda one, i: keep(all_, one, i))))
+        return computed_once(sided, lambda all_: F.flatten(F.transform(all_, lambda one, i: keep(all_, one, i))))
 
     def edges(w: Column) -> Column:
         turned = F.when(_doubled(w) >= 0, w).otherwise(F.reverse(w))
-        return _with(turned, lambda t: F.transform(t, lambda a, i: F.array(a, _next(t, i))))
+        return computed_once(turned, lambda t: F.transform(t, lambda a, i: F.array(a, _next(t, i))))
 
     points = F.transform(_open(ring), lambda p: F.slice(p, 1, 2))
-    return F.aggregate(_with(_open(window), edges), points, cut)
+    return F.aggregate(computed_once(_open(window), edges), points, cut)
 
 
 def overlap_fraction(entity: Column, footprint: Column) -> Column:
@@ -81,7 +76,7 @@ def overlap_fraction(entity: Column, footprint: Column) -> Column:
         part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ring_area(clipped(footprint, entity)) / area))
         return F.when(area == 0, F.raise_error(F.lit("an entity has no area")).cast("double")).when(known, part).otherwise(0.0)
 
-    return _with(ring_area(entity), share)
+    return computed_once(ring_area(entity), share)
 
 
 def _bounds(ring: Column) -> Column:

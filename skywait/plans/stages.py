@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pyspark
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,11 +18,11 @@ from ..config import Config
 from ..errors import DataError
 from ..functions import geometry
 from ..functions.columns import is_usable, title_label
-from ..operators import catalogue_upkeep, classifier, composite, spatial
+from ..operators import catalogue_upkeep, classifier, composite, rasters, spatial
 from ..operators.joins import many_to_one
 from ..schemas import KEYS, SCHEMAS
 from ..sources import catalogue_items, search, tables
-from ..sources.shared import settle
+from ..sources.shared import content_hash, settle, settle_counted
 from . import metric_tables, views
 
 
@@ -156,12 +156,13 @@ def discover_stream(
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def process(spark: SparkSession, cfg: Config, data_dir: str, read_rasters: Callable[[DataFrame], DataFrame], force: bool = False, now: datetime | None = None) -> dict[str, int]:
+def process(spark: SparkSession, cfg: Config, data_dir: str, read_rasters: Callable[[DataFrame], DataFrame], force: bool = False, now: datetime | None = None, keep_rasters: bool = False) -> dict[str, int]:
     """Scenes to observations: read, count, composite and roll up what is not done yet.
 
     read_rasters takes (aoi_id, scene_id, ...) rows and returns them with classes
     (array<int> over the entity's pixels) and error (null if read); pass a mapInPandas
-    decoder or a join with a table of arrays. A scene that fails is recorded, never fatal.
+    decoder, rasters.tile_reader or a join with a table of arrays. A scene that fails is recorded,
+    never fatal. keep_rasters stores the composites as runs. Counts come from the writes.
     """
     at = F.lit((now or datetime.now(timezone.utc)).replace(tzinfo=None)).cast("timestamp")
     links = tables.read_or_empty(spark, data_dir, "scene_aoi").select("aoi_id", "scene_id")
@@ -169,31 +170,33 @@ def process(spark: SparkSession, cfg: Config, data_dir: str, read_rasters: Calla
     members = settle(many_to_one(links, scenes, ["scene_id"]))
     old_stats = tables.read_or_empty(spark, data_dir, "scene_aoi_stats").where(F.col("config_hash") == cfg.config_hash)
     old_obs = tables.read_or_empty(spark, data_dir, "observations").where(F.col("config_hash") == cfg.config_hash)
-    todo = settle(catalogue_upkeep.pending_groups(members, old_obs, old_stats, force))
+    sizes, groups = settle_counted(catalogue_upkeep.group_sizes(members), n=F.count("*"))
+    todo = settle(catalogue_upkeep.pending_groups(members, old_obs, old_stats, force, sizes))
     work = members.join(todo, ["aoi_id", "datatake_id"], "left_semi")
     layers = settle(read_rasters(work))
     stats = composite.scene_statistics(layers.select("aoi_id", "scene_id", "classes", "error")).withColumn("config_hash", F.lit(cfg.config_hash)).withColumn("processed_at", at)
     joined = layers.join(stats.select("aoi_id", "scene_id", "n_covered", "read_ok", "n_aoi_pixels"), ["aoi_id", "scene_id"])
     merged = composite.array_composite(layers.select("aoi_id", "datatake_id", "scene_id", "nodata_pct", F.when(F.col("error").isNull(), F.col("classes")).otherwise(F.transform("classes", lambda _: F.lit(0))).alias("classes")))
+    if keep_rasters:
+        merged = settle(merged)  # counted and kept
+        kept = merged.select("aoi_id", "datatake_id", F.lit(cfg.config_hash).alias("config_hash"), rasters.to_runs(F.col("classes")).alias("runs"))
+        tables.upsert_table(_declared(kept, "composites"), data_dir, "composites")
     counts = merged.withColumn("n_pixels", F.size("classes")).withColumns({f"count_class_{k}": composite.count_of("classes", k) for k in composite.CLASSES}).drop("classes")
     shares = composite.fractions(counts, cfg.classes)
     rolled = composite.roll_up(joined).join(shares, ["aoi_id", "datatake_id"])
     usable = is_usable(F.col("covered_fraction"), F.col("clear_fraction"), cfg.min_coverage, cfg.min_clear)
     obs = rolled.withColumn("n_aoi_pixels", F.col("n_pixels")).withColumn("usable", usable).withColumn("config_hash", F.lit(cfg.config_hash))
-    new_obs, new_stats = settle(_declared(obs, "observations")), settle(_declared(stats, "scene_aoi_stats"))
+    new_obs, done = settle_counted(_declared(obs, "observations"), n=F.count("*"))
+    new_stats, read = settle_counted(_declared(stats, "scene_aoi_stats"), n=F.count("*"), failed=F.count_if(~F.col("read_ok")))
     tables.upsert_table(new_stats, data_dir, "scene_aoi_stats", keep_first=("processed_at",))
     tables.upsert_table(new_obs, data_dir, "observations")
-    groups = members.select("aoi_id", "datatake_id").distinct().count()
-    done = new_obs.count()
-    return {"observations": done, "observations_skipped": groups - done, "scenes": new_stats.count(), "scenes_failed": new_stats.where("not read_ok").count()}
+    return {"observations": done["n"], "observations_skipped": groups["n"] - done["n"], "scenes": read["n"], "scenes_failed": read["failed"]}
 
 
-def metrics(spark: SparkSession, cfg: Config, data_dir: str) -> dict[str, int]:
-    """observations to the six metric tables; always recomputed."""
+def metrics(spark: SparkSession, cfg: Config, data_dir: str) -> dict[str, dict]:
+    """observations to the six metric tables, always recomputed: each one's rows and content, as its write saw them."""
     made = metric_tables.build_metric_tables(tables.read_or_empty(spark, data_dir, "observations"), cfg)
-    for name, rows in made.items():
-        tables.write_table(rows, data_dir, name)
-    return {name: tables.read_or_empty(spark, data_dir, name).count() for name in made}
+    return {name: tables.write_table(rows, data_dir, name) for name, rows in made.items()}
 
 
 SUMMARY_COLUMNS = ("AOI", "Observations", "Usable", "Usable rate", "Nominal median (d)", "Effective median (d)", "P(within 7d)", "Longest outage (d)")
@@ -234,6 +237,16 @@ def report_frames(spark: SparkSession, cfg: Config, data_dir: str) -> dict[str,
     return frames if places.isEmpty() else frames | {"map": views.map_points(summary, places)}
 
 
+def write_report(frames: dict[str, DataFrame], target: str) -> dict[str, dict]:
+    """The report's frames as Parquet under target: each one's rows and content, as its write saw them."""
+    out = {}
+    for name, frame in frames.items():
+        seen = Observation()
+        frame.observe(seen, F.count("*").alias("rows"), content_hash(frame.columns).alias("content")).write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+        out[name] = seen.get
+    return out
+
+
 class RunRecord:
     """A JSON file that tells how far a run came: written at its start, after each stage and on failure."""
 
@@ -278,9 +291,12 @@ def stored_rasters(rasters: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 def run(
     spark: SparkSession, cfg: Config, data_dir: str, items: DataFrame | Callable[[DataFrame], DataFrame], read_rasters: Callable[[DataFrame], DataFrame], record: str,
-    overlap: Callable[[DataFrame], DataFrame] | None = None,
+    overlap: Callable[[DataFrame], DataFrame] | None = None, keep_rasters: bool = False,
 ) -> RunRecord:
-    """Discovery, processing, metrics and report frames in one go, with a run record."""
+    """Discovery, processing, metrics and report frames in one go, with a run record.
+
+    It holds each table's rows and a hash of its content, so runs of equal input can be compared.
+    """
     log = RunRecord(cfg, record)
 
     def places() -> dict:
@@ -290,8 +306,8 @@ def run(
 
     log.stage("entities", places)
     log.stage("discover", lambda: {r.aoi_id: {"fetched": r.fetched, "new": r.new, "superseded": r.superseded} for r in discover(spark, cfg, items, data_dir, overlap).collect()})
-    log.stage("process", lambda: process(spark, cfg, data_dir, read_rasters))
+    log.stage("process", lambda: process(spark, cfg, data_dir, read_rasters, keep_rasters=keep_rasters))
     log.stage("metrics", lambda: metrics(spark, cfg, data_dir))
-    log.stage("report", lambda: {k: f.count() for k, f in report_frames(spark, cfg, data_dir).items()})
+    log.stage("report", lambda: write_report(report_frames(spark, cfg, data_dir), f"{data_dir}/report"))
     log.done()
     return log

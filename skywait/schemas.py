@@ -29,6 +29,7 @@ SCHEMAS = {
         "clear_fraction double, cloud_fraction double, shadow_fraction double, snow_fraction double, unclassified_fraction double, "
         "defective_fraction double, usable boolean, complete boolean"
     ),
+    "composites": "aoi_id string, datatake_id string, config_hash string, runs array<struct<value:int,count:int>>",
     "aoi_wait_daily": "aoi_id string, config_hash string, t0 timestamp, wait_days double, censored boolean",
     "aoi_survival": "aoi_id string, config_hash string, n_days int, p_waiting double",
     "aoi_monthly": "aoi_id string, config_hash string, month int, p_within_5d double, p_within_7d double, p_within_14d double, n_days long",
@@ -43,6 +44,7 @@ KEYS = {
     "ingest_state": ["aoi_id", "collection"],
     "scene_aoi_stats": ["aoi_id", "scene_id", "config_hash"],
     "observations": ["aoi_id", "datatake_id", "config_hash"],
+    "composites": ["aoi_id", "datatake_id", "config_hash"],
     "aoi_wait_daily": ["aoi_id", "config_hash", "t0"],
     "aoi_survival": ["aoi_id", "config_hash", "n_days"],
     "aoi_monthly": ["aoi_id", "config_hash", "month"],

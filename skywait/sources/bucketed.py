@@ -14,15 +14,16 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import DataError
 from ..operators.catalogue_upkeep import last_of_key, upsert
-from .shared import forget, settle
+from .shared import content_hash, forget, settle
 
-BUCKETS = 64
+BUCKETS = 8  # of a new table
+BUCKET_ROWS = 1_000_000  # a table whose buckets hold more on average is dealt into more of them
 _SUFFIX = ".buckets"
 
 
@@ -39,8 +40,8 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 class BucketedTable:
     """A table under root (a folder name without suffix) with a primary key."""
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
-        self.spark, self.root, self.keys, self.asked = spark, root + _SUFFIX, list(keys), buckets
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.root, self.keys, self.asked, self.bucket_rows = spark, root + _SUFFIX, list(keys), buckets, bucket_rows
 
     def exists(self) -> bool:
         return bool(self._versions())
@@ -91,33 +92,49 @@ class BucketedTable:
         new = rows.drop("_bucket")
         if state["schema"] is not None:
             new = upsert(self._rows(state, touched), new, self.keys, keep_first, ready=True)
-        self._commit(state, new, touched, batch=batch)
+        self._grow(self._commit(state, new, touched, batch=batch)["rows"], len(touched))
         forget(rows)
         return touched
 
-    def replace(self, rows: DataFrame) -> None:
-        """All rows anew; keys must be unique."""
-        self._commit(self.state(), rows)
+    def replace(self, rows: DataFrame) -> dict:
+        """All rows anew; keys must be unique. Returns what the write saw: rows and content (see content_hash)."""
+        state = self.state()
+        seen = self._commit(state, rows)
+        self._grow(seen["rows"], state["buckets"])
+        return seen
+
+    def _grow(self, rows: int, buckets: int) -> None:
+        """Deal the table into more buckets if those that were just written are too large.
+
+        The number at least doubles, so over a table's life this costs a few times its size.
+        """
+        if buckets and rows > self.bucket_rows * buckets:
+            self.rebucket(self.state()["buckets"] * max(2, -(-2 * rows // (self.bucket_rows * buckets))))
 
     def rebucket(self, buckets: int) -> None:
-        """Deal the table anew, once its buckets have grown too large."""
+        """Deal the table anew."""
         state = self.state()
         self._commit(state, self._rows(state), buckets=buckets)
 
-    def _commit(self, state: dict, rows: DataFrame, touched: Sequence[int] | None = None, buckets: int | None = None, batch: tuple[str, int] | None = None) -> None:
+    def _commit(self, state: dict, rows: DataFrame, touched: Sequence[int] | None = None, buckets: int | None = None, batch: tuple[str, int] | None = None) -> dict:
         """Write rows as the buckets touched (all without a list), then the manifest that names them."""
+        seen = {"rows": 0, "content": "0"}
         buckets = buckets or state["buckets"]
         parts = {} if touched is None else {b: p for b, p in state["parts"].items() if int(b) not in set(touched)}
         folder = f"data-{state['version'] + 1:012d}-{uuid.uuid4().hex}"
         if touched is None or touched:
             number = self.bucket({"buckets": buckets})
             dealt = rows.withColumn("_bucket", number).repartition(buckets if touched is None else len(touched), "_bucket").sortWithinPartitions("_bucket", *self.keys)
+            watch = Observation()
+            dealt = dealt.observe(watch, F.count("*").alias("rows"), content_hash(rows.columns).alias("content"))
             dealt.write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            seen = watch.get
             parts |= {n.split("=")[1]: f"{folder}/{n}" for n in _children(self.spark, f"{self.root}/{folder}") if n.startswith("_bucket=")}
         batches = state["batches"] | ({batch[0]: batch[1]} if batch else {})
         manifest = {"version": state["version"] + 1, "buckets": buckets, "schema": rows.schema.json(), "parts": parts, "batches": batches}
         self._publish(manifest)
         self._sweep(keep=[state, manifest])
+        return seen
 
     def _publish(self, manifest: dict) -> None:
         fs, target = _fs(self.spark, f"{self.root}/manifest-{manifest['version']:012d}.json")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _settled: list[tuple[SparkSession, str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -40,6 +41,18 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """settle(df), and aggregates of its rows that the write itself observes: no job counts them."""
+    seen = Observation()
+    out = settle(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return out, seen.get
+
+
+def content_hash(columns: Sequence[str]) -> Column:
+    """An aggregate that is equal for equal rows, whatever their order and files: the sum of the rows' hashes."""
+    return F.coalesce(F.sum(F.xxhash64(*sorted(columns)).cast("decimal(20,0)")).cast("string"), F.lit("0"))
+
+
 @contextmanager
 def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go when it has run."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataError
 from ..schemas import KEYS, empty, require_unique
 from .bucketed import BucketedTable
+from .shared import content_hash
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -42,19 +43,22 @@ def read_or_empty(spark: SparkSession, data_dir: str, table: str) -> DataFrame:
     return empty(spark, table) if found is None else found
 
 
-def write_table(df: DataFrame, data_dir: str, table: str, files: int | None = None) -> None:
+def write_table(df: DataFrame, data_dir: str, table: str, files: int | None = None) -> dict:
     """Replace a table: rows range-partitioned and sorted by key, zstd; a table in buckets stays one.
 
+    Returns what the write saw: rows, and content, a hash that equal rows share whatever the files.
+
     Equal input gives equal content. The rows are written beside the table, the old files
     move aside and go last: a table may be computed from itself, and a crash loses none.
     """
     spark, keys = df.sparkSession, [k for k in KEYS[table] if k in df.columns]
     if (buckets := bucketed(spark, data_dir, table)).exists():
-        buckets.replace(df)
-        return
+        return buckets.replace(df)
     path = f"{data_dir}/{table}.parquet"
     dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
-    dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.new")
+    seen = Observation()  # above the sort, so that no sample of the ranges is counted
+    watched = dealt.sortWithinPartitions(*keys).observe(seen, F.count("*").alias("rows"), content_hash(df.columns).alias("content"))
+    watched.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}.new")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(hadoop(path)):
@@ -62,6 +66,7 @@ def write_table(df: DataFrame, data_dir: str, table: str, files: int | None = No
         fs.rename(hadoop(path), hadoop(f"{path}.old"))
     fs.rename(hadoop(f"{path}.new"), hadoop(path))
     fs.delete(hadoop(f"{path}.old"), True)
+    return seen.get
 
 
 def upsert_table(

@@ -43,6 +43,17 @@ def test_an_upsert_rewrites_its_buckets_alone(spark, tmp_path):
     assert len(table.state()["parts"]) == 3 and table.read().count() == 201 and table.read().where("k = 5").first().v == "d"
 
 
+def test_buckets_grow_in_number(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), ["k"], 2, bucket_rows=50)
+    table.upsert(make(spark, 0, 60, "a"))
+    assert table.state()["buckets"] == 2
+    table.upsert(make(spark, 60, 400, "b"))
+    assert table.state()["buckets"] >= 8 and rows_of(table.read()) == rows_of(make(spark, 0, 60, "a").unionByName(make(spark, 60, 400, "b")))
+    table.replace(make(spark, 0, 3000, "c"))
+    assert table.state()["buckets"] >= 60 and table.read().count() == 3000
+    assert len(table.upsert(make(spark, 7, 8, "d"))) == 1 and table.read().where("v = 'd'").count() == 1
+
+
 def test_last_of_key_and_keep_first(spark, tmp_path):
     table = BucketedTable(spark, str(tmp_path / "t"), ["k"], 4)
     table.upsert(make(spark, 0, 3, "a"))

@@ -130,9 +130,12 @@ def test_process_stage(spark, tmp_path):
     one = obs["take-1"]
     assert (one.n_scenes, one.covered_fraction, one.clear_fraction, one.usable, one.complete) == (2, 1.0, 0.5, True, True)
     assert one.primary_scene_id == "scene-b" and not obs["take-2"].complete and obs["take-2"].covered_fraction == 0
+    assert tables.read_or_empty(spark, data, "composites").isEmpty()
     again = stages.process(spark, cfg, data, read)
     assert again["observations"] == 0 and again["observations_skipped"] == 2
-    forced = stages.process(spark, cfg, data, read, force=True, now=datetime(2024, 6, 1))
+    forced = stages.process(spark, cfg, data, read, force=True, now=datetime(2024, 6, 1), keep_rasters=True)
+    kept = {r.datatake_id: [tuple(x) for x in r.runs] for r in tables.read_or_empty(spark, data, "composites").collect()}
+    assert kept == {"take-1": [(4, 5), (9, 5)], "take-2": [(0, 10)]}
     assert forced["observations"] == 2
     assert {r.processed_at for r in tables.read_or_empty(spark, data, "scene_aoi_stats").collect()} == {datetime(2024, 5, 1)}
     stricter = config(aois=("alpha",), min_clear=0.75, min_coverage=1.0)
@@ -315,6 +318,24 @@ def test_tables_and_checks(spark, tmp_path):
     assert cache.read(path) is not first and cache.read(path).count() == 1
 
 
+def test_counts_come_from_the_writes(spark, tmp_path):
+    from helpers import golden
+
+    cfg, seen = config(), {}
+    for name, parts in (("a", 1), ("b", 5)):
+        data = str(tmp_path / name)
+        tables.write_table(stages._declared(golden(spark, cfg).repartition(parts), "observations"), data, "observations")
+        seen[name] = stages.metrics(spark, cfg, data)
+        stored = {t: tables.read_or_empty(spark, data, t) for t in seen[name]}
+        assert {t: df.count() for t, df in stored.items()} == {t: c["rows"] for t, c in seen[name].items()}
+    assert seen["a"] == seen["b"] and len({c["content"] for c in seen["a"].values()}) == 6
+    rows = spark.range(10).select(F.col("id").cast("string").alias("scene_id"), F.lit("x").alias("superseded_by"))
+    plain = tables.write_table(rows, str(tmp_path), "scenes_superseded")
+    tables.upsert_table(rows.limit(3), str(tmp_path), "scenes_superseded")
+    assert tables.write_table(rows.repartition(4), str(tmp_path), "scenes_superseded") == plain and plain["rows"] == 10, "in buckets too"
+    assert tables.write_table(rows.withColumn("superseded_by", F.lit("y")), str(tmp_path), "scenes_superseded")["content"] != plain["content"]
+
+
 def test_run_record(tmp_path):
     log = stages.RunRecord(config(), tmp_path / "r.json")
     assert log.stage("one", lambda: {"rows": 1}) == {"rows": 1}
