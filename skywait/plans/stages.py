@@ -237,6 +237,22 @@ def report_frames(spark: SparkSession, cfg: Config, data_dir: str) -> dict[str,
     return frames if places.isEmpty() else frames | {"map": views.map_points(summary, places)}
 
 
+def example_chips(examples: DataFrame, data_dir: str, grids: DataFrame, sources: DataFrame, tiles: DataFrame, nodata: int | None = None) -> DataFrame:
+    """The extreme examples' pictures (case, aoi_id, datatake_id, bands): their linked scenes' bands, filled in order of nodata percentage.
+
+    An example without a scene that has bands is an error.
+    """
+    spark = examples.sparkSession
+    scenes = tables.read_or_empty(spark, data_dir, "scenes").where("visual_href is not null").select("scene_id", "datatake_id", "nodata_pct")
+    links = tables.read_or_empty(spark, data_dir, "scene_aoi").select("aoi_id", "scene_id")
+    wanted = settle(examples.select("case", "aoi_id", "datatake_id"))  # at most two
+    members = settle(wanted.join(links, "aoi_id").join(scenes, ["scene_id", "datatake_id"]))
+    if not wanted.join(members, "case", "left_anti").isEmpty():
+        raise DataError("an example has no linked scene with bands")
+    chips = rasters.bands_on_grids(members, grids, sources, tiles, nodata)
+    return rasters.band_composite(members.join(chips, ["aoi_id", "scene_id"]), ("case", "aoi_id", "datatake_id"))
+
+
 def write_report(frames: dict[str, DataFrame], target: str) -> dict[str, dict]:
     """The report's frames as Parquet under target: each one's rows and content, as its write saw them."""
     out = {}

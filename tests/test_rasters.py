@@ -117,3 +117,66 @@ def test_composite_on_runs(spark):
     coded = scenes.withColumn("runs", rasters.to_runs(F.col("classes"))).drop("classes")
     got = {r.datatake_id: r.c for r in rasters.run_composite(coded).select("datatake_id", rasters.from_runs(F.col("runs")).alias("c")).collect()}
     assert got == {r.datatake_id: r.classes for r in composite.array_composite(scenes).collect()}
+
+
+def plain_bands(grid, source, image, nodata):
+    """Bilinear values and validity, pixel by pixel; image is [bands, rows, columns]."""
+    _, epsg, left, top, width, height, step = grid
+    _, s_epsg, s_left, s_top, s_width, s_height, s_step, _ = source
+    values, valid = [], []
+    for row in range(height):
+        for col in range(width):
+            x, y = np.array([left + (col + 0.5) * step]), np.array([top - (row + 0.5) * step])
+            if epsg != s_epsg:
+                x, y = geometry.to_utm(*geometry.from_utm(x, y, epsg), s_epsg)
+            px, py = (x[0] - s_left) / s_step, (s_top - y[0]) / s_step
+            c, r = int(np.floor(px)), int(np.floor(py))
+            ok = 0 <= c < s_width and 0 <= r < s_height and bool(image[:, r, c].any())
+            out = [0, 0, 0]
+            for b in range(3):
+                total = weight = 0.0
+                for j in (0, 1):
+                    for i in (0, 1):
+                        cc, rr = int(np.floor(px - 0.5)) + i, int(np.floor(py - 0.5)) + j
+                        if 0 <= cc < s_width and 0 <= rr < s_height and (nodata is None or image[b, rr, cc] != nodata):
+                            w = (1 - abs(px - 0.5 - cc)) * (1 - abs(py - 0.5 - rr))
+                            total, weight = total + w * image[b, rr, cc], weight + w
+                if ok and weight > 0:
+                    out[b] = int(np.floor(total / weight + 0.5))
+            values.append(out)
+            valid.append(ok)
+    return values, valid
+
+
+@pytest.mark.parametrize(("nodata", "strip"), [(None, 4096), (0, 11)])
+def test_bilinear_bands_across_tiles_and_at_invalid_pixels(spark, nodata, strip):
+    rng = np.random.default_rng(6)
+    grids = [("in", 32633, 500_013.0, 5_800_487.0, 11, 9, 20.0), ("edge", 32633, 499_903.0, 5_800_519.0, 8, 13, 23.0), ("zone", 32632, 910_000.0, 5_818_000.0, 6, 5, 20.0)]
+    x, y = geometry.to_utm(*geometry.from_utm(np.array([910_060.0]), np.array([5_817_950.0]), 32632), 32633)
+    layouts = [("s1", 32633, 500_000.0, 5_800_500.0, 23, 19, 10.0, 8), ("s2", 32633, 500_040.0, 5_800_500.0, 5, 5, 60.0, 2), ("s3", 32633, float(x[0]) - 90, float(y[0]) + 90, 20, 20, 10.0, 7)]
+    images = {s[0]: rng.integers(0, 256, (3, s[5], s[4])) * (rng.random((s[5], s[4])) > 0.3) for s in layouts}
+    tiles = []
+    for s in layouts:
+        cut = [tiled(s, band) for band in images[s[0]]]
+        tiles += [(s[0], parts[0][1], [p[2] for p in parts]) for parts in zip(*cut, strict=True)]
+    work = [(g[0], s[0]) for g in grids for s in layouts]
+    got = rasters.bands_on_grids(
+        spark.createDataFrame(work, "aoi_id string, scene_id string"), spark.createDataFrame(grids, GRID), spark.createDataFrame(layouts, SOURCE),
+        spark.createDataFrame(tiles, "scene_id string, tile_number int, bands array<array<int>>"), nodata, strip,
+    ).collect()
+    seen = {(r.aoi_id, r.scene_id): r for r in got}
+    for g in grids:
+        for s in layouts:
+            values, valid = plain_bands(g, s, images[s[0]], nodata)
+            if (g[0], s[0]) not in seen:
+                assert not any(valid)
+                continue
+            row = seen[g[0], s[0]]
+            assert row.valid == valid and row.bands == values, (g, s)
+    assert len(seen) == 5 and any(any(r.valid) and not all(r.valid) for r in got)
+
+
+def test_pictures_are_filled_in_order(spark):
+    rows = [("a", "t", "s2", 5.0, [[1, 1, 1], [2, 2, 2], [0, 0, 0]], [True, True, False]), ("a", "t", "s1", None, [[9, 9, 9]] * 3, [True, True, False]), ("a", "t", "s0", 1.0, [[7, 0, 0], [0, 0, 0], [0, 0, 0]], [True, False, False])]
+    df = spark.createDataFrame(rows, "aoi_id string, datatake_id string, scene_id string, nodata_pct double, bands array<array<int>>, valid array<boolean>")
+    assert rasters.band_composite(df).first().bands == [[7, 0, 0], [2, 2, 2], [0, 0, 0]]
