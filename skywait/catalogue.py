@@ -245,7 +245,9 @@ def catalog_pooled(spark, sf):
 
 @_query("gap_stats", f"WITH {OBS}, {GAPS}, {STATS} SELECT * FROM stats")
 def gap_stats(spark, sf):
-    return timelines.gap_statistics(gap_table(spark, sf), heavy=heavy_groups(observations(spark, sf), ("aoi_id",)))
+    obs = observations(spark, sf)
+    heavy = heavy_groups(obs, ("aoi_id",))
+    return timelines.gap_statistics(timelines.gaps(obs, heavy=heavy), heavy=heavy)
 
 
 # One entity with half of all rows, and slices so small that it is cut on any table.
@@ -274,8 +276,9 @@ def gap_table_hot(spark, sf):
 
 @_query("gap_stats_hot", f"WITH {HOT_GAPS}, {STATS} SELECT * FROM stats")
 def gap_stats_hot(spark, sf):
-    heavy = heavy_groups(hot_deliveries(spark, sf), ("aoi_id",), HOT_SLICE)
-    return timelines.gap_statistics(gap_table_hot(spark, sf), heavy=heavy)
+    rows = hot_deliveries(spark, sf)
+    heavy = heavy_groups(rows, ("aoi_id",), HOT_SLICE)
+    return timelines.gap_statistics(timelines.gaps(rows, slice_rows=HOT_SLICE, heavy=heavy), heavy=heavy)
 
 
 @_query("best_worst_month", f"WITH {OBS}, {WAITS}, {MONTHS}, {BEST} SELECT * FROM best")
@@ -635,6 +638,17 @@ def dq_domain(spark, sf):
     return quality.domains(tables, CONFIG, entities(spark, sf).count())
 
 
+@_query(
+    "dq_row_rules",
+    """SELECT unnest(['discount', 'quantity', 'flag']) AS rule, unnest([count(*) FILTER (WHERE NOT (l_discount BETWEEN 0.02::DOUBLE AND 0.09::DOUBLE)), count(*) FILTER (WHERE NOT l_quantity <= 45),
+    count(*) FILTER (WHERE l_returnflag NOT IN ('N', 'R'))]) AS broken FROM lineitem""",
+)
+def dq_row_rules(spark, sf):
+    """Several rules on rows, compiled into one pass."""
+    rules = {"discount": F.col("l_discount").between(0.02, 0.09), "quantity": F.col("l_quantity") <= 45, "flag": F.col("l_returnflag").isin("N", "R")}
+    return quality.row_rules(_table(spark, sf, "lineitem"), rules)
+
+
 @_query("config_scope", f"WITH {OBS} SELECT obs.aoi_id, datatake_id, observed_at FROM obs JOIN (VALUES ('u1'), ('u2'), ('u3')) v(aoi_id) ON v.aoi_id = obs.aoi_id")
 def config_scope(spark, sf):
     chosen = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "aoi_id string")

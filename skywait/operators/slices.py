@@ -17,6 +17,8 @@ from ..sources.shared import forget, settle
 #: Rows that one task orders at a time, about.
 SLICE_ROWS = 1_000_000
 _WHOLE = ""
+#: For callers that leave it to the operator to find the heavy groups.
+UNKNOWN = object()
 
 
 def heavy_groups(rows: DataFrame, by: Sequence[str], most: int = SLICE_ROWS) -> DataFrame | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.columns import days_between, is_usable, status
-from .slices import SLICE_ROWS, exact_quantiles, heavy_groups, previous, upcoming
+from .slices import SLICE_ROWS, UNKNOWN, exact_quantiles, heavy_groups, previous, upcoming
 
 OUTAGE_DAYS = 30
 
@@ -29,14 +29,15 @@ def with_status(obs: DataFrame) -> DataFrame:
     return obs.withColumn("status", status(F.col("complete"), F.col("usable")))
 
 
-def gaps(obs: DataFrame, by: tuple[str, ...] = ("aoi_id",), slice_rows: int = SLICE_ROWS) -> DataFrame:
+def gaps(obs: DataFrame, by: tuple[str, ...] = ("aoi_id",), slice_rows: int = SLICE_ROWS, heavy: DataFrame | None | object = UNKNOWN) -> DataFrame:
     """Gaps between neighbours of the nominal (complete) and effective (usable too) timelines.
 
     Both timelines come from one pass: a row belongs to one or two of them, and one
     exchange on (by, kind) serves the window. A timeline that is too long for a task is
-    solved in slices of its time.
+    solved in slices of its time. heavy: heavy_groups(obs, by, slice_rows), if at hand.
     """
-    heavy = heavy_groups(obs, by, slice_rows)  # a count over all rows reads the keys alone
+    if heavy is UNKNOWN:
+        heavy = heavy_groups(obs, by, slice_rows)  # a count over all rows reads the keys alone
     kinds = F.when(F.col("usable"), F.array(F.lit("nominal"), F.lit("effective"))).otherwise(F.array(F.lit("nominal")))
     line = obs.where("complete").select(*by, "observed_at", "datatake_id", F.explode(kinds).alias("kind"))
     if heavy is not None:
@@ -88,17 +89,20 @@ def start_days(entities: DataFrame, cfg: Config, kind: str = "timestamp") -> Dat
     return days.withColumn("t0", F.col("t0").cast(kind))
 
 
-def waits(obs: DataFrame, entities: DataFrame, cfg: Config, by: tuple[str, ...] = ("aoi_id",), slice_rows: int = SLICE_ROWS) -> DataFrame:
+def waits(obs: DataFrame, entities: DataFrame, cfg: Config, by: tuple[str, ...] = ("aoi_id",), slice_rows: int = SLICE_ROWS, heavy: DataFrame | None | object = UNKNOWN) -> DataFrame:
     """Days from each start instant to the first usable event at or after it.
 
     A forward as-of join as one union and one window over start rows and events (an event at
     the same instant counts); timelines too long for a task go in slices of their time. Waits
-    over the horizon, or without an event, are censored at it.
+    over the horizon, or without an event, are censored at it. heavy: heavy_groups(obs, by,
+    slice_rows), if at hand.
     """
+    if heavy is UNKNOWN:
+        heavy = heavy_groups(obs, by, slice_rows)
     kind = obs.schema["observed_at"].dataType.simpleString()
     starts = start_days(entities.select(*by), cfg, kind).select(*by, F.col("t0").alias("at"), F.lit(0).alias("is_event"), F.lit(None).cast(kind).alias("event"))
     events = obs.where("complete and usable").select(*by, F.col("observed_at").alias("at"), F.lit(1).alias("is_event"), F.col("observed_at").alias("event"))
-    ahead = upcoming(starts.unionByName(events), by, heavy_groups(obs, by, slice_rows), slice_rows).where("is_event = 0")
+    ahead = upcoming(starts.unionByName(events), by, heavy, slice_rows).where("is_event = 0")
     wait = days_between(F.col("at"), F.col("next"))
     late = wait.isNull() | (wait > cfg.horizon_days)
     horizon = F.lit(float(cfg.horizon_days))

@@ -54,14 +54,15 @@ def summary(
 
 def compute(obs: DataFrame, entities: DataFrame, cfg: Config, days: Sequence[int] = reliability.WITHIN) -> dict[str, DataFrame]:
     """The six tables without config_hash, from any observations and entities."""
-    wait_rows = settle(timelines.waits(obs, entities, cfg))  # three tables read them
-    gap_rows = timelines.gaps(obs)
+    heavy = heavy_groups(obs, ("aoi_id",))
+    wait_rows = settle(timelines.waits(obs, entities, cfg, heavy=heavy))  # three tables read them
+    gap_rows = timelines.gaps(obs, heavy=heavy)
     curve = reliability.survival(wait_rows, entities, cfg.horizon_days)
     months = reliability.monthly(wait_rows, entities)
     table = classifier.confusion(obs.where("complete"), entities)
     return {
         "aoi_wait_daily": wait_rows, "aoi_survival": curve, "aoi_monthly": months, "aoi_gaps": gap_rows,
-        "aoi_summary": summary(obs, entities, gap_rows, curve, months, table, cfg.horizon_days, days, heavy_groups(obs, ("aoi_id",))), "catalog_filter_eval": table,
+        "aoi_summary": summary(obs, entities, gap_rows, curve, months, table, cfg.horizon_days, days, heavy), "catalog_filter_eval": table,
     }
 
 

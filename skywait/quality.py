@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -74,7 +75,18 @@ def invariants(observations: DataFrame) -> DataFrame:
     return observations.where("covered_fraction > 1 or clear_fraction > covered_fraction or n_scenes < 1")
 
 
-def enforce(checks: dict[str, DataFrame]) -> None:
-    """Raise with the names of the checks that have rows."""
-    if broken := [name for name, rows in checks.items() if not rows.isEmpty()]:
-        raise DataError(f"data checks failed: {', '.join(broken)}")
+def row_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """(rule, broken): how many rows break each rule (a condition that holds where it is true or null), in one pass over df."""
+    counted = df.agg(*[F.count_if(~rule).alias(f"r{k}") for k, rule in enumerate(rules.values())])
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{k}").alias("broken")) for k, name in enumerate(rules)])
+    return counted.select(F.inline(each))
+
+
+def enforce(checks: Mapping[str, DataFrame]) -> None:
+    """Raise with the names of the checks that have rows; all are looked at in one job."""
+    if not checks:
+        return
+    found = [rows.limit(1).select(F.lit(name).alias("name")) for name, rows in checks.items()]
+    broken = {r.name for r in reduce(DataFrame.unionByName, found).collect()}  # a name a check
+    if broken:
+        raise DataError(f"data checks failed: {', '.join(n for n in checks if n in broken)}")

@@ -308,6 +308,11 @@ def test_tables_and_checks(spark, tmp_path):
     assert [r.rule for r in quality.domains(broken, cfg).collect()] == ["aoi_monthly.month"]
     with pytest.raises(DataError, match="months"):
         quality.enforce({"fine": stored["aoi_gaps"].limit(0), "months": quality.domains(broken, cfg)})
+    with pytest.raises(DataError, match="failed: c, a$"):
+        quality.enforce({"c": stored["aoi_gaps"], "b": stored["aoi_gaps"].limit(0), "a": stored["aoi_monthly"]})
+    month = F.col("month")
+    rules = {"known": month.isNotNull(), "early": month <= 3, "share": F.col("p_within_7d").between(0, 1), "null passes": F.lit(None).cast("boolean")}
+    assert {r.rule: r.broken for r in quality.row_rules(stored["aoi_monthly"], rules).collect()} == {"known": 0, "early": 9, "share": 0, "null passes": 0}
     frames = stages.summary_markdown(stored["aoi_summary"])
     assert frames.splitlines()[0].startswith("| AOI | Observations") and "| Alpha | 6 | 3 | 50.0% |" in frames
     cache = tables.TableCache(spark)
