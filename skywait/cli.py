@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("data_dir")
     a.add_argument("--size-km", type=float, default=20.0)
     d = sub.add_parser("discover", help="merge catalogue items of one entity")
-    d.add_argument("items", help="the items' file, or a folder with a file for each entity")
+    d.add_argument("items", help="the items' file, a folder with a file for each entity, or the http address of a search")
     d.add_argument("--start", type=date.fromisoformat)
     d.add_argument("--end", type=date.fromisoformat)
     p = sub.add_parser("process", help="read, composite and roll up what is not done yet")
@@ -87,7 +87,11 @@ def main(argv: list[str] | None = None) -> int:
             raise DataError("build the entities first")
         if args.command == "discover":
             cfg = chosen(cfg, args)
-            for row in stages.discover(spark, cfg, read_items(spark, args.items, cfg), cfg.data_dir, stages.overlap_with(cfg.data_dir)).collect():
+            if args.items.startswith(("http://", "https://")):
+                items = stages.searched(stages.http_source(spark, cfg, args.items, cfg.data_dir))
+            else:
+                items = read_items(spark, args.items, cfg)
+            for row in stages.discover(spark, cfg, items, cfg.data_dir, stages.overlap_with(cfg.data_dir)).collect():
                 log("discovered", **row.asDict())
         elif args.command == "process":
             cfg = chosen(cfg, args)

@@ -23,6 +23,8 @@ UNKNOWN = object()
 
 def heavy_groups(rows: DataFrame, by: Sequence[str], most: int = SLICE_ROWS) -> DataFrame | None:
     """The groups of over twice `most` rows (at most one for so many rows of the table), or None without any."""
+    if rows.count() <= 2 * most:  # no group has more rows than the table; this count reads no column
+        return None
     heavy = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * most).select(*by)
     return settle(heavy) if heavy.count() else None
 

@@ -138,6 +138,15 @@ def searched(name: str = "scene_search") -> Callable[[DataFrame], DataFrame]:
     return fetch
 
 
+def http_source(spark: SparkSession, cfg: Config, url: str, data_dir: str, name: str = "http_search") -> str:
+    """Register the search at url for the settings' stored entities; for searched() and discover_stream()."""
+    places = tables.read_or_empty(spark, data_dir, "aois").where(F.col("aoi_id").isin(*cfg.aois)).select("aoi_id", geometry.ring_of("geometry").alias("ring"))
+    shapes = {r.aoi_id: {"type": "Polygon", "coordinates": [[list(p) for p in r.ring]]} for r in places.collect()}  # the settings' entities
+    if missing := [a for a in cfg.aois if a not in shapes]:
+        raise DataError(f"build the entities first: there is no {', '.join(missing)}")
+    return search.register(spark, search.HttpFetcher(url, cfg.collection, shapes), name)
+
+
 def discover_stream(
     spark: SparkSession, cfg: Config, data_dir: str, checkpoint: str, name: str = "scene_search", overlap: Callable[[DataFrame], DataFrame] | None = None,
     now: datetime | None = None, **options: str,

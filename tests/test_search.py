@@ -143,8 +143,10 @@ def test_a_stream_that_stops_gives_the_tables_of_one_run(spark, tmp_path):
     assert len(before["scenes"]) == 74 and len(before["scenes_superseded"]) == 1
 
 
-def test_pages_over_http(spark, tmp_path):
-    items = [{"id": f"i{k}", "properties": {"datetime": f"2025-02-{k + 1:02d}T00:00:00Z"}, "geometry": None} for k in range(7)]
+def test_pages_over_http(spark, tmp_path, capsys):
+    from skywait import cli
+
+    items = [{"id": f"i{k}", "properties": {"datetime": f"2025-02-{k + 1:02d}T00:00:00Z"}, "geometry": {"type": "Polygon", "coordinates": [[[13, 52], [14, 52], [14, 53], [13, 52]]]}, "collection": "c", "assets": {}} for k in range(7)]
     bodies = []
 
     class Answer(BaseHTTPRequestHandler):
@@ -171,6 +173,16 @@ def test_pages_over_http(spark, tmp_path):
         assert fetcher.newest("a") == "2025-02-07T00:00:00Z"
         bodies.clear()
         rows = spark.read.format(search.register(spark, fetcher, "web")).options(entities='["a"]', start="2025-02-01", end="2025-02-28").load().collect()
+        first = list(bodies)
+        (tmp_path / "c.csv").write_text("aoi_id,name,country,lat,lon\nberlin,Berlin,Germany,52.52,13.405\n")
+        (tmp_path / "c.yaml").write_text(f"start: 2025-01-01\nend: 2025-06-30\naois: [berlin]\ndata_dir: {tmp_path / 'data'}\n")
+        address = f"http://127.0.0.1:{server.server_port}/search"
+        assert cli.main(["discover", address, "--config", str(tmp_path / "c.yaml")]) == 2, "entities come first"
+        assert cli.main(["aois", str(tmp_path / "c.csv"), str(tmp_path / "data")]) == 0
+        assert cli.main(["discover", address, "--config", str(tmp_path / "c.yaml")]) == 0
+        assert tables.read_or_empty(spark, str(tmp_path / "data"), "scenes").count() == 7
+        assert bodies[-1]["intersects"]["type"] == "Polygon" and len(bodies[-1]["intersects"]["coordinates"][0]) == 5
+        bodies[:] = first
     finally:
         server.shutdown()
     assert sorted(r.id for r in rows) == [i["id"] for i in items] and len(bodies) == 3
