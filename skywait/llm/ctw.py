@@ -8,9 +8,10 @@ training documents alone and stay fixed.
 
 Texts are dealt into blocks by hash. A block's distinct (context, byte) pairs and distinct
 words go to groups, where the blocks' counts add up to tables that grow with the corpus.
-Subtrees are weighted in groups by the last two bytes of the context, the two depths above
-for each of the eight decisions. Then every block gets back what the tables have for its
-own pairs and words, and its texts are scored beside that.
+Subtrees are weighted in groups by the last four bytes of the context, the depths from four to
+two in fewer groups by the last two bytes, and the two depths above for each of the eight
+decisions; so no two or three frequent bytes make a group. Then every block gets back what the
+tables have for its own pairs and words, and its texts are scored beside that.
 """
 
 from __future__ import annotations
@@ -29,13 +30,18 @@ from pyspark.sql import functions as F
 from ..sources.shared import forget, settle
 from .common import is_training, lean, mix64, slices, small_batches, text_bytes
 
+#: A context and its byte fit one 64-bit key, sign aside.
 DEPTH = 6
+#: Depths at which the tree is cut: pairs are grouped below LOW, its nodes between LOW and HIGH.
+LOW, HIGH = 4, 2
 #: Bytes of texts in a block, and in a slice of one that is worked on at a time.
 BLOCK_BYTES, SLICE_BYTES = 24_000_000, 3_000_000
 #: Bytes of texts for each group of the tables, and the most groups (each then holds more).
 GROUP_BYTES, MOST_GROUPS = 16_000_000, 4096
 #: Tables that a task adds up before another round, and blocks that one task looks up for.
 FAN_IN, LOOK_UPS = 512, 1024
+#: Groups of pairs for each group of the nodes above them.
+PAIRS_A_NODE_GROUP = 128
 #: Code lengths travel as whole numbers of this fraction of a decimal digit.
 SCALE = 1 << 16
 LEAD, END = b"\0" * (DEPTH - 1) + b" ", b"\n"
@@ -135,11 +141,19 @@ def count_slice(texts: pa.Array, training: np.ndarray, words: Held, pairs: Held)
 
 
 def group_of(kind: int, keys: np.ndarray, groups: int) -> np.ndarray:
-    """Words by their hash, pairs by the last two bytes of the context."""
-    spread = keys.view(np.uint64) if kind == WORDS else mix64((keys >> 8) & 0xFFFF)
+    """Words by their hash, pairs by the last LOW bytes of the context."""
+    spread = keys.view(np.uint64) if kind == WORDS else mix64((keys >> 8) & ((1 << (8 * LOW)) - 1))
     return (spread % np.uint64(groups)).astype(np.int64)
 
 
+def group_of_node(node: np.ndarray, depth: int, groups: int) -> np.ndarray:
+    """The group of nodes of a depth (the last byte is their context's first), by all their bytes: as group_of() for depth LOW."""
+    back = np.zeros(len(node), dtype=np.int64)
+    for d in range(depth):
+        back |= ((node >> (8 * (depth - 1 - d))) & 255) << (8 * d)
+    return (mix64(back) % np.uint64(groups)).astype(np.int64)
+
+
 TABLE = "block long, kind int, group long, size long, total long, seen long, keys binary, counts binary"
 
 
@@ -286,19 +300,42 @@ def levels(code: np.ndarray, shifts: list[int], zeros: np.ndarray, ones: np.ndar
 
 
 def decisions(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, Levels, np.ndarray]]:
-    """(decision, pairs' codes, levels from depth 2 on, bits) for the eight decisions of pairs with counts n."""
+    """(decision, pairs' codes, levels from depth LOW on, bits) for the eight decisions of pairs with counts n."""
     byte, back = keys & 255, np.zeros(len(keys), dtype=np.int64)
     for d in range(DEPTH):
         back |= ((keys >> (8 * (d + 1))) & 255) << (8 * (DEPTH - 1 - d))
     for k in range(8):
         bit = (byte >> (7 - k)) & 1
         code = (((1 << k) | (byte >> (8 - k))) << (8 * DEPTH)) | back
-        yield k, code, levels(code, [8 * (DEPTH - d) for d in range(2, DEPTH + 1)], n * (bit == 0), n * bit), bit
+        yield k, code, levels(code, [8 * (DEPTH - d) for d in range(LOW, DEPTH + 1)], n * (bit == 0), n * bit), bit
 
 
 def code_lengths(pairs: DataFrame, groups: int) -> DataFrame:
     """(kind, group, size, keys, counts) of gathered pairs, with log10 P(byte | context) / SCALE in place of counts."""
-    upper = 8 * (DEPTH - 2)  # a node of depth 2: its decision, the last byte, the one before
+    upper, many = 8 * (DEPTH - LOW), max(1, groups // PAIRS_A_NODE_GROUP)
+    nodes, served = "node array<long>, zeros array<long>, ones array<long>, weight array<double>", "node array<long>, mix array<double>, left array<double>"
+
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).combine_chunks().flatten().to_numpy()
+
+    def by_bit(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+        for k in range(8):
+            part = table.filter(pc.equal(table.column("bit"), k))
+            if part.num_rows:
+                yield k, part
+
+    def rows(name: str, group: np.ndarray, bit: int, **columns: np.ndarray) -> pa.Table:
+        """A row for each group that entries of the columns belong to."""
+        order = np.argsort(group, kind="stable")
+        parts = list(runs(group[order]))
+        lists = {c: pa.array([v[order[a:b]] for a, b in parts], pa.list_(pa.int64() if v.dtype == np.int64 else pa.float64())) for c, v in columns.items()}
+        return pa.table({name: pa.array([int(group[order[a]]) for a, _ in parts], pa.int64()), "bit": pa.array([bit] * len(parts), pa.int32()), **lists})
+
+    def climbed(table: pa.Table) -> tuple[Levels, np.ndarray, np.ndarray]:
+        """The tree over some nodes, from two depths above on: (levels, its nodes, their own weights)."""
+        node, weight = column(table, "node"), column(table, "weight")
+        tree = levels(node, [16, 8, 0], column(table, "zeros"), column(table, "ones"))
+        return tree, node[tree.order], weight[tree.order]
 
     @lean
     def bottom_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,22 +344,40 @@ def code_lengths(pairs: DataFrame, groups: int) -> DataFrame:
                 for k, code, tree, _ in decisions(unpack_keys(r["keys"], r["size"]), unpack(r["counts"], r["size"])):
                     weight, _ = tree.weigh()
                     node = code[tree.order][tree.starts[0]] >> upper
-                    yield pa.record_batch([pa.array([k], pa.int32()), [node], [tree.zeros[0]], [tree.ones[0]], [weight]], ["bit", "node", "zeros", "ones", "weight"])
+                    over = group_of_node(node >> (8 * (LOW - HIGH)), HIGH, many)
+                    yield from rows("over", over, k, node=node, zeros=tree.zeros[0], ones=tree.ones[0], weight=weight).to_batches()
+
+    def middle_up(table: pa.Table) -> pa.Table:
+        out = []
+        for k, part in by_bit(table):
+            tree, node, own = climbed(part)
+            weight, _ = tree.weigh(own)
+            out.append(rows("over", np.zeros(len(weight), dtype=np.int64), k, node=node[tree.starts[0]] >> (8 * (LOW - HIGH)), zeros=tree.zeros[0], ones=tree.ones[0], weight=weight))
+        return pa.concat_tables(out).drop_columns("over")
 
     def above(table: pa.Table) -> pa.Table:
-        node, zeros, ones, weight = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("node", "zeros", "ones", "weight"))
-        tree = levels(node, [16, 8, 0], zeros, ones)
-        _, shares = tree.weigh(weight[tree.order])
+        tree, node, own = climbed(table)
+        _, shares = tree.weigh(own)
         mix, left = tree.descend(shares, np.zeros(len(tree.starts[0])), np.ones(len(tree.starts[0])))
-        node = node[tree.order]
-        group = group_of(BYTES, ((node & 255) << 16) | (((node >> 8) & 255) << 8), groups)
-        order = np.argsort(group, kind="stable")
-        parts = [(group[order[a]], node[order[a:b]], mix[order[a:b]], left[order[a:b]]) for a, b in runs(group[order])]
-        bit = table.column("bit")[0].as_py()
-        return pa.table({"group": [int(p[0]) for p in parts], "bit": pa.array([bit] * len(parts), pa.int32()), "node": [p[1] for p in parts], "mix": [p[2] for p in parts], "left": [p[3] for p in parts]})
+        return rows("over", group_of_node(node, HIGH, many), table.column("bit")[0].as_py(), node=node, mix=mix, left=left)
+
+    def middle_down(table: pa.Table, tops: pa.Table) -> pa.Table:
+        out, top = [], dict(by_bit(tops))
+        for k, part in by_bit(table):
+            tree, node, own = climbed(part)
+            _, shares = tree.weigh(own)
+            known = column(top[k], "node")
+            order = np.argsort(known)
+            at = order[np.searchsorted(known[order], node[tree.starts[0]] >> (8 * (LOW - HIGH)))]
+            mix, left = tree.descend(shares, column(top[k], "mix")[at], column(top[k], "left")[at])
+            out.append(rows("group", group_of_node(node, LOW, groups), k, node=node, mix=mix, left=left))
+        return pa.concat_tables(out)
 
     def top_down(table: pa.Table, tops: pa.Table) -> pa.Table:
-        top = {tops.column("bit")[i].as_py(): [tops.column(c)[i].values.to_numpy() for c in ("node", "mix", "left")] for i in range(tops.num_rows)}
+        top = {}
+        for k, part in by_bit(tops):
+            order = np.argsort(column(part, "node"))
+            top[k] = [column(part, c)[order] for c in ("node", "mix", "left")]
         out = []
         for r in table.to_pylist():
             keys = unpack_keys(r["keys"], r["size"])
@@ -338,8 +393,11 @@ def code_lengths(pairs: DataFrame, groups: int) -> DataFrame:
             out.append({"kind": BYTES, "group": r["group"], "size": r["size"], "keys": r["keys"], "counts": pack(np.round(total * SCALE).astype(np.int64))})
         return pa.Table.from_pylist(out, _arrow("kind int, group long, size long, keys binary, counts binary"))
 
-    lower = settle(pairs.select("size", "keys", "counts").mapInArrow(bottom_up, "bit int, node array<long>, zeros array<long>, ones array<long>, weight array<double>"))
-    tops = settle(lower.groupBy("bit").applyInArrow(above, "group long, bit int, node array<long>, mix array<double>, left array<double>"))
+    lower = settle(pairs.select("size", "keys", "counts").mapInArrow(bottom_up, f"over long, bit int, {nodes}"))
+    middle = settle(lower.groupBy("over").applyInArrow(middle_up, f"bit int, {nodes}"))
+    highest = settle(middle.groupBy("bit").applyInArrow(above, f"over long, bit int, {served}"))
+    tops = settle(lower.groupBy("over").cogroup(highest.groupBy("over")).applyInArrow(middle_down, f"group long, bit int, {served}"))
+    forget(lower, middle, highest)
     return pairs.groupBy("group").cogroup(tops.groupBy("group")).applyInArrow(top_down, "kind int, group long, size long, keys binary, counts binary")
 
 
