@@ -17,12 +17,12 @@ def lacking(_):
     return [importlib.util.find_spec("skywait") is None]
 assert spark.sparkContext.parallelize([0], 1).mapPartitions(lacking).collect() == [True]
 import cases
-from skywait.llm import ctw, forest, langid, minhash, mixing, packing, token_files
+from skywait.llm import collocations, ctw, forest, langid, merkle, minhash, mixing, packing, token_files
 docs = cases.make(spark, n=30).limit(40)
 vectors = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)], 0) for k in range(60)], "vec_id long, embedding array<double>, label int")
 frames = [
     ctw.score(docs), langid.predict(docs, langid.fit(docs, rounds=1)), forest.near_vectors(vectors, leaf=8, sample=40), minhash.near_duplicates(docs),
-    mixing.mixed_documents(docs), packing.pack(docs), token_files.packed_rows(docs),
+    mixing.mixed_documents(docs), packing.pack(docs), token_files.packed_rows(docs), collocations.collocations(docs, least=2), merkle.manifest(docs),
 ]
 print("rows", [f.count() for f in frames])
 """
