@@ -11,27 +11,18 @@ from pathlib import Path
 from .errors import ConfigError
 
 
-# The group of each scene class, from class 0 on.
-GROUP_OF_CLASS = (
-    "nodata", "defective", "shadow", "shadow", "clear", "clear", "clear", "unclassified", "cloud", "cloud", "cloud", "snow",
-)
-
-
-def _members(group: str) -> tuple[int, ...]:
-    return tuple(k for k, name in enumerate(GROUP_OF_CLASS) if name == group)
-
-
 @dataclass(frozen=True)
 class ClassGroups:
     """Which scene classes 0..11 count as what; every class is in exactly one group."""
 
-    clear: tuple[int, ...] = _members("clear")
-    cloud: tuple[int, ...] = _members("cloud")
-    shadow: tuple[int, ...] = _members("shadow")
-    snow: tuple[int, ...] = _members("snow")
-    unclassified: tuple[int, ...] = _members("unclassified")
-    defective: tuple[int, ...] = _members("defective")
-    nodata: tuple[int, ...] = _members("nodata")
+    # The groups of the classes.
+    nodata: tuple[int, ...] = (0,)
+    defective: tuple[int, ...] = (1,)
+    shadow: tuple[int, ...] = (2, 3)
+    clear: tuple[int, ...] = (4, 5, 6)
+    unclassified: tuple[int, ...] = (7,)
+    cloud: tuple[int, ...] = (8, 9, 10)
+    snow: tuple[int, ...] = (11,)
 
     def __post_init__(self) -> None:
         members = sorted(c for f in fields(self) for c in getattr(self, f.name))
