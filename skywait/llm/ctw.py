@@ -7,17 +7,20 @@ at every context depth, and context-tree weighting mixes all depths. Counts come
 training documents alone and stay fixed.
 
 Texts are dealt into blocks by hash. A block's distinct (context, byte) pairs and distinct
-words go to groups, where the blocks' counts add up to tables that grow with the corpus.
+words go to groups, where the blocks' counts add up to tables that grow with the corpus:
+FAN_IN blocks to one, again and again, each time in more and smaller groups, so neither the
+rows of a block nor the size of a group grows with the corpus.
 Subtrees are weighted in groups by the last four bytes of the context, the depths from four to
 two in fewer groups by the last two bytes, and the two depths above for each of the eight
-decisions; so no two or three frequent bytes make a group. Then every block gets back what the
-tables have for its own pairs and words, and its texts are scored beside that.
+decisions; so no two or three frequent bytes make a group. Then the rounds are gone back: tables of many blocks
+get what the whole has for their own pairs and words, then tables of fewer, at last every
+block, whose texts are scored beside that.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,10 +39,12 @@ DEPTH = 6
 LOW, HIGH = 4, 2
 #: Bytes of texts in a block, and in a slice of one that is worked on at a time.
 BLOCK_BYTES, SLICE_BYTES = 24_000_000, 3_000_000
-#: Bytes of texts for each group of the tables, and the most groups (each then holds more).
-GROUP_BYTES, MOST_GROUPS = 16_000_000, 4096
-#: Tables that a task adds up before another round, and blocks that one task looks up for.
-FAN_IN, LOOK_UPS = 512, 1024
+#: Bytes of texts for each group of the whole.
+GROUP_BYTES = 16_000_000
+#: Groups that a block sends rows to at most, and into how many a round parts each (the last one parts them as far as it must).
+LANES, PARTED = 4096, 64
+#: Tables that a task adds up before another round.
+FAN_IN = 512
 #: Groups of pairs for each group of the nodes above them.
 PAIRS_A_NODE_GROUP = 128
 #: Code lengths travel as whole numbers of this fraction of a decimal digit.
@@ -154,6 +159,7 @@ def group_of_node(node: np.ndarray, depth: int, groups: int) -> np.ndarray:
     return (mix64(back) % np.uint64(groups)).astype(np.int64)
 
 
+SERVED = "block long, kind int, group long, size long, keys binary, counts binary"
 TABLE = "block long, kind int, group long, size long, total long, seen long, keys binary, counts binary"
 
 
@@ -180,7 +186,8 @@ def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def block_tables(rows: DataFrame, groups: int) -> DataFrame:
-    """TABLE rows of rows (block, training, text) sorted by block: what each block holds, by group."""
+    """TABLE rows of rows (block, training, text) sorted by block: what each block holds, by the first level's groups."""
+    lanes = lanes_at_first(groups)
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,7 @@ def block_tables(rows: DataFrame, groups: int) -> DataFrame:
             for kind, table in zip((WORDS, BYTES), held, strict=True):
                 if table.parts:
                     keys, counts = table.total()
-                    yield from _table_rows(now, kind, group_of(kind, keys, groups), keys, counts)
+                    yield from _table_rows(now, kind, group_of(kind, keys, groups) * lanes // groups, keys, counts)
 
         for b in batches:
             blocks = b.column("block").to_numpy()
@@ -207,9 +214,36 @@ def block_tables(rows: DataFrame, groups: int) -> DataFrame:
     return rows.mapInArrow(count, TABLE)
 
 
-def gathered(tables: DataFrame, blocks: int) -> DataFrame:
-    """One row for each kind and group: all blocks' counts added up, FAN_IN tables a task at a time."""
+@dataclass
+class Level:
+    """TABLE rows of one round: how many blocks they come from and in how many groups they are."""
+
+    tables: DataFrame
+    blocks: int
+    lanes: int
+
+
+def lanes_at_first(groups: int) -> int:
+    return min(groups, LANES)
 
+
+def gathered(tables: DataFrame, blocks: int, groups: int) -> list[Level]:
+    """The levels from the blocks' tables to the whole: FAN_IN tables of a group add up in a task, which parts the sum into smaller groups.
+
+    A group of one level holds whole groups of the next: group g of n is group g * m // n of m.
+    """
+    levels_ = [Level(tables, blocks, lanes_at_first(groups))]
+    while len(levels_) == 1 or levels_[-1].blocks > 1:
+        last = levels_[-1]
+        blocks = -(-last.blocks // FAN_IN)
+        lanes = groups if blocks == 1 else min(groups, last.lanes * PARTED)
+        joint = last.tables.withColumn("block", F.floor(F.col("block") / FAN_IN).cast("long"))
+        tables = settle(joint.groupBy("kind", "group", "block").applyInArrow(_adder(last.lanes, lanes, groups), TABLE))
+        levels_.append(Level(tables, blocks, lanes))
+    return levels_
+
+
+def _adder(coarse: int, lanes: int, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kind, group, part = Held(), None, None, None
         for b in batches:
@@ -217,14 +251,9 @@ def gathered(tables: DataFrame, blocks: int) -> DataFrame:
                 kind, group, part = r["kind"], r["group"], r["block"]
                 held.add(unpack_keys(r["keys"], r["size"]), unpack(r["counts"], r["size"]))
         keys, counts = held.total()
-        yield from _table_rows(part, kind, np.full(len(keys), group), keys, counts)
+        yield from _table_rows(part, kind, np.full(len(keys), group) if lanes == coarse else group_of(kind, keys, groups) * lanes // groups, keys, counts)
 
-    while True:
-        blocks = -(-blocks // FAN_IN)
-        tables = tables.withColumn("block", F.floor(F.col("block") / FAN_IN).cast("long"))
-        tables = settle(tables.groupBy("kind", "group", "block").applyInArrow(add, TABLE))
-        if blocks <= 1:
-            return tables
+    return add
 
 
 _TABLE = 1 << 16
@@ -401,32 +430,39 @@ def code_lengths(pairs: DataFrame, groups: int) -> DataFrame:
     return pairs.groupBy("group").cogroup(tops.groupBy("group")).applyInArrow(top_down, "kind int, group long, size long, keys binary, counts binary")
 
 
-def looked_up(tables: DataFrame, model: DataFrame, blocks: int) -> DataFrame:
-    """(block, kind, size, keys, counts): each block's own keys with the model's values for them.
+def looked_up(level: Level, model: DataFrame, lanes: int) -> DataFrame:
+    """(block, kind, group, size, keys, counts) of a level: its tables' own keys with the model's values for them.
 
-    The rows of a group pass by its table, which comes first; beyond LOOK_UPS blocks a group
-    is looked up in several places, each with a copy of its table.
+    model has the values of the level above, in `lanes` groups. A table of that level passes
+    once, before the FAN_IN tables at most that it came from.
     """
-    part = F.floor(F.col("block") / LOOK_UPS).cast("long")
-    places = F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // LOOK_UPS)).cast("array<bigint>"))
-    first = model.select("kind", "group", places.alias("part"), F.lit(-1).cast("long").alias("block"), "size", "keys", "counts")
-    asked = tables.select("kind", "group", part.alias("part"), "block", "size", "keys", F.lit(None).cast("binary").alias("counts"))
     place = ["kind", "group", "part"]
+    first = model.select("kind", F.expr(f"group * {level.lanes}L div {lanes}L").alias("group"), F.col("block").alias("part"), F.lit(-1).cast("long").alias("block"), "size", "keys", "counts")
+    part = F.floor(F.col("block") / FAN_IN).cast("long")
+    asked = level.tables.select("kind", "group", part.alias("part"), "block", "size", "keys", F.lit(None).cast("binary").alias("counts"))
 
     @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = values = None
+        here, held, keys, values = None, [], None, None
         for b in batches:
             for r in b.to_pylist():
                 mine = unpack_keys(r["keys"], r["size"])
+                if here != (r["kind"], r["group"], r["part"]):
+                    here, held, keys = (r["kind"], r["group"], r["part"]), [], None
                 if r["block"] < 0:
-                    keys, values = mine, unpack(r["counts"], r["size"])
+                    held.append((mine, unpack(r["counts"], r["size"])))
                     continue
-                row = {"block": r["block"], "kind": r["kind"], "size": r["size"], "keys": r["keys"], "counts": pack(values[np.searchsorted(keys, mine)])}
-                yield pa.RecordBatch.from_pylist([row], _arrow("block long, kind int, size long, keys binary, counts binary"))
+                if keys is None:  # the groups of the level above that this one holds
+                    keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+                    if len(held) > 1:
+                        order = np.argsort(keys, kind="stable")
+                        keys, values = keys[order], values[order]
+                    held = []
+                row = {"block": r["block"], "kind": r["kind"], "group": r["group"], "size": r["size"], "keys": r["keys"], "counts": pack(values[np.searchsorted(keys, mine)])}
+                yield pa.RecordBatch.from_pylist([row], _arrow(SERVED))
 
     dealt = first.unionByName(asked).repartition(*place).sortWithinPartitions(*place, "block")
-    return dealt.mapInArrow(find, "block long, kind int, size long, keys binary, counts binary")
+    return dealt.mapInArrow(find, SERVED)
 
 
 def _by_block(rows: DataFrame, blocks: int, *then: str) -> DataFrame:
@@ -447,15 +483,16 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", is_training(F.col("doc_id"), folds, held_out).alias("training"), "text")
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("training")).first()
-    blocks, groups = max(1, -(-size // BLOCK_BYTES)), min(MOST_GROUPS, max(8, -(-size // GROUP_BYTES)))
+    blocks, groups = max(1, -(-size // BLOCK_BYTES)), max(8, -(-size // GROUP_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
     tables = settle(block_tables(_by_block(dealt.select("block", "training", "text"), blocks), groups))
-    sums = gathered(tables, blocks)
+    rounds = gathered(tables, blocks, groups)
+    sums = rounds[-1].tables
     words = sums.where(F.col("kind") == WORDS)
     known = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
     tokens, distinct = known[0] + ends, known[1] + (ends > 0)
     parts = code_lengths(sums.where(F.col("kind") == BYTES), groups)
-    model = settle(parts.unionByName(words.select(*parts.columns)))
+    model = settle(parts.unionByName(words.select(*parts.columns)).withColumn("block", F.lit(0).cast("long")))
     forget(sums)
     total = math.log10(tokens + 0.5 * (distinct + 1))
     end_base = math.log10(ends + 0.5) - total
@@ -502,6 +539,9 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
                     yield scored(part.slice(a, z - a), index)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    served = looked_up(tables, model, blocks).withColumn("turn", F.lit(0))
+    for below, above in zip(rounds[-2:0:-1], rounds[:1:-1], strict=True):
+        whole, model = model, settle(looked_up(below, model, above.lanes))
+        forget(whole, below.tables)
+    served = looked_up(rounds[0], model, rounds[1].lanes).drop("group").withColumn("turn", F.lit(0))
     both = served.unionByName(dealt.withColumn("turn", F.lit(1)), allowMissingColumns=True)
     return _by_block(both, blocks, "turn").mapInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

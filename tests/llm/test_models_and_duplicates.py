@@ -239,7 +239,7 @@ def plain_codes(texts, training):
     return [sum(math.log10(q if bit else 1 - q) for q, bit in e) for e in each]
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK_BYTES": 300, "SLICE_BYTES": 100, "GROUP_BYTES": 200, "FAN_IN": 2, "LOOK_UPS": 2}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_BYTES": 300, "SLICE_BYTES": 100, "GROUP_BYTES": 200, "FAN_IN": 2, "LANES": 3, "PARTED": 2}])
 def test_scores_are_those_of_a_whole_context_tree(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(ctw, name, value)
