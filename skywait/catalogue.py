@@ -19,6 +19,7 @@ from .functions.columns import relative_orbit, utm_epsg
 from .operators import catalogue_upkeep, classifier, composite, rasters, reliability, spatial, timelines
 from .operators.slices import heavy_groups
 from .plans import metric_tables, sql_tables, views
+from .sources import geotiff
 from .sources.bucketed import BucketedTable
 from .sources.shared import shared_folder
 
@@ -569,6 +570,29 @@ def raster_windows(spark, sf):
     return read.select(F.col("scene_id").cast("long").alias("scene_id"), F.array_join(F.col("classes").cast("array<string>"), ",").alias("classes"))
 
 
+@_query(
+    "geotiff_tiles",
+    """WITH v AS (SELECT vec_id, max(list_transform(embedding, x -> coalesce(floor(abs(x::DOUBLE) * 40)::INTEGER % 12, 0))) AS c FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id),
+  p AS (SELECT vec_id, unnest(c) AS class, unnest(range(0, len(c))) AS place FROM v)
+  SELECT 'r' || (vec_id // 256) AS scene_id, ((vec_id % 256) // 64)::INTEGER AS tile_number, sum(class * ((vec_id % 64) * 64 + place + 1))::BIGINT AS checksum, count(*) FILTER (WHERE class <> 0) AS n_pixels
+  FROM p WHERE place < 64 GROUP BY 1, 2 HAVING sum(class) > 0""",
+)
+def geotiff_tiles(spark, sf):
+    """Rasters of 256 vectors, a line each, written as GeoTIFF files and read again as tiles of 64 lines."""
+    classes = F.transform("embedding", lambda x: F.coalesce(F.floor(F.abs(x.cast("double")) * 40).cast("int") % 12, F.lit(0)))
+    zeros = F.array_repeat(F.lit(0), 64)
+    lines = _table(spark, sf, "embeddings").where("embedding is not null").groupBy("vec_id").agg(F.max(classes).alias("c"))
+    line = F.struct((F.col("vec_id") % 256).cast("int").alias("line"), F.slice(F.concat("c", zeros), 1, 64).alias("c"))
+    held = lines.groupBy(F.floor(F.col("vec_id") / 256).alias("k")).agg(F.map_from_entries(F.collect_list(line)).alias("lines"))
+    values = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.col("lines")[k], zeros)))
+    layout = (("epsg", 32633), ("left", 500000.0), ("top", 5000000.0), ("width", 64), ("height", 256), ("step", 20.0))
+    folder = f"{shared_folder(spark)}/geotiff-{uuid.uuid4().hex}"
+    geotiff.write_rasters(held.select(F.concat(F.lit("r"), F.col("k")).alias("name"), *[F.lit(v).alias(c) for c, v in layout], values.alias("classes")), folder)
+    _, tiles, _ = geotiff.read_rasters(spark, folder, tile=64)
+    weighted = F.aggregate(F.transform("classes", lambda c, k: c.cast("long") * (k + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return tiles.select("scene_id", "tile_number", weighted.alias("checksum"), F.size(F.filter("classes", lambda c: c != 0)).cast("long").alias("n_pixels")).where("checksum > 0")
+
+
 @_query("run_histogram", f"WITH {PIXELS} SELECT scene_id, {COUNTS} FROM pix GROUP BY scene_id")
 def run_histogram(spark, sf):
     """class_histogram on run-length codes, never unfolded."""

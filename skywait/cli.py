@@ -1,10 +1,11 @@
-"""Command line: python -m skywait.cli aois|discover|process|metrics|report|run|sla ..."""
+"""Command line: python -m skywait.cli aois|discover|process|export|metrics|report|run|sla ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
 from functools import reduce
@@ -44,7 +45,10 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--record", required=True)
     for x in (p, r):
         x.add_argument("--rasters", required=True, help="a Parquet table of aoi_id, scene_id, classes, error")
+        x.add_argument("--geotiff", action="store_true", help="the rasters are a folder of GeoTIFF files, named by scene")
         x.add_argument("--keep-rasters", action="store_true", help="store the composites as runs")
+    e = sub.add_parser("export", help="write the kept composites as GeoTIFF files")
+    e.add_argument("folder")
     for x in (d, p):
         x.add_argument("--aoi")
     for name in ("metrics", "report"):
@@ -54,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--every", type=int, required=True)
     s.add_argument("--min-clear", type=float)
     s.add_argument("--month", type=int)
-    for name in ("discover", "process", "metrics", "report", "run", "sla"):
+    for name in ("discover", "process", "export", "metrics", "report", "run", "sla"):
         sub.choices[name].add_argument("--config", required=True)
     return top
 
@@ -75,6 +79,10 @@ def read_items(spark: SparkSession, path: str, cfg: Config) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def raster_reader(spark: SparkSession, args: argparse.Namespace, cfg: Config) -> Callable[[DataFrame], DataFrame]:
+    return stages.raster_files(spark, cfg.data_dir, args.rasters) if args.geotiff else stages.stored_rasters(spark.read.parquet(args.rasters))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = session()
@@ -95,11 +103,12 @@ def main(argv: list[str] | None = None) -> int:
                 log("discovered", **row.asDict())
         elif args.command == "process":
             cfg = chosen(cfg, args)
-            log("processed", **stages.process(spark, cfg, cfg.data_dir, stages.stored_rasters(spark.read.parquet(args.rasters)), args.force, keep_rasters=args.keep_rasters))
+            log("processed", **stages.process(spark, cfg, cfg.data_dir, raster_reader(spark, args, cfg), args.force, keep_rasters=args.keep_rasters))
         elif args.command == "run":
-            reader = stages.stored_rasters(spark.read.parquet(args.rasters))
-            done = stages.run(spark, cfg, cfg.data_dir, read_items(spark, args.items, cfg), reader, args.record, stages.overlap_with(cfg.data_dir), args.keep_rasters)
+            done = stages.run(spark, cfg, cfg.data_dir, read_items(spark, args.items, cfg), raster_reader(spark, args, cfg), args.record, stages.overlap_with(cfg.data_dir), args.keep_rasters)
             log("run", record=str(done.path), status=done.data["status"])
+        elif args.command == "export":
+            log("exported", files=stages.export_composites(spark, cfg, cfg.data_dir, args.folder))
         elif args.command == "metrics":
             log("metrics", **stages.metrics(spark, cfg, cfg.data_dir))
         elif args.command == "report":

@@ -21,7 +21,7 @@ from ..functions.columns import is_usable, title_label
 from ..operators import catalogue_upkeep, classifier, composite, rasters, spatial
 from ..operators.joins import many_to_one
 from ..schemas import KEYS, SCHEMAS
-from ..sources import catalogue_items, search, tables
+from ..sources import catalogue_items, geotiff, search, tables
 from ..sources.shared import content_hash, settle, settle_counted
 from . import metric_tables, views
 
@@ -303,6 +303,24 @@ class RunRecord:
         self.write()
 
 
+def stored_grids(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The stored entities' pixel grids, with their masks."""
+    return rasters.entity_grids(tables.read_or_empty(spark, data_dir, "aois").select("aoi_id", "utm_epsg", geometry.ring_of("geometry").alias("ring")))
+
+
+def raster_files(spark: SparkSession, data_dir: str, folder: str) -> Callable[[DataFrame], DataFrame]:
+    """A reader for process() of a folder of GeoTIFF files, named by scene, on any grid and zone."""
+    sources, tiles, _ = geotiff.read_rasters(spark, folder)
+    return rasters.tile_reader(stored_grids(spark, data_dir), sources, tiles)
+
+
+def export_composites(spark: SparkSession, cfg: Config, data_dir: str, folder: str) -> int:
+    """Write the settings' kept composites as GeoTIFF files; how many there are."""
+    kept = tables.read_or_empty(spark, data_dir, "composites").where(F.col("config_hash") == cfg.config_hash)
+    geotiff.write_rasters(geotiff.kept_composites(kept, stored_grids(spark, data_dir)), folder)
+    return kept.count()
+
+
 def stored_rasters(rasters: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A reader for process(): classes and errors of (aoi_id, scene_id) from a table; what it lacks is an error."""
 

@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 import zlib
@@ -127,3 +128,39 @@ def test_rows_that_are_no_rasters(spark, tmp_path):
             geotiff.write_rasters(spark.createDataFrame(rows, MADE), str(tmp_path))
     geotiff.write_rasters(spark.createDataFrame([], MADE), str(tmp_path))
     assert not list(tmp_path.iterdir())
+
+
+def test_command_line_from_files_to_files(spark, tmp_path, monkeypatch):
+    from skywait import cli
+    from skywait.plans import stages
+    from skywait.sources import tables
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    data = str(tmp_path / "data")
+    (tmp_path / "c.csv").write_text("aoi_id,name,country,lat,lon\nberlin,Berlin,Germany,52.52,13.405\n")
+    (tmp_path / "c.yaml").write_text(f"start: 2025-01-01\nend: 2025-06-30\naois: [berlin]\ndata_dir: {data}\nhorizon_days: 60\nmin_clear: 0.5\nmin_coverage: 0.5\n")
+    common = ["--config", str(tmp_path / "c.yaml")]
+    assert cli.main(["aois", str(tmp_path / "c.csv"), data, "--size-km", "0.4"]) == 0
+    ring = [[[13, 52], [14, 52], [14, 53], [13, 53], [13, 52]]]
+    found = [
+        {"id": f"S{k}", "type": "Feature", "geometry": {"type": "Polygon", "coordinates": ring}, "assets": {},
+         "properties": {"datetime": f"2025-0{k + 1}-10T10:00:00Z", "s2:datatake_id": f"take{k}", "platform": "sentinel-2a", "s2:mgrs_tile": "33UUU"}}
+        for k in range(3)
+    ]
+    (tmp_path / "berlin.json").write_text(json.dumps({"type": "FeatureCollection", "features": found}))
+    assert cli.main(["discover", str(tmp_path / "berlin.json"), *common]) == 0
+    grid = stages.stored_grids(spark, data).first()
+    made = [(f"S{k}", grid.epsg, grid.left - 60.0, grid.top + 80.0, grid.width + 7, grid.height + 9, 20.0, [4 if k else 9] * ((grid.width + 7) * (grid.height + 9))) for k in range(2)]
+    geotiff.write_rasters(spark.createDataFrame(made, MADE), str(tmp_path / "rasters"))  # there is none of S2
+    assert cli.main(["process", "--rasters", str(tmp_path / "rasters"), "--geotiff", "--keep-rasters", *common]) == 0
+    obs = {r.datatake_id: r for r in tables.read_or_empty(spark, data, "observations").collect()}
+    assert {t: (r.complete, r.usable) for t, r in obs.items()} == {"take0": (True, False), "take1": (True, True), "take2": (False, False)}
+    assert obs["take1"].n_aoi_pixels == sum(grid.mask)
+    assert cli.main(["export", str(tmp_path / "out"), *common]) == 0
+    sources, tiles, _ = geotiff.read_rasters(spark, str(tmp_path / "out"))
+    heads = {r.scene_id: r for r in sources.collect()}
+    assert set(heads) == {f"berlin_take{k}" for k in range(3)}
+    for k, value in enumerate((9, 4, 0)):
+        name = f"berlin_take{k}"
+        got = pieced(heads[name], {r.tile_number: r.bands for r in tiles.where(F.col("scene_id") == name).collect()}, 0).ravel()
+        assert got.tolist() == [value if m else 0 for m in grid.mask]
