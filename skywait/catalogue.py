@@ -572,8 +572,8 @@ def raster_windows(spark, sf):
 
 @_query(
     "geotiff_tiles",
-    """WITH v AS (SELECT vec_id, max(list_transform(embedding, x -> coalesce(floor(abs(x::DOUBLE) * 40)::INTEGER % 12, 0))) AS c FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id),
-  p AS (SELECT vec_id, unnest(c) AS class, unnest(range(0, len(c))) AS place FROM v)
+    """WITH v AS (SELECT vec_id, max(embedding) AS e FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id),
+  p AS (SELECT vec_id, coalesce(floor(abs(x::DOUBLE) * 40)::INTEGER % 12, 0) AS class, place FROM (SELECT vec_id, unnest(e) AS x, unnest(range(0, len(e))) AS place FROM v))
   SELECT 'r' || (vec_id // 256) AS scene_id, ((vec_id % 256) // 64)::INTEGER AS tile_number, sum(class * ((vec_id % 64) * 64 + place + 1))::BIGINT AS checksum, count(*) FILTER (WHERE class <> 0) AS n_pixels
   FROM p WHERE place < 64 GROUP BY 1, 2 HAVING sum(class) > 0""",
 )
@@ -581,7 +581,7 @@ def geotiff_tiles(spark, sf):
     """Rasters of 256 vectors, a line each, written as GeoTIFF files and read again as tiles of 64 lines."""
     classes = F.transform("embedding", lambda x: F.coalesce(F.floor(F.abs(x.cast("double")) * 40).cast("int") % 12, F.lit(0)))
     zeros = F.array_repeat(F.lit(0), 64)
-    lines = _table(spark, sf, "embeddings").where("embedding is not null").groupBy("vec_id").agg(F.max(classes).alias("c"))
+    lines = _table(spark, sf, "embeddings").where("embedding is not null").groupBy("vec_id").agg(F.max("embedding").alias("embedding")).select("vec_id", classes.alias("c"))
     line = F.struct((F.col("vec_id") % 256).cast("int").alias("line"), F.slice(F.concat("c", zeros), 1, 64).alias("c"))
     held = lines.groupBy(F.floor(F.col("vec_id") / 256).alias("k")).agg(F.map_from_entries(F.collect_list(line)).alias("lines"))
     values = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.col("lines")[k], zeros)))
