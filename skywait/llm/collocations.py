@@ -2,8 +2,8 @@
 
 Texts are cut into slices that keep their word positions. A k-gram is the pair of the frequent
 (k-1)-grams at two neighbouring positions: each slice replaces neighbours by numbers of its own
-and sends one row for each distinct pair; pairs are counted and named globally, and the names
-return to the slices for the next round. A name's two parents are the k-gram without its last
+and sends one row for each distinct pair; pairs are counted and named globally where their rows
+meet, and the names return to the slices, row by row, for the next round. A name's two parents are the k-gram without its last
 and without its first word, so cuts and containment are looked up along them.
 """
 
@@ -59,20 +59,31 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, follows
 
 
-def _lists(column: list[np.ndarray]) -> pa.Array:
-    return pa.array(column, pa.list_(pa.int64()))
+#: A slice has one row with these, and one for each distinct k-gram.
+_UNITS = "units binary, follows binary"
+_BATCH_ROWS = 100_000
+
+
+def _batches(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The table in batches of a few MB; columns of the schema that it lacks are null."""
+    columns = [table[f.name].cast(f.type) if f.name in table.column_names else pa.nulls(table.num_rows, f.type) for f in schema]
+    yield from pa.table(columns, schema=schema).to_batches(_BATCH_ROWS)
 
 
 def sliced(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(slice, lang, units, follows, words, counts): texts of a language with their words numbered.
+    """(slice, lang, spot, word, count, units, follows): texts of a language with their words numbered.
 
-    units holds the number of every word in turn (int32), follows a bit for each.
+    A slice has a row for each distinct word, with its number (spot) and count, and one whose units
+    hold the number of every word in turn (int32), and whose follows has a bit for each; a word that
+    no text has deals that one out like the rest. Rows are one a word whatever the slice holds. Slices are numbered by the words before them in their task, so
+    slice + spot is unique for words and for k-grams of any one length.
     """
     small_batches(docs.sparkSession)
+    schema = pa.schema([("slice", pa.int64()), ("lang", pa.string()), ("spot", pa.int32()), ("word", pa.string()), ("count", pa.int64()), ("units", pa.binary()), ("follows", pa.binary())])
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]):
-        task, number = TaskContext.get().partitionId(), 0
+        number = TaskContext.get().partitionId() << 33
         held, size = [], 0
 
         def flush():
@@ -88,14 +99,12 @@ def sliced(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
                     coded = words.dictionary_encode()
                     units = coded.indices.to_numpy()
                     counts = np.bincount(units, minlength=len(coded.dictionary))
-                    number += 1
-                    yield pa.record_batch(
-                        [
-                            pa.array([(task << 33) + number]), pa.array([lang]), pa.array([units.astype("<i4").tobytes()]), pa.array([np.packbits(follows).tobytes()]),
-                            pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), coded.dictionary), _lists([counts]),
-                        ],
-                        ["slice", "lang", "units", "follows", "words", "counts"],
-                    )
+                    mine = {"slice": pa.array([number]), "lang": pa.array([lang]), "word": pa.array([f" {number}"]), "units": pa.array([units.astype("<i4").tobytes()]), "follows": pa.array([np.packbits(follows).tobytes()])}
+                    yield from _batches(pa.table(mine), schema)
+                    n = len(counts)
+                    mine = {"slice": np.full(n, number), "lang": pa.array([lang]).take(pa.array(np.zeros(n, dtype=np.int32))), "spot": np.arange(n, dtype=np.int32), "word": coded.dictionary, "count": counts}
+                    yield from _batches(pa.table(mine), schema)
+                    number += len(units)
 
         for b in batches:
             held.append(b)
@@ -107,53 +116,73 @@ def sliced(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
             yield from flush()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(cut, "slice long, lang string, units binary, follows binary, words array<string>, counts array<long>")
+    return rows.mapInArrow(cut, f"slice long, lang string, spot int, word string, count long, {_UNITS}")
 
 
-def paired(named: DataFrame, more: bool) -> DataFrame:
-    """(slice, units, left, right, counts): pairs of named neighbours in each slice, as names of their parents.
+def paired(held: DataFrame, more: bool) -> DataFrame:
+    """(slice, spot, left, right, count, units, follows): pairs of named neighbours in each slice, as names of their parents.
 
-    named has slice, units, follows (null beyond words: neighbours then overlap, so they stand in
-    one piece) and names, a list of (number in the slice, global name). more keeps the units
-    for another round.
+    held has slice, spot, id (the global name of the slice's number spot), and a row a slice with
+    units and follows (null beyond words: neighbours then overlap, so they stand in one piece).
+    more keeps the units for another round, under a pair of names that no other row has. A task holds
+    one slice at a time.
     """
+    schema = pa.schema([("slice", pa.int64()), ("spot", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("count", pa.int64()), ("units", pa.binary()), ("follows", pa.binary())])
+
+    def pair(number: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        whole = pc.is_valid(table["units"])
+        own, named = table.filter(whole), table.filter(pc.invert(whole))
+        units = np.frombuffer(own["units"][0].as_py(), dtype="<i4")
+        spots, names = named["spot"].to_numpy(), named["id"].to_numpy()
+        most = int(max(units.max(initial=-1), spots.max(initial=-1))) + 1
+        dense = np.full(most + 1, -1, dtype=np.int64)
+        dense[spots] = np.arange(len(spots))
+        at = dense[units]  # -1, the last place, has no name either
+        both = (at[:-1] >= 0) & (at[1:] >= 0)
+        follows = own["follows"][0].as_py()
+        if follows is not None:
+            both &= np.unpackbits(np.frombuffer(follows, dtype=np.uint8), count=len(units))[:-1].astype(bool)
+        keys, code, counts = np.unique(at[:-1][both] * len(names) + at[1:][both], return_inverse=True, return_counts=True)
+        if not len(keys):
+            return
+        if more:
+            out = np.full(len(units), -1, dtype="<i4")
+            out[:-1][both] = code
+            yield from _batches(pa.table({"slice": pa.array([number]), "left": pa.array([number]), "right": pa.array([-1]), "units": pa.array([out.tobytes()])}), schema)
+        found = {"slice": np.full(len(keys), number), "spot": np.arange(len(keys), dtype=np.int32), "left": names[keys // len(names)], "right": names[keys % len(names)], "count": counts}
+        yield from _batches(pa.table(found), schema)
 
     @lean
-    def pair(batches: Iterator[pa.RecordBatch]):
+    def each(batches: Iterator[pa.RecordBatch]):
+        number, parts = None, []
         for b in batches:
-            for k in range(b.num_rows):
-                units = np.frombuffer(b.column("units")[k].as_py(), dtype="<i4")
-                spots, names = b.column("names")[k].values.flatten()
-                spots, names = spots.to_numpy(zero_copy_only=False), names.to_numpy(zero_copy_only=False)
-                most = int(max(units.max(initial=-1), spots.max(initial=-1))) + 1
-                dense = np.full(most + 1, -1, dtype=np.int64)
-                dense[spots] = np.arange(len(spots))
-                at = dense[units]  # -1, the last place, has no name either
-                both = (at[:-1] >= 0) & (at[1:] >= 0)
-                follows = b.column("follows")[k].as_py()
-                if follows is not None:
-                    both &= np.unpackbits(np.frombuffer(follows, dtype=np.uint8), count=len(units))[:-1].astype(bool)
-                keys, code, counts = np.unique(at[:-1][both] * len(names) + at[1:][both], return_inverse=True, return_counts=True)
-                if not len(keys):
-                    continue
-                out = np.full(len(units), -1, dtype="<i4")
-                out[:-1][both] = code
-                columns = [b.column("slice").slice(k, 1), pa.array([out.tobytes() if more else None], pa.binary()), _lists([names[keys // len(names)]]), _lists([names[keys % len(names)]]), _lists([counts])]
-                yield pa.record_batch(columns, ["slice", "units", "left", "right", "counts"])
-
-    return named.select("slice", "units", "follows", "names").mapInArrow(pair, "slice long, units binary, left array<long>, right array<long>, counts array<long>")
-
-
-def _named(rows: DataFrame, parts: dict[str, Column], least: int) -> tuple[DataFrame, DataFrame]:
-    """(names, held) of a round's rows: names (id, the parts, f) of all that occur at least so often,
-    and held (slice, names), what each slice has of them."""
-    zipped = F.arrays_zip(*[c.alias(k) for k, c in parts.items()], F.col("counts").alias("count"))
-    each = rows.select("slice", *(["lang"] if "lang" in rows.columns else []), F.posexplode(zipped).alias("spot", "it")).select("*", "it.*").drop("it")
-    key = [*(["lang"] if "lang" in rows.columns else []), *parts]
-    frequent = each.groupBy(*key).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    names = settle(frequent.withColumn("id", F.monotonically_increasing_id()))
-    mine = each.join(names.select("id", *key), key).groupBy("slice").agg(F.collect_list(F.struct("spot", "id")).alias("names"))
-    return names, mine
+            numbers = b.column("slice").to_numpy()
+            cuts = (np.flatnonzero(np.diff(numbers)) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+                if i < j and numbers[i] != number:
+                    if parts:
+                        yield from pair(number, parts)
+                    number, parts = int(numbers[i]), []
+                parts.append(b.slice(i, j - i))
+        if parts:
+            yield from pair(number, parts)
+
+    together = held.select("slice", "spot", "id", "units", "follows").repartition("slice").sortWithinPartitions("slice")
+    return together.mapInArrow(each, f"slice long, spot int, left long, right long, count long, {_UNITS}")
+
+
+def _named(rows: DataFrame, key: list[str], least: int) -> DataFrame:
+    """(slice, spot, id, the key, f, units, follows): a round's k-grams that occur at least so often, settled.
+
+    A k-gram's id is its smallest slice + spot; the row there has the key and f, so these are the
+    names, the others have null. Rows with units come along, with no id and no f.
+    """
+    own, whole = F.col("slice") + F.col("spot"), F.col("units").isNotNull()
+    same = Window.partitionBy("spread", *key)  # spread: sorted by it, few rows tie
+    dealt = rows.repartition(*key).withColumn("spread", F.xxhash64(*key))
+    found = dealt.withColumn("f", F.sum("count").over(same)).withColumn("id", F.min(own).over(same)).where(whole | (F.col("f") >= least))
+    return settle(found.select("slice", "spot", "id", *[F.when(whole | (F.col("id") == own), F.col(c)).alias(c) for c in (*key, "f")], "units", "follows"))
 
 
 def score(a: str, left: str, right: str) -> Column:
@@ -164,13 +193,18 @@ def score(a: str, left: str, right: str) -> Column:
 
 def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, inside_percent: int = INSIDE_PERCENT, slice_bytes: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(phrases, sizes): all phrases that stay (lang, phrase, a, l, r, score), and (lang, n)."""
-    texts = settle(sliced(docs, slice_bytes))
-    names, held = _named(texts, {"word": F.col("words")}, least)
-    level = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails"))
-    rows, levels = texts.select("slice", "units", "follows"), []
+    held = _named(sliced(docs, slice_bytes), ["lang", "word"], least)
+    sizes = settle(held.where(F.col("units").isNotNull()).groupBy("lang").agg(F.sum(F.expr("octet_length(units) div 4")).alias("n")))
+    names, levels = held.where(F.col("f").isNotNull()), []
+    level = settle(names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")))
     for size in range(2, longest + 1):
-        now = settle(paired(rows.join(held, "slice"), size < longest))
-        names, held = _named(now, {"left": F.col("left"), "right": F.col("right")}, least)
+        before, now = held, paired(held, size < longest)
+        if size < longest:
+            held = _named(now, ["left", "right"], least)
+            names = held.where(F.col("f").isNotNull()).select("id", "left", "right", "f")
+        else:  # nothing returns to the slices
+            names = settle(now.groupBy("left", "right").agg(F.sum("count").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
+        forget(before)
         first = level.select(F.col("id").alias("left"), "lang", "phrase", F.concat("heads", F.array("f")).alias("heads"))
         rest = level.select(F.col("id").alias("right"), "last", F.concat("tails", F.array("f")).alias("tails"))
         level = settle(
@@ -178,7 +212,6 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, insi
             .select("id", "left", "right", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", "heads", "tails")
         )
         levels.append(level)
-        rows = now.select("slice", "units", F.lit(None).cast("binary").alias("follows"))
     kept = []
     for k, level in enumerate(levels):
         cuts = []
@@ -194,10 +227,7 @@ def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, insi
     phrases = kept[0]
     for other in kept[1:]:
         phrases = phrases.unionByName(other)
-    sizes = texts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    phrases, sizes = settle(phrases), settle(sizes)
-    forget(texts)
-    return phrases, sizes
+    return settle(phrases), sizes
 
 
 def collocations(docs: DataFrame, top: int = TOP, **options) -> DataFrame:

@@ -74,6 +74,21 @@ def test_ties_overlaps_nulls_and_empty_tables_of_phrases(spark):
     assert collocations.collocations(docs.where("lang = 'en'")).count() == 0
 
 
+def test_rows_of_slices_stay_small_and_are_numbered_once(spark):
+    text = " ".join(f"w{k} w{k}" for k in range(3000))
+    docs = spark.createDataFrame([(text, "en"), (text, None), ("a b " * 500, "en")] * 2, "text string, lang string").repartition(2)
+    cut = collocations.settle(collocations.sliced(docs, 20_000))
+    held = collocations._named(cut, ["lang", "word"], 2)
+    pairs = collocations.settle(collocations.paired(held, True))
+    for rows in (cut, held, pairs):  # nothing but a slice's units grows with it: no row gathers its words or names
+        assert not [c for c, kind in rows.dtypes if kind.startswith(("array", "map", "struct"))]
+        each = rows.where("units is null")
+        assert each.count() == each.select(F.col("slice") + F.col("spot")).distinct().count() > 6000
+        assert rows.where("units is not null").count() == rows.select("slice").distinct().count()
+    ids, words = held.select("id").where("id is not null").distinct().count(), cut.where("count is not null").groupBy("lang", "word").agg(F.sum("count").alias("f")).where("f >= 2").count()
+    assert ids == words == held.where("f is not null").count()
+
+
 def test_scores_are_exact_past_64_bits(spark):
     a, left, right = 98_765_432_101_234, 98_765_432_101_239, 99_999_999_999_998
     row = spark.createDataFrame([(a, left, right), (7, 7, 7), (1, 10**13, 10**14 - 1)], "a long, l long, r long").select(collocations.score("a", "l", "r").alias("s"))
