@@ -354,12 +354,17 @@ def dumbbell_unpivot(spark, sf):
 PLACE = "(s_suppkey % 160 - 80)::DOUBLE AS lat, (s_suppkey * 7 % 360 - 180)::DOUBLE AS lon"
 
 
+def _spot():
+    """aoi_id, lat and lon of a supplier."""
+    key = F.col("s_suppkey")
+    return F.concat(F.lit("s"), key.cast("string")).alias("aoi_id"), (key % 160 - 80).cast("double").alias("lat"), (key * 7 % 360 - 180).cast("double").alias("lon")
+
+
 def places(spark, sf):
     nations = _table(spark, sf, "nation")
-    return _table(spark, sf, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select(  # 25 nations
-        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("aoi_id"), F.col("s_name").alias("name"), F.col("n_name").alias("country"),
-        (F.col("s_suppkey") % 160 - 80).cast("double").alias("lat"), (F.col("s_suppkey") * 7 % 360 - 180).cast("double").alias("lon"),
-    )
+    aoi_id, *spot = _spot()
+    joined = _table(spark, sf, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    return joined.select(aoi_id, F.col("s_name").alias("name"), F.col("n_name").alias("country"), *spot)
 
 
 @_query("map_points", f"WITH {LINES} SELECT l.aoi_id, count(*) AS n_observations, count(*) FILTER (WHERE usable) AS n_usable, s_name AS name, n_name AS country, {PLACE} FROM lines l JOIN supplier ON 's' || s_suppkey = l.aoi_id JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
@@ -392,7 +397,7 @@ def footprint_overlap(spark, sf):
 
     foot = box(key * 13 % 3500 / F.lit(10.0) - 175, key * 7 % 1500 / F.lit(10.0) - 75, (2 + key % 4).cast("double"), (1 + key % 3).cast("double"))
     feet = _table(spark, sf, "customer").select("c_custkey", F.when(key % 2 == 0, foot).otherwise(F.reverse(foot)).alias("foot"))
-    squares = places(spark, sf).select("aoi_id", box(F.col("lon"), F.col("lat"), F.lit(1.0), F.lit(1.0)).alias("ring"))
+    squares = _table(spark, sf, "supplier").select(*_spot()).select("aoi_id", box(F.col("lon"), F.col("lat"), F.lit(1.0), F.lit(1.0)).alias("ring"))
     return spatial.overlapping(feet, squares, "foot", "ring", cell=5.0).select("c_custkey", "aoi_id", F.round("overlap", 6).alias("overlap"))
 
 

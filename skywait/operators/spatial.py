@@ -34,8 +34,13 @@ def _doubled(points: Column) -> Column:
     return F.aggregate(F.transform(points, term), F.lit(0.0), lambda a, b: a + b)
 
 
+def _area(points: Column) -> Column:
+    """The area of an open ring, which may be costly: it is planned once."""
+    return computed_once(points, lambda p: F.abs(_doubled(p)) / 2)
+
+
 def ring_area(ring: Column) -> Column:
-    return computed_once(_open(ring), lambda points: F.abs(_doubled(points)) / 2)
+    return _area(_open(ring))
 
 
 def clipped(ring: Column, window: Column) -> Column:
@@ -53,8 +58,9 @@ def clipped(ring: Column, window: Column) -> Column:
         def keep(all_: Column, one: Column, i: Column) -> Column:
             def both(other: Column) -> Column:
                 p, q, s, t = one["p"], other["p"], one["s"], other["s"]
-                crossing = F.transform(F.array(s / (s - t)), lambda r: F.array(p[0] + r * (q[0] - p[0]), p[1] + r * (q[1] - p[1])))
-                return F.concat(F.when(s >= 0, F.array(p)).otherwise(none), F.when((s >= 0) != (t >= 0), crossing).otherwise(none))
+                r = s / (s - t)
+                crossing = F.array(p[0] + r * (q[0] - p[0]), p[1] + r * (q[1] - p[1]))
+                return F.when(s >= 0, F.when(t >= 0, F.array(p)).otherwise(F.array(p, crossing))).otherwise(F.when(t >= 0, F.array(crossing)).otherwise(none))
 
             return computed_once(_next(all_, i), both)
 
@@ -73,15 +79,30 @@ def overlap_fraction(entity: Column, footprint: Column) -> Column:
     known = footprint.isNotNull() & (F.size(footprint) >= 3)
 
     def share(area: Column) -> Column:
-        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ring_area(clipped(footprint, entity)) / area))
+        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _area(clipped(footprint, entity)) / area))
         return F.when(area == 0, F.raise_error(F.lit("an entity has no area")).cast("double")).when(known, part).otherwise(0.0)
 
     return computed_once(ring_area(entity), share)
 
 
+def _is_box(ring: Column) -> Column:
+    """Whether a ring is its bounds: four corners, each side along one axis. Without a lambda, so that it is compiled."""
+
+    def at(corner: int, axis: int) -> Column:
+        return F.get(F.get(ring, F.lit(corner % 4)), F.lit(axis % 2))
+
+    def along(first: int) -> Column:
+        same = [at(i, first + i) == at(i + 1, first + i) for i in range(4)]
+        return same[0] & same[1] & same[2] & same[3]
+
+    closed = (F.size(ring) == 5) & (F.get(ring, F.lit(0)) == F.get(ring, F.lit(4)))
+    return F.coalesce(((F.size(ring) == 4) | closed) & (along(0) | along(1)), F.lit(False))
+
+
 def _bounds(ring: Column) -> Column:
     x, y = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
-    return F.struct(F.array_min(x).alias("left"), F.array_min(y).alias("low"), F.array_max(x).alias("right"), F.array_max(y).alias("high"))
+    sides = F.array_min(x).alias("left"), F.array_min(y).alias("low"), F.array_max(x).alias("right"), F.array_max(y).alias("high")
+    return F.struct(*sides, _is_box(ring).alias("full"))
 
 
 def in_cells(shapes: DataFrame, ring: str, cell: float = CELL_DEGREES) -> DataFrame:
@@ -98,12 +119,29 @@ def overlapping(shapes: DataFrame, windows: DataFrame, shape: str, window: str,
     """Pairs of shapes and convex windows that share some area, with overlap: the share of the window that is covered.
 
     The column names of both sides must differ. Bounds are compared before anything is clipped;
-    shapes that only touch do not overlap.
+    shapes that only touch do not overlap. Of two boxes the bounds tell the share; a ring that is
+    none travels to the pairs, which clip it.
     """
-    a, b = in_cells(shapes, shape, cell).withColumnRenamed("_box", "_box_a"), in_cells(windows, window, cell).withColumnRenamed("_box", "_box_b")
+
+    def dealt(side: str, rows: DataFrame, ring: str) -> DataFrame:
+        part = F.when(~F.col("_box.full"), F.col(ring))
+        return in_cells(rows, ring, cell).withColumn(f"_ring_{side}", part).withColumnRenamed("_box", f"_box_{side}")
+
+    def ring(side: str) -> Column:
+        left, low, right, high = (F.col(f"_box_{side}.{x}") for x in ("left", "low", "right", "high"))
+        return F.coalesce(f"_ring_{side}", F.array(F.array(left, low), F.array(right, low), F.array(right, high), F.array(left, high)))
+
     left, low = F.greatest("_box_a.left", "_box_b.left"), F.greatest("_box_a.low", "_box_b.low")
-    meet = (left <= F.least("_box_a.right", "_box_b.right")) & (low <= F.least("_box_a.high", "_box_b.high"))
+    right, high = F.least("_box_a.right", "_box_b.right"), F.least("_box_a.high", "_box_b.high")
+    meet, boxes = (left <= right) & (low <= high), F.col("_box_a.full") & F.col("_box_b.full")
     here = (F.floor(left / cell) == F.col("_cx")) & (F.floor(low / cell) == F.col("_cy"))
-    pairs = a.join(b, ["_cx", "_cy"]).where(meet & here).drop("_cx", "_cy", "_box_a", "_box_b")
-    share = F.array(overlap_fraction(F.col(window), F.col(shape)))
-    return pairs.withColumn("overlap", F.explode(F.filter(share, lambda x: x > 0)))  # computed once, unlike a column that a filter reads
+    area = (F.col("_box_b.right") - F.col("_box_b.left")) * (F.col("_box_b.high") - F.col("_box_b.low"))
+    # Pairs may outgrow both sides by far, so they are dealt by cells: a broadcast would leave them to the tasks that read the shapes.
+    pairs = dealt("a", shapes, shape).join(dealt("b", windows, window).hint("merge"), ["_cx", "_cy"]).where(meet & here)
+    pairs = pairs.withColumn("_common", F.when(boxes & (area > 0), (right - left) * (high - low) / area))
+    rings = F.struct(ring("a").alias("shape"), ring("b").alias("window"))
+    clip = F.filter(F.array(computed_once(rings, lambda r: overlap_fraction(r["window"], r["shape"]))), lambda x: x > 0)  # once, unlike a column that a filter reads
+    # The clip has a column of its own, as an explode that holds it is not compiled.
+    shares = pairs.withColumn("_clip", F.when(F.col("_common").isNull(), clip)).drop("_cx", "_cy", "_box_a", "_box_b", "_ring_a", "_ring_b")
+    share = F.when(F.col("_common").isNull(), F.col("_clip")).when(F.col("_common") > 0, F.array("_common"))
+    return shares.withColumn("overlap", F.explode(share)).drop("_common", "_clip")

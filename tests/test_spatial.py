@@ -8,6 +8,7 @@ import pytest
 from helpers import config
 from pyspark.sql import functions as F
 
+from skywait import catalogue
 from skywait.operators import spatial
 from skywait.plans import stages
 from skywait.sources import catalogue_items, tables
@@ -84,6 +85,62 @@ def test_the_join_equals_all_pairs(spark, cell):
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def corners(rng, left, low, right, high):
+    """A box as a ring from any corner, either way round, closed or not."""
+    ring = [[left, low], [right, low], [right, high], [left, high]]
+    k = rng.randrange(4)
+    ring = (ring[k:] + ring[:k])[:: rng.choice([1, -1])]
+    return [*ring, ring[0]] if rng.random() < 0.5 else ring
+
+
+def test_the_bounds_of_boxes_tell_their_share(spark):
+    rng = random.Random(8)
+    sides = {k: (x := rng.uniform(-9, 9), y := rng.uniform(-9, 9), x + rng.uniform(0.1, 6), y + rng.uniform(0.1, 6)) for k in range(80)}
+    sides[80] = (3.0, -9.0, 3.0, 9.0)  # no area
+    rings = [(k, corners(rng, *b)) for k, b in sides.items()]
+    others = [(100 + k, polygon(rng, rng.uniform(-9, 9), rng.uniform(-9, 9), 3, rng.randint(3, 5), convex=True)) for k in range(20)]
+    others.append((120, [[-2.0, -2.0], [2.0, -2.0], [2.0, 2.0], [-2.0, 1.0]]))  # four corners, no box
+    a = spark.createDataFrame(rings + others, RINGS).withColumnsRenamed({"id": "a", "ring": "shape"})
+    windows = [(k, corners(rng, *b)) for k, b in sides.items() if k < 40] + others
+    b = spark.createDataFrame(windows, RINGS).withColumnsRenamed({"id": "b", "ring": "window"})
+    joined = spatial.overlapping(a, b, "shape", "window", 2.0).select("a", "b", "overlap")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()  # pairs are dealt by cells, however small the sides
+    rows = joined.collect()
+    found = {(r.a, r.b): r.overlap for r in rows}
+    want = {}
+    for k, s in sides.items():
+        for n, w in sides.items():
+            dx, dy = min(s[2], w[2]) - max(s[0], w[0]), min(s[3], w[3]) - max(s[1], w[1])
+            if n < 40 and dx > 0 and dy > 0:
+                want[k, n] = dx * dy / ((w[2] - w[0]) * (w[3] - w[1]))
+    assert len(rows) == len(found) and {p: x for p, x in found.items() if max(p) < 100} == want  # to the last bit
+    mixed = {p: x for p, x in plain_pairs(rings + others, windows).items() if max(p) >= 100}
+    assert {p for p, x in found.items() if max(p) >= 100 and x > 1e-12} == set(mixed) and len(mixed) > 100
+    assert all(found[p] == pytest.approx(x, abs=1e-9) for p, x in mixed.items())
+
+
+def test_a_pair_is_clipped_once(spark):
+    df = spark.createDataFrame([], "shape array<array<double>>, window array<array<double>>")
+    planned = df.select(spatial.overlap_fraction(F.col("window"), F.col("shape")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert planned.count("flatten(") == 1  # its area once read it four times
+
+
+def test_footprints_cover_places_of_any_nation(spark, tmp_path):
+    customers, suppliers = [*range(0, 4000, 3), 10**9 + 7, None, 6], [(k, k % 3) for k in range(0, 1500, 5)] + [(1135, None), (8, 99), (None, 1)]
+    spark.createDataFrame([(k,) for k in customers], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, f"n{k}", n) for k, n in suppliers], "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(k, f"n{k}") for k in range(3)], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    want = []
+    for c in (c for c in customers if c is not None):
+        x, y, dx, dy = c * 13 % 3500 / 10.0 - 175, c * 7 % 1500 / 10.0 - 75, 2 + c % 4, 1 + c % 3
+        for s in (s for s, _ in suppliers if s is not None):
+            lat, lon = float(s % 160 - 80), float(s * 7 % 360 - 180)
+            if x - dx < lon + 1 and x + dx > lon - 1 and y - dy < lat + 1 and y + dy > lat - 1:
+                want.append((c, f"s{s}", round((min(x + dx, lon + 1) - max(x - dx, lon - 1)) * (min(y + dy, lat + 1) - max(y - dy, lat - 1)) / 4, 6)))
+    rows = catalogue.footprint_overlap(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == sorted(want) and "s8" in {r.aoi_id for r in rows}
+
+
 def test_a_large_shape_is_dealt_to_many_cells(spark):
     big = spark.createDataFrame([(1, [[0.0, 0.0], [30.0, 0.0], [30.0, 10.0], [0.0, 10.0]])], RINGS)
     assert spatial.in_cells(big, "ring", 1.0).count() == 31 * 11
